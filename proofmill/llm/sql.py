@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .rules import RULES
+
 CRC32 = """
 crc_table as (
   select list(c order by i) as t from (
@@ -30,4 +32,54 @@ select doc_id, size,
 from d, crc_table
 """
 
-ORACLES: dict[str, str] = {"op2_sharding": OP2}
+_GRID = ", ".join(f"('{r}', {k}, {c}::double)" for r, cs in RULES.items() for k, c in enumerate(cs))
+
+#: CTEs from ``documents`` and ``labels`` to ``verdicts``: the features of each document and ``kept``.
+RULE_CTES = f"""
+rw as (
+  select row_number() over () as rid, doc_id, coalesce(text, '') as text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as ls
+  from documents),
+wins as (
+  select rid, i, array_to_string(w[i:i + 7], ' ') as g
+  from (select rid, w, unnest(range(1, len(w) - 6)) as i from rw where len(w) >= 8)),
+rep as (
+  select rid, count(distinct j) as n from (
+    select rid, i + unnest(range(8)) as j from (select rid, i, count(*) over (partition by rid, g) as c from wins) where c > 1)
+  group by rid),
+feat as (
+  select doc_id, text, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+    (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words,
+    (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))::bigint as caps, len(ls) as n_lines
+  from rw left join rep using (rid)),
+scored as (
+  select *, (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,
+    (n_words > 100)::int + (n_words > 400)::int + (n_words > 1600)::int as stratum,
+    if(word_chars > 0, n_symbols::double / word_chars, 0) as symbols, if(n_words > 0, n_repeat_words::double / n_words, 0) as repeats,
+    if(n_lines > 0, n_dup_lines::double / n_lines, 0) as dup_lines, if(word_chars > 0, caps::double / word_chars, 0) as capitals
+  from feat),
+good as (select * from scored where doc_id in (select doc_id from labels where quality = 1)),
+grid as (select * from (values {_GRID}) v(rule, k, cutoff)),
+cells as (
+  select stratum, rule, k, cutoff, count(*)::double as n,
+    sum((case rule when 'symbols' then symbols when 'repeats' then repeats when 'dup_lines' then dup_lines else capitals end > cutoff)::int)::double as x
+  from good, grid group by all),
+tails as (
+  select *, case when x >= n * 0.01 then 1 else list_sum(list_transform(range(0, x::bigint + 1), lambda i:
+      exp(lgamma(n + 1) - lgamma(i + 1.0) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) end as p from cells),
+safe as (select *, min((p <= 0.05 / 16)::int) over (partition by stratum, rule order by k) as ok from tails),
+cuts as (select stratum, rule, min(cutoff) as cutoff from safe where ok = 1 group by all),
+verdicts as (
+  select s.*, not base_failed and not exists (
+    select 1 from cuts c where c.stratum = s.stratum and c.cutoff <
+      case c.rule when 'symbols' then s.symbols when 'repeats' then s.repeats when 'dup_lines' then s.dup_lines else s.capitals end) as kept
+  from scored s)"""
+
+OP10 = f"""
+with {RULE_CTES.strip()}
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept from verdicts
+"""
+
+ORACLES: dict[str, str] = {"op2_sharding": OP2, "op10_quality_rules": OP10}
