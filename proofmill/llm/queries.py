@@ -24,6 +24,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), outputs=("digests",))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, learn, predict
+
+    docs = read(spark, sf_dir, "documents")
+    models = learn(docs.filter(~held_out("doc_id")))
+    return predict(docs, models).withColumn("held_out", held_out("doc_id"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rules import quality_rules
 
@@ -31,7 +39,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op10_quality_rules": op10_quality_rules}
+    return {"op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op7_language": op7_language, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
