@@ -241,10 +241,6 @@ def _kneser_ney(top: dict[str, int]) -> tuple[list[dict[str, float]], list[dict[
     return discounted, weight
 
 
-def held_out(doc_id):
-    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
-
-
 def learn(docs: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -> CharModels:
     """Models of every language in ``docs`` (text, lang, doc_id; a null lang, text or doc_id teaches nothing).
 

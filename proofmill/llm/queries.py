@@ -24,8 +24,27 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), outputs=("digests",))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import grade_documents, learn
+    from .sampling import held_out
+
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = learn(docs, labels.filter(~held_out("doc_id")))
+    return grade_documents(docs, model).withColumn("held_out", held_out("doc_id"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sampling import held_out
+    from .toxicity import learn, score_documents
+
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = learn(docs, labels.filter(~held_out("doc_id")))
+    return score_documents(docs, model, with_passages=False).withColumn("held_out", held_out("doc_id"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .langid import held_out, learn, predict
+    from .langid import learn, predict
+    from .sampling import held_out
 
     docs = read(spark, sf_dir, "documents")
     models = learn(docs.filter(~held_out("doc_id")))
@@ -39,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op7_language": op7_language, "op10_quality_rules": op10_quality_rules}
+    return {"op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op5_quality": op5_quality, "op7_language": op7_language, "op8_toxicity": op8_toxicity, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:

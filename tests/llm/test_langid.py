@@ -3,7 +3,8 @@ import zlib
 
 import numpy as np
 
-from proofmill.llm.langid import ORDER, CharModels, _find, folded, gram_hashes, held_out, learn, predict
+from proofmill.llm.langid import ORDER, CharModels, _find, folded, gram_hashes, learn, predict
+from proofmill.llm.sampling import held_out
 
 from .data import AWKWARD, SCHEMA, table
 
