@@ -1,8 +1,8 @@
 """Toxicity by maximum-scoring segments.
 
-Tokens get log-odds between toxic and other training documents under an
-informative Dirichlet prior; those whose odds are not significant count as
-nothing, and every token costs GAP. A linear scan finds all maximal segments
+Tokens and their beginnings and endings get log-odds between toxic and other
+training documents under an informative Dirichlet prior. A token weighs what
+its most significant part does, or nothing if none is; every token costs GAP. A linear scan finds all maximal segments
 of a text; a segment is significant when extreme-value statistics expect few
 of its score by chance in a text of that length; a logistic curve over the
 evidence of the significant segments gives the score.
@@ -20,12 +20,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
 from .sampling import labelled_sample
 
 #: Documents of either class that the weights are learnt from.
 SAMPLE = 3000
-#: The prior's weight as a share of all counted contexts, and the z-score that a token's log-odds must reach.
+#: The prior's weight as a share of all counted contexts, and the root of the likelihood ratio that a part must reach.
 PRIOR, SIGNIFICANT = 0.05, 4.5
+#: Lengths of the beginnings and endings that count as parts of a token.
+AFFIXES = range(3, 9)
+CACHED_TOKENS = 500_000
 #: What each token costs a segment.
 GAP = 0.05
 #: Segments with fewer expected by chance are passages.
@@ -67,25 +71,49 @@ def maximal_segments(scores: Sequence[float]) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for a, b, low, high in found]
 
 
+def parts_of(token: str) -> list[str]:
+    """The token, its beginnings and its endings."""
+    n = len(token)
+    return [f"={token}", *(f"^{token[:k]}" for k in AFFIXES if k < n), *(f"${token[n - k :]}" for k in AFFIXES if k < n)]
+
+
+class _Weights(dict):
+    """token -> its weight less GAP; starts anew when full."""
+
+    def __init__(self, parts: dict[str, tuple[float, float]]):
+        super().__init__()
+        self.parts = parts
+
+    def __missing__(self, token: str) -> float:
+        known = [self.parts[p] for p in parts_of(token) if p in self.parts]
+        weight = (max(known, key=lambda x: (abs(x[1]), x[0]))[0] if known else 0.0) - GAP
+        if len(token) <= 64:
+            if len(self) >= CACHED_TOKENS:
+                self.clear()
+            self[token] = weight
+        return weight
+
+    def __reduce__(self):
+        return _Weights, (self.parts,)
+
+
 @dataclass
 class ToxicModel:
-    """Token weights (those of value 0 left out), the extreme-value parameters and the logistic curve."""
+    """Significant parts with (log-odds, z-score), the extreme-value parameters and the logistic curve."""
 
-    weights: dict[str, float]
+    parts: dict[str, tuple[float, float]]
     rate: float = 1.0
     log_k: float = 0.0
     slope: float = 1.0
     offset: float = -1.0
-    positive: frozenset[str] = field(init=False)
+    weights: _Weights = field(init=False)
 
     def __post_init__(self) -> None:
-        self.positive = frozenset(t for t, w in self.weights.items() if w > GAP)
+        self.weights = _Weights(self.parts)
 
     def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
-        if self.positive.isdisjoint(words):
-            return []
-        weight = self.weights.get
-        return maximal_segments([weight(t, 0.0) - GAP for t in words])
+        scores = [*map(self.weights.__getitem__, words)]
+        return maximal_segments(scores) if scores and max(scores) > 0 else []
 
     def passages(self, words: list[str]) -> list[tuple[int, int, float]]:
         """The segments (first token, end, score) of which fewer than EXPECTED are expected by chance."""
@@ -102,33 +130,30 @@ class ToxicModel:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * evidence + self.offset))))
 
 
-def log_odds(rows: list[tuple[str, int, int]]) -> tuple[dict[str, float], dict[str, float]]:
-    """From (token, count in toxic, count in others): the significant log-odds and each such token's smoothed share of the others."""
-    n1, n0 = sum(r[1] for r in rows), sum(r[2] for r in rows)
+def log_odds(rows: list[tuple[str, int, int]], n1: int, n0: int) -> dict[str, tuple[float, float]]:
+    """From (part, count in toxic, count in others) and the totals: the significant parts with their log-odds and z-scores."""
     if not n1 or not n0:
-        return {}, {}
+        return {}
     prior = PRIOR * (n1 + n0)
-    weights, shares = {}, {}
-    for token, c1, c0 in rows:
+    found = {}
+    for part, c1, c0 in rows:
         a = prior * (c1 + c0) / (n1 + n0)
         odds = math.log((c1 + a) / (n1 + prior - c1 - a)) - math.log((c0 + a) / (n0 + prior - c0 - a))
-        if abs(odds) / math.sqrt(1 / (c1 + a) + 1 / (c0 + a)) >= SIGNIFICANT:
-            weights[token] = odds
-            shares[token] = (c0 + a) / (n0 + prior)
-    return weights, shares
-
-
-def karlin_rate(weights: dict[str, float], shares: dict[str, float]) -> float:
-    """The positive root of E[exp(rate * score)] = 1 over tokens of other texts; 1 if there is none below 50."""
-    w = np.array([weights[t] - GAP for t in shares])
-    p = np.array([*shares.values()])
-    rest = max(0.0, 1 - p.sum())
-    excess = lambda x: float((p * np.exp(np.minimum(x * w, 600))).sum() + rest * math.exp(-x * GAP) - 1)
-    if not len(w) or w.max() <= 0 or excess(1e-6) >= 0:
+        # the signed root of the likelihood ratio against equal shares: the prior must not hide a part that only toxic texts have
+        expected = (c1 + c0) * n1 / (n1 + n0)
+        ratio = 2 * sum(c * math.log(c / e) for c, e in ((c1, expected), (c0, c1 + c0 - expected)) if c > 0)
+        z = math.copysign(math.sqrt(max(0.0, ratio)), odds)
+        if abs(z) >= SIGNIFICANT:
+            found[part] = odds, z
+    return found
+
+
+def karlin_rate(scores: np.ndarray, shares: np.ndarray) -> float:
+    """The positive root of E[exp(rate * score)] = 1 over the tokens of other texts; 1 if there is none below 50."""
+    excess = lambda x: float((shares * np.exp(np.minimum(x * scores, 600))).sum() - 1)
+    if not len(scores) or scores.max() <= 0 or excess(1e-6) >= 0 or excess(50.0) < 0:
         return 1.0
     low, high = 1e-6, 50.0
-    if excess(high) < 0:
-        return 1.0
     for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if excess(mid) < 0 else (low, mid)
@@ -157,14 +182,26 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> ToxicM
         .select("token", "grade", F.xxhash64("context").alias("context")).distinct()
         .groupBy("token").agg(F.sum("grade").alias("c1"), F.sum(1 - F.col("grade")).alias("c0"))
     )
-    # tokens seen in fewer contexts cannot be significant; their sums still count
-    few = 8
-    rows = [(r[0], r[1], r[2]) for r in counted.filter(f"c1 + c0 >= {few}").collect()]
-    rest = counted.filter(f"c1 + c0 < {few}").agg(F.coalesce(F.sum("c1"), F.lit(0)), F.coalesce(F.sum("c0"), F.lit(0))).first()
-    weights, shares = log_odds([*rows, ("", rest[0], rest[1])])
-    weights.pop("", None), shares.pop("", None)
-    model = ToxicModel(weights, karlin_rate(weights, shares))
+    counted = durable(counted)
+    n1, n0 = counted.agg(F.coalesce(F.sum("c1"), F.lit(0)), F.coalesce(F.sum("c0"), F.lit(0))).first()
+    affixes = [F.when(F.length("token") > k, F.concat(F.lit(mark), cut(k))) for mark, cut in (("^", lambda k: F.left("token", F.lit(k))), ("$", lambda k: F.right("token", F.lit(k)))) for k in AFFIXES]
+    parts = F.explode(F.filter(F.array(F.concat(F.lit("="), "token"), *affixes), lambda x: x.isNotNull()))
+    # parts seen in fewer contexts cannot be significant
+    rows = counted.select(parts.alias("part"), "c1", "c0").groupBy("part").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")).filter("c1 + c0 >= 4").filter(F.col("c1") * (n0 + 1) > F.col("c0") * (n1 + 1) * 1.5)
+    model = ToxicModel(log_odds([(r[0], r[1], r[2]) for r in rows.collect()], n1, n0))
     spark = docs.sparkSession
+    first = spark.sparkContext.broadcast(model)
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = first.value.weights
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([round(w[t], 3) for t in b.column("token").to_pylist()], pa.float64()), b.column("c0")], names=["score", "n"])
+
+    spread = counted.filter("c0 > 0").select("token", "c0").mapInArrow(weighed, "score double, n long").groupBy("score").agg(F.sum("n")).collect()
+    # other texts may hold none of the parts: one more token is spread over them
+    tail = [(x - GAP, 1 / max(1, len(model.parts))) for x, _ in model.parts.values()]
+    scores, n = np.array([(r[0], r[1]) for r in spread] + tail).reshape(-1, 2).T
+    model.rate = karlin_rate(scores, n / max(1.0, n.sum()))
     shared = spark.sparkContext.broadcast(model)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
