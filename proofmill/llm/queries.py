@@ -51,6 +51,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, models).withColumn("held_out", held_out("doc_id"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), words=2, num=80, den=100)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rules import quality_rules
 
@@ -58,7 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op5_quality": op5_quality, "op7_language": op7_language, "op8_toxicity": op8_toxicity, "op10_quality_rules": op10_quality_rules}
+    return {"op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op5_quality": op5_quality, "op7_language": op7_language, "op8_toxicity": op8_toxicity, "op9_near_duplicates": op9_near_duplicates, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
