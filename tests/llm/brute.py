@@ -45,3 +45,19 @@ def near_duplicates(rows, k, num=80, den=100):
         key = (d is None, d or 0)
         least[root(i)] = min(least.get(root(i), key), key)
     return {i: (len(sets[i]), None if least[root(i)][0] else least[root(i)][1]) for i in range(len(rows))}
+
+
+def repeated_bytes(rows, length=100):
+    """[(doc_id, kept bytes, number of removed runs)] in the order of (doc_id, nulls first), by a set of all windows seen so far."""
+    seen, out = set(), []
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for i in range(len(data) - length + 1):
+            window = hash(data[i : i + length]), data[i : i + min(8, length)]
+            if window in seen:
+                gone[i : i + length] = b"\x01" * length
+            seen.add(window)
+        kept = bytes(c for c, g in zip(data, gone) if not g)
+        out.append((doc_id, kept, sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))))
+    return out
