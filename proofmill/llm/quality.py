@@ -35,6 +35,13 @@ def grade(quality: str = "quality", toxic: str = "toxic") -> Column:
 
 def shape(token: str) -> str:
     """Runs of capitals, small letters and digits as one character each; other characters stay, at most three of a kind in a row."""
+    if token.isascii() and token.isalpha():
+        if token.islower():
+            return "a"
+        if token.isupper():
+            return "A"
+        if token[1:].islower():
+            return "Aa"
     s = regex.sub(r"\p{Lu}+", "A", token)
     s = regex.sub(r"[\p{Ll}\p{Lo}\p{M}]+", "a", s)
     s = regex.sub(r"\p{N}+", "0", s)
@@ -48,8 +55,29 @@ def _bucket(kind: str, value: str) -> int:
 class _Buckets(dict):
     """token -> buckets of its word and its shape; starts anew when full."""
 
+    @staticmethod
+    def of(token: str) -> tuple[int, int]:
+        return _bucket("word", token.lower().strip(".,;:!?")), _bucket("shape", shape(token))
+
     def __missing__(self, token: str) -> tuple[int, int]:
-        found = _bucket("word", token.lower().strip(".,;:!?")), _bucket("shape", shape(token))
+        found = self.of(token)
+        if len(token) <= CACHED_LENGTH:
+            if len(self) >= CACHED_TOKENS:
+                self.clear()
+            self[token] = found
+        return found
+
+
+class _TokenWeights(dict):
+    """token -> the sum of the weights of its word and its shape; starts anew when full."""
+
+    def __init__(self, weights: np.ndarray):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, token: str) -> float:
+        word, form = _Buckets.of(token)
+        found = float(self.weights[word] + self.weights[form])
         if len(token) <= CACHED_LENGTH:
             if len(self) >= CACHED_TOKENS:
                 self.clear()
@@ -150,15 +178,14 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, select: int = SELECT,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: OrdinalModel = shared.value
-        buckets = _Buckets()
+        look = _TokenWeights(m.weights).__getitem__
         for b in batches:
             expected, tail = [], []
             for text in b.column("text").to_pylist():
                 words = (text or "").split()
                 if words:
-                    pairs = np.array([buckets[w] for w in words])
                     twice = sum(map(str.__eq__, words, words[1:]))
-                    eta = SCALE * (float(m.weights[pairs].sum()) + twice * float(m.weights[REPEATED])) / len(words)
+                    eta = SCALE * (sum(map(look, words)) + twice * float(m.weights[REPEATED])) / len(words)
                 else:
                     eta = SCALE * float(m.weights[EMPTY])
                 tails = m.tails(eta)

@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -70,7 +76,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_quality": op5_quality, "op7_language": op7_language, "op8_toxicity": op8_toxicity, "op9_near_duplicates": op9_near_duplicates, "op10_quality_rules": op10_quality_rules}
+    return {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_quality": op5_quality, "op7_language": op7_language, "op8_toxicity": op8_toxicity, "op9_near_duplicates": op9_near_duplicates, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:

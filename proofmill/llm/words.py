@@ -16,6 +16,8 @@ BASE_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 #: Bytes that separate words: space and 0x09 to 0x0D.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between words when punctuation counts for nothing: all of ASCII but letters and digits.
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 #: A random number for each byte; capitals A to Z have those of the small letters.
 BYTE_VALUE = stream64(7, 256)
 LOWER_VALUE = BYTE_VALUE.copy()
@@ -55,14 +57,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Hashes words; holds the tables, one object for each task."""
 
-    def __init__(self, lower: bool = True) -> None:
+    def __init__(self, lower: bool = True, separators: np.ndarray = SEPARATOR) -> None:
         self.values = LOWER_VALUE if lower else BYTE_VALUE
+        self.separators = separators
         self.powers = Powers()
 
     def _hash(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of some bytes whose texts begin at ``cuts``: the hash, the first byte and the end of each word."""
         n = len(data)
-        word = ~SEPARATOR[data]
+        word = ~self.separators[data]
         first = np.ones(n, bool)
         np.logical_not(word[:-1], out=first[1:])
         first[cuts[cuts < n]] = True
@@ -102,7 +105,7 @@ class Words:
         while a < len(data):
             b = min(len(data), a + CHUNK)
             while b < len(data):
-                gaps = np.flatnonzero(SEPARATOR[data[max(a, b - CHUNK) : b]])
+                gaps = np.flatnonzero(self.separators[data[max(a, b - CHUNK) : b]])
                 if len(gaps):
                     b = max(a, b - CHUNK) + int(gaps[-1]) + 1
                     break
