@@ -10,9 +10,11 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -174,15 +176,15 @@ class WordBpe:
 
 
 class _Cache(dict):
-    """word -> (number of ids, the ids in decimal, their decoding); computes what it lacks, starts anew when full."""
+    """word -> (number of ids, the ids in decimal, their decoding, the ids as 32-bit integers); computes what it lacks, starts anew when full."""
 
     def __init__(self, model: WordBpe):
         super().__init__()
         self.model = model
 
-    def __missing__(self, word: str) -> tuple[int, str, str]:
+    def __missing__(self, word: str) -> tuple[int, str, str, bytes]:
         ids = self.model.encode_word(word)
-        found = len(ids), " ".join(map(str, ids)), self.model.decode(ids)
+        found = len(ids), " ".join(map(str, ids)), self.model.decode(ids), array("i", ids).tobytes()
         if len(word) <= CACHED_LENGTH:
             if len(self) >= CACHED_WORDS:
                 self.clear()
@@ -230,13 +232,16 @@ def encode_documents(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("id
                 decoded = " ".join([f[2] for f in found])
                 out["n_tokens"].append(sum([f[0] for f in found]))
                 if "ids" in outputs:
-                    out["ids"].append([*map(int, ids.split())])
+                    out["ids"].append(b"".join([f[3] for f in found]))
                 if "decoded" in outputs:
                     out["decoded"].append(decoded)
                 if "digests" in outputs:
                     out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-            arrays = [b.column("doc_id") if name == "doc_id" else pa.array(out[name], kind) for name, kind in fields]
+            if "ids" in outputs:
+                values = pa.array(np.frombuffer(b"".join(out["ids"]), np.int32))
+                out["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *out["n_tokens"]]), pa.int32()), values)
+            arrays = [b.column("doc_id") if name == "doc_id" else out[name] if name == "ids" else pa.array(out[name], kind) for name, kind in fields]
             yield pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in fields])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, ddl)

@@ -263,3 +263,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if out is None:
         return plain.limit(0).selectExpr("doc_id", *(f"cast(null as long) {c}" for c in ("item_id", "item_words", "distance", "start_word", "end_word")))
     return out
+
+
+def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` into which no benchmark item leaks; row by row, so nothing is joined or shuffled."""
+    for items in _blocks(benchmark):
+        items.calibrate()
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items: Items = shared.value
+            hasher = Words(separators=PUNCTUATION)
+            for b in batches:
+                at, clean = 0, np.ones(len(b), bool)
+                for n, hashes, counts in hasher.of(b.column("text")):
+                    for t, *_ in items.find(hashes, counts):
+                        clean[at + t] = False
+                    at += n
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

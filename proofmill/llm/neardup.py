@@ -73,7 +73,7 @@ def _doc_of(node: Column) -> Column:
     return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def near_duplicates(docs: DataFrame, words: int = 2, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents linked where den * |A n B| >= num * |A u B|.
 
     A text's set holds its distinct shingles of ``words`` words (bytes other
@@ -84,7 +84,18 @@ def near_duplicates(docs: DataFrame, words: int = 2, num: int = 80, den: int = 1
     result. Rows that repeat a doc_id and text are all kept or all dropped.
     Columns other than doc_id and text are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
+    return _classified(docs, words, num, den, bands, rows).drop("text_hash")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` that near_duplicates keeps: of each group the document of the least doc_id."""
+    dropped = durable(_classified(docs, words, num, den, BANDS, ROWS).filter("not kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("_doc"), F.col("text_hash").alias("_hash")).distinct())
+    if dropped.count() <= BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+
+
+def _classified(docs: DataFrame, words: int, num: int, den: int, bands: int, rows: int) -> DataFrame:
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("string").alias("text"))
     n_hashes = bands * rows
 
@@ -98,13 +109,13 @@ def near_duplicates(docs: DataFrame, words: int = 2, num: int = 80, den: int = 1
                 signed = iter(signatures(full, n_hashes)) if full else iter(())
                 digests = [_digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    b.column("doc").slice(at, n), pa.array([len(s) for s in sets], pa.int64()),
+                    b.column("doc").slice(at, n), b.column("text_hash").slice(at, n), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
                     pa.array([next(signed).tobytes() if len(s) else None for s in sets], pa.binary()),
-                ], names=["doc", "n", "h", "g", "sig"])
+                ], names=["doc", "text_hash", "n", "h", "g", "sig"])
                 at += n
 
-    signed = durable(plain.mapInArrow(sets_of, "doc long, n long, h long, g long, sig binary"))
+    signed = durable(plain.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sets_of, "doc long, text_hash long, n long, h long, g long, sig binary"))
     classes = durable(
         signed.filter("n > 0").groupBy("h", "g", "n").agg(F.min("doc").alias("doc"), F.first("sig").alias("sig"))
         .select(_node(F.col("doc"), F.col("h")).alias("node"), "h", "g", "n", "sig")
@@ -126,11 +137,11 @@ def near_duplicates(docs: DataFrame, words: int = 2, num: int = 80, den: int = 1
         found = found.join(label, "node", "left").withColumn("node", F.coalesce("component", "node"))
     found = found.select("h", "g", "n", _doc_of(F.col("node")).alias("component"))
     return (
-        signed.select("doc", "n", "h", "g").join(found, ["h", "g", "n"], "left")
+        signed.select("doc", "text_hash", "n", "h", "g").join(found, ["h", "g", "n"], "left")
         .withColumn("component", F.coalesce("component", "doc"))
         .select(
             F.nullif("doc", F.lit(LAST)).alias("doc_id"), F.col("n").alias("n_shingles"),
-            F.nullif("component", F.lit(LAST)).alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"),
+            F.nullif("component", F.lit(LAST)).alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"), "text_hash",
         )
     )
 

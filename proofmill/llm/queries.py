@@ -54,6 +54,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, model, with_passages=False).withColumn("held_out", held_out("doc_id"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths; source/lang/doc_id stands in for one."""
+    from pyspark.sql import functions as F
+
+    from .licenses import scan
+
+    docs = read(spark, sf_dir, "documents")
+    return scan(docs, F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import learn, predict
     from .sampling import held_out
@@ -76,7 +86,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_quality": op5_quality, "op7_language": op7_language, "op8_toxicity": op8_toxicity, "op9_near_duplicates": op9_near_duplicates, "op10_quality_rules": op10_quality_rules}
+    return {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_quality": op5_quality, "op6_licenses": op6_licenses, "op7_language": op7_language, "op8_toxicity": op8_toxicity, "op9_near_duplicates": op9_near_duplicates, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import U64, durable, mix64
 from .words import BYTE_VALUE, Powers, text_bytes
@@ -212,7 +213,7 @@ def merged(spans: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], hi[np.append(new[1:], True)]
 
 
-def _by_bin(df: DataFrame, bins: int, use: Callable[[list[tuple[int, bytes]]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+def _by_bin(df: DataFrame, bins: int, use: Callable[[list[tuple[int, bytes]]], Iterator[pa.RecordBatch]], ddl: str | StructType) -> DataFrame:
     """Gather the (bin, kind, data) rows of each bin and hand them to ``use``; one bin is in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,7 +419,7 @@ def _refined(contexts: DataFrame, length: int, bins: int, doc_bins: int) -> Data
 Finish = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]], pa.RecordBatch]
 
 
-def remove_repeats(docs: DataFrame, finish: Finish, ddl: str, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, finish: Finish, ddl: str | StructType, length: int = LENGTH) -> DataFrame:
     """Find in every text the byte ranges covered by windows that also start earlier, and hand them to ``finish``.
 
     ``finish`` gets some documents (their columns), the bytes and offsets of
@@ -479,3 +480,32 @@ def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return remove_repeats(plain, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>", length)
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` without their repeats; n_chars, if there is such a column, counts what is left.
+
+    Only whole characters go: a range that begins or ends inside one leaves it. A null text stays null.
+    """
+
+    def finish(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, ranges: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        texts: list[str | None] = []
+        nulls = batch.column("text").is_null().to_pylist()
+        for a, b, (lo, hi), null in zip(offsets[:-1].tolist(), offsets[1:].tolist(), ranges, nulls, strict=True):
+            kept, at = [], a
+            for x, y in zip((lo + a).tolist(), (hi + a).tolist(), strict=True):
+                while x < y and data[x] & 0xC0 == 0x80:
+                    x += 1
+                while y > x and y < b and data[y] & 0xC0 == 0x80:
+                    y -= 1
+                kept.append(data[at:x].tobytes())
+                at = y
+            kept.append(data[at:b].tobytes())
+            texts.append(None if null else b"".join(kept).decode("utf-8"))
+        columns = {name: batch.column(name) for name in batch.schema.names}
+        columns["text"] = pa.array(texts, pa.string())
+        if "n_chars" in columns:
+            columns["n_chars"] = pa.array([len(t) if t is not None else old for t, old in zip(texts, columns["n_chars"].to_pylist(), strict=True)], pa.int64()).cast(columns["n_chars"].type)
+        return pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
+
+    return remove_repeats(docs, finish, docs.schema, length)
