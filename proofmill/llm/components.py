@@ -24,17 +24,29 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node is either the centre of its edges or hangs on one centre: then the components are named."""
+    ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("centre"), F.lit(0).alias("leaf")).unionByName(edges.select(F.col("b").alias("u"), F.lit(0).alias("centre"), F.lit(1).alias("leaf")))
+    return ends.groupBy("u").agg(F.max("centre").alias("centre"), F.sum("leaf").alias("leaf")).filter("leaf > 1 or leaf > 0 and centre > 0").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) from undirected edges (a, b) of any ordered type; a component is named by its least node.
 
     Repeated edges, edges in both directions and loops are fine; an edge with a null counts as none.
     """
     edges = durable(edges.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    while True:
-        edges_next = durable(_stars(_stars(edges, large=True), large=False))
-        # done when every node hangs on one least node and nothing moves
-        changed = edges_next.exceptAll(edges).limit(1).count() or edges.exceptAll(edges_next).limit(1).count()
-        edges = edges_next
-        if not changed:
-            break
+    while not _all_stars(edges):
+        edges = durable(_stars(_stars(edges, large=True), large=False))
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+
+
+def merge_components(label: DataFrame, edges: DataFrame) -> DataFrame:
+    """``label`` (node, component) after more edges (a, b); nodes that it lacks are components of their own.
+
+    The stars run over components alone, which are far fewer than nodes.
+    """
+    named = lambda df, c: df.join(label.select(F.col("node").alias(c), F.col("component").alias("_c")), c, "left").withColumn(c, F.coalesce("_c", c)).drop("_c")
+    merged = connected_components(named(named(edges, "a"), "b"))
+    moved = label.join(merged.select(F.col("node").alias("component"), F.col("component").alias("_c")), "component", "left").select("node", F.coalesce("_c", "component").alias("component"))
+    return moved.unionByName(merged.join(label, "node", "left_anti"))

@@ -19,15 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, durable, mix64, stream64
-from .components import connected_components
+from .components import connected_components, merge_components
 from .words import Words, shingles
 
 #: Bands and rows: a pair of similarity 0.8 shares no bucket with a chance of (1 - 0.8 ** 5) ** 32 = 3e-6.
 BANDS, ROWS = 32, 5
 #: Pairs whose signatures agree less than this below the threshold are not alike: more than five standard deviations.
 SLACK = 0.17
-#: Pivots of a bucket in each round after the first.
-PIVOTS = 12
+#: A bucket has one pivot in the first round, and so many times as many in each one after it.
+PIVOTS = 16
 #: Ids up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 #: Shingles that are hashed at once.
@@ -121,17 +121,17 @@ def _classified(docs: DataFrame, words: int, num: int, den: int, bands: int, row
         .select(_node(F.col("doc"), F.col("h")).alias("node"), "h", "g", "n", "sig")
     )
     buckets = _buckets(classes, bands, rows)
-    edges, tested, exhausted, label = None, None, None, None
+    label = tested = exhausted = None
+    pivots = 1
     while True:
-        todo = _candidates(buckets, label, tested, exhausted, 1 if edges is None else PIVOTS)
-        pairs, exhausted = todo
-        pairs = durable(pairs)
-        if pairs.isEmpty():
+        pairs, exhausted = _candidates(buckets, label, tested, exhausted, pivots, f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
+        if exhausted is None:
             break
+        pairs = durable(pairs)
         good = durable(_confirmed(pairs, classes, plain, words, num, den, n_hashes))
-        edges = good if edges is None else edges.unionByName(good)
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        label = durable(connected_components(edges))
+        label = durable(connected_components(good) if label is None else merge_components(label, good))
+        pivots *= PIVOTS
     found = classes.select("h", "g", "n", "node")
     if label is not None:
         found = found.join(label, "node", "left").withColumn("node", F.coalesce("component", "node"))
@@ -166,41 +166,42 @@ def _buckets(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     return durable(banded.join(shared, "bucket"))
 
 
-def _candidates(buckets: DataFrame, label: DataFrame | None, tested: DataFrame | None, exhausted: DataFrame | None, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, na, nb) of this round's pivots with the members in other components, and the (bucket, node) that have been pivots.
+def _candidates(buckets: DataFrame, label: DataFrame | None, tested: DataFrame | None, exhausted: DataFrame | None, pivots: int, sizes_fit: str) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a, b) of this round's pivots with the members in other components, and the (bucket, node) that have been pivots (None: no bucket is open).
 
-    Once a node was a pivot, all its pairs in that bucket are known.
+    Once a node was a pivot, all its pairs in that bucket are known; a bucket
+    stays open as long as its other nodes are in several components.
     """
     open_ = buckets
     if label is not None:
         open_ = open_.join(exhausted, ["bucket", "node"], "left_anti").join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         ends = open_.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("bucket")
         open_ = durable(open_.join(ends, "bucket", "left_semi"))
+        if open_.isEmpty():
+            return open_, None
     else:
         open_ = open_.withColumn("c", F.col("node"))
     if pivots == 1:
-        leading = open_.groupBy("bucket").agg(F.min(F.struct("node", "n", "c")).alias("p")).select("bucket", F.col("p.node").alias("a"), F.col("p.n").alias("na"), F.col("p.c").alias("ca"))
+        leading = open_.groupBy("bucket").agg(F.min(F.struct("node", "n", "c")).alias("p")).select("bucket", F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("p.c").alias("cx"))
     else:
         # Spark keeps the first ranks of each task before the shuffle, so a bucket sends few rows to its task
         leading = (
             open_.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).filter(F.col("rank") <= pivots)
-            .select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+            .select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
         )
     leading = durable(leading)
     pairs = (
-        open_.join(leading, "bucket").filter("a <> node and c <> ca")
-        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), F.when(F.col("a") < F.col("node"), F.col("na")).otherwise(F.col("n")).alias("na"), F.when(F.col("a") < F.col("node"), F.col("n")).otherwise(F.col("na")).alias("nb"))
-        .distinct()
+        open_.join(leading, "bucket").select("node", "x", "c", "cx", F.col("n").alias("na"), F.col("nx").alias("nb"))
+        .filter(f"x <> node and c <> cx and {sizes_fit}").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     )
     if tested is not None:
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    done = leading.select("bucket", F.col("a").alias("node"))
+    done = leading.select("bucket", F.col("x").alias("node"))
     return pairs, done if exhausted is None else exhausted.unionByName(done)
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, plain: DataFrame, words: int, num: int, den: int, n_hashes: int) -> DataFrame:
-    """Of the pairs those whose sets are alike: by size, then by signature, then by the full sets."""
-    sized = pairs.filter(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
+    """Of the pairs those whose sets are alike: by signature, then by the full sets."""
     sigs = classes.select("node", "sig")
     limit = int(n_hashes * (num / den - SLACK))
 
@@ -212,7 +213,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, plain: DataFrame, words: in
             yield b.select(["a", "b"]).filter(pa.array((one == two).sum(axis=1) >= limit))
 
     alike = durable(
-        sized.select("a", "b").join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+        pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
         .mapInArrow(agree, "a binary, b binary")
     )
     wanted = durable(alike.select(F.col("a").alias("node")).unionByName(alike.select(F.col("b").alias("node"))).distinct().withColumn("doc", _doc_of(F.col("node"))))
