@@ -4,9 +4,10 @@ Texts become sets of word shingles; equal sets are one class. Many universal
 hash minima of each class, banded, send similar classes into common buckets.
 Inside a bucket pivots are compared with the members; signatures rule most
 false pairs out, full sets confirm the others; components by alternating
-stars. A bucket is done when all pairs of classes that are still in different
-components have been compared, so no pair that shares a bucket is lost, and
-yet near copies of one text cost one comparison each.
+stars. In buckets that still hold several components, blocks of members are
+compared set by set inside a task, which gives out one link for each pair of
+components that it joins. So no pair of a bucket is lost, and near copies of
+one text cost one row each.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, durable, mix64, stream64
@@ -26,8 +27,10 @@ from .words import Words, shingles
 BANDS, ROWS = 32, 5
 #: Pairs whose signatures agree less than this below the threshold are not alike: more than five standard deviations.
 SLACK = 0.17
-#: A bucket has one pivot in the first round, and so many times as many in each one after it.
-PIVOTS = 16
+#: A chunk of a bucket has about so many members and shingles at most; a block is two chunks.
+CHUNK_MEMBERS, CHUNK_ITEMS = 128, 1_000_000
+#: Columns of a block's incidence matrix that are multiplied at once.
+COLUMNS = 4096
 #: Ids up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 #: Shingles that are hashed at once.
@@ -121,21 +124,18 @@ def _classified(docs: DataFrame, words: int, num: int, den: int, bands: int, row
         .select(_node(F.col("doc"), F.col("h")).alias("node"), "h", "g", "n", "sig")
     )
     buckets = _buckets(classes, bands, rows)
-    label = tested = exhausted = None
-    pivots = 1
-    while True:
-        pairs, exhausted = _candidates(buckets, label, tested, exhausted, pivots, f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
-        if exhausted is None:
-            break
-        pairs = durable(pairs)
-        good = durable(_confirmed(pairs, classes, plain, words, num, den, n_hashes))
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        label = durable(connected_components(good) if label is None else merge_components(label, good))
-        pivots *= PIVOTS
-    found = classes.select("h", "g", "n", "node")
-    if label is not None:
-        found = found.join(label, "node", "left").withColumn("node", F.coalesce("component", "node"))
-    found = found.select("h", "g", "n", _doc_of(F.col("node")).alias("component"))
+    fits = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
+    leaders = durable(buckets.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("p")).select("bucket", F.col("p.node").alias("x"), F.col("p.n").alias("nx")))
+    star = (
+        buckets.join(leaders, "bucket").select("node", "x", F.col("n").alias("na"), F.col("nx").alias("nb")).filter(f"x <> node and {fits}")
+        .select(F.col("x").alias("a"), F.col("node").alias("b")).distinct()
+    )
+    label = durable(connected_components(_confirmed(_agreeing(durable(star), classes, num, den, n_hashes), plain, words, num, den)))
+    # a leader's pairs are all known; what is left of a bucket is open if it is in several components
+    rest = buckets.join(leaders.select("bucket", F.col("x").alias("node")), ["bucket", "node"], "left_anti")
+    more = _block_links(rest.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), plain, words, num, den)
+    label = durable(merge_components(label, _confirmed(more, plain, words, num, den)))
+    found = classes.select("h", "g", "n", "node").join(label, "node", "left").withColumn("node", F.coalesce("component", "node")).select("h", "g", "n", _doc_of(F.col("node")).alias("component"))
     return (
         signed.select("doc", "text_hash", "n", "h", "g").join(found, ["h", "g", "n"], "left")
         .withColumn("component", F.coalesce("component", "doc"))
@@ -166,61 +166,27 @@ def _buckets(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     return durable(banded.join(shared, "bucket"))
 
 
-def _candidates(buckets: DataFrame, label: DataFrame | None, tested: DataFrame | None, exhausted: DataFrame | None, pivots: int, sizes_fit: str) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs (a, b) of this round's pivots with the members in other components, and the (bucket, node) that have been pivots (None: no bucket is open).
-
-    Once a node was a pivot, all its pairs in that bucket are known; a bucket
-    stays open as long as its other nodes are in several components.
-    """
-    open_ = buckets
-    if label is not None:
-        open_ = open_.join(exhausted, ["bucket", "node"], "left_anti").join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        ends = open_.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("bucket")
-        open_ = durable(open_.join(ends, "bucket", "left_semi"))
-        if open_.isEmpty():
-            return open_, None
-    else:
-        open_ = open_.withColumn("c", F.col("node"))
-    if pivots == 1:
-        leading = open_.groupBy("bucket").agg(F.min(F.struct("node", "n", "c")).alias("p")).select("bucket", F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("p.c").alias("cx"))
-    else:
-        # Spark keeps the first ranks of each task before the shuffle, so a bucket sends few rows to its task
-        leading = (
-            open_.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).filter(F.col("rank") <= pivots)
-            .select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-        )
-    leading = durable(leading)
-    pairs = (
-        open_.join(leading, "bucket").select("node", "x", "c", "cx", F.col("n").alias("na"), F.col("nx").alias("nb"))
-        .filter(f"x <> node and c <> cx and {sizes_fit}").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    )
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    done = leading.select("bucket", F.col("x").alias("node"))
-    return pairs, done if exhausted is None else exhausted.unionByName(done)
-
-
-def _confirmed(pairs: DataFrame, classes: DataFrame, plain: DataFrame, words: int, num: int, den: int, n_hashes: int) -> DataFrame:
-    """Of the pairs those whose sets are alike: by signature, then by the full sets."""
-    sigs = classes.select("node", "sig")
+def _agreeing(pairs: DataFrame, classes: DataFrame, num: int, den: int, n_hashes: int) -> DataFrame:
+    """The pairs (a, b) whose signatures do not rule them out."""
     limit = int(n_hashes * (num / den - SLACK))
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not len(b):
-                continue
-            one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(len(b), n_hashes) for c in ("sa", "sb"))
-            yield b.select(["a", "b"]).filter(pa.array((one == two).sum(axis=1) >= limit))
-
-    alike = durable(
-        pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-        .mapInArrow(agree, "a binary, b binary")
-    )
-    wanted = durable(alike.select(F.col("a").alias("node")).unionByName(alike.select(F.col("b").alias("node"))).distinct().withColumn("doc", _doc_of(F.col("node"))))
+            if len(b):
+                one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(len(b), n_hashes) for c in ("sa", "sb"))
+                yield b.select(["a", "b"]).filter(pa.array((one == two).sum(axis=1) >= limit))
+
+    sigs = classes.select("node", "sig")
+    both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+    return durable(both.mapInArrow(agree, "a binary, b binary"))
+
+
+def _sets(nodes: DataFrame, plain: DataFrame, words: int) -> DataFrame:
+    """(node, items): the full sets of some classes, from the texts of their first documents."""
+    wanted = durable(nodes.distinct().withColumn("doc", _doc_of(F.col("node"))))
     ids = wanted.select("doc").distinct()
     if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    texts = plain.join(ids, "doc", "left_semi")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Words()
@@ -231,10 +197,13 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, plain: DataFrame, words: in
                 yield pa.RecordBatch.from_arrays([b.column("doc").slice(at, n), pa.array([_digest(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "h", "items"])
                 at += n
 
-    sets = durable(
-        texts.mapInArrow(full, "doc long, h long, items binary").select(_node(F.col("doc"), F.col("h")).alias("node"), "items")
-        .join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    )
+    found = plain.join(ids, "doc", "left_semi").mapInArrow(full, "doc long, h long, items binary").select(_node(F.col("doc"), F.col("h")).alias("node"), "items")
+    return durable(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+
+
+def _confirmed(pairs: DataFrame, plain: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Of the pairs (a, b) those whose full sets are alike."""
+    sets = _sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), plain, words)
 
     def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,7 +214,101 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, plain: DataFrame, words: in
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return (
-        alike.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
-        .mapInArrow(jaccard, "a binary, b binary")
-    )
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
+    return durable(both.mapInArrow(jaccard, "a binary, b binary"))
+
+
+def links_in_block(items: list[np.ndarray], labels: list[bytes], side: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of sets that are alike and lie in different components: enough of them to join all components that any such pair joins.
+
+    Members on sides 0 and 1 are compared across; those on side 2 with one another.
+    """
+    m = len(items)
+    flat = np.concatenate(items)
+    owner = np.repeat(np.arange(m), [*map(len, items)])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.append(True, flat[1:] != flat[:-1])
+    column = np.cumsum(new) - 1
+    # a shingle that one member has alone is in no intersection
+    shared = np.bincount(column)[column] > 1
+    column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
+    common = np.zeros((m, m), np.float32)
+    for a in range(0, int(column.max()) + 1 if len(column) else 0, COLUMNS):
+        x, y = np.searchsorted(column, [a, a + COLUMNS])
+        part = np.zeros((m, COLUMNS), np.float32)
+        part[owner[x:y], column[x:y] - a] = 1
+        common += part @ part.T
+    sizes = np.array([*map(len, items)], np.int64)
+    both = np.rint(common).astype(np.int64)
+    alike = np.triu(den * both >= num * (sizes[:, None] + sizes[None, :] - both), 1)
+    root = {c: c for c in labels}
+
+    def find(c: bytes) -> bytes:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(alike)), strict=True):
+        if side[i] != side[j] or side[i] == 2:
+            a, b = find(labels[i]), find(labels[j])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((i, j))
+    return out
+
+
+def _block_links(members: DataFrame, plain: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) across components inside buckets, from members (bucket, node, n, c).
+
+    A bucket is cut into chunks by hash, those of its main component apart from the others. Blocks are pairs of
+    chunks, but for two of the main component, between which no link is missing. Sets travel as 32 bits a
+    shingle; who uses the links confirms them on full sets.
+    """
+    each = members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("items"))
+    shape = each.groupBy("bucket").agg(
+        F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("parts"),
+        F.max(F.struct("k", "c", "items")).alias("top"), F.sum("k").alias("k"), F.sum("items").alias("items"),
+    ).filter("parts > 1")
+    chunks = lambda k, items: F.ceil(F.greatest(k / F.lit(float(CHUNK_MEMBERS)), items / F.lit(float(CHUNK_ITEMS)))).cast("int")
+    shape = shape.select("bucket", "main", chunks(F.col("top.k"), F.col("top.items")).alias("mains"), chunks(F.col("k") - F.col("top.k"), F.col("items") - F.col("top.items")).alias("others"))
+    open_ = members.join(shape, "bucket").withColumn("is_main", F.col("c") == F.col("main"))
+    draw = F.xxhash64("node")
+    # chunks 0 .. others - 1 are the others', then come the main component's
+    chunk = F.when(F.col("is_main"), F.col("others") + F.pmod(draw, F.col("mains"))).otherwise(F.pmod(draw, F.col("others"))).cast("int")
+    partners = F.when(F.col("is_main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
+    placed = durable(open_.withColumn("chunk", chunk).select("bucket", "node", "c", "chunk", F.explode(partners).alias("partner")))
+    if placed.isEmpty():
+        return placed.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    sets = _sets(placed.select("node"), plain, words)
+
+    def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([(np.frombuffer(x.as_buffer(), U64) >> U64(32)).astype(np.uint32).tobytes() for x in b.column("items")], pa.binary())], names=["node", "items"])
+
+    short = sets.mapInArrow(halved, "node binary, items binary")
+    block = F.xxhash64("bucket", F.least("chunk", "partner"), F.greatest("chunk", "partner"))
+    side = F.when(F.col("chunk") == F.col("partner"), 2).when(F.col("chunk") < F.col("partner"), 0).otherwise(1)
+    rows = placed.select("node", "c", block.alias("block"), side.alias("side")).join(short, "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def links() -> pa.RecordBatch:
+            found = links_in_block([np.frombuffer(h[2], np.uint32) for h in held], [h[1] for h in held], [h[3] for h in held], num, den)
+            return pa.RecordBatch.from_arrays([pa.array([min(held[i][0], held[j][0]) for i, j in found], pa.binary()), pa.array([max(held[i][0], held[j][0]) for i, j in found], pa.binary())], names=["a", "b"])
+
+        for b in batches:
+            for block, row in zip(b.column("block").to_pylist(), zip(*(b.column(c).to_pylist() for c in ("node", "c", "items", "side")), strict=True), strict=True):
+                if block != now:
+                    if held:
+                        yield links()
+                    now, held = block, []
+                held.append(row)
+        if held:
+            yield links()
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return durable(rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(compare, "a binary, b binary").distinct())
