@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -52,3 +54,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def stream64(seed: int, n: int) -> np.ndarray:
     """n pseudo-random 64-bit numbers that depend on the seed alone."""
     return mix64((np.arange(1, n + 1, dtype=U64) + U64(seed) * U64(1 << 32)) * U64(0x9E3779B97F4A7C15))
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker lives on between tasks, and its executor's memory is counted with it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

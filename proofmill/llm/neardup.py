@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, durable, mix64, stream64
+from .common import U64, durable, mix64, release_memory, stream64
 from .components import connected_components, merge_components
 from .words import Words, shingles
 
@@ -117,6 +117,7 @@ def _classified(docs: DataFrame, words: int, num: int, den: int, bands: int, row
                     pa.array([next(signed).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ], names=["doc", "text_hash", "n", "h", "g", "sig"])
                 at += n
+        release_memory()
 
     signed = durable(plain.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sets_of, "doc long, text_hash long, n long, h long, g long, sig binary"))
     classes = durable(
@@ -196,6 +197,7 @@ def _sets(nodes: DataFrame, plain: DataFrame, words: int) -> DataFrame:
                 sets = shingles(hashes, counts, words)
                 yield pa.RecordBatch.from_arrays([b.column("doc").slice(at, n), pa.array([_digest(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "h", "items"])
                 at += n
+        release_memory()
 
     found = plain.join(ids, "doc", "left_semi").mapInArrow(full, "doc long, h long, items binary").select(_node(F.col("doc"), F.col("h")).alias("node"), "items")
     return durable(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
@@ -213,6 +215,7 @@ def _confirmed(pairs: DataFrame, plain: DataFrame, words: int, num: int, den: in
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release_memory()
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
     return durable(both.mapInArrow(jaccard, "a binary, b binary"))
@@ -287,6 +290,7 @@ def _block_links(members: DataFrame, plain: DataFrame, words: int, num: int, den
     def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([(np.frombuffer(x.as_buffer(), U64) >> U64(32)).astype(np.uint32).tobytes() for x in b.column("items")], pa.binary())], names=["node", "items"])
+        release_memory()
 
     short = sets.mapInArrow(halved, "node binary, items binary")
     block = F.xxhash64("bucket", F.least("chunk", "partner"), F.greatest("chunk", "partner"))
@@ -301,14 +305,17 @@ def _block_links(members: DataFrame, plain: DataFrame, words: int, num: int, den
             return pa.RecordBatch.from_arrays([pa.array([min(held[i][0], held[j][0]) for i, j in found], pa.binary()), pa.array([max(held[i][0], held[j][0]) for i, j in found], pa.binary())], names=["a", "b"])
 
         for b in batches:
-            for block, row in zip(b.column("block").to_pylist(), zip(*(b.column(c).to_pylist() for c in ("node", "c", "items", "side")), strict=True), strict=True):
+            node, c, items = b.column("node"), b.column("c"), b.column("items")
+            for i, (block, part) in enumerate(zip(b.column("block").to_pylist(), b.column("side").to_pylist(), strict=True)):
                 if block != now:
                     if held:
                         yield links()
                     now, held = block, []
-                held.append(row)
+                held.append((node[i].as_py(), c[i].as_py(), items[i].as_py(), part))
         if held:
             yield links()
+        held.clear()
+        release_memory()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return durable(rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(compare, "a binary, b binary").distinct())
