@@ -61,7 +61,7 @@ SELECTION = f"""{PAGES}, sel as (select distinct doc_id, page from (select *, ma
   where page = 0 or page > e - 2 or contains(lower(text), 'tion the') or contains(lower(text), 'license'))"""
 REQUIRED = f"{SELECTION}, {QUALITY}, req as (select doc_id, page from ql semi join sel using (doc_id, page) where tier = 'untrusted')"
 BAD = f"{REQUIRED}, bad as (select distinct doc_id, page from (select doc_id, page from ql where tier = 'untrusted' union all select * from req))"
-MERGED = f"{BAD}, merged as (select doc_id, page, case when ok then 'ocr ' || upper(text) else text end as text, ok as resolved from (select p.*, b.doc_id is not null and p.page % 2 = 0 as ok from p left join bad b using (doc_id, page)))"
+MERGED = f"{BAD}, merged as (select doc_id, page, case when ok then 'ocr ' || replace(text, 'e', '3') else text end as text, ok as resolved from (select p.*, b.doc_id is not null and p.page % 2 = 0 as ok from p left join bad b using (doc_id, page)))"
 NORMAL = VIEW.format("quote")
 CAND = f"{PAGES}, cand as ({listed('p', 'doc_id, page')})"
 ITEMS = f"""{CAND}, it as (select doc_id * 1000 + page as item_id, doc_id,

@@ -169,7 +169,7 @@ def ocr_required(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ocr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replacement text for every even page; only required or bad pages take it."""
     all_pages, quality = conversation_pages(spark, sf_dir), conversation_quality(spark, sf_dir)
-    new = all_pages.filter("page % 2 = 0").select("doc_id", "page", F.concat(F.lit("ocr "), F.upper("text")).alias("text"))
+    new = all_pages.filter("page % 2 = 0").select("doc_id", "page", F.concat(F.lit("ocr "), F.replace("text", F.lit("e"), F.lit("3"))).alias("text"))
     return pages.merge_replacements(all_pages.drop("role"), quality, ocr_required(spark, sf_dir), new)
 
 
