@@ -8,16 +8,19 @@ licence of its own takes that of the nearest directory above it that holds a lic
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
+from .words import NOT_ALNUM, Words, found_in, hash_of
 
 #: Fixed values: (licence, text) of customary notices.
 HEADERS: tuple[tuple[str, str], ...] = (
@@ -56,12 +59,13 @@ FILES: tuple[tuple[str, str], ...] = (
 )
 #: Cosine from which a segment or a whole file matches a template.
 HEADER_AT, FILE_AT = 0.75, 0.6
-TERMS = regex.compile(r"[^\W_]+(?:[.\-+][^\W_]+)*").findall
+TERMS = re.compile(rb"[a-z0-9]+").findall
 SEGMENTS = regex.compile(r"\n|(?<=[.!?])[^\S\n]+").split
 
 
 def terms(text: str) -> list[str]:
-    return TERMS(text.lower())
+    """Runs of ASCII letters and digits, A-Z in lower case."""
+    return [t.decode() for t in TERMS(text.encode("utf-8").lower())]
 
 
 @dataclass
@@ -123,14 +127,19 @@ def learn(docs: DataFrame) -> Templates:
     """Templates weighed by the document frequencies of their terms over all of ``docs``; one row a batch leaves the executors."""
     known = template_terms()
 
+    keys = np.array([hash_of(t, separators=NOT_ALNUM) for t in known])
+    order = np.argsort(keys)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, total, n = frozenset(known), Counter(), 0
+        hasher, total, n = Words(separators=NOT_ALNUM), np.zeros(len(known), np.int64), 0
         for b in batches:
-            for text in b.column("text").to_pylist():
-                n += 1
-                if text:
-                    total.update(vocabulary.intersection(terms(text)))
-        rows = [("", n), *total.items()]
+            n += len(b)
+            for _, hashes, counts in hasher.of(b.column("text")):
+                term = found_in(hashes, keys[order])
+                doc = np.repeat(np.arange(len(counts)), counts)
+                pairs = np.unique(doc[term >= 0] * len(known) + term[term >= 0])
+                total += np.bincount(pairs % len(known), minlength=len(known))
+        rows = [("", n), *((known[order[k]], int(c)) for k, c in enumerate(total) if c)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["term", "n"])
 
     counted = dict(tuple(r) for r in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n")).collect())
@@ -156,8 +165,15 @@ def scan(docs: DataFrame, path: Column) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        templates: Templates = shared.value
+        cues = np.sort(np.array([hash_of(t, separators=NOT_ALNUM) for t in templates.cues]))
+        hasher = Words(separators=NOT_ALNUM)
         for b in batches:
-            found = [shared.value.scan(t) for t in b.column("text").to_pylist()]
+            found = []
+            # only texts with a cue term can match; they are scanned in full
+            for n, hashes, counts in hasher.of(b.column("text")):
+                hit = np.bincount(np.repeat(np.arange(n), counts)[found_in(hashes, cues) >= 0], minlength=n) > 0
+                found += [templates.scan(t.as_py()) if h else (None, None, None) for t, h in zip(b.column("text").slice(len(found), n), hit.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"), b.column("path"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.float64()),
             ], names=["doc_id", "path", "own", "how", "score"])

@@ -18,6 +18,8 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes between words when punctuation counts for nothing: all of ASCII but letters and digits.
 PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+#: Bytes between runs of ASCII letters and digits.
+NOT_ALNUM = np.array([not (c < 128 and chr(c).isalnum()) for c in range(256)])
 #: A random number for each byte; capitals A to Z have those of the small letters.
 BYTE_VALUE = stream64(7, 256)
 LOWER_VALUE = BYTE_VALUE.copy()
@@ -136,3 +138,21 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> list[np.ndarray]
         else:
             out.append(np.empty(0, U64))
     return out
+
+
+def hash_of(word: str, lower: bool = True, separators: np.ndarray = SEPARATOR) -> np.uint64:
+    """The hash that Words gives one word."""
+    return next(Words(lower, separators).of(pa.array([word])))[1][0]
+
+
+def found_in(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each hash its place in the sorted ``keys``, -1 if it is not among them."""
+    bits = np.zeros(1 << 16, bool)
+    bits[(keys & U64(0xFFFF)).astype(np.int64)] = True
+    out = np.full(len(hashes), -1, np.int64)
+    near = np.flatnonzero(bits[(hashes & U64(0xFFFF)).astype(np.int64)])
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, hashes[near]), len(keys) - 1)
+        same = keys[at] == hashes[near]
+        out[near[same]] = at[same]
+    return out
