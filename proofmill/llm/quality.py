@@ -8,24 +8,27 @@ grade ranks documents; the probability of a grade of at least SELECT selects the
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import U64
 from .sampling import labelled_sample
+from .words import PUNCTUATION, Words, text_bytes
 
 #: Hash buckets of the features, and documents of each grade that are learnt from.
 BUCKETS, SAMPLE = 1 << 16, 3000
 #: Documents are selected by P(grade >= SELECT) >= AT_LEAST.
 SELECT, AT_LEAST = 1, 0.5
 STEPS, RIDGE, SCALE = 150, 1e-6, 8.0
-CACHED_TOKENS, CACHED_LENGTH = 500_000, 64
+#: Byte classes of shapes: capitals, small letters (and all beyond ASCII), digits; other bytes stand for themselves.
+CLASSES = np.array([ord("A") if chr(c).isupper() and c < 128 else ord("0") if chr(c).isdigit() and c < 128 else ord("a") if c >= 128 or chr(c).islower() else c for c in range(256)], np.uint8)
+#: Buckets of the features of a whole text: its share of tokens that equal the one before; that it has no tokens.
+REPEATED, EMPTY = BUCKETS - 1, BUCKETS - 2
 
 
 def grade(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -33,70 +36,38 @@ def grade(quality: str = "quality", toxic: str = "toxic") -> Column:
     return F.when(F.col(quality) == 0, 0).when(F.col(quality) == 1, F.when(F.col(toxic) == 1, 1).otherwise(2))
 
 
-def shape(token: str) -> str:
-    """Runs of capitals, small letters and digits as one character each; other characters stay, at most three of a kind in a row."""
-    if token.isascii() and token.isalpha():
-        if token.islower():
-            return "a"
-        if token.isupper():
-            return "A"
-        if token[1:].islower():
-            return "Aa"
-    s = regex.sub(r"\p{Lu}+", "A", token)
-    s = regex.sub(r"[\p{Ll}\p{Lo}\p{M}]+", "a", s)
-    s = regex.sub(r"\p{N}+", "0", s)
-    return regex.sub(r"(.)\1{3,}", r"\1\1\1", s)
-
-
-def _bucket(kind: str, value: str) -> int:
-    return zlib.crc32(f"{kind}:{value}".encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
-
-
-class _Buckets(dict):
-    """token -> buckets of its word and its shape; starts anew when full."""
-
-    @staticmethod
-    def of(token: str) -> tuple[int, int]:
-        return _bucket("word", token.lower().strip(".,;:!?")), _bucket("shape", shape(token))
-
-    def __missing__(self, token: str) -> tuple[int, int]:
-        found = self.of(token)
-        if len(token) <= CACHED_LENGTH:
-            if len(self) >= CACHED_TOKENS:
-                self.clear()
-            self[token] = found
-        return found
-
-
-class _TokenWeights(dict):
-    """token -> the sum of the weights of its word and its shape; starts anew when full."""
-
-    def __init__(self, weights: np.ndarray):
-        super().__init__()
-        self.weights = weights
-
-    def __missing__(self, token: str) -> float:
-        word, form = _Buckets.of(token)
-        found = float(self.weights[word] + self.weights[form])
-        if len(token) <= CACHED_LENGTH:
-            if len(self) >= CACHED_TOKENS:
-                self.clear()
-            self[token] = found
-        return found
-
-
-REPEATED, EMPTY = _bucket("text", "same token twice"), _bucket("text", "no tokens")
-
-
-def features(text: str | None, buckets: _Buckets) -> tuple[np.ndarray, np.ndarray]:
-    """The whole text's buckets and their shares: words, shapes, tokens that equal the one before."""
-    words = (text or "").split()
-    if not words:
-        return np.array([EMPTY]), np.array([SCALE])
-    found = np.array([buckets[w] for w in words])
-    twice = sum(map(str.__eq__, words, words[1:]))
-    ids, counts = np.unique(np.append(found.ravel(), [REPEATED] * twice), return_counts=True)
-    return ids.astype(np.int64), counts * (SCALE / len(words))
+def shapes(column: pa.Array) -> pa.Array:
+    """The texts with each byte's class for the byte and runs of a class as one."""
+    data, offsets = text_bytes(column)
+    data = CLASSES[data[offsets[0] : offsets[-1]]]
+    offsets = offsets - offsets[0]
+    keep = np.ones(len(data), bool)
+    np.not_equal(data[1:], data[:-1], out=keep[1:])
+    keep[offsets[:-1][offsets[:-1] < len(data)]] = True
+    ends = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    return pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data[keep].tobytes())])
+
+
+class Features:
+    """Hashed features of whole texts: their words (runs without ASCII punctuation), the shapes of their tokens, tokens that equal the one before."""
+
+    def __init__(self) -> None:
+        self.words, self.tokens = Words(separators=PUNCTUATION), Words(lower=False)
+
+    def of(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(owner, bucket, share) triples of ever more rows; a text's shares of each kind add up to SCALE."""
+        for kind, hasher, texts in ((1, self.words, column), (2, self.tokens, shapes(column)), (3, self.tokens, column)):
+            row = 0
+            for n, hashes, counts in hasher.of(texts):
+                owner = row + np.repeat(np.arange(n), counts)
+                share = np.repeat(SCALE / np.maximum(counts, 1), counts)
+                if kind == 3:
+                    again = np.append(False, (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])) if len(hashes) else np.empty(0, bool)
+                    none = row + np.flatnonzero(counts == 0)
+                    yield np.append(owner[again], none), np.append(np.full(again.sum(), REPEATED), np.full(len(none), EMPTY)), np.append(share[again], np.full(len(none), SCALE))
+                else:
+                    yield owner, ((hashes ^ U64(kind)) % U64(BUCKETS - 2)).astype(np.int64), share
+                row += n
 
 
 @dataclass
@@ -156,10 +127,14 @@ def learn(docs: DataFrame, labels: DataFrame, rating: Column | None = None, leve
     sample = labelled_sample(docs, labels, grade() if rating is None else rating, per_grade)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = _Buckets()
+        features = Features()
         for b in batches:
-            found = [features(t, buckets) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array([f[0].tolist() for f in found], pa.list_(pa.int32())), pa.array([f[1].tolist() for f in found], pa.list_(pa.float32()))], names=["doc_id", "grade", "ids", "shares"])
+            owner, bucket, share = (np.concatenate(x) for x in zip(*features.of(b.column("text")), strict=True))
+            keys, at = np.unique(owner * BUCKETS + bucket, return_inverse=True)
+            sums, cuts = np.bincount(at, share, len(keys)), np.searchsorted(keys, np.arange(len(b) + 1) * BUCKETS)
+            ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array((keys % BUCKETS).astype(np.int32)))
+            shares = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(sums.astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), ids, shares], names=["doc_id", "grade", "ids", "shares"])
 
     rows = []
     for r in sample.mapInArrow(run, "doc_id long, grade int, ids array<int>, shares array<float>").toLocalIterator():
@@ -178,19 +153,13 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, select: int = SELECT,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: OrdinalModel = shared.value
-        look = _TokenWeights(m.weights).__getitem__
+        features = Features()
         for b in batches:
-            expected, tail = [], []
-            for text in b.column("text").to_pylist():
-                words = (text or "").split()
-                if words:
-                    twice = sum(map(str.__eq__, words, words[1:]))
-                    eta = SCALE * (sum(map(look, words)) + twice * float(m.weights[REPEATED])) / len(words)
-                else:
-                    eta = SCALE * float(m.weights[EMPTY])
-                tails = m.tails(eta)
-                expected.append(sum(tails))
-                tail.append(tails[select - 1])
+            eta = np.zeros(len(b))
+            for owner, bucket, share in features.of(b.column("text")):
+                eta += np.bincount(owner, share * m.weights[bucket], len(b))
+            tails = [m.tails(x) for x in eta.tolist()]
+            expected, tail = [sum(t) for t in tails], [t[select - 1] for t in tails]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(expected, pa.float64()), pa.array(tail, pa.float64()), pa.array([t >= at_least for t in tail], pa.bool_())], names=["doc_id", "expected_grade", "tail_probability", "kept"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from proofmill.llm.quality import OrdinalModel, grade_documents, learn, shape
+from proofmill.llm.quality import OrdinalModel, grade_documents, learn, shapes
 
 from .data import AWKWARD, table
 
@@ -50,4 +51,5 @@ def test_fit_beats_the_prior():
 
 
 def test_shapes():
-    assert [shape(x) for x in ("word", "Word", "WORD!!!!!", "x1&&", "Éa")] == ["a", "Aa", "A!!!", "a0&&", "Aa"]
+    got = shapes(pa.array(["word Word", "", None, "WORD!!!!! x1&&", "Éa"]).slice(0))
+    assert got.to_pylist() == [b"a Aa", b"", b"", b"A! a0&", b"a"]
