@@ -61,7 +61,7 @@ SELECTION = f"""{PAGES}, sel as (select distinct doc_id, page from (select *, ma
   where page = 0 or page > e - 2 or contains(lower(text), 'tion the') or contains(lower(text), 'license'))"""
 REQUIRED = f"{SELECTION}, {QUALITY}, req as (select doc_id, page from ql semi join sel using (doc_id, page) where tier = 'untrusted')"
 BAD = f"{REQUIRED}, bad as (select distinct doc_id, page from (select doc_id, page from ql where tier = 'untrusted' union all select * from req))"
-MERGED = f"{BAD}, merged as (select doc_id, page, case when ok then 'ocr ' || replace(text, 'e', '3') else text end as text, ok as resolved from (select p.*, b.doc_id is not null and p.page % 2 = 0 as ok from p left join bad b using (doc_id, page)))"
+MERGED = f"{BAD}, merged as (select doc_id, page, case when ok then 'ocr ' || replace(text, 'e', '3') else text end as text, ok as resolved from (select p.*, b.doc_id is not null and p.role <> 'user' as ok from p left join bad b using (doc_id, page)))"
 NORMAL = VIEW.format("quote")
 CAND = f"{PAGES}, cand as ({listed('p', 'doc_id, page')})"
 ITEMS = f"""{CAND}, it as (select doc_id * 1000 + page as item_id, doc_id,
@@ -107,7 +107,7 @@ ORACLES: dict[str, str] = {
     "page_selection": f"with {SELECTION} select * from sel",
     "ocr_required": f"with {REQUIRED} select * from req",
     "ocr_merge": f"with {MERGED} select * from merged",
-    "ocr_unsupplied": f"with {REQUIRED} select * from req where (doc_id, page) not in (select (doc_id, page) from p where doc_id % 2 = 0)",
+    "ocr_unsupplied": f"with {REQUIRED} select * from req where (doc_id, page) not in (select (doc_id, page) from p where role <> 'user')",
     "resolved_pages": values([(1, "19", "18,22"), (2, "", "18,19,22"), (3, "", "18,19,22"), (4, "5", "1")], "n int, required_now varchar, resolved_now varchar"),
     "refreshed_candidates": f"with {MERGED} {listed('merged', 'doc_id, page')}",
     "prepare_summary": f"with {CAND} select doc_id, count(*) as candidate_count, string_agg(distinct page::varchar, ',' order by page::varchar) as candidate_pages from (select *, page from cand) group by doc_id",
@@ -120,7 +120,7 @@ ORACLES: dict[str, str] = {
       j as (select d.doc_id as analysis, case when s.doc_id is null then 'no sidecar' when quality = 0 then 'status' when k = 1 then 'evidence level' when k in (2, 3) then 'fingerprint' end as error, ids from documents d left join s using (doc_id))
       select analysis, error, case when error is null then ids end as future_work_ids from j""",
     "sidecar_files": f"with {CHECKED} select doc_id || '.future_work.json' as path, count(*)::int as items from ck where doc_id not in (select doc_id from ck where error is not null) group by doc_id",
-    "cache_states": "select doc_id::varchar as path, case when doc_id % 11 = 0 then 'no source' when doc_id % 3 = 0 then 'metadata is missing' when doc_id % 3 = 1 then 'stale' end as error from documents",
+    "cache_states": "select doc_id::varchar as path, case when doc_id not in (select doc_id from labels) then 'no source' when doc_id % 3 = 0 then 'metadata is missing' when doc_id % 3 = 1 then 'stale' end as error from documents",
     "cache_update": values([("p", "new", 2, "fresh"), ("q", "same", 1, "one"), ("q", "same", 2, "two again"), ("r", "x", 1, "kept")], "path varchar, pdf_sha256 varchar, page int, text varchar"),
     "page_cache_rows": values([("a", "x", 1, "one"), ("a", "x", 12, "twelve")], "path varchar, pdf_sha256 varchar, page int, text varchar"),
     "foreign_digests": values([(1, None), (2, None), (3, "foreign digest")], "n int, error varchar"),
@@ -161,4 +161,16 @@ ORACLES: dict[str, str] = {
     "revalidation": values([(1, "EXECUTE_CURRENT"), (2, "REJUDGE_PRIOR_EVIDENCE"), (3, "REUSE_PRIOR_PASS"), (4, "EXECUTE_CURRENT")], "case_id int, decision varchar"),
     "outer_states": values([(1, "CASE_NOT_STARTED"), (2, "CASE_NOT_STARTED"), (3, "PASS"), (4, "BLOCKED")], "n int, status varchar"),
     "artifact_paths": "select doc_id, '/out/' || doc_id || '.md.future_work.json' as sidecar, '/out/' || doc_id || '.md.facts.json' as facts, '/out/' || doc_id || '.md.meta.json' as metadata, case when not starts_with(source, '/') then 'path must be absolute' end as error from documents",
+    "finalized_analyses": f"""with {CHECKED}, g as (select doc_id, min_by(error, page) filter (where error is not null) as bad, count(distinct quote_id) < count(*) as twice, count(*)::int as n,
+        string_agg('- 原文：' || quote || chr(10) || '- 译：' || chr(10) || '- 出处：§', chr(10) order by page) as bullets from ck group by doc_id),
+      e as (select d.doc_id, coalesce(bad, case when twice then 'duplicate id' end) as error, coalesce(n, 0) as n, coalesce(bullets, '') as bullets from (select distinct doc_id from p) d left join g using (doc_id))
+      select doc_id as analysis, case when error is null then md5('# ' || doc_id || chr(10) || '## Next' || chr(10) || bullets || chr(10) || '## Notes' || chr(10) || 'kept' || chr(10)) end as markdown, case when error is null then n end as items, error from e""",
+    "proved_items": values([(i, a, b, "Section 5" + (f"（p.{a}–{b}）" if b > a else ""), None) for i, _, a, _, b, _ in samples.SPAN_PLACES] + [(i, None, None, "Section 5（p.9）", "not in source") for i in (6, 7, 8)], "item_id bigint, page bigint, end_page bigint, source varchar, error varchar"),
+    "upgraded_analyses": values(samples.UPGRADED, "analysis varchar, items int, starts varchar, markdown varchar, error varchar"),
+    "validated_caches": """with s as (select conv_id::varchar as path, l.quality, l.toxic, case when l.doc_id is null then 'no source' when quality = 0 then 'stale' when toxic = 1 then 'missing pages' end as error from (select distinct conv_id from conversations) left join labels l on l.doc_id = conv_id)
+      select path, turn as page, md5(text) as text, error from s join conversations on conv_id::varchar = path where error is null union all select path, null, null, error from s where error is not null""",
+    "candidates_markdown": f"""with {CAND}, b as (select doc_id, page, '<!-- PDF_PAGE: ' || page || ' -->' || chr(10) || string_agg('- ' || quote, chr(10) order by ord) as t from cand group by doc_id, page)
+      select doc_id, md5(string_agg(t, chr(10) || chr(10) order by page)) as markdown from b group by doc_id""",
 }
+ORACLES["finished_facts"] = f"""with f as ({ORACLES['facts_join']}), r as (select analysis, case when n_chars < 300 then 'not an object' else error end as error, future_work_ids as ids from f join documents on doc_id = analysis)
+      select analysis, case when error is null then ids end as future_work_ids, error from r"""

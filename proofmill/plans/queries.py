@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import variants as V
-from ..operators import evidence, gates, layout, locate, pages, topology
+from ..operators import evidence, gates, layout, locate, pages, topology, workflows
 from ..sources import inputs, sinks
 from . import samples
 
@@ -167,15 +167,15 @@ def ocr_required(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ocr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replacement text for every even page; only required or bad pages take it."""
+    """Replacement text for every page that is not the user's; only required or bad pages take it."""
     all_pages, quality = conversation_pages(spark, sf_dir), conversation_quality(spark, sf_dir)
-    new = all_pages.filter("page % 2 = 0").select("doc_id", "page", F.concat(F.lit("ocr "), F.replace("text", F.lit("e"), F.lit("3"))).alias("text"))
+    new = all_pages.filter("role <> 'user'").select("doc_id", "page", F.concat(F.lit("ocr "), F.replace("text", F.lit("e"), F.lit("3"))).alias("text"))
     return pages.merge_replacements(all_pages.drop("role"), quality, ocr_required(spark, sf_dir), new)
 
 
 @query
 def ocr_unsupplied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = conversation_pages(spark, sf_dir).filter("doc_id % 2 = 0").select("doc_id", "page", "text")
+    new = conversation_pages(spark, sf_dir).filter("role <> 'user'").select("doc_id", "page", "text")
     return pages.unsupplied(ocr_required(spark, sf_dir), new)
 
 
@@ -264,7 +264,7 @@ def sidecar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cache_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sources = docs.filter("doc_id % 11 <> 0").select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("source_sha256"))
+    sources = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("source_sha256"))
     k = F.col("doc_id") % 3
     caches = docs.select(F.col("doc_id").cast("string").alias("path"), F.when(k == 0, F.lit(None)).when(k == 1, F.lit("0")).otherwise(F.sha2(F.col("text").cast("binary"), 256)).alias("cache_sha256"))
     return evidence.cache_errors(caches, sources).select("path", "error")
@@ -484,3 +484,56 @@ def outer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def artifact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("/out/"), F.col("doc_id").cast("string"), F.lit(".md"))
     return table(spark, sf_dir, "documents").select("doc_id", sinks.sidecar_path(path).alias("sidecar"), sinks.sidecar_path(path, "facts").alias("facts"), sinks.cache_metadata_path(path).alias("metadata"), gates.absolute_error(F.col("source")).alias("error"))
+
+
+@query
+def finalized_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown with a new section for conversations whose items are all good."""
+    made = pages.page_candidates(conversation_pages(spark, sf_dir).drop("role"))
+    checked = evidence.item_errors(_items(spark, sf_dir), made)
+    items = checked.select(F.col("doc_id").alias("analysis"), F.col("page").alias("ord"), F.col("quote_id").alias("id"), "quote", F.lit("").alias("translation_zh"), F.lit("§").alias("source"), "page", "error")
+    written = F.concat(F.lit("# "), F.col("doc_id").cast("string"), F.lit("\n## Next\nold\n## Notes\nkept\n"))
+    analyses = conversation_pages(spark, sf_dir).select("doc_id").distinct().select(F.col("doc_id").alias("analysis"), written.alias("markdown"), F.lit("fulltext").alias("evidence_level"), F.lit("sha256:0").alias("fingerprint"))
+    return workflows.finalize(analyses, items, "## Next", "## Notes").select("analysis", F.md5("markdown").alias("markdown"), "items", "error")
+
+
+@query
+def proved_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quotes = spark.createDataFrame(samples.SPAN_QUOTES, "item_id long, doc_id long, quote string, page long").withColumn("source", F.lit("Section 5（p.9）"))
+    rows = spark.createDataFrame(samples.SPAN_PAGES, "doc_id long, page long, text string")
+    return workflows.prove_items(quotes, rows).select("item_id", "page", "end_page", "source", "error")
+
+
+@query
+def upgraded_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(samples.SPAN_PAGES, "doc_id long, page long, text string")
+    analyses = spark.createDataFrame(samples.UPGRADES, "analysis string, doc_id long, markdown string").withColumns({"evidence_level": F.lit("fulltext"), "fingerprint": F.lit("sha256:0")})
+    found = workflows.upgrade(analyses, rows, "## Next", "## Notes")
+    starts = F.transform(V.elements(V.lookup(V.parse(F.col("json")), "items")), lambda x: F.try_variant_get(x, "$.page", "string"))
+    return found.select("analysis", "items", F.array_join(starts, ",").alias("starts"), "markdown", "error")
+
+
+@query
+def finished_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draft for every document; short documents have a list for one."""
+    whole = F.to_json(F.struct(*(F.lit("x").alias(f) for f in evidence.FACT_FIELDS)))
+    drafts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("analysis"), F.lit("fulltext").alias("evidence_level"), T.fingerprint(F.col("text")).alias("input_fingerprint"), F.when(F.col("n_chars") < 300, "[]").otherwise(whole).alias("draft"))
+    found = workflows.finish_facts(drafts, _sidecars(spark, sf_dir))
+    ids = F.array_join(F.transform(V.elements(V.lookup(V.parse(F.col("json")), "future_work_ids")), lambda x: F.try_variant_get(x, "$", "string")), ",")
+    return found.select("analysis", ids.alias("future_work_ids"), "error")
+
+
+@query
+def validated_caches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as page caches, stale where the quality is 0 and lacking a page where toxic."""
+    labels = table(spark, sf_dir, "labels").withColumn("path", F.col("doc_id").cast("string"))
+    caches = conversation_pages(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.lit("x").alias("pdf_sha256"), "page", "text")
+    sources = labels.select("path", F.when(F.col("quality") == 0, "y").otherwise("x").alias("source_sha256"))
+    copied = workflows.validated_cache(caches, sources, labels.filter("toxic = 1").select("path", F.lit(999).cast("long").alias("page")))
+    return copied.select("path", "page", F.md5("text").alias("text"), "error")
+
+
+@query
+def candidates_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pages.page_candidates(conversation_pages(spark, sf_dir).drop("role"))
+    return workflows.candidates_markdown(made).select("doc_id", F.md5("markdown").alias("markdown"))

@@ -119,3 +119,15 @@ LOGS = [
     ("key twice", '{"passed": true, "passed": true}', "INVALID_TEST_EXECUTION"),
     ("unreadable", None, "INVALID_TEST_EXECUTION"),
 ]
+_BULLET = "- 原文：{}\n- 译：x\n- 出处：{}"
+UPGRADES = [
+    ("a", 1, "# A\n## Next\n" + _BULLET.format("Later work.", "End") + "\n" + _BULLET.format("at a page end and goes", "Section 5（p.2）") + "\n## Notes\nkept\n"),
+    ("b", 1, "# B\n## Next\n" + _BULLET.format("never said", "End") + "\n## Notes\nkept\n"),
+    ("c", 2, "# C\n## Notes\nkept\n"), ("d", 2, "# D\nno anchor\n"),
+    ("e", 1, "# E\n## Next\n" + _BULLET.format("Later work.", "End") + "\n" + _BULLET.format("Later work.", "End") + "\n## Notes\nkept\n"),
+]
+#: By hand: the second item of the first analysis spans pages 2 and 3.
+UPGRADED = [
+    ("a", 2, "2,2", "# A\n## Next\n" + _BULLET.format("Later work.", "End") + "\n" + _BULLET.format("at a page end and goes", "Section 5（p.2–3）") + "\n## Notes\nkept\n", None),
+    ("b", None, None, None, "not in source"), ("c", 0, "", "# C\n## Next\n\n## Notes\nkept\n", None), ("d", None, None, None, "anchors"), ("e", None, None, None, "duplicate id"),
+]
