@@ -118,3 +118,26 @@ def test_nfkc_goes_through_python_for_other_scripts_only(spark):
     df = with_nfkc(spark.createDataFrame([("a",), ("ﬁ",), (None,)], "t string"), "t", "n")
     assert sorted((r.n or "") for r in df.collect()) == ["", "a", "fi"]
     assert df.filter(F.col("n") == "fi").count() == 1
+
+
+def test_blank_items_prove_nothing(spark):
+    from proofmill.operators.workflows import prove_items
+
+    items = spark.createDataFrame([(1, 1, "  ", None, "s"), (2, 1, None, None, "s"), (3, 1, "Later work.", None, "s"), (4, 1, "A b. C d. E f.", None, "s")], "item_id long, doc_id long, quote string, page long, source string")
+    pages = spark.createDataFrame([(1, 1, "Later work. A b. C d. E f."), (1, 2, None)], "doc_id long, page long, text string")
+    got = {r["item_id"]: (r["page"], r["error"]) for r in prove_items(items, pages).collect()}
+    assert got == {1: (None, "not in source"), 2: (None, "not in source"), 3: (1, None), 4: (1, "sentences")}
+
+
+def test_a_draft_with_ids_of_its_own_is_refused(spark):
+    import json
+
+    from proofmill.operators.evidence import FACT_FIELDS
+    from proofmill.operators.workflows import finish_facts
+
+    whole = dict.fromkeys(FACT_FIELDS, "x")
+    drafts = spark.createDataFrame([("a", "fulltext", "f", json.dumps(whole)), ("b", "fulltext", "f", json.dumps(whole | {"future_work_ids": ["z"]})), ("c", "fulltext", "f", None)], "analysis string, evidence_level string, input_fingerprint string, draft string")
+    sides = spark.createDataFrame([(a, "fulltext", "f", "ok", ["i"]) for a in "abc"], "analysis string, evidence_level string, source_pdf_fingerprint string, status string, future_work_ids array<string>")
+    got = {r["analysis"]: r for r in finish_facts(drafts, sides).collect()}
+    assert json.loads(got["a"]["json"])["future_work_ids"] == ["i"] and json.loads(got["a"]["json"])["facts"] == whole
+    assert got["b"]["json"] is None and got["b"]["error"] == "unknown fields: future_work_ids" and got["c"]["error"] == "not an object"
