@@ -65,3 +65,50 @@ def test_cosines(spark):
             parts = max((round(cosine(s, b), 12) for s in SEGMENTS(text) for _, b in HEADERS), default=0)
             _, how, score = t.scan(text)
             assert (how, score) == (("file", whole[0]) if whole[0] >= FILE_AT else ("header", parts) if parts >= HEADER_AT else (None, None))
+
+
+def test_whole_licence_texts_are_files_and_inherited(spark):
+    """Real texts, not the openings: each is a file of its own licence, and what lies below inherits it."""
+    from pathlib import Path
+
+    import proofmill.llm.licenses as licenses
+
+    texts = {p.stem: p.read_text() for p in (Path(licenses.__file__).parent / "licence_texts").glob("*.txt")}
+    assert set(texts) == set(licenses.WHOLE) and {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "CC0-1.0"} <= set(texts)
+    rows = [(k, f"Copyright (c) 2020 Some One. All rights reserved.\n\n{t}", f"{name}/COPYING") for k, (name, t) in enumerate(sorted(texts.items()))]
+    rows += [(100 + k, "plain words", f"{name}/deep/x") for k, name in enumerate(sorted(texts))]
+    got = {r.path: (r.licence, r.how) for r in scan(docs(spark, rows), F.col("source")).collect()}
+    assert got == {f"{n}/COPYING": (n, "file") for n in texts} | {f"{n}/deep/x": (n, "inherited") for n in texts}
+
+
+def test_wrapped_notices(spark):
+    import textwrap
+
+    from proofmill.llm.licenses import HEADERS
+
+    wanted = [(name, t) for name, t in HEADERS if len(terms(t)) > 30]
+    assert {"GPL-3.0", "GPL-2.0", "AGPL-3.0", "LGPL-2.1", "LGPL-3.0"} <= {n for n, _ in wanted}
+    rows, want = [], {}
+    for name, t in wanted:
+        for width in (40, 70, 80):
+            for mark in ("", "# ", " * ", "// ", "dnl "):
+                lines = [mark + x for x in textwrap.wrap(t, width)]
+                want[len(rows)] = (name, "header")
+                rows.append((len(rows), "\n".join([mark + "A tool of ours.", mark.rstrip(), *lines, mark.rstrip(), "int main() { return 0; }"]), f"f/{len(rows)}"))
+    got = {r.doc_id: (r.licence, r.how) for r in scan(docs(spark, rows), F.col("source")).collect()}
+    assert got == want
+
+
+def test_all_rights_reserved_yields_to_a_licence(spark):
+    rows = [(0, "// Copyright 2009 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.", "a"), (1, "Copyright 2009 X. All rights reserved.", "b")]
+    assert {(r.doc_id, r.licence) for r in scan(docs(spark, rows), F.col("source")).collect()} == {(0, "BSD-3-Clause"), (1, "Proprietary")}
+
+
+def test_screen_leaves_out_no_match(spark):
+    """The hashed screen before the scan changes nothing."""
+    t = learn(docs(spark, ROWS))
+    texts = [r[1] or "" for r in ROWS] + [x[:n] for _, x in FILES for n in (200, 1000, 5000, 40000)] + ["word " * 300, "the of and " * 300]
+    rows = [(k, x, f"{k}/f") for k, x in enumerate(texts)]
+    learned = learn(docs(spark, rows))
+    got = {r.doc_id: (r.licence, r.how, r.score) for r in scan(docs(spark, rows), F.col("source")).collect()}
+    assert got == {k: learned.scan(x) for k, x in enumerate(texts)} and t.cues
