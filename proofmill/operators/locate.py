@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import comparison_view, view_with_offsets, with_nfkc
+from .layout import source_bounds
 
 #: Words of an anchor. Anchors begin at a quote's second word, so a quote needs two more words to have whole ones.
 ANCHOR = 8
@@ -65,30 +66,41 @@ def containing(quotes: DataFrame, sources: DataFrame, quote: str = "quote", text
     return found.unionByName(pairs).unionByName(sources.join(lone.drop("_word"), F.contains(F.col(text), F.col(quote))))
 
 
-def within_document(quotes: DataFrame, pages: DataFrame) -> DataFrame:
+def within_document(quotes: DataFrame, pages: DataFrame, exclusions: DataFrame | None = None) -> DataFrame:
     """Quotes (item_id, doc_id, quote, page or null) located in pages (doc_id, page, text) of their document.
 
     (item_id, doc_id, start_page, start_offset, end_page, end_offset), the first by page and offset; one row for each quote that is found. Where
     the quote names a page, only a span that starts there counts. A span may reach over into the
     next physical page if both pages give it some text. Offsets are code points of the page's own text.
+
+    ``exclusions``: (doc_id, page, edge_exclusions), the proven furniture of pages. Over a page end the bodies are
+    joined, without it; a page with a non-outer exclusion is joined to none. Inside a page all of its text counts.
     """
     q = with_view(quotes, "quote", "_q").select("item_id", "doc_id", F.col("page").alias("_page"), "_q")
     seen = with_view(pages, "text", "_v").select("doc_id", "page", "text", "_v")
+    if exclusions is None:
+        seen = seen.withColumns({"_from": F.lit(0), "_body": F.col("text"), "_b": F.col("_v")})
+    else:
+        spans = exclusions.select("doc_id", "page", "edge_exclusions")
+        joint = seen.join(spans, ["doc_id", "page"], "left")
+        begin, end, error = source_bounds(F.col("text"), F.coalesce("edge_exclusions", F.array().cast(spans.schema["edge_exclusions"].dataType)))
+        cut = joint.withColumns({"_from": begin, "_to": end, "_error": error})
+        seen = with_view(cut.withColumn("_body", F.when(F.col("_error").isNull(), F.expr("substr(text, _from + 1, greatest(_to - _from, 0))"))), "_body", "_b").drop("edge_exclusions", "_to", "_error")
     w = Window.partitionBy("doc_id").orderBy("page")
-    both = seen.withColumns({"_next": F.lead("page").over(w), "_ntext": F.lead("text").over(w), "_nv": F.lead("_v").over(w)})
+    both = seen.withColumns({"_next": F.lead("page").over(w), "_nfrom": F.lead("_from").over(w), "_nbody": F.lead("_body").over(w), "_nb": F.lead("_b").over(w)})
     near = q.join(both, "doc_id").filter(F.col("_page").isNull() | (F.col("_page") == F.col("page")))
     inside = F.expr("instr(_v, _q)")
     # over the page end: a hyphen there joins the word halves, else a space stands between
-    hyphen = F.expr("endswith(_v, '-') and _nv rlike '^\\\\p{L}'")
-    joined = F.when(hyphen, F.concat(F.expr("left(_v, length(_v) - 1)"), "_nv")).otherwise(F.concat_ws(" ", "_v", "_nv"))
-    kept = F.when(hyphen, F.length("_v") - 1).otherwise(F.length("_v"))
+    hyphen = F.expr("endswith(_b, '-') and _nb rlike '^\\\\p{L}'")
+    joined = F.when(hyphen, F.concat(F.expr("left(_b, length(_b) - 1)"), "_nb")).otherwise(F.concat(F.col("_b"), F.lit(" "), F.col("_nb")))
+    kept = F.when(hyphen, F.length("_b") - 1).otherwise(F.length("_b"))
     placed = near.withColumns({"_in": inside, "_join": F.when(F.col("_next") == F.col("page") + 1, joined), "_kept": kept})
     over = F.when((F.col("_in") == 0), F.expr("instr(substr(_join, greatest(1, _kept - length(_q) + 2)), _q) + greatest(1, _kept - length(_q) + 2) - 1"))
     placed = placed.withColumn("_over", F.when(F.expr("instr(substr(_join, greatest(1, _kept - length(_q) + 2)), _q) > 0") & (F.col("_in") == 0), over))
     crossing = F.expr("_over is not null and _over <= _kept and _over + length(_q) - 1 > _kept")
     hit = placed.filter((F.col("_in") > 0) | crossing).withColumn("_at", F.when(F.col("_in") > 0, F.col("_in")).otherwise(F.col("_over")))
     first = hit.withColumn("_rank", F.row_number().over(Window.partitionBy("item_id", "doc_id").orderBy("page", "_at"))).filter("_rank = 1")
-    return first.select("item_id", "doc_id", F.col("page").alias("start_page"), "text", "_ntext", "_next", F.length("_q").alias("_n"), F.col("_at"), "_kept", (F.col("_in") > 0).alias("_one")).mapInPandas(_raw, "item_id long, doc_id long, start_page long, start_offset int, end_page long, end_offset int")
+    return first.select("item_id", "doc_id", F.col("page").alias("start_page"), F.when(F.col("_in") > 0, F.col("text")).otherwise(F.col("_body")).alias("text"), "_nbody", "_next", F.length("_q").alias("_n"), F.col("_at"), "_kept", (F.col("_in") > 0).alias("_one"), "_from", "_nfrom").mapInPandas(_raw, "item_id long, doc_id long, start_page long, start_offset int, end_page long, end_offset int")
 
 
 def _raw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,7 +116,8 @@ def _raw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 _, more = view_with_offsets(r[4])
                 gap = 0 if int(r[8]) < len(at) else 1
-                end_page, end = r[5], more[last - int(r[8]) - gap] + 1
+                start += int(r[10])
+                end_page, end = r[5], int(r[11]) + more[last - int(r[8]) - gap] + 1
             out.append((r[0], r[1], r[2], start, end_page, end))
         yield pd.DataFrame(out, columns=["item_id", "doc_id", "start_page", "start_offset", "end_page", "end_offset"])
 

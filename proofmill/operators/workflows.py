@@ -23,15 +23,15 @@ def candidates_markdown(candidates: DataFrame, key: str = "doc_id") -> DataFrame
     return pages.select(key, F.array_join(F.transform("_b", lambda x: x["t"]), "\n\n").alias("markdown"))
 
 
-def prove_items(items: DataFrame, pages: DataFrame, candidates: DataFrame | None = None, limit: int = evidence.MAX_QUOTE_CHARS) -> DataFrame:
+def prove_items(items: DataFrame, pages: DataFrame, candidates: DataFrame | None = None, limit: int = evidence.MAX_QUOTE_CHARS, exclusions: DataFrame | None = None) -> DataFrame:
     """``items`` (item_id, doc_id, quote, page or null, source) proved against pages (doc_id, page, text) whose text may be evidence.
 
     (item_id, doc_id, quote, id, page, end_page, source, error): the page where the span starts, the
     source with a page range where it crosses a page end. Errors in this order: exceeds, sentences, not in source.
-    A candidate proved at the same place gives its quote and id.
+    A candidate proved at the same place gives its quote and id. ``exclusions`` (layout.edge_exclusions) are left out over a page end.
     """
     # a blank quote stands everywhere and proves nothing
-    spans = locate.within_document(items.filter("quote rlike '(?U)\\\\S'").select("item_id", "doc_id", "quote", F.col("page").cast("long").alias("page")), pages).drop("start_offset", "end_offset")
+    spans = locate.within_document(items.filter("quote rlike '(?U)\\\\S'").select("item_id", "doc_id", "quote", F.col("page").cast("long").alias("page")), pages, exclusions).drop("start_offset", "end_offset")
     joined = with_quote_id(items.drop("page"), "quote", "id").join(spans, ["item_id", "doc_id"], "left")
     if candidates is not None:
         joined = locate.canonical(joined, candidates)
@@ -69,11 +69,11 @@ def finalize(analyses: DataFrame, items: DataFrame, heading: str, before: str) -
     )
 
 
-def upgrade(analyses: DataFrame, pages: DataFrame, heading: str, before: str, candidates: DataFrame | None = None) -> DataFrame:
+def upgrade(analyses: DataFrame, pages: DataFrame, heading: str, before: str, candidates: DataFrame | None = None, exclusions: DataFrame | None = None) -> DataFrame:
     """``finalize`` for analyses (with doc_id) whose items stand in their own Markdown: each is read, proved in the pages and numbered anew."""
     found = markdown_items(analyses.select("analysis", "doc_id", F.col("markdown").alias("text")), ["analysis", "doc_id"])
     keyed = found.withColumn("item_id", F.xxhash64("analysis", "doc_id", "ord"))
-    proved = prove_items(keyed.select("item_id", "doc_id", "quote", "page", "source"), pages, candidates)
+    proved = prove_items(keyed.select("item_id", "doc_id", "quote", "page", "source"), pages, candidates, exclusions=exclusions)
     named = keyed.select("item_id", "doc_id", "analysis", "ord", "translation_zh").join(proved, ["item_id", "doc_id"])
     return finalize(analyses.drop("doc_id"), named.select("analysis", "ord", "id", "quote", "translation_zh", "source", "page", "error"), heading, before)
 

@@ -127,6 +127,7 @@ ORACLES: dict[str, str] = {
     "draft_fields": values([(1, None), (2, "unknown fields: future_work_ids"), (3, "missing fields: b"), (4, "not an object"), (5, None)], "n int, error varchar"),
     "abstract_sources": values([(1, None), (2, "source beyond the abstract"), (3, None)], "n int, error varchar"),
     "canonical_quotes": values([(1, 2, "We will\nextend it.", "first"), (1, 3, "We will extend it.", "new"), (2, 1, "Other.", "o")], "doc_id int, start_page int, quote varchar, id varchar"),
+    "span_places_over_edges": values(samples.EDGE_PLACES, "item_id bigint, doc_id bigint, start_page bigint, start_offset int, end_page bigint, end_offset int"),
     "span_places": values(samples.SPAN_PLACES, "item_id bigint, doc_id bigint, start_page bigint, start_offset int, end_page bigint, end_offset int"),
     "source_labels": values([(1, "Section 5"), (2, "Section 5（p.2–3）"), (3, "Section 5"), (4, "p.3 of the notes")], "n int, label varchar"),
     "normalized_inputs": values([("/a.json", None, False), ("b.json", "path must be absolute", None), ("/c.json", "kind", None), ("/d.json", "abstract", None), ("/e.json", "unreadable", None), ("/f.json", "not an object", None), ("/g.json", "schema", None), ("/h.json", "level", None), ("/i.json", "abstract", None)], "path varchar, error varchar, leaks boolean"),

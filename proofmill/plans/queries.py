@@ -486,6 +486,14 @@ def artifact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", sinks.sidecar_path(path).alias("sidecar"), sinks.sidecar_path(path, "facts").alias("facts"), sinks.cache_metadata_path(path).alias("metadata"), gates.absolute_error(F.col("source")).alias("error"))
 
 
+@query
+def span_places_over_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact raw offsets over page ends with furniture."""
+    quotes = spark.createDataFrame(samples.EDGE_QUOTES, "item_id long, doc_id long, quote string, page long")
+    rows = spark.createDataFrame(samples.EDGE_PAGES, "doc_id long, page long, text string")
+    return locate.within_document(quotes, rows, spark.createDataFrame(samples.EDGE_SPANS, samples.EDGE_SPAN_SCHEMA))
+
+
 @query
 def finalized_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown with a new section for conversations whose items are all good."""

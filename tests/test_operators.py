@@ -86,6 +86,17 @@ def test_selection_hints_do_not_bound_proofs(spark):
     assert sorted(map(tuple, locate.within_document(quotes, pages).collect())) == sorted(samples.SPAN_PLACES)
 
 
+def test_quotes_over_page_ends_with_furniture(spark):
+    from proofmill.operators.workflows import prove_items
+
+    rows = spark.createDataFrame(samples.EDGE_PAGES, "doc_id long, page long, text string")
+    quotes = spark.createDataFrame(samples.EDGE_QUOTES, "item_id long, doc_id long, quote string, page long")
+    spans = spark.createDataFrame(samples.EDGE_SPANS, samples.EDGE_SPAN_SCHEMA)
+    assert sorted(map(tuple, locate.within_document(quotes, rows, spans).collect())) == samples.EDGE_PLACES
+    proved = prove_items(quotes.filter("item_id = 1").withColumn("source", F.lit("Method")), rows, exclusions=spans).first()
+    assert (proved["page"], proved["end_page"], proved["error"]) == (2, 3, None)
+
+
 def test_rejected_batches_write_nothing(spark, tmp_path):
     good = spark.createDataFrame([(1, None)], "n int, error string")
     bad = spark.createDataFrame([(1, "exceeds")], "n int, error string")
