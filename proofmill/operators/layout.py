@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -19,37 +19,61 @@ def edge_exclusions(blocks: DataFrame, page_height: float = 1.0, band: float = 0
 
     ``blocks``: (doc_id, page, ord, edge, top, bottom, line_height, start, end, text), ``ord`` in
     extraction order, positions from the top. A block counts if it lies in the outer band of its edge,
-    is first (top) or last (bottom) on the page, stands off the body by at least its line
-    height, and its text repeats at that edge of another page or is a bare page
-    number. The span reaches to the neighbouring block, so that white space between goes with it.
+    its text repeats at that edge of another page or is a bare page number, it belongs to the unbroken run of such
+    blocks at either end of the extraction order, whichever edges they are of, and it stands off all blocks that
+    remain by at least its line height. The span reaches to the neighbouring block on the body's side, so that
+    white space between goes with it and neighbours abut.
     """
     key = ["doc_id", "page"]
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(*key).orderBy("ord")
-    seen = blocks.withColumns({
-        "first": F.lag("ord").over(order).isNull(), "last": F.lead("ord").over(order).isNull(),
-        "gap_after": F.lead("top").over(order) - F.col("bottom"), "gap_before": F.col("top") - F.lag("bottom").over(order),
-        "next_start": F.lead("start").over(order), "prev_end": F.lag("end").over(order),
-    })
-    in_band = ((F.col("edge") == "top") & F.col("first") & (F.col("bottom") <= band * page_height) & (F.coalesce("gap_after", F.lit(0.0)) >= F.col("line_height"))) | (
-        (F.col("edge") == "bottom") & F.col("last") & (F.col("top") >= (1 - band) * page_height) & (F.coalesce("gap_before", F.lit(0.0)) >= F.col("line_height"))
-    )
-    alone = seen.filter(in_band)
-    repeated = repeated_edge_lines(alone.select("doc_id", "edge", F.col("text").alias("line"), "page"), ["doc_id", "edge"]).select("doc_id", "edge", F.col("line").alias("text"), F.lit(True).alias("repeats"))
-    out = alone.join(repeated, ["doc_id", "edge", "text"], "left").filter(F.col("repeats") | F.trim("text").rlike("^[0-9]+$"))
-    span = F.struct(
-        F.when(F.col("edge") == "top", F.col("start")).otherwise(F.coalesce("prev_end", "start")).alias("start"),
-        F.when(F.col("edge") == "top", F.coalesce("next_start", "end")).otherwise(F.col("end")).alias("end"),
-        "text", "edge",
-    )
-    return out.groupBy(*key).agg(F.array_sort(F.collect_list(span)).alias("edge_exclusions"))
+    in_band = F.coalesce(((F.col("edge") == "top") & (F.col("bottom") <= band * page_height)) | ((F.col("edge") == "bottom") & (F.col("top") >= (1 - band) * page_height)), F.lit(False))
+    repeated = repeated_edge_lines(blocks.filter(in_band).select("doc_id", "edge", F.col("text").alias("line"), "page"), ["doc_id", "edge"]).select("doc_id", "edge", F.col("line").alias("text"), F.lit(True).alias("repeats"))
+    proven = in_band & (F.coalesce("repeats", F.lit(False)) | F.coalesce(F.trim("text").rlike("^[0-9]+$"), F.lit(False)))
+    seen = blocks.join(repeated, ["doc_id", "edge", "text"], "left").withColumn("_proven", proven)
+    block = F.struct("ord", "edge", "top", "bottom", "line_height", "start", "end", "text", "_proven")
+    # pages without a proven block have no exclusions and stay out of Python
+    paged = seen.groupBy(*key).agg(F.array_sort(F.collect_list(block)).alias("_blocks"), F.max("_proven").alias("_any")).filter("_any").select(*key, "_blocks")
+    kind = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    spans = F.udf(_outer_runs, f"array<struct<start:{kind['start']},end:{kind['end']},text:string,edge:string>>")
+    return paged.select(*key, F.array_sort(spans("_blocks")).alias("edge_exclusions")).filter(F.size("edge_exclusions") > 0)
+
+
+def _outer_runs(blocks: list[Row]) -> list[tuple[int, int, str, str]]:
+    """(start, end, text, edge) of the proven blocks of one page that can be peeled from the ends of its extraction order."""
+    held = [b["_proven"] for b in blocks]
+    n = len(blocks)
+    while True:
+        # the unbroken runs from both ends; what is left is body
+        head = next((k for k in range(n) if not held[k]), n)
+        tail = next((k for k in range(n, head, -1) if not held[k - 1]), head)
+        body = blocks[head:tail]
+        near = [k for k in (*range(head), *range(tail, n)) if not all(_stands_off(blocks[k], y) for y in body)]
+        if not near:
+            break
+        # a block too near to the body is body, and the runs end before it
+        for k in near:
+            held[k] = False
+    nexts, ends = [*(b["start"] for b in blocks[1:]), None], [None, *(b["end"] for b in blocks[:-1])]
+    first = [(blocks[k]["start"], blocks[k]["end"] if nexts[k] is None else nexts[k]) for k in range(head)]
+    last = [(blocks[k]["start"] if ends[k] is None else ends[k], blocks[k]["end"]) for k in range(tail, n)]
+    return [(a, b, blocks[k]["text"], blocks[k]["edge"]) for (a, b), k in zip(first + last, (*range(head), *range(tail, n)), strict=True)]
+
+
+def _stands_off(edge: Row, other: Row) -> bool:
+    """By at least the edge's line height; not where a position is unknown."""
+    if None in (edge["top"], edge["bottom"], edge["line_height"], other["top"], other["bottom"]):
+        return False
+    return max(other["top"] - edge["bottom"], edge["top"] - other["bottom"]) >= edge["line_height"]
 
 
 def source_bounds(text: Column, exclusions: Column) -> tuple[Column, Column, Column]:
-    """(start, end, error) of the body: exclusions peeled from both ends as long as they abut; one left inside is an error."""
+    """(start, end, error) of the body: exclusions peeled from both ends as long as they abut; one left inside is an error.
+
+    White space outside the outermost exclusions goes with them.
+    """
     ordered = F.array_sort(exclusions)
-    start = F.aggregate(ordered, F.lit(0), lambda a, x: F.when(x["start"] <= a, F.greatest(a, x["end"])).otherwise(a))
-    end = F.aggregate(F.reverse(ordered), F.length(text), lambda a, x: F.when(x["end"] >= a, F.least(a, x["start"])).otherwise(a))
+    blank = F.length(text) - F.length(F.regexp_replace(text, r"(?U)^\s+", ""))
+    solid = F.length(F.regexp_replace(text, r"(?U)\s+$", ""))
+    start = F.aggregate(ordered, F.lit(0), lambda a, x: F.when(x["start"] <= F.greatest(a, blank), F.greatest(a, x["end"])).otherwise(a))
+    end = F.aggregate(F.reverse(ordered), F.length(text), lambda a, x: F.when(x["end"] >= F.least(a, solid), F.least(a, x["start"])).otherwise(a))
     inside = F.size(F.filter(ordered, lambda x: (x["start"] >= start) & (x["end"] <= end) & (x["end"] > x["start"])))
     return start, end, F.when(inside > 0, F.lit("non-outer edge"))

@@ -101,6 +101,7 @@ ORACLES: dict[str, str] = {
     "dehyphenated": values([(1, "investigate"), (2, "cost- sensitive"), (3, "in- line"), (4, "ab"), (5, "1-\n2"), (6, "end-"), (7, "éè")], "n int, joined varchar"),
     "repeated_edge_lines": "select edge, line, count(distinct doc_id) as pages from (select doc_id, 'top' as edge, string_split(text, chr(10))[1] as line from documents union all select doc_id, 'bottom', string_split(text, chr(10))[-1] from documents) group by all having count(distinct doc_id) >= 2",
     "edge_exclusions": values([(1, 1, 0, 8, "HEADER", "top"), (1, 1, 20, 23, "1", "bottom"), (1, 2, 0, 7, "HEADER", "top")], "doc_id int, page int, span_start int, span_end int, line varchar, edge varchar"),
+    "mixed_edge_exclusions": values(samples.MIXED_SPANS, "page int, span_start int, span_end int, line varchar, edge varchar"),
     "body_bounds": values([(1, 3, 8, None), (2, None, None, "non-outer edge"), (3, 0, 5, None), (4, 3, 0, None), (5, 3, 5, None)], "n int, body_start int, body_end int, error varchar"),
     "adjacent_pages": f"with {PAGES} select * from (select doc_id, page, lead(page) over (partition by doc_id order by page) as next_page from p) where next_page = page + 1",
     "stitched_locate": f"with {PAGES} select doc_id * 1000 + page as item_id, doc_id, page as start_page, next_page as end_page, true as proved from (select *, lead(page) over (partition by doc_id order by page) as next_page from p) where next_page = page + 1",

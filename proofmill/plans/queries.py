@@ -129,6 +129,13 @@ def edge_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.edge_exclusions(blocks).select("doc_id", "page", F.inline("edge_exclusions")).withColumnsRenamed({"start": "span_start", "end": "span_end", "text": "line"})
 
 
+@query
+def mixed_edge_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers and page numbers in any order at either end of the extraction order."""
+    blocks = spark.createDataFrame(samples.MIXED_BLOCKS, samples.BLOCK_SCHEMA)
+    return layout.edge_exclusions(blocks).select("page", F.inline("edge_exclusions")).withColumnsRenamed({"start": "span_start", "end": "span_end", "text": "line"})
+
+
 @query
 def body_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(samples.BOUNDS, "n int, t string, spans array<struct<start:int,end:int>>")

@@ -17,6 +17,18 @@ BLOCKS = [
     (1, 3, 0, "top", 0.02, 0.04, 0.02, 0, 6, "HEADER"), (1, 3, 1, None, 0.05, 0.8, 0.02, 7, 20, "body three"),
     (1, 4, 0, None, 0.0, 0.01, 0.01, 0, 3, "pre"), (1, 4, 1, "top", 0.02, 0.04, 0.02, 4, 10, "HEADER"), (1, 4, 2, None, 0.1, 0.8, 0.02, 12, 20, "body"),
 ]
+#: (page, blocks in extraction order) for both orders of mixed edges before and after the body, stacked headers, one too near to the body, one inside it.
+_MIXED = [
+    (1, "ntb"), (2, "tnb"), (3, "btn"), (4, "bnt"), (5, "tsb"), (6, "tcb"), (7, "btb"), (8, "tn"),
+]
+_SHAPES = {"n": ("bottom", 0.95, 0.97, "7"), "t": ("top", 0.02, 0.03, "Title"), "s": ("top", 0.035, 0.045, "Section"), "c": ("top", 0.035, 0.07, "controls"), "b": (None, 0.1, 0.8, "body")}
+MIXED_BLOCKS = [(d, p, k, _SHAPES[x][0], *_SHAPES[x][1:3], 0.02, 10 * k, 10 * k + 8, _SHAPES[x][3]) for d in (1,) for p, shape in _MIXED for k, x in enumerate(shape)]
+MIXED_BLOCKS += [(1, 9, 0, *_SHAPES["s"][:3], 0.02, 0, 8, "Section"), (1, 9, 1, *_SHAPES["b"][:3], 0.02, 10, 18, "body")]
+#: By hand: page, start, end, text, edge.
+MIXED_SPANS = [
+    (1, 0, 10, "7", "bottom"), (1, 10, 20, "Title", "top"), (2, 0, 10, "Title", "top"), (2, 10, 20, "7", "bottom"), (3, 8, 18, "Title", "top"), (3, 18, 28, "7", "bottom"), (4, 8, 18, "7", "bottom"), (4, 18, 28, "Title", "top"),
+    (5, 0, 10, "Title", "top"), (5, 10, 20, "Section", "top"), (8, 0, 10, "Title", "top"), (8, 10, 18, "7", "bottom"), (9, 0, 10, "Section", "top"),
+]
 BOUNDS = [(1, "HH body F", [(0, 3), (8, 9)]), (2, "a b c d e", [(0, 1), (4, 5), (8, 9)]), (3, "plain", []), (4, "all", [(0, 3)]), (5, "ab cd", [(0, 1), (1, 3)])]
 MERGES = [(1, [18, 19, 22], [], [18, 22]), (2, [19], [18, 22], [19]), (3, [], [18, 19, 22], [19]), (4, [5], [1], [7])]
 CACHE_OLD = [("p", "old", 1, "stale"), ("q", "same", 1, "one"), ("q", "same", 2, "two"), ("r", "x", 1, "kept")]

@@ -97,6 +97,26 @@ def test_quotes_over_page_ends_with_furniture(spark):
     assert (proved["page"], proved["end_page"], proved["error"]) == (2, 3, None)
 
 
+def test_mixed_and_stacked_edges_are_peeled(spark):
+    from proofmill.operators import layout
+
+    found = layout.edge_exclusions(spark.createDataFrame(samples.MIXED_BLOCKS, samples.BLOCK_SCHEMA))
+    assert sorted((r.page, x.start, x.end, x.text, x.edge) for r in found.collect() for x in r.edge_exclusions) == samples.MIXED_SPANS
+
+
+def test_runs_take_the_white_space_between_and_around(spark):
+    """The reference's case: a page number, then a header, both after the body, and white space at the end."""
+    from proofmill.operators import layout
+
+    text = "Body text.\n  1\n\nRunning header\n "
+    shape = [("Body text.", None, 0.1, 0.2), ("1", "bottom", 0.95, 0.96), ("Running header", "top", 0.01, 0.02)]
+    rows = [(1, page, k, edge, top, bottom, 0.01, text.index(t), text.index(t) + len(t) + 1, t) for page in (1, 2) for k, (t, edge, top, bottom) in enumerate(shape)]
+    found = layout.edge_exclusions(spark.createDataFrame(rows, samples.BLOCK_SCHEMA)).withColumn("text", F.lit(text))
+    for r in found.select("edge_exclusions", *(c.alias(n) for c, n in zip(layout.source_bounds(F.col("text"), F.col("edge_exclusions")), ("a", "b", "error"), strict=True))).collect():
+        assert text[r.a : r.b] == "Body text.\n" and r.error is None
+        assert r.edge_exclusions[0].end == r.edge_exclusions[1].start
+
+
 def test_rejected_batches_write_nothing(spark, tmp_path):
     good = spark.createDataFrame([(1, None)], "n int, error string")
     bad = spark.createDataFrame([(1, "exceeds")], "n int, error string")
