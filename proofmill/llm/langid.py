@@ -25,8 +25,6 @@ from .common import U64
 ORDER = 4
 #: About so many documents of each language are learnt from (all, if there are fewer), and so many serve to calibrate.
 SAMPLE, CALIBRATION = 3000, 400
-#: n-grams seen less often than this in the sample are left out once a language has a million different ones.
-PRUNED_BELOW, UNPRUNED = 2, 1_000_000
 #: Characters that are scored at once.
 BLOCK = 1 << 20
 LETTER = regex.compile(r"\p{L}")
@@ -274,9 +272,6 @@ def learn(docs: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION)
     counts: dict[str, dict[str, int]] = {x: {} for x in languages}
     for lang, gram, n in counted:
         counts[lang]["".join(chr((gram >> shift) & 0xFFFF) for shift in range(16 * (ORDER - 1), -1, -16))] = n
-    for lang, c in counts.items():
-        if len(c) > UNPRUNED:
-            counts[lang] = {g: n for g, n in c.items() if n >= PRUNED_BELOW}
     models = CharModels.fit(counts, languages)
     models.calibrate(_entropies(drawn.filter("draw < low").select("lang", "text"), models))
     return models

@@ -89,3 +89,12 @@ def test_nothing_to_learn(spark):
 
 def test_find_in_nothing():
     assert not _find(np.empty(0, np.uint64), gram_hashes(folded("abcd")))[0].any()
+
+
+def test_a_large_alphabet_keeps_all_ngrams(spark):
+    """Over a million different n-grams, nearly all seen once: none is left out of the model."""
+    codes = np.random.default_rng(5).integers(0x4E00, 0x9FFF, 1_050_000)
+    text = "".join(map(chr, codes.tolist()))
+    m = learn(spark.createDataFrame([(1, text, "zh", None, None)], SCHEMA))
+    grams = counts_of(text)
+    assert len(grams) > 1_000_000 and len(m.grams[ORDER - 1][0]) == len(grams)
