@@ -1,12 +1,14 @@
 import hashlib
+import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from proofmill.llm.bpe import WordBpe, encode_documents
+from proofmill.llm.bpe import Encoder, PairTable, WordBpe, encode_documents
 
 from .data import AWKWARD, table
 
@@ -57,3 +59,29 @@ def test_documents(spark):
 
 def test_empty(spark):
     assert encode_documents(table(spark, []), PATH).collect() == []
+
+
+def test_trees_side_by_side():
+    """Enough words of each size for the array form, against the library."""
+    rng = random.Random(3)
+    words = [w for size in (1, 2, 3, 4, 5, 8, 9, 16, 17, 40, 64, 100, 128) for w in {"".join(rng.choice("aeinorstlé") for _ in range(size)) for _ in range(60)}]
+    assert MODEL.encode_words(words) == [LIBRARY.encode(w, add_special_tokens=False).ids for w in words] == [[*MODEL.encode_word(w)] for w in words]
+
+
+def test_full_cache(monkeypatch):
+    """What is forgotten, too long to keep, or met again comes out the same."""
+    monkeypatch.setattr("proofmill.llm.bpe.CACHED_WORDS", 3)
+    monkeypatch.setattr("proofmill.llm.bpe.GROUP", 20)
+    texts = ["one two, three", "", "x" * 400, "two, three four five <|endoftext|> one", "İ two,", "x" * 400 + " one", "a\x1cb  two,"]
+    encoder = Encoder(MODEL)
+    for _ in range(2):
+        got = [" ".join(e[1] for e in found if e[0]) for found in encoder.groups(texts)]
+        assert got == [" ".join(map(str, LIBRARY.encode(t, add_special_tokens=False).ids)) for t in texts]
+
+
+def test_pair_table():
+    pairs = [(a, a * 7 % 50) for a in range(50)] + [(3, 49), (49, 3)]
+    t = PairTable(pairs, 50)
+    rank = {p: k for k, p in enumerate(pairs)}
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(50), np.arange(50)))
+    assert t.of(left, right).tolist() == [rank.get((a, b), -1) for a, b in zip(left.tolist(), right.tolist(), strict=True)]
