@@ -1,11 +1,14 @@
 """Toxicity by maximum-scoring segments.
 
-Tokens and their beginnings and endings get log-odds between toxic and other
-training documents under an informative Dirichlet prior. A token weighs what
-its most significant part does, or nothing if none is; every token costs GAP. A linear scan finds all maximal segments
-of a text; a segment is significant when extreme-value statistics expect few
-of its score by chance in a text of that length; a logistic curve over the
-evidence of the significant segments gives the score.
+Every token has a signed log-odds between toxic and other training documents
+under an informative Dirichlet prior, drawn towards none by its standard error.
+The prior's mean is the base rate, or for tokens with an affix that many
+different toxic tokens share, the rate among the tokens with that affix: so a
+token not met in training weighs what its affix lets expect, and one that was
+met often what its own counts say. Each token also costs DRIFT, which keeps segments
+local. A linear scan finds all maximal segments of a text; a segment is significant when
+extreme-value statistics expect few of its score by chance in a text of that
+length; a logistic curve over the evidence of the significant segments gives the score.
 """
 
 from __future__ import annotations
@@ -25,13 +28,15 @@ from .sampling import labelled_sample
 
 #: Documents of either class that the weights are learnt from.
 SAMPLE = 3000
-#: The prior's weight as a share of all counted contexts, and the root of the likelihood ratio that a part must reach.
-PRIOR, SIGNIFICANT = 0.05, 4.5
-#: Lengths of the beginnings and endings that count as parts of a token.
+#: The prior's weight in contexts, and the standard errors that a log-odds is drawn in by.
+PRIOR, DRAWN_IN = 8.0, 1.0
+#: The root of the likelihood ratio that an affix must reach, and the tokens' worth of base rate that its own rate is mixed with.
+SIGNIFICANT, AFFIX_PRIOR = 4.5, 4.0
+#: Lengths of the beginnings and endings that count as affixes of a token.
 AFFIXES = range(3, 9)
 CACHED_TOKENS = 500_000
 #: What each token costs a segment.
-GAP = 0.05
+DRIFT = 0.3
 #: Segments with fewer expected by chance are passages.
 EXPECTED = 0.05
 TOKENS = regex.compile(r"\w+").findall
@@ -71,37 +76,75 @@ def maximal_segments(scores: Sequence[float]) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for a, b, low, high in found]
 
 
-def parts_of(token: str) -> list[str]:
-    """The token, its beginnings and its endings."""
+def affixes_of(token: str) -> list[str]:
+    """The token's beginnings and endings."""
     n = len(token)
-    return [f"={token}", *(f"^{token[:k]}" for k in AFFIXES if k < n), *(f"${token[n - k :]}" for k in AFFIXES if k < n)]
+    return [*(f"^{token[:k]}" for k in AFFIXES if k < n), *(f"${token[n - k :]}" for k in AFFIXES if k < n)]
+
+
+def log_odds(c1: float, c0: float, share: float, rate: float) -> float:
+    """A token's log-odds between contexts in toxic and other texts, less those of all contexts, drawn in towards 0.
+
+    ``rate`` is the toxic share of all contexts, ``share`` the prior's mean for this token.
+    """
+    a1, a0 = c1 + PRIOR * share, c0 + PRIOR * (1 - share)
+    odds = math.log(a1 / a0) - math.log(rate / (1 - rate))
+    return math.copysign(max(0.0, abs(odds) - DRAWN_IN * math.sqrt(1 / a1 + 1 / a0)), odds)
+
+
+def affix_rates(rows: list[tuple[str, float, float]], n1: float, n0: float) -> dict[str, tuple[float, float]]:
+    """From (affix, toxic tokens, other tokens) and the totals: the significant affixes with (z-score, share of toxic tokens)."""
+    rate = n1 / (n1 + n0)
+    found = {}
+    for affix, k1, k0 in rows:
+        expected = (k1 + k0) * rate
+        ratio = 2 * sum(k * math.log(k / e) for k, e in ((k1, expected), (k0, k1 + k0 - expected)) if k > 0)
+        z = math.copysign(math.sqrt(max(0.0, ratio)), k1 - expected)
+        if abs(z) >= SIGNIFICANT:
+            found[affix] = z, (k1 + AFFIX_PRIOR * rate) / (k1 + k0 + AFFIX_PRIOR)
+    return found
+
+
+@dataclass
+class Weigher:
+    """A token's weight from its counts; ``affixes`` as affix_rates gives them."""
+
+    affixes: dict[str, tuple[float, float]]
+    rate: float
+
+    def __call__(self, token: str, c1: float = 0, c0: float = 0) -> float:
+        known = [self.affixes[a] for a in affixes_of(token) if a in self.affixes]
+        share = max(known, key=lambda x: (abs(x[0]), x[1]))[1] if known else self.rate
+        return log_odds(c1, c0, share, self.rate)
 
 
 class _Weights(dict):
-    """token -> its weight less GAP; starts anew when full."""
+    """token -> its weight less DRIFT; starts anew when full."""
 
-    def __init__(self, parts: dict[str, tuple[float, float]]):
+    def __init__(self, known: dict[str, float], weigher: Weigher | None):
         super().__init__()
-        self.parts = parts
+        self.known, self.weigher = known, weigher
 
     def __missing__(self, token: str) -> float:
-        known = [self.parts[p] for p in parts_of(token) if p in self.parts]
-        weight = (max(known, key=lambda x: (abs(x[1]), x[0]))[0] if known else 0.0) - GAP
+        weight = self.known.get(token)
+        if weight is None:
+            weight = self.weigher(token) if self.weigher else 0.0
         if len(token) <= 64:
             if len(self) >= CACHED_TOKENS:
                 self.clear()
-            self[token] = weight
-        return weight
+            self[token] = weight - DRIFT
+        return weight - DRIFT
 
     def __reduce__(self):
-        return _Weights, (self.parts,)
+        return _Weights, (self.known, self.weigher)
 
 
 @dataclass
 class ToxicModel:
-    """Significant parts with (log-odds, z-score), the extreme-value parameters and the logistic curve."""
+    """Tokens whose weight is not what ``weigher`` gives an unknown one, the extreme-value parameters and the logistic curve."""
 
-    parts: dict[str, tuple[float, float]]
+    known: dict[str, float]
+    weigher: Weigher | None = None
     rate: float = 1.0
     log_k: float = 0.0
     slope: float = 1.0
@@ -109,10 +152,14 @@ class ToxicModel:
     weights: _Weights = field(init=False)
 
     def __post_init__(self) -> None:
-        self.weights = _Weights(self.parts)
+        self.weights = _Weights(self.known, self.weigher)
 
     def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
+        """Maximal segments; a token that only repeats the one before it says nothing new and costs DRIFT."""
         scores = [*map(self.weights.__getitem__, words)]
+        for i in range(1, len(words)):
+            if words[i] == words[i - 1]:
+                scores[i] = -DRIFT
         return maximal_segments(scores) if scores and max(scores) > 0 else []
 
     def passages(self, words: list[str]) -> list[tuple[int, int, float]]:
@@ -130,24 +177,6 @@ class ToxicModel:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * evidence + self.offset))))
 
 
-def log_odds(rows: list[tuple[str, int, int]], n1: int, n0: int) -> dict[str, tuple[float, float]]:
-    """From (part, count in toxic, count in others) and the totals: the significant parts with their log-odds and z-scores."""
-    if not n1 or not n0:
-        return {}
-    prior = PRIOR * (n1 + n0)
-    found = {}
-    for part, c1, c0 in rows:
-        a = prior * (c1 + c0) / (n1 + n0)
-        odds = math.log((c1 + a) / (n1 + prior - c1 - a)) - math.log((c0 + a) / (n0 + prior - c0 - a))
-        # the signed root of the likelihood ratio against equal shares: the prior must not hide a part that only toxic texts have
-        expected = (c1 + c0) * n1 / (n1 + n0)
-        ratio = 2 * sum(c * math.log(c / e) for c, e in ((c1, expected), (c0, c1 + c0 - expected)) if c > 0)
-        z = math.copysign(math.sqrt(max(0.0, ratio)), odds)
-        if abs(z) >= SIGNIFICANT:
-            found[part] = odds, z
-    return found
-
-
 def karlin_rate(scores: np.ndarray, shares: np.ndarray) -> float:
     """The positive root of E[exp(rate * score)] = 1 over the tokens of other texts; 1 if there is none below 50."""
     excess = lambda x: float((shares * np.exp(np.minimum(x * scores, 600))).sum() - 1)
@@ -165,6 +194,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> ToxicM
 
     A token counts once for each different context (the tokens beside it), so
     that a passage copied into many documents teaches no more than one of them.
+    Labels other than 0 and 1 teach nothing, of several of a document 1 holds; null texts teach nothing; without
+    both classes every text scores the same, below 0.7. What the driver holds is bounded by the sample: the
+    affixes of at least 4 tokens, and the tokens whose weight is not an unknown one's.
     """
     sample = labelled_sample(docs, labels.filter("toxic in (0, 1)"), F.col("toxic"), per_class)
 
@@ -180,27 +212,35 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> ToxicM
     counted = (
         sample.mapInArrow(contexts, "token string, grade int, context string")
         .select("token", "grade", F.xxhash64("context").alias("context")).distinct()
-        .groupBy("token").agg(F.sum("grade").alias("c1"), F.sum(1 - F.col("grade")).alias("c0"))
+        .groupBy("token").agg(F.sum("grade").cast("long").alias("c1"), F.sum(1 - F.col("grade")).cast("long").alias("c0"))
     )
     counted = durable(counted)
     n1, n0 = counted.agg(F.coalesce(F.sum("c1"), F.lit(0)), F.coalesce(F.sum("c0"), F.lit(0))).first()
-    affixes = [F.when(F.length("token") > k, F.concat(F.lit(mark), cut(k))) for mark, cut in (("^", lambda k: F.left("token", F.lit(k))), ("$", lambda k: F.right("token", F.lit(k)))) for k in AFFIXES]
-    parts = F.explode(F.filter(F.array(F.concat(F.lit("="), "token"), *affixes), lambda x: x.isNotNull()))
-    # parts seen in fewer contexts cannot be significant
-    rows = counted.select(parts.alias("part"), "c1", "c0").groupBy("part").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")).filter("c1 + c0 >= 4").filter(F.col("c1") * (n0 + 1) > F.col("c0") * (n1 + 1) * 1.5)
-    model = ToxicModel(log_odds([(r[0], r[1], r[2]) for r in rows.collect()], n1, n0))
+    if not n1 or not n0:
+        return ToxicModel({})
+    # each token counts once among those with an affix, in part as toxic: a frequent token says nothing of its kin
+    toxic = F.col("c1") / (F.col("c1") + F.col("c0"))
+    ends = [F.when(F.length("token") > k, F.concat(F.lit(mark), cut(k))) for mark, cut in (("^", lambda k: F.left("token", F.lit(k))), ("$", lambda k: F.right("token", F.lit(k)))) for k in AFFIXES]
+    by_affix = (
+        counted.select(F.explode(F.filter(F.array(*ends), lambda x: x.isNotNull())).alias("affix"), toxic.alias("k1"))
+        .groupBy("affix").agg(F.sum("k1").alias("k1"), F.sum(1 - F.col("k1")).alias("k0")).filter("k1 + k0 >= 4")
+    )
+    k1, k0 = counted.agg(F.sum(toxic), F.sum(1 - toxic)).first()
     spark = docs.sparkSession
-    first = spark.sparkContext.broadcast(model)
+    weigher = Weigher(affix_rates([(r[0], round(r[1], 9), round(r[2], 9)) for r in by_affix.collect()], k1, k0), n1 / (n1 + n0))
+    weigh = spark.sparkContext.broadcast(weigher)
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = first.value.weights
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([round(w[t], 3) for t in b.column("token").to_pylist()], pa.float64()), b.column("c0")], names=["score", "n"])
-
-    spread = counted.filter("c0 > 0").select("token", "c0").mapInArrow(weighed, "score double, n long").groupBy("score").agg(F.sum("n")).collect()
-    # other texts may hold none of the parts: one more token is spread over them
-    tail = [(x - GAP, 1 / max(1, len(model.parts))) for x, _ in model.parts.values()]
-    scores, n = np.array([(r[0], r[1]) for r in spread] + tail).reshape(-1, 2).T
+            w = [(weigh.value(*r), weigh.value(r[0])) for r in zip(*(b.column(c).to_pylist() for c in ("token", "c1", "c0")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("token"), b.column("c0"), pa.array([x for x, _ in w], pa.float64()), pa.array([x != y for x, y in w], pa.bool_())], names=["token", "c0", "score", "own"])
+
+    tokens_ = durable(counted.mapInArrow(weighed, "token string, c0 long, score double, own boolean"))
+    model = ToxicModel({r[0]: r[1] for r in tokens_.filter("own").select("token", "score").collect()}, weigher)
+    spread = tokens_.filter("c0 > 0").groupBy(F.round("score", 3).alias("score")).agg(F.sum("c0")).collect()
+    # other texts may hold none of the toxic tokens: one more token is spread over these
+    high = [x for x in model.known.values() if x > DRIFT]
+    scores, n = np.array([(r[0] - DRIFT, r[1]) for r in spread] + [(x - DRIFT, 1 / len(high)) for x in high]).reshape(-1, 2).T
     model.rate = karlin_rate(scores, n / max(1.0, n.sum()))
     shared = spark.sparkContext.broadcast(model)
 
