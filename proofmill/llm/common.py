@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -18,28 +19,46 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset and all runs on this machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
         context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="proofmill-"))
         where = context.getCheckpointDir()
-        if not where:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="proofmill-"))
-            where = context.getCheckpointDir()
-    return where.rstrip("/")
+    return f"{where.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared scratch folder and read it again.
 
     It cuts the lineage, so that a lost executor costs a read and not a
-    recomputation, and lets several later steps share one pass.
+    recomputation, and lets several later steps share one pass. The table stays
+    until drop_scratch or the folder's own cleaning: results read from it are lazy.
     """
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written by ``durable``; for when its results are written too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores put before it until no column of ``df`` has that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, element by element."""
     x = x.astype(U64, copy=True)

@@ -11,15 +11,17 @@ from .common import durable
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Large-star: a node's larger neighbours go to its smallest neighbour (or itself). Small-star: its smaller neighbours and itself do.
 
-    The least neighbour comes from an aggregate and returns by a join, so that no node's neighbours meet in one task.
+    The least neighbour comes from an aggregate, whose counts are combined before the shuffle, and is a table of its
+    own: so the join that brings it back has a plain exchange on either side, and adaptive execution splits the
+    neighbours of a node with very many of them over tasks.
     """
     if large:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         out = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
     else:
         down = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = durable(down.groupBy("u").agg(F.min("v").alias("m")))
         out = down.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
     return out.filter("a <> b").distinct()
 

@@ -6,7 +6,8 @@ Inside a bucket pivots are compared with the members; signatures rule most
 false pairs out, full sets confirm the others; components by alternating
 stars. In buckets that still hold several components, blocks of members are
 compared set by set inside a task, which gives out one link for each pair of
-components that it joins. So no pair of a bucket is lost, and near copies of
+components that it joins. The sets there are the full ones, so what a block
+links is confirmed, no pair of a bucket is lost, and near copies of
 one text cost one row each.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, durable, mix64, release_memory, stream64
+from .common import U64, durable, mix64, release_memory, stream64, unused
 from .components import connected_components, merge_components
 from .words import Words, shingles
 
@@ -91,11 +92,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates keeps: of each group the document of the least doc_id."""
-    dropped = durable(_classified(docs, words, num, den, BANDS, ROWS).filter("not kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("_doc"), F.col("text_hash").alias("_hash")).distinct())
+    """The rows of ``docs`` that near_duplicates keeps, with all their columns: of each group the document of the least doc_id.
+
+    Nulls, empty texts, ties and repeated rows are as there: a null or empty text is a copy of nothing and stays, a
+    null doc_id comes after all others, repeated rows stay or go together. An empty table stays empty; any column names go.
+    """
+    id_, text_hash = unused(docs, "doc", "text_hash")
+    dropped = durable(
+        _classified(docs, words, num, den, BANDS, ROWS).filter("not kept")
+        .select(F.coalesce("doc_id", F.lit(LAST)).alias(id_), F.col("text_hash").alias(text_hash)).distinct()
+    )
     if dropped.count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), text_hash: F.xxhash64(F.col("text").cast("string"))})
+    return keyed.join(dropped, [id_, text_hash], "left_anti").select(*(docs[c] for c in docs.columns))
 
 
 def _classified(docs: DataFrame, words: int, num: int, den: int, bands: int, rows: int) -> DataFrame:
@@ -135,7 +145,7 @@ def _classified(docs: DataFrame, words: int, num: int, den: int, bands: int, row
     # a leader's pairs are all known; what is left of a bucket is open if it is in several components
     rest = buckets.join(leaders.select("bucket", F.col("x").alias("node")), ["bucket", "node"], "left_anti")
     more = _block_links(rest.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), plain, words, num, den)
-    label = durable(merge_components(label, _confirmed(more, plain, words, num, den)))
+    label = durable(merge_components(label, more))
     found = classes.select("h", "g", "n", "node").join(label, "node", "left").withColumn("node", F.coalesce("component", "node")).select("h", "g", "n", _doc_of(F.col("node")).alias("component"))
     return (
         signed.select("doc", "text_hash", "n", "h", "g").join(found, ["h", "g", "n"], "left")
@@ -263,20 +273,39 @@ def links_in_block(items: list[np.ndarray], labels: list[bytes], side: list[int]
     return out
 
 
+def _size_class(n: Column, num: int, den: int) -> Column:
+    """Sets that can be alike are in the same class or in neighbouring ones: a class is a little wider than den / num."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(den / num * 1.000001))).cast("int")
+
+
+def _open_members(members: DataFrame, num: int, den: int) -> DataFrame:
+    """The members (bucket, node, n, c) of buckets that hold several components.
+
+    A bucket of more than one chunk becomes a bucket for each two neighbouring
+    size classes: members whose sizes alone rule a link out are not compared.
+    """
+    sizes = durable(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("items"), F.min("c").alias("one"), F.max("c").alias("other")).filter("one <> other").select("bucket", "k", "items"))
+    size_class = _size_class(F.col("n"), num, den)
+    apart = F.array(F.xxhash64("bucket", size_class), F.xxhash64("bucket", size_class + 1))
+    large = (F.col("k") > CHUNK_MEMBERS) | (F.col("items") > CHUNK_ITEMS)
+    return durable(members.join(sizes, "bucket").select(F.explode(F.when(large, apart).otherwise(F.array("bucket"))).alias("bucket"), "node", "n", "c"))
+
+
 def _block_links(members: DataFrame, plain: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) across components inside buckets, from members (bucket, node, n, c).
+    """Confirmed links (a, b) across components inside buckets, from members (bucket, node, n, c).
 
     A bucket is cut into chunks by hash, those of its main component apart from the others. Blocks are pairs of
-    chunks, but for two of the main component, between which no link is missing. Sets travel as 32 bits a
-    shingle; who uses the links confirms them on full sets.
+    chunks, but for two of the main component, between which no link is missing.
     """
+    members = _open_members(members, num, den)
     each = members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("items"))
     shape = each.groupBy("bucket").agg(
         F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("parts"),
         F.max(F.struct("k", "c", "items")).alias("top"), F.sum("k").alias("k"), F.sum("items").alias("items"),
     ).filter("parts > 1")
     chunks = lambda k, items: F.ceil(F.greatest(k / F.lit(float(CHUNK_MEMBERS)), items / F.lit(float(CHUNK_ITEMS)))).cast("int")
-    shape = shape.select("bucket", "main", chunks(F.col("top.k"), F.col("top.items")).alias("mains"), chunks(F.col("k") - F.col("top.k"), F.col("items") - F.col("top.items")).alias("others"))
+    # a table of its own: adaptive execution can split a large bucket where an exchange alone feeds the join
+    shape = durable(shape.select("bucket", "main", chunks(F.col("top.k"), F.col("top.items")).alias("mains"), chunks(F.col("k") - F.col("top.k"), F.col("items") - F.col("top.items")).alias("others")))
     open_ = members.join(shape, "bucket").withColumn("is_main", F.col("c") == F.col("main"))
     draw = F.xxhash64("node")
     # chunks 0 .. others - 1 are the others', then come the main component's
@@ -286,22 +315,15 @@ def _block_links(members: DataFrame, plain: DataFrame, words: int, num: int, den
     if placed.isEmpty():
         return placed.select(F.col("node").alias("a"), F.col("node").alias("b"))
     sets = _sets(placed.select("node"), plain, words)
-
-    def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([(np.frombuffer(x.as_buffer(), U64) >> U64(32)).astype(np.uint32).tobytes() for x in b.column("items")], pa.binary())], names=["node", "items"])
-        release_memory()
-
-    short = sets.mapInArrow(halved, "node binary, items binary")
     block = F.xxhash64("bucket", F.least("chunk", "partner"), F.greatest("chunk", "partner"))
     side = F.when(F.col("chunk") == F.col("partner"), 2).when(F.col("chunk") < F.col("partner"), 0).otherwise(1)
-    rows = placed.select("node", "c", block.alias("block"), side.alias("side")).join(short, "node")
+    rows = placed.select("node", "c", block.alias("block"), side.alias("side")).join(sets, "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def links() -> pa.RecordBatch:
-            found = links_in_block([np.frombuffer(h[2], np.uint32) for h in held], [h[1] for h in held], [h[3] for h in held], num, den)
+            found = links_in_block([np.frombuffer(h[2], U64) for h in held], [h[1] for h in held], [h[3] for h in held], num, den)
             return pa.RecordBatch.from_arrays([pa.array([min(held[i][0], held[j][0]) for i, j in found], pa.binary()), pa.array([max(held[i][0], held[j][0]) for i, j in found], pa.binary())], names=["a", "b"])
 
         for b in batches:

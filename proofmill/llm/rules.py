@@ -159,10 +159,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with the columns of ``docs``.
+    """The rows of ``docs`` that quality_rules keeps, with all their columns, whatever their names.
 
-    Text and features are written once and read for the cutoffs and the verdict.
+    Nulls, empty texts, repeated rows and missing labels are as there: a null or empty text goes, repeated rows stay or go together,
+    a null doc_id has no label, and an empty table stays empty. Cutoffs are crossed above them, so a score that ties with one stays.
+    Rows and features are written once and read for the cutoffs and the verdict.
     """
-    columns = docs.columns
-    features = durable(with_features(docs))
-    return judged(features, cutoffs(features, labels)).filter("kept").select(*columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    features = durable(with_features(rows).drop("text"))
+    return judged(features, cutoffs(features, labels)).filter("kept").select("row.*")

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from proofmill.llm import neardup
 from proofmill.llm.components import connected_components
@@ -84,3 +85,47 @@ def test_signatures_estimate_similarity():
     sig = neardup.signatures([x, x[200:], x[:10]], 400)
     assert abs((sig[0] == sig[1]).mean() - 0.8) < 0.08
     assert (sig[0] == sig[2]).mean() < 0.05
+
+
+def test_block_links_at_the_threshold():
+    """Sets of 80 and 100 at exactly 0.8, whose shingles agree in their upper or lower halves, are linked; one shingle less is not."""
+    for shift in (0, 32):
+        x = (np.arange(100, dtype=np.uint64) + np.uint64(1)) << np.uint64(shift)
+        # the least two differ in the other half alone
+        x[1] = x[0] ^ (np.uint64(1) << np.uint64(32 - shift if shift == 0 else 0))
+        x = np.unique(x)
+        assert len(x) == 100
+        subset = np.delete(x, np.arange(50, 70))
+        assert neardup.links_in_block([x, subset], [b"a", b"b"], [2, 2], 80, 100) == [(0, 1)]
+        assert neardup.links_in_block([x, subset[1:]], [b"a", b"b"], [2, 2], 80, 100) == []
+
+
+def test_every_pair_of_an_open_bucket(spark, monkeypatch):
+    """Buckets of many unlike members of many sizes, cut into chunks of a few members."""
+    monkeypatch.setattr(neardup, "CHUNK_MEMBERS", 4)
+    rng = random.Random(11)
+    rows = []
+    for g in range(6):
+        shared = [f"s{g}x{k}" for k in range(60)]
+        for i in range(60):
+            own = [f"o{g}y{rng.randrange(10**6)}" for _ in range(rng.choice([1, 5, 10, 14, 15, 16, 30, 60, 90]))]
+            rows.append((len(rows), " ".join(shared + own)))
+    rng.shuffle(rows)
+    compare(spark, rows, 2)
+
+
+def test_size_classes(spark):
+    pairs = [(n, -(-n * 80 // 100)) for n in range(1, 20_000, 7)] + [(125 * 5**k, 100 * 5**k) for k in range(8)]
+    for a, b in spark.createDataFrame(pairs, "a long, b long").select(neardup._size_class(F.col("a"), 80, 100), neardup._size_class(F.col("b"), 80, 100)).collect():
+        assert 0 <= a - b <= 1
+
+
+def test_columns_of_the_caller(spark):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (None, "a b c d e f g"), (5, "")]
+    names = ("doc", "text_hash", "_doc", "_hash", "h", "g", "node", "component", "bucket", "component_id", "n_shingles")
+    df = table(spark, rows).drop("h")
+    for name in names:
+        df = df.withColumn(name, F.lit(f"mine {name}"))
+    got = neardup.drop_near_duplicates(df).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "3", "5"]
+    assert all(r[name] == f"mine {name}" for r in got for name in names) and all(r.kept == "x" for r in got)

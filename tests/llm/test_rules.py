@@ -6,6 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from proofmill.llm import rules
+from proofmill.llm.common import durable
 from proofmill.llm.rules import BANDS, CONFIDENCE, RISK, RULES, binomial_tail, cutoffs, keep_good, quality_rules, with_features
 
 from .data import AWKWARD, table
@@ -95,8 +96,10 @@ def test_false_rejections_stay_below_the_risk(spark):
     """On fresh documents of the same kind the rejected share of good ones keeps to the sum of the rules' risks."""
     rows, labels = corpus()
     lab = spark.createDataFrame(labels, "doc_id long, quality int")
-    found = cutoffs(with_features(table(spark, rows)), lab)
-    fresh = rules.judged(with_features(table(spark, rows).withColumn("text", F.translate("text", "abcdefgh", "bcdefgha"))), found)
+    # features are tables, as in the operator: else they are computed again for each rule and cutoff
+    found = durable(cutoffs(durable(with_features(table(spark, rows))), lab))
+    other = durable(table(spark, rows).withColumn("text", F.translate("text", "abcdefgh", "bcdefgha")))
+    fresh = durable(rules.judged(durable(with_features(other)), found))
     good = fresh.join(lab.filter("quality = 1"), "doc_id", "left_semi").filter("not base_failed")
     assert good.filter("not kept").count() <= len(RULES) * RISK * good.count() + 5
 
@@ -105,3 +108,17 @@ def test_no_python_in_the_plan(spark):
     rows, labels = corpus()
     df = quality_rules(table(spark, rows[:20]), spark.createDataFrame(labels[:20], "doc_id long, quality int"))
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
+
+
+def test_columns_of_the_caller(spark):
+    """Every name that the rules use inside comes back with the caller's values."""
+    rows, labels = corpus()
+    names = ["kept", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "stratum", "row", "_w", "_l", "_h", "_g", "_s", "_p", "_caps", "_id", *(f"{k}_{r}" for k in ("score", "cutoff") for r in RULES)]
+    df = table(spark, rows).drop("kept")
+    for name in names:
+        df = df.withColumn(name, F.lit(f"mine {name}"))
+    got = keep_good(df, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert got.columns == df.columns
+    found = got.collect()
+    assert all(r[name] == f"mine {name}" for r in found for name in names)
+    assert sorted(r.doc_id for r in found) == sorted(r[0] for r in judge(rows, labels) if r[-1])
