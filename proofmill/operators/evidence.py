@@ -16,6 +16,7 @@ from ..functions.text import in_order, occurrences, sentences, with_quote_id
 #: Our choice: the longest quote that is accepted, in code points.
 MAX_QUOTE_CHARS = 2000
 MAX_SENTENCES = 2
+#: The field names of a facts file.
 FACT_FIELDS = ("paper", "research_problem", "research_object", "approach", "findings", "contributions", "topic_terms", "limitations", "source_anchors", "confidence")
 PAPER_FIELDS = ("title", "authors", "year", "venue", "doi")
 
@@ -93,11 +94,15 @@ def cache_errors(caches: DataFrame, sources: DataFrame) -> DataFrame:
 def update_cache(old: DataFrame, new: DataFrame) -> DataFrame:
     """Cached pages (pdf_sha256, page, text) after an update: new pages over old ones of the same fingerprint; pages of other fingerprints of ``new``'s paths never join in.
 
-    ``old`` and ``new`` also carry ``path``; a path keeps the fingerprint of its new pages alone.
+    ``old`` and ``new`` also carry ``path``; a path keeps the fingerprint of its new pages alone. New pages of one path
+    under several fingerprints get the ``error`` "several fingerprints" and change nothing.
     """
-    now = new.select("path", F.col("pdf_sha256").alias("_sha")).distinct()
+    by_path = new.groupBy("path").agg(F.min("pdf_sha256").alias("_sha"), F.max("pdf_sha256").alias("_other"))
+    checked = new.join(by_path, "path").withColumn("error", F.when(F.col("_sha") != F.col("_other"), "several fingerprints")).drop("_sha", "_other")
+    now = by_path.filter("_sha = _other").drop("_other")
     kept = old.join(now, "path", "left").filter("_sha is null or _sha = pdf_sha256").drop("_sha")
-    return kept.join(new, ["path", "pdf_sha256", "page"], "left_anti").unionByName(new)
+    fine = checked.filter("error is null")
+    return kept.join(fine, ["path", "pdf_sha256", "page"], "left_anti").withColumn("error", F.lit(None).cast("string")).unionByName(checked)
 
 
 def digest_error(given: Column, prepared: Column) -> Column:
@@ -110,11 +115,15 @@ def anchor_error(markdown: Column, first: str, second: str) -> Column:
 
 
 def patch_section(markdown: Column, heading: str, before: str, rendered: Column) -> Column:
-    """The section under ``heading`` replaced up to ``before``, or put in ahead of ``before``; the rest untouched. Null if ``before`` is missing."""
-    cut = F.locate(before, markdown)
-    at = F.locate(heading, markdown)
-    head = F.when((at > 0) & (at < cut), F.substring(markdown, F.lit(1), at - 1)).otherwise(F.substring(markdown, F.lit(1), cut - 1))
-    return F.when(cut > 0, F.concat(head, F.lit(heading + "\n"), rendered, F.lit("\n"), F.substring(markdown, cut, F.length(markdown))))
+    """The section under ``heading`` replaced up to ``before``, or put in ahead of ``before``; the rest untouched. Null if ``before`` is missing.
+
+    Both are whole lines, white space at their ends aside: a longer heading with the same beginning is another one.
+    """
+    line = lambda h: f"\\n(?=\\Q{h}\\E[ \\t]*(\\r?\\n|$))"
+    parts = F.split(F.concat(F.lit("\n"), markdown), line(before), 2)
+    # each line, the first one too, has a line end before it: the one put in front goes again
+    ahead = F.concat(F.get(F.split(parts[0], line(heading), 2), F.lit(0)), F.lit("\n"))
+    return F.when(F.size(parts) == 2, F.concat(F.substring(ahead, F.lit(2), F.length(ahead)), F.lit(heading + "\n"), rendered, F.lit("\n"), F.get(parts, F.lit(1))))
 
 
 def render_items(items: Column) -> Column:

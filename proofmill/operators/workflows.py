@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import variants as V
-from ..functions.text import page_marker, source_label, with_quote_id
-from ..sources.inputs import markdown_items
+from ..functions.text import apply_steps, page_marker, source_label, with_quote_id
+from ..sources.inputs import fulltext_caches, markdown_items, page_quality
+from ..sources.sinks import cache_metadata_path
 from . import evidence, locate
+from .pages import KEYWORDS, LAST_PAGES, ocr_required, page_candidates, page_selection
 
 
 def candidates_markdown(candidates: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -103,3 +105,94 @@ def validated_cache(caches: DataFrame, sources: DataFrame, expected: DataFrame |
     good = caches.join(states.filter("error is null").select("path"), "path", "left_semi").select("path", "page", "text", F.lit(None).cast("string").alias("error"))
     bad = states.filter("error is not null").select("path", F.lit(None).cast(caches.schema["page"].dataType).alias("page"), F.lit(None).cast("string").alias("text"), "error")
     return good.unionByName(bad)
+
+
+def prepare(pages: DataFrame, fingerprints: DataFrame | None = None, toc: DataFrame | None = None, quality: DataFrame | None = None, keywords: tuple[str, ...] = KEYWORDS, last: int = LAST_PAGES) -> DataFrame:
+    """Everything that reading a document needs, a row for each: doc_id, pdf_sha256, toc, page_quality, selection, candidates, source_pages, ocr_required_pages.
+
+    ``pages``: doc_id, page, text; ``fingerprints``: doc_id, pdf_sha256; ``toc``: doc_id, ord, level, title, page;
+    ``quality``: doc_id, page, tier (default: page_quality). Lists are in the order of pages, the table of contents in its own; a
+    document without entries has empty lists. A page of the table of contents that the document lacks stays in ``toc`` and is not selected.
+    """
+    tiers = (page_quality(pages) if quality is None else quality).select("doc_id", "page", "tier")
+    chosen = page_selection(pages, None if toc is None else toc.select("doc_id", "page"), keywords, last)
+    listed = lambda df, name, *columns: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+    numbers = lambda df, name: df.groupBy("doc_id").agg(F.sort_array(F.collect_set("page")).alias(name))
+    parts = [
+        listed(tiers, "page_quality", "page", "tier"), numbers(chosen, "_chosen"), numbers(ocr_required(chosen, tiers), "ocr_required_pages"),
+        listed(page_candidates(pages.select("doc_id", "page", "text")), "candidates", "page", "ord", "quote", "id"),
+    ]
+    if toc is not None:
+        parts += [listed(toc, "toc", "ord", "level", "title", "page"), numbers(toc.join(pages, ["doc_id", "page"], "left_semi"), "_toc_pages")]
+    out = listed(pages, "source_pages", "page", "text")
+    for p in parts:
+        out = out.join(p, "doc_id", "left")
+    if fingerprints is not None:
+        out = out.join(fingerprints.select("doc_id", "pdf_sha256"), "doc_id", "left")
+    else:
+        out = out.withColumn("pdf_sha256", F.lit(None).cast("string"))
+    if toc is None:
+        number = dict(pages.dtypes)["page"]
+        out = out.withColumns({"toc": F.array().cast(f"array<struct<ord:int,level:int,title:string,page:{number}>>"), "_toc_pages": F.array().cast(f"array<{number}>")})
+    full = lambda c: F.coalesce(F.col(c), F.array().cast(out.schema[c].dataType))
+    return out.select(
+        "doc_id", "pdf_sha256", F.transform(full("toc"), lambda x: x.dropFields("ord")).alias("toc"), full("page_quality").alias("page_quality"),
+        F.struct(full("_chosen").alias("pages"), full("_toc_pages").alias("toc_pages")).alias("selection"), full("candidates").alias("candidates"), "source_pages", full("ocr_required_pages").alias("ocr_required_pages"),
+    )
+
+
+def prepared_summary(prepared: DataFrame) -> DataFrame:
+    """Of ``prepare``'s rows what a reader wants first, without candidate text."""
+    return prepared.select(
+        "doc_id", F.lit("ok").alias("result"), "pdf_sha256", F.size("candidates").alias("candidate_count"), F.array_sort(F.array_distinct("candidates.page")).alias("candidate_pages"), "ocr_required_pages",
+    )
+
+
+def write_debug(prepared: DataFrame, path: str) -> None:
+    """The whole rows as JSON lines, the candidates as a table, and the candidates as Markdown with a marker before each page."""
+    each = prepared.select("doc_id", F.inline("candidates"))
+    prepared.select(F.to_json(F.struct(*prepared.columns)).alias("json")).write.mode("overwrite").text(f"{path}/prepare")
+    each.write.mode("overwrite").parquet(f"{path}/candidates")
+    candidates_markdown(each).write.mode("overwrite").parquet(f"{path}/candidates_markdown")
+
+
+def update_fulltext_cache(new: DataFrame, sources: DataFrame) -> DataFrame:
+    """(path, text, metadata_path, metadata, error): full-text caches (path, text) stamped with the fingerprint that their source (path, source_sha256) has now; without a source nothing is stamped."""
+    joined = new.select("path", "text").join(sources.select("path", "source_sha256"), "path", "left")
+    stamp = F.to_json(F.struct(F.lit(1).alias("schema"), F.col("source_sha256").alias("pdf_sha256")))
+    known = F.col("source_sha256").isNotNull()
+    return joined.select(
+        "path", F.when(known, F.col("text")).alias("text"), F.when(known, cache_metadata_path(F.col("path"))).alias("metadata_path"),
+        F.when(known, stamp).alias("metadata"), F.when(~known, "no source").alias("error"),
+    )
+
+
+def validated_fulltext_cache(caches: DataFrame, metadata: DataFrame, sources: DataFrame) -> DataFrame:
+    """(path, text, pdf_sha256, error): a checked copy of full-text caches; a bad one keeps no text. Errors: no source, metadata is missing, stale."""
+    found = fulltext_caches(caches, metadata)
+    states = evidence.cache_errors(found.select("path", "cache_sha256"), sources)
+    fine = F.col("error").isNull()
+    return found.select("path", "text").join(states, "path").select("path", F.when(fine, F.col("text")).alias("text"), F.when(fine, F.col("source_sha256")).alias("pdf_sha256"), "error")
+
+
+def run_program(files: DataFrame, steps: DataFrame, program: str, text: str = "text") -> DataFrame:
+    """``files`` with ``result`` and ``error``: a stored rewrite program run over each text.
+
+    ``steps``: program, ord, mode (once, all, keep, drop), old, new. "once" and "all" replace; "keep" and "drop"
+    are gates: the text must hold ``old``, or must not. A program is a short list, which the driver reads in order.
+    """
+    rows = steps.filter(F.col("program") == program).orderBy("ord").select("mode", "old", "new").collect()
+    if not rows:
+        raise ValueError(f"no program {program}")
+    if wrong := {r["mode"] for r in rows} - {"once", "all", "keep", "drop"}:
+        raise ValueError(f"unknown modes: {sorted(wrong)}")
+    result, error = F.col(text), F.lit(None).cast("string")
+    for k, r in enumerate(rows):
+        if r["mode"] in ("once", "all"):
+            result, problem = apply_steps(result, [(r["mode"], r["old"], r["new"])])
+            problem = F.regexp_replace(problem, "^step 1", f"step {k + 1}")
+        else:
+            there = F.contains(result, F.lit(r["old"]))
+            problem = F.when(~there if r["mode"] == "keep" else there, F.lit(f"step {k + 1}: {'missing' if r['mode'] == 'keep' else 'left over'}"))
+        error = F.coalesce(error, problem)
+    return files.withColumn("error", F.when(F.col(text).isNotNull(), error)).withColumn("result", F.when(F.col("error").isNull(), result))

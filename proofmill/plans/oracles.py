@@ -56,7 +56,7 @@ def listed(source: str, keys: str) -> str:
 
 
 PAGES = "p as (select conv_id as doc_id, turn as page, role, text from conversations)"
-QUALITY = "ql as (select doc_id, 0::bigint as page, case when quality = 0 then 'untrusted' else 'ok' end as tier from labels)"
+QUALITY = "ql as (select p.doc_id, p.page, case when quality = 0 then 'untrusted' else 'ok' end as tier from labels join p on p.doc_id = labels.doc_id)"
 SELECTION = f"""{PAGES}, sel as (select distinct doc_id, page from (select *, max(page) over (partition by doc_id) as e from p)
   where page = 0 or page > e - 2 or contains(lower(text), 'tion the') or contains(lower(text), 'license'))"""
 REQUIRED = f"{SELECTION}, {QUALITY}, req as (select doc_id, page from ql semi join sel using (doc_id, page) where tier = 'untrusted')"
@@ -64,9 +64,9 @@ BAD = f"{REQUIRED}, bad as (select distinct doc_id, page from (select doc_id, pa
 MERGED = f"{BAD}, merged as (select doc_id, page, case when ok then 'ocr ' || replace(text, 'e', '3') else text end as text, ok as resolved from (select p.*, b.doc_id is not null and p.role <> 'user' as ok from p left join bad b using (doc_id, page)))"
 NORMAL = VIEW.format("quote")
 CAND = f"{PAGES}, cand as ({listed('p', 'doc_id, page')})"
-ITEMS = f"""{CAND}, it as (select doc_id * 1000 + page as item_id, doc_id,
+ITEMS = f"""{CAND}, it as (select (doc_id * 1000 + page) * 1000 + ord as item_id, ord, doc_id,
     case doc_id % 5 when 1 then left(quote, length(quote) - 1) when 4 then repeat(quote, 400) else quote end as quote,
-    case when doc_id % 5 = 2 then page + 1000 else page end as page, case when doc_id % 5 = 3 then repeat('0', 64) else sha256({NORMAL}) end as id from cand where ord = 0)"""
+    case when doc_id % 5 = 2 then page + 1000 else page end as page, case when doc_id % 5 = 3 then repeat('0', 64) else sha256({NORMAL}) end as id from cand)"""
 CHECKED = f"""{ITEMS}, ck as (select it.*, sha256({NORMAL.replace('quote', 'it.quote')}) as quote_id, case when length(it.quote) > 2000 then 'exceeds'
     when not exists (select 1 from cand c where c.doc_id = it.doc_id and c.quote = it.quote) then 'prepared candidate'
     when not exists (select 1 from cand c where c.doc_id = it.doc_id and c.quote = it.quote and c.page = it.page) then 'quote and page'
@@ -98,7 +98,7 @@ ORACLES: dict[str, str] = {
     "source_fingerprints": "select doc_id, 'sha256:' || sha256(text) as fingerprint from documents",
     "nfkc_forms": values([(n, f) for (n, _), f in zip(samples.NFKC, samples.NFKC_FORMS, strict=True)], "n int, normal varchar"),
     "cjk_sentences": values([(n, k, s) for (n, _), xs in zip(samples.CJK, _SPLIT_CJK, strict=True) for k, s in enumerate(xs)], "n int, ord int, sentence varchar"),
-    "dehyphenated": values([(1, "investigate"), (2, "cost- sensitive"), (3, "in- line"), (4, "ab"), (5, "1-\n2"), (6, "end-"), (7, "éè")], "n int, joined varchar"),
+    "dehyphenated": values([(1, "continent"), (2, "long- lasting"), (3, "in- line"), (4, "ab"), (5, "1-\n2"), (6, "end-"), (7, "éè")], "n int, joined varchar"),
     "repeated_edge_lines": "select edge, line, count(distinct doc_id) as pages from (select doc_id, 'top' as edge, string_split(text, chr(10))[1] as line from documents union all select doc_id, 'bottom', string_split(text, chr(10))[-1] from documents) group by all having count(distinct doc_id) >= 2",
     "edge_exclusions": values([(1, 1, 0, 8, "HEADER", "top"), (1, 1, 20, 23, "1", "bottom"), (1, 2, 0, 7, "HEADER", "top")], "doc_id int, page int, span_start int, span_end int, line varchar, edge varchar"),
     "mixed_edge_exclusions": values(samples.MIXED_SPANS, "page int, span_start int, span_end int, line varchar, edge varchar"),
@@ -116,13 +116,32 @@ ORACLES: dict[str, str] = {
     "item_error_codes": f"with {CHECKED} select item_id, error from ck",
     "duplicate_ids": f"with {DOC_CAND} select doc_id, sha256({NORMAL}) as id, count(*) as n from dc group by all having count(*) > 1",
     "sentence_cap": f"select item_id, case when len({sentences('text')}) > 2 then 'sentences' end as error from benchmark",
-    "facts_join": f"""with {DOC_CAND}, ids as (select doc_id, string_agg(sha256({NORMAL}), ',' order by ord) as ids from dc where ord < 3 group by doc_id),
+    "facts_join": f"""with {DOC_CAND}, ids as (select doc_id, string_agg(sha256({NORMAL}), ',' order by ord) as ids from dc group by doc_id),
       s as (select doc_id, doc_id % 7 as k, quality, 'sha256:' || sha256(text) as fp, ids from labels join documents using (doc_id) left join ids using (doc_id)),
       j as (select d.doc_id as analysis, case when s.doc_id is null then 'no sidecar' when quality = 0 then 'status' when k = 1 then 'evidence level' when k in (2, 3) then 'fingerprint' end as error, ids from documents d left join s using (doc_id))
       select analysis, error, case when error is null then ids end as future_work_ids from j""",
     "sidecar_files": f"with {CHECKED} select doc_id || '.future_work.json' as path, count(*)::int as items from ck where doc_id not in (select doc_id from ck where error is not null) group by doc_id",
     "cache_states": "select doc_id::varchar as path, case when doc_id not in (select doc_id from labels) then 'no source' when doc_id % 3 = 0 then 'metadata is missing' when doc_id % 3 = 1 then 'stale' end as error from documents",
-    "cache_update": values([("p", "new", 2, "fresh"), ("q", "same", 1, "one"), ("q", "same", 2, "two again"), ("r", "x", 1, "kept")], "path varchar, pdf_sha256 varchar, page int, text varchar"),
+    "cache_update": values([("p", "new", 2, "fresh", None), ("q", "same", 1, "one", None), ("q", "same", 2, "two again", None), ("r", "x", 1, "kept", None), ("s", "a", 1, "of a", "several fingerprints"), ("s", "b", 2, "of b", "several fingerprints"), ("s", "old", 1, "stays", None)], "path varchar, pdf_sha256 varchar, page int, text varchar, error varchar"),
+    "fulltext_cache_stamps": """with s as (select d.doc_id::varchar as path, d.text, sha256(d.text) as sha, l.doc_id is not null as known from documents d left join (select distinct doc_id from labels) l using (doc_id))
+      select path, case when known then md5(text) end as text, case when known then path || '.meta.json' end as metadata_path, case when known then '{"schema":1,"pdf_sha256":"' || sha || '"}' end as metadata, case when not known then 'no source' end as error from s""",
+    "fulltext_cache_copies": """with s as (select d.doc_id::varchar as path, d.text, sha256(d.text) as sha, case when l.doc_id is null then 'no source' when d.doc_id % 5 in (0, 1, 3) then 'metadata is missing' when d.doc_id % 5 = 2 then 'stale' end as error
+        from documents d left join (select distinct doc_id from labels) l using (doc_id))
+      select path, case when error is null then md5(text) end as text, case when error is null then sha end as pdf_sha256, error from s""",
+    "toc_entries": values([("a", 0, 1, "Opening", 1), ("a", 1, 2, "Details", 2), ("b", 1, 1, "Numbered", 7)], "path varchar, ord int, level int, title varchar, page int"),
+    "prepared_documents": f"""with {CAND}, {QUALITY}, sel as (select distinct doc_id, page from (select *, max(page) over (partition by doc_id) as e from p) where role = 'system' or page > e - 2 or contains(lower(text), 'tion the'))
+      select doc_id, max(case when page = 0 then sha256(text) end) as pdf_sha256, (2 * count(*) filter (where role = 'system'))::int as toc_entries,
+        (select count(*)::int from ql where ql.doc_id = p.doc_id) as tiers, (select coalesce(string_agg(page::varchar, ',' order by page), '') from sel where sel.doc_id = p.doc_id) as selected,
+        coalesce(string_agg(page::varchar, ',' order by page) filter (where role = 'system'), '') as toc_pages, (select count(*)::int from cand where cand.doc_id = p.doc_id) as candidates,
+        (select md5(coalesce(string_agg(sha256({NORMAL}), ',' order by page, ord), '')) from cand where cand.doc_id = p.doc_id) as ids, count(*)::int as pages,
+        (select coalesce(string_agg(page::varchar, ',' order by page), '') from ql semi join sel using (doc_id, page) where ql.doc_id = p.doc_id and tier = 'untrusted') as required
+      from p group by doc_id""",
+    "quality_reports": f"""with {PAGES}, s as (select doc_id, regexp_matches(coalesce(text, ''), '\\p{{L}}') as lettered, length(regexp_replace(text, '[^\\p{{L}}\\s]', '', 'g')) / length(text) as share from p), t as (select doc_id, case when lettered then share else 0 end as score, lettered from s)
+      select doc_id, count(*) as pages, count(*) filter (where lettered and score >= 0.97) as ok, count(*) filter (where lettered and score < 0.97) as untrusted, count(*) filter (where not lettered) as empty, round(min(score), 9) as least_score, 0.97::double as threshold from t group by doc_id""",
+    "json_file_errors": "select event_id, case when event_id % 7 = 0 then 'unreadable JSON' end as error from events",
+    "stored_program": """with s as (select page_id, html, (length(html) - length(replace(html, '<title>', ''))) // 7 as n, replace(html, '<title>', '<h1>') as one from pages), e as (select page_id, replace(one, 'href=', 'src=') as two,
+        case when n <> 1 then 'step 1: expected once, found ' || n when not contains(replace(one, 'href=', 'src='), '<nav>') then 'step 3: missing' when contains(replace(one, 'href=', 'src='), 'track(1)') then 'step 4: left over' end as error from s)
+      select page_id, case when error is null then md5(two) end as result, error from e""",
     "page_cache_rows": values([("a", "x", 1, "one"), ("a", "x", 12, "twelve")], "path varchar, pdf_sha256 varchar, page int, text varchar"),
     "foreign_digests": values([(1, None), (2, None), (3, "foreign digest")], "n int, error varchar"),
     "draft_fields": values([(1, None), (2, "unknown fields: future_work_ids"), (3, "missing fields: b"), (4, "not an object"), (5, None)], "n int, error varchar"),
@@ -141,9 +160,11 @@ ORACLES: dict[str, str] = {
     "child_counts": "select n_regionkey as sender, count(distinct n_nationkey) as children from nation group by 1",
     "edge_total": "select count(*) as relations from (select distinct l_suppkey, l_partkey from lineitem)",
     "ownership_conflicts": "select l_partkey as receiver, count(distinct l_suppkey) as senders from lineitem group by 1 having count(distinct l_suppkey) > 1",
-    "topology_verdicts": """with c as (select r_regionkey, count(n_nationkey)::int as n from region left join nation on n_regionkey = r_regionkey and n_nationkey < 12 group by 1)
-      select r_regionkey::varchar as run_id, case n when 3 then 'PASS' when 0 then 'NOT_TESTED' else 'FAIL_PRODUCER' end as producer_status, n as nested_direct_child_count, n + 1 as formal_spawn_relation_count,
+    "topology_verdicts": """with c as (select c_custkey, count(o_orderkey)::int as n from customer left join orders on o_custkey = c_custkey group by 1)
+      select c_custkey::varchar as run_id, case n when 3 then 'PASS' when 0 then 'NOT_TESTED' else 'FAIL_PRODUCER' end as producer_status, n as nested_direct_child_count, n + 1 as formal_spawn_relation_count,
       case n when 3 then 0 when 0 then 4 else 1 end as exit_code from c""",
+    "topology_reasons": values(samples.REASONS, "run_id varchar, reasons varchar"),
+    "contract_gates": values([(name, status, {"PASS": 0, "INVALID_TEST_EXECUTION": 3}[status]) for name, _, status in samples.CONTRACTS], "contract varchar, producer_status varchar, exit_code int"),
     "topology_gates": values([(name, status) for name, _, status in samples.LOGS], "run_id varchar, producer_status varchar"),
     "json_paths": "select try_cast(props->>'k' as bigint) as k, count(*) as n from events group by 1",
     "json_kinds": values([(1, "NUMBER"), (2, "NULL"), (3, "MISSING"), (4, "STRING"), (5, "BOOLEAN"), (6, "ARRAY"), (7, "OBJECT"), (8, "MISSING"), (9, "MISSING")], "n int, kind varchar"),
@@ -155,16 +176,16 @@ ORACLES: dict[str, str] = {
     "rewrite_program": f"""with a as (select page_id, coalesce({_TITLE[0]}, html) as s1, {_TITLE[1]} as e1 from pages), b as (select page_id, coalesce({_STEP2[0]}, s1) as s2, e1, {_STEP2[1]} as e2 from a),
       c as (select page_id, replace(s2, '<a href=', '<A HREF=') as s3, e1, e2 from b), d as (select page_id, {_STEP4[0]} as s4, coalesce('step 1: ' || e1, 'step 2: ' || e2, 'step 4: ' || {_STEP4[1]}) as error from c)
       select page_id, case when error is null then md5(s4) end as result, error from d""",
-    "patch_section": """select page_id, md5(case when b > 0 then (case when a > 0 and a < b then left(html, a - 1) else left(html, b - 1) end) || '<nav>' || chr(10) || 'page ' || page_id || chr(10) || substr(html, b) end) as patched,
-      case when not (a > 0 and b > a and len(string_split(html, '<nav>')) = 2 and len(string_split(html, '</nav>')) = 2) then 'anchors' end as error from (select *, instr(html, '<nav>') as a, instr(html, '</nav>') as b from pages)""",
+    "patch_section": """select page_id, md5(case when b > 0 then (case when a > 0 and a < b then left(m, a) else left(m, b) end) || '<nav>' || chr(10) || 'page ' || page_id || chr(10) || substr(m, b + 1) end) as patched,
+      case when not (a > 0 and b > a and len(string_split(html, '<nav>')) = 2 and len(string_split(html, '</nav>')) = 2) then 'anchors' end as error from (select *, instr(m, chr(10) || '<nav>' || chr(10)) as a, instr(m, chr(10) || '</nav>' || chr(10)) as b from (select *, replace(replace(html, '<nav>', chr(10) || '<nav>' || chr(10)), '</nav>', chr(10) || '</nav>' || chr(10)) as m from pages))""",
     "html_title_and_text": r"select page_id, regexp_extract(html, '<title>((?s:.*?))</title>', 1) as title, md5(ltrim(regexp_replace(regexp_replace(html, '<script>[^\n]*?</script>|<style>[^\n]*?</style>', '', 'g'), '<[^>]*>', ' ', 'g'), ' ' || chr(9) || chr(10))) as body from pages",
     "frontmatter": values([(1, "1.2", None, True), (2, "1.2", None, True), (3, None, "lines: 2", True), (4, None, "open quote", True), (5, None, "quote inside", True), (6, None, "double quotes", True), (7, None, "separators: 0", None), (8, None, "separators: 2", None), (9, None, "lines: 0", True)], "n int, version varchar, error varchar, joined boolean"),
     "install_purity": values([("skill/tests/x.py",), ("skill/scripts/test_run.py",), ("skill/conftest.py",)], "path varchar"),
     "revalidation": values([(1, "EXECUTE_CURRENT"), (2, "REJUDGE_PRIOR_EVIDENCE"), (3, "REUSE_PRIOR_PASS"), (4, "EXECUTE_CURRENT")], "case_id int, decision varchar"),
     "outer_states": values([(1, "CASE_NOT_STARTED"), (2, "CASE_NOT_STARTED"), (3, "PASS"), (4, "BLOCKED")], "n int, status varchar"),
     "artifact_paths": "select doc_id, '/out/' || doc_id || '.md.future_work.json' as sidecar, '/out/' || doc_id || '.md.facts.json' as facts, '/out/' || doc_id || '.md.meta.json' as metadata, case when not starts_with(source, '/') then 'path must be absolute' end as error from documents",
-    "finalized_analyses": f"""with {CHECKED}, g as (select doc_id, min_by(error, page) filter (where error is not null) as bad, count(distinct quote_id) < count(*) as twice, count(*)::int as n,
-        string_agg('- 原文：' || quote || chr(10) || '- 译：' || chr(10) || '- 出处：§', chr(10) order by page) as bullets from ck group by doc_id),
+    "finalized_analyses": f"""with {CHECKED}, g as (select doc_id, min_by(error, item_id) filter (where error is not null) as bad, count(distinct quote_id) < count(*) as twice, count(*)::int as n,
+        string_agg('- 原文：' || quote || chr(10) || '- 译：' || chr(10) || '- 出处：§', chr(10) order by item_id) as bullets from ck group by doc_id),
       e as (select d.doc_id, coalesce(bad, case when twice then 'duplicate id' end) as error, coalesce(n, 0) as n, coalesce(bullets, '') as bullets from (select distinct doc_id from p) d left join g using (doc_id))
       select doc_id as analysis, case when error is null then md5('# ' || doc_id || chr(10) || '## Next' || chr(10) || bullets || chr(10) || '## Notes' || chr(10) || 'kept' || chr(10)) end as markdown, case when error is null then n end as items, error from e""",
     "proved_items": values([(i, a, b, "Section 5" + (f"（p.{a}–{b}）" if b > a else ""), None) for i, _, a, _, b, _ in samples.SPAN_PLACES] + [(i, None, None, "Section 5（p.9）", "not in source") for i in (6, 7, 8)], "item_id bigint, page bigint, end_page bigint, source varchar, error varchar"),

@@ -10,6 +10,7 @@ hyphens, malformed logs) comes as inline rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +45,9 @@ def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tier for the first page of each labelled conversation."""
+    """A tier for every page of each labelled conversation."""
     tier = F.when(F.col("quality") == 0, "untrusted").otherwise("ok")
-    return table(spark, sf_dir, "labels").select("doc_id", F.lit(0).cast("long").alias("page"), tier.alias("tier"))
+    return table(spark, sf_dir, "labels").select("doc_id", tier.alias("tier")).join(conversation_pages(spark, sf_dir).select("doc_id", "page"), "doc_id").select("doc_id", "page", "tier")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,11 +214,11 @@ def unlabelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First sentences as items, with one mistake or another by doc_id."""
-    first = evidence.first_candidates(pages.page_candidates(conversation_pages(spark, sf_dir).drop("role")), ["doc_id", "page"])
+    """All sentences as items, with one mistake or another by doc_id."""
+    made = pages.page_candidates(conversation_pages(spark, sf_dir).drop("role"))
     k = F.col("doc_id") % 5
-    return first.select(
-        (F.col("doc_id") * 1000 + F.col("page")).alias("item_id"), "doc_id",
+    return made.select(
+        ((F.col("doc_id") * 1000 + F.col("page")) * 1000 + F.col("ord")).alias("item_id"), "doc_id",
         F.when(k == 1, F.expr("left(quote, length(quote) - 1)")).when(k == 4, F.repeat("quote", 400)).otherwise(F.col("quote")).alias("quote"),
         F.when(k == 2, F.col("page") + 1000).otherwise(F.col("page")).alias("page"), F.when(k == 3, F.lit("0" * 64)).otherwise(F.col("id")).alias("id"),
     )
@@ -241,8 +242,8 @@ def sentence_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sidecar for each labelled document; ids are those of its three first sentences."""
-    ids = evidence.ordered_ids(sentence_candidates(spark, sf_dir).filter("ord < 3"), "doc_id")
+    """A sidecar for each labelled document; ids are those of its sentences."""
+    ids = evidence.ordered_ids(sentence_candidates(spark, sf_dir), "doc_id")
     k = F.col("doc_id") % 7
     docs = table(spark, sf_dir, "documents")
     return table(spark, sf_dir, "labels").join(docs, "doc_id").join(ids, "doc_id", "left").select(
@@ -263,7 +264,7 @@ def sidecar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sidecars of conversations without any bad item: path and size of the item list."""
     made = pages.page_candidates(conversation_pages(spark, sf_dir).drop("role"))
     checked = evidence.item_errors(_items(spark, sf_dir), made).withColumn("analysis", F.col("doc_id").cast("string"))
-    items = checked.select("analysis", F.lit("fulltext").alias("evidence_level"), F.lit("sha256:0").alias("fingerprint"), F.col("page").alias("ord"), F.col("quote_id").alias("id"), "quote", F.lit("").alias("translation_zh"), F.lit("§").alias("source"), "page")
+    items = checked.select("analysis", F.lit("fulltext").alias("evidence_level"), F.lit("sha256:0").alias("fingerprint"), F.col("item_id").alias("ord"), F.col("quote_id").alias("id"), "quote", F.lit("").alias("translation_zh"), F.lit("§").alias("source"), "page")
     written = evidence.sidecar(items, checked)
     return written.select("path", F.size(V.elements(V.lookup(F.parse_json("json"), "items"))).alias("items"))
 
@@ -280,7 +281,67 @@ def cache_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cache_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = (spark.createDataFrame(rows, "path string, pdf_sha256 string, page int, text string") for rows in (samples.CACHE_OLD, samples.CACHE_NEW))
-    return evidence.update_cache(old, new)
+    return evidence.update_cache(old, new).select("path", "pdf_sha256", "page", "text", "error")
+
+
+@query
+def fulltext_cache_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-text caches of all documents; sources are the labelled ones."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text", "doc_id")
+    sources = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("path", F.sha2(F.col("text").cast("binary"), 256).alias("source_sha256"))
+    return workflows.update_fulltext_cache(docs, sources).select("path", F.md5("text").alias("text"), "metadata_path", "metadata", "error")
+
+
+@query
+def fulltext_cache_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata missing, of another schema, stale or good by doc_id; sources are the labelled documents."""
+    k = F.col("doc_id") % 5
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), "text", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    stamp = F.to_json(F.struct(F.when(k == 1, 2).otherwise(1).alias("schema"), F.when(k == 2, "0").otherwise(F.col("sha")).alias("pdf_sha256")))
+    metadata = docs.filter(k != 0).select("path", F.when(k == 3, "{").otherwise(stamp).alias("json"))
+    sources = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("path", F.col("sha").alias("source_sha256"))
+    return workflows.validated_fulltext_cache(docs, metadata, sources).select("path", F.md5("text").alias("text"), "pdf_sha256", "error")
+
+
+@query
+def toc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.toc_rows(spark.createDataFrame(samples.TOCS, "path string, text string"))
+
+
+@query
+def prepared_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole preparation of every conversation; the table of contents names the system's pages and one that no conversation has."""
+    all_pages = conversation_pages(spark, sf_dir)
+    entry = lambda k, page: F.struct(F.lit(k).alias("ord"), F.lit(1).alias("level"), F.col("role").alias("title"), page.alias("page"))
+    toc = all_pages.filter("role = 'system'").select("doc_id", F.inline(F.array(entry(0, F.col("page")), entry(1, F.lit(10**6).cast("long")))))
+    fingerprints = all_pages.filter("page = 0").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("pdf_sha256"))
+    made = workflows.prepare(all_pages.drop("role"), fingerprints, toc, conversation_quality(spark, sf_dir), keywords=("tion the",), last=2)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return made.select(
+        "doc_id", "pdf_sha256", F.size("toc").alias("toc_entries"), F.size("page_quality").alias("tiers"), joined("selection.pages").alias("selected"), joined("selection.toc_pages").alias("toc_pages"),
+        F.size("candidates").alias("candidates"), F.md5(F.array_join("candidates.id", ",")).alias("ids"), F.size("source_pages").alias("pages"), joined("ocr_required_pages").alias("required"),
+    )
+
+
+@query
+def quality_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every conversation's pages, digits and marks counting against them."""
+    found = inputs.quality_report(conversation_pages(spark, sf_dir), "doc_id", least=0.97)
+    return found.select("doc_id", "pages", "ok", "untrusted", "empty", F.round("least_score", 9).alias("least_score"), "threshold")
+
+
+@query
+def json_file_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event properties as JSON files, one in seven cut short."""
+    props = table(spark, sf_dir, "events").select("event_id", F.expr("if(event_id % 7 = 0, left(props, length(props) - 1), props)").alias("text"))
+    return inputs.json_files(props).select("event_id", "error")
+
+
+@query
+def stored_program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rewrite program kept as a table, over all web pages."""
+    steps = spark.createDataFrame(samples.PROGRAM, "program string, ord int, mode string, old string, new string")
+    return workflows.run_program(table(spark, sf_dir, "pages"), steps, "plain", "html").select("page_id", F.md5("result").alias("result"), "error")
 
 
 @query
@@ -328,7 +389,7 @@ def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def normalized_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.normalized_inputs(spark.createDataFrame(samples.INPUTS, "path string, text string")).select("path", "error", (F.instr("output", "item_key") > 0).alias("leaks"))
+    return inputs.normalized_inputs(spark.createDataFrame(samples.INPUTS, "path string, text string"), samples.INPUT_KIND).select("path", "error", (F.instr("output", "item_key") > 0).alias("leaks"))
 
 
 @query
@@ -381,13 +442,13 @@ def ownership_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def topology_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log for each region: the region spawns one worker, which spawns the region's nations with a key below 12 (twice, as started and completed)."""
-    nations = table(spark, sf_dir, "nation").filter("n_nationkey < 12")
+    """A log for each customer: the customer spawns one worker, which spawns the customer's orders (twice, as started and completed)."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
     event = lambda method, sender, receiver: F.struct(F.struct(F.lit(method).alias("method"), F.struct(F.struct(F.lit(topology.ITEM_TYPE).alias("type"), F.lit("spawnAgent").alias("tool"), sender.alias("senderThreadId"), F.array(receiver).alias("receiverThreadIds")).alias("item")).alias("params")).alias("message"))
-    root, worker = F.concat(F.lit("r"), F.col("r_regionkey")), F.concat(F.lit("w"), F.col("r_regionkey"))
-    nested = nations.select("n_regionkey", F.explode(F.array(*(event(m, F.concat(F.lit("w"), F.col("n_regionkey")), F.concat(F.lit("n"), F.col("n_nationkey"))) for m in ("item/started", "item/completed")))).alias("e")).groupBy("n_regionkey").agg(F.collect_list("e").alias("nested"))
-    runs = table(spark, sf_dir, "region").join(nested, F.col("r_regionkey") == F.col("n_regionkey"), "left").select(
-        F.col("r_regionkey").cast("string").alias("run_id"),
+    root, worker = F.concat(F.lit("c"), F.col("c_custkey")), F.concat(F.lit("w"), F.col("c_custkey"))
+    nested = orders.select("c_custkey", F.explode(F.array(*(event(m, worker, F.concat(F.lit("o"), F.col("o_orderkey"))) for m in ("item/started", "item/completed")))).alias("e")).groupBy("c_custkey").agg(F.collect_list("e").alias("nested"))
+    runs = table(spark, sf_dir, "customer").select("c_custkey").join(nested, "c_custkey", "left").select(
+        F.col("c_custkey").cast("string").alias("run_id"),
         F.to_json(F.struct(F.lit(True).alias("passed"), F.lit("1").alias("version"), F.struct(root.alias("thread_id"), F.concat(F.array(event("item/completed", root, worker)), F.coalesce("nested", F.array().cast(nested.schema["nested"].dataType))).alias("app_server_events")).alias("output"))).alias("response"),
     )
     return topology.verdicts(runs, samples.CONTRACT, samples.CONTRACT_ID).select("run_id", "producer_status", "nested_direct_child_count", "formal_spawn_relation_count", "exit_code")
@@ -401,6 +462,22 @@ def topology_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("run_id", "producer_status")
 
 
+@query
+def topology_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reasons of verdicts, in their order."""
+    runs = spark.createDataFrame([(name, response) for name, response, _ in samples.LOGS], "run_id string, response string")
+    found = topology.verdicts(runs, samples.CONTRACT, samples.CONTRACT_ID)
+    return found.filter(F.col("run_id").isin(*(name for name, _ in samples.REASONS))).select("run_id", F.array_join("reasons", " | ").alias("reasons"))
+
+
+@query
+def contract_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One good log under contracts with a mistake each."""
+    runs = spark.createDataFrame([("x", samples.LOGS[0][1])], "run_id string, response string")
+    each = [topology.verdicts(runs, contract, samples.CONTRACT_ID).select(F.lit(name).alias("contract"), "producer_status", "exit_code") for name, contract, _ in samples.CONTRACTS]
+    return reduce(DataFrame.unionByName, each)
+
+
 @query
 def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = V.lookup(V.parse(F.col("props")), "k")
@@ -451,7 +528,9 @@ def rewrite_program(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def patch_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patched = evidence.patch_section(F.col("html"), "<nav>", "</nav>", F.concat(F.lit("page "), F.col("page_id").cast("string")))
+    """The tags on lines of their own stand in for headings."""
+    lines = F.replace(F.replace("html", F.lit("<nav>"), F.lit("\n<nav>\n")), F.lit("</nav>"), F.lit("\n</nav>\n"))
+    patched = evidence.patch_section(lines, "<nav>", "</nav>", F.concat(F.lit("page "), F.col("page_id").cast("string")))
     return table(spark, sf_dir, "pages").select("page_id", F.md5(patched).alias("patched"), evidence.anchor_error(F.col("html"), "<nav>", "</nav>").alias("error"))
 
 
@@ -506,7 +585,7 @@ def finalized_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown with a new section for conversations whose items are all good."""
     made = pages.page_candidates(conversation_pages(spark, sf_dir).drop("role"))
     checked = evidence.item_errors(_items(spark, sf_dir), made)
-    items = checked.select(F.col("doc_id").alias("analysis"), F.col("page").alias("ord"), F.col("quote_id").alias("id"), "quote", F.lit("").alias("translation_zh"), F.lit("§").alias("source"), "page", "error")
+    items = checked.select(F.col("doc_id").alias("analysis"), F.col("item_id").alias("ord"), F.col("quote_id").alias("id"), "quote", F.lit("").alias("translation_zh"), F.lit("§").alias("source"), "page", "error")
     written = F.concat(F.lit("# "), F.col("doc_id").cast("string"), F.lit("\n## Next\nold\n## Notes\nkept\n"))
     analyses = conversation_pages(spark, sf_dir).select("doc_id").distinct().select(F.col("doc_id").alias("analysis"), written.alias("markdown"), F.lit("fulltext").alias("evidence_level"), F.lit("sha256:0").alias("fingerprint"))
     return workflows.finalize(analyses, items, "## Next", "## Notes").select("analysis", F.md5("markdown").alias("markdown"), "items", "error")

@@ -8,7 +8,7 @@ CJK = [
     (1, "将来の課題である。次に進む。"), (2, "We stop here.次の文である.さらに続く。"), (3, "We use it, i.e. the first. Then the second."),
     (4, "One line\n\nanother line. End"), (5, "本当！そうですか？はい"), (6, ""),
 ]
-HYPHENS = [(1, "inves-\ntigate"), (2, "cost- sensitive"), (3, "in- line"), (4, "a-\r\n  b"), (5, "1-\n2"), (6, "end-"), (7, "é-\nè")]
+HYPHENS = [(1, "conti-\nnent"), (2, "long- lasting"), (3, "in- line"), (4, "a-\r\n  b"), (5, "1-\n2"), (6, "end-"), (7, "é-\nè")]
 BLOCK_SCHEMA = "doc_id int, page int, ord int, edge string, top double, bottom double, line_height double, start int, end int, text string"
 #: Running header on pages 1 and 2, page numbers, a header too near to the body, one that is no outer block, one that does not repeat.
 BLOCKS = [
@@ -31,35 +31,40 @@ MIXED_SPANS = [
 ]
 BOUNDS = [(1, "HH body F", [(0, 3), (8, 9)]), (2, "a b c d e", [(0, 1), (4, 5), (8, 9)]), (3, "plain", []), (4, "all", [(0, 3)]), (5, "ab cd", [(0, 1), (1, 3)])]
 MERGES = [(1, [18, 19, 22], [], [18, 22]), (2, [19], [18, 22], [19]), (3, [], [18, 19, 22], [19]), (4, [5], [1], [7])]
-CACHE_OLD = [("p", "old", 1, "stale"), ("q", "same", 1, "one"), ("q", "same", 2, "two"), ("r", "x", 1, "kept")]
-CACHE_NEW = [("p", "new", 2, "fresh"), ("q", "same", 2, "two again")]
+CACHE_OLD = [("p", "old", 1, "stale"), ("q", "same", 1, "one"), ("q", "same", 2, "two"), ("r", "x", 1, "kept"), ("s", "old", 1, "stays")]
+CACHE_NEW = [("p", "new", 2, "fresh"), ("q", "same", 2, "two again"), ("s", "a", 1, "of a"), ("s", "b", 2, "of b")]
+TOCS = [("a", '[[1,"Opening",1],[2,"Details",2]]'), ("b", '[[1,"No page"],[1,"Numbered",7],["x","Level",3]]'), ("c", '{"toc":[]}'), ("d", "[]"), ("e", "no json")]
+PROGRAM = [
+    ("plain", 1, "once", "<title>", "<h1>"), ("plain", 2, "all", "href=", "src="), ("plain", 3, "keep", "<nav>", None), ("plain", 4, "drop", "track(1)", None), ("other", 1, "all", "a", "b"),
+]
 PAGE_CACHES = [("a", '{"schema":1,"pdf_sha256":"x","pages":{"1":"one","12":"twelve"}}'), ("b", '{"schema":2,"pdf_sha256":"x","pages":{"1":"one"}}'), ("c", "no json")]
 DRAFTS = [(1, '{"a":1,"b":2}'), (2, '{"a":1,"b":2,"future_work_ids":[]}'), (3, '{"a":1}'), (4, "[1]"), (5, '{"c":0,"b":2,"a":1}')]
 LOCATED = [(1, 2, "We will extend it.", "new"), (1, 3, "We will extend it.", "new"), (2, 1, "Other.", "o")]
 CANDIDATES = [(1, 2, 1, "We will  extend it.", "late"), (1, 2, 0, "We will\nextend it.", "first"), (1, 4, 0, "We will extend it.", "elsewhere")]
 SPAN_PAGES = [
-    (1, 1, "Intro.  We plan to inves-\ntigate ﬁne models."), (1, 2, "Later work. The method stops at a page"), (1, 3, "end and goes on. Later work."),
+    (1, 1, "Intro.  We plan to demon-\nstrate ﬁne models."), (1, 2, "Later work. The method stops at a page"), (1, 3, "end and goes on. Later work."),
     (2, 1, "A word is bro-"), (2, 2, "ken here. Later work."), (2, 4, "Not adjacent. ken here"),
 ]
 SPAN_QUOTES = [
-    (1, 1, "to investigate fine models.", None), (2, 1, "Later work.", None), (3, 1, "Later work.", 3), (4, 1, "at a page end and goes", None), (5, 2, "is broken here.", None),
-    (6, 2, "work. Not adjacent.", None), (7, 1, "never said", None), (8, 1, "cost- to", None),
+    (1, 1, "to demonstrate fine models.", None), (2, 1, "Later work.", None), (3, 1, "Later work.", 3), (4, 1, "at a page end and goes", None), (5, 2, "is broken here.", None),
+    (6, 2, "work. Not adjacent.", None), (7, 1, "never said", None), (8, 1, "long- to", None),
 ]
 #: By hand: item, doc, start page and offset, end page and offset (code points of the raw pages).
 SPAN_PLACES = [(1, 1, 1, 16, 1, 44), (2, 1, 2, 0, 2, 11), (3, 1, 3, 17, 3, 28), (4, 1, 2, 29, 3, 12), (5, 2, 1, 7, 2, 9)]
 #: Pages with furniture between the halves of a quote: a page number and a running header; on page 4 an exclusion inside the body.
 EDGE_PAGES = [
-    (1, 2, "We are planning to inves-\n2\n"), (1, 3, "running header\ntigate adaptive search\nover many\n3\n"), (1, 4, "running header\ndocuments. A\nrunning header\nlast line"), (1, 5, "of text."),
+    (1, 2, "We are planning to demon-\n2\n"), (1, 3, "running header\nstrate modular designs\nover many\n3\n"), (1, 4, "running header\ndocuments. A\nrunning header\nlast line"), (1, 5, "of text."),
 ]
 EDGE_SPANS = [(1, 2, [(26, 28, "2", "bottom")]), (1, 3, [(0, 15, "running header", "top"), (48, 50, "3", "bottom")]), (1, 4, [(0, 15, "running header", "top"), (28, 43, "running header", "top")])]
 EDGE_SPAN_SCHEMA = "doc_id long, page long, edge_exclusions array<struct<start:int,end:int,text:string,edge:string>>"
 EDGE_QUOTES = [
-    (1, 1, "planning to investigate adaptive search", None), (2, 1, "over many documents.", None), (3, 1, "last line of text.", None), (4, 1, "running header tigate", None), (5, 1, "inves- 2", None),
+    (1, 1, "planning to demonstrate modular designs", None), (2, 1, "over many documents.", None), (3, 1, "last line of text.", None), (4, 1, "running header strate", None), (5, 1, "demon- 2", None),
 ]
 #: By hand: a page with an exclusion inside its body is joined to none; inside a page nothing is left out.
 EDGE_PLACES = [(1, 1, 2, 7, 3, 37), (4, 1, 3, 0, 3, 21), (5, 1, 2, 19, 2, 27)]
 LABELS = [(1, "Section 5（p.3）", 3, 3), (2, "Section 5 (p. 3)", 2, 3), (3, "Section 5", 1, 1), (4, "p.3 of the notes", 4, 4)]
-_GOOD = {"schema": 1, "kind": "paper-analysis-input", "level": "abstract", "source": "s", "item_key": "k", "metadata": {"title": "t", "authors": ["a"], "year": 2020, "venue": "v", "doi": "d"}, "abstract": "We show."}
+INPUT_KIND = "abstract-record"
+_GOOD = {"schema": 1, "kind": INPUT_KIND, "level": "abstract", "source": "s", "item_key": "k", "metadata": {"title": "t", "authors": ["a"], "year": 2020, "venue": "v", "doi": "d"}, "abstract": "We show."}
 INPUTS = [
     ("/a.json", json.dumps(_GOOD)), ("b.json", json.dumps(_GOOD)), ("/c.json", json.dumps(_GOOD | {"kind": "other"})), ("/d.json", json.dumps({k: v for k, v in _GOOD.items() if k != "abstract"})),
     ("/e.json", "{"), ("/f.json", "[]"), ("/g.json", json.dumps(_GOOD | {"schema": 2})), ("/h.json", json.dumps(_GOOD | {"level": "fulltext"})), ("/i.json", json.dumps(_GOOD | {"abstract": " "})),
@@ -142,6 +147,19 @@ LOGS = [
     ("key twice", '{"passed": true, "passed": true}', "INVALID_TEST_EXECUTION"),
     ("unreadable", None, "INVALID_TEST_EXECUTION"),
 ]
+#: By hand, for logs of each kind.
+REASONS = [
+    ("healthy", ""), ("one nested", "outer: nested children 1"), ("four nested", "outer: nested children 4"), ("none nested", "outer: nested children 0"), ("no events", "root: no child"),
+    ("two outer", "root: children outer, outer2"), ("null version", "version: none"), ("number as version", "version: not a string"), ("passed null", "passed: not a boolean"), ("no thread", "thread_id: missing"),
+    ("events as object", "events: not a list"), ("event as text", "event 0: event: not an object"), ("two owners", "several owners: b"), ("two owners and two outer", "several owners: x"),
+    ("response as list", "response: not an object"), ("no json", "response: unreadable"),
+]
+_CONTRACT = json.loads(CONTRACT)
+CONTRACTS = [
+    ("good", CONTRACT, "PASS"), ("other id", json.dumps(_CONTRACT | {"contract_id": "other"}), "INVALID_TEST_EXECUTION"), ("no envelope", json.dumps(_CONTRACT | {"app_server_event_envelope": 1}), "INVALID_TEST_EXECUTION"),
+    ("no item types", json.dumps(_CONTRACT | {"dispatch_evidence_item_types": []}), "INVALID_TEST_EXECUTION"), ("no identity", json.dumps(_CONTRACT | {"raw_identity_path": {}}), "INVALID_TEST_EXECUTION"),
+    ("no delegation", json.dumps(_CONTRACT | {"delegation": {}}), "INVALID_TEST_EXECUTION"), ("unreadable", "{", "INVALID_TEST_EXECUTION"),
+]
 _BULLET = "- 原文：{}\n- 译：x\n- 出处：{}"
 UPGRADES = [
     ("a", 1, "# A\n## Next\n" + _BULLET.format("Later work.", "End") + "\n" + _BULLET.format("at a page end and goes", "Section 5（p.2）") + "\n## Notes\nkept\n"),

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import variants as V
 from ..functions.text import fingerprint, page_marker
 
-INPUT_KIND = "paper-analysis-input"
-
-
 def read_whole(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, text): one row for each file."""
     return spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
@@ -24,14 +21,14 @@ def read_bytes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content", fingerprint(F.col("content")).alias("fingerprint"))
 
 
-def normalized_inputs(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """(path, output, error) from JSON texts: output is the canonical JSON (ok, schema, level, metadata, abstract) without provenance."""
+def normalized_inputs(files: DataFrame, kind: str, path: str = "path", text: str = "text") -> DataFrame:
+    """(path, output, error) from JSON texts of the caller's ``kind``: output is the canonical JSON (ok, schema, level, metadata, abstract) without provenance."""
     v = V.parse(F.col(text))
     get = lambda p: V.lookup(v, p)
     words = lambda p: V.text(get(p))
     error = (
         F.when(~F.col(path).startswith("/"), "path must be absolute").when(v.isNull(), "unreadable").when(V.kind(v) != "OBJECT", "not an object")
-        .when(~F.coalesce(words("kind") == INPUT_KIND, F.lit(False)), "kind")
+        .when(~F.coalesce(words("kind") == kind, F.lit(False)), "kind")
         .when(~F.coalesce(F.try_variant_get(v, "$.schema", "int") == 1, F.lit(False)), "schema").when(~F.coalesce(words("level") == "abstract", F.lit(False)), "level")
         .when(F.coalesce(F.trim(words("abstract")) == "", F.lit(True)), "abstract")
     )
@@ -94,15 +91,72 @@ def extract_pages(documents: DataFrame, reader: Callable[[bytes], list[str]]) ->
     return documents.select("path", "content", "fingerprint").mapInPandas(run, "path string, fingerprint string, page int, text string")
 
 
+def extract_toc(documents: DataFrame, reader: Callable[[bytes], list[tuple[int, str, int]]]) -> DataFrame:
+    """(path, fingerprint, ord, level, title, page): tables of contents through ``reader``, which gives (level, title, page) in order; a document without one gives no rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(p, x, k, *entry) for p, c, x in zip(f["path"], f["content"], f["fingerprint"], strict=True) for k, entry in enumerate(reader(bytes(c)))]
+            yield pd.DataFrame(rows, columns=["path", "fingerprint", "ord", "level", "title", "page"])
+
+    return documents.select("path", "content", "fingerprint").mapInPandas(run, "path string, fingerprint string, ord int, level int, title string, page int")
+
+
+def toc_rows(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """(key, ord, level, title, page) from JSON lists of [level, title, page]; entries without a number for level or page are left out, what is no list gives no rows."""
+    entries = V.elements(V.parse(F.col(text)))
+    at = lambda k, kind: F.try_variant_get("e", f"$[{k}]", kind)
+    return files.select(key, F.posexplode(entries).alias("ord", "e")).select(key, "ord", at(0, "int").alias("level"), at(1, "string").alias("title"), at(2, "int").alias("page")).filter("level is not null and page is not null")
+
+
+def render_pages(documents: DataFrame, renderer: Callable[[bytes, float], list[bytes]], scale: float = 1.0) -> DataFrame:
+    """(path, fingerprint, page, image): pages as pictures through ``renderer``, which gives the picture of each page at a scale. No renderer comes with this package."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(p, x, k, image) for p, c, x in zip(f["path"], f["content"], f["fingerprint"], strict=True) for k, image in enumerate(renderer(bytes(c), scale), 1)]
+            yield pd.DataFrame(rows, columns=["path", "fingerprint", "page", "image"])
+
+    return documents.select("path", "content", "fingerprint").mapInPandas(run, "path string, fingerprint string, page int, image binary")
+
+
+def fulltext_caches(caches: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(path, text, cache_sha256) from full-text caches (path, text) and their metadata files (path of the cache, json): the fingerprint is null where the metadata is missing, of another schema or no JSON."""
+    parsed = F.from_json(F.col("json"), "schema int, pdf_sha256 string")
+    known = metadata.select("path", parsed.alias("_m")).select("path", F.when(F.col("_m.schema") == 1, F.col("_m.pdf_sha256")).alias("cache_sha256"))
+    return caches.select("path", "text").join(known, "path", "left")
+
+
 def marked_text(pages: DataFrame, key: str = "path") -> DataFrame:
     """(key, text): the pages of each document in order, a marker before each."""
     one = F.struct("page", F.concat(page_marker(F.col("page")), F.lit("\n"), F.col("text")).alias("t"))
     return pages.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]), "\n").alias("text"))
 
 
+#: Our choices: the least share of letters and white space in a page's characters that makes it evidence.
+LEAST_LETTERS = 0.5
+
+
 def page_quality(pages: DataFrame, scorer: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
-    """``pages`` with a ``tier``. Our own default: empty without a letter, untrusted where under half of the characters are letters or spaces; a pandas scorer may replace it."""
+    """``pages`` with a ``tier``. Our own default: empty without a letter, untrusted where under LEAST_LETTERS of the characters are letters or spaces; a pandas scorer may replace it."""
     if scorer is not None:
         return pages.withColumn("tier", F.pandas_udf(scorer, "string")("text"))
-    letters = F.length(F.regexp_replace("text", "[^\\p{L}\\s]", ""))
-    return pages.withColumn("tier", F.when(~F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)), "empty").when(letters * 2 < F.length("text"), "untrusted").otherwise("ok"))
+    return page_scores(pages).drop("score")
+
+
+def page_scores(pages: DataFrame, least: float = LEAST_LETTERS) -> DataFrame:
+    """``pages`` with ``score``, the share of letters and white space (0 without a letter), and the ``tier`` that it gives."""
+    lettered = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
+    share = F.length(F.regexp_replace("text", "[^\\p{L}\\s]", "")) / F.length("text")
+    scored = pages.withColumn("score", F.when(lettered, share).otherwise(0.0))
+    return scored.withColumn("tier", F.when(~lettered, "empty").when(F.col("score") < least, "untrusted").otherwise("ok"))
+
+
+def quality_report(pages: DataFrame, key: str = "path", least: float = LEAST_LETTERS) -> DataFrame:
+    """(key, pages, ok, untrusted, empty, least_score, threshold, page_scores): a summary for each document, its pages' scores in order."""
+    one = F.struct("page", "score", "tier")
+    tier = lambda t: F.count_if(F.col("tier") == t).alias(t)
+    return page_scores(pages, least).groupBy(key).agg(
+        F.count(F.lit(1)).alias("pages"), tier("ok"), tier("untrusted"), tier("empty"), F.min("score").alias("least_score"), F.lit(least).alias("threshold"),
+        F.array_sort(F.collect_list(one)).alias("page_scores"),
+    )

@@ -172,3 +172,40 @@ def test_a_draft_with_ids_of_its_own_is_refused(spark):
     got = {r["analysis"]: r for r in finish_facts(drafts, sides).collect()}
     assert json.loads(got["a"]["json"])["future_work_ids"] == ["i"] and json.loads(got["a"]["json"])["facts"] == whole
     assert got["b"]["json"] is None and got["b"]["error"] == "unknown fields: future_work_ids" and got["c"]["error"] == "not an object"
+
+
+def test_longer_headings_are_others(spark):
+    from proofmill.operators.evidence import patch_section
+
+    rows = [("# T\n## Next steps\na\n## Next \nb\n## Notes\nc",), ("## Next steps\na\n## Notes",), ("## Notes\nrest",), ("## Notes on x\n",), ("## Next\nb\n## Notes  \n😀 ## Next",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "m string").select(patch_section(F.col("m"), "## Next", "## Notes", F.lit("new"))).collect()]
+    assert got == ["# T\n## Next steps\na\n## Next\nnew\n## Notes\nc", "## Next steps\na\n## Next\nnew\n## Notes", "## Next\nnew\n## Notes\nrest", None, "## Next\nnew\n## Notes  \n😀 ## Next", None]
+
+
+def test_pluggable_renderer_and_contents(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"one\x0ctwo")
+    docs = inputs.read_bytes(spark, str(tmp_path))
+    images = inputs.render_pages(docs, lambda data, scale: [bytes([len(x)]) * int(scale) for x in data.split(b"\x0c")], 2.0)
+    assert [(r.page, bytes(r.image)) for r in images.orderBy("page").collect()] == [(1, b"\x03\x03"), (2, b"\x03\x03")]
+    toc = inputs.extract_toc(docs, lambda data: [(1, "One", 1), (2, "Two", 2)])
+    assert [(r.ord, r.level, r.title, r.page) for r in toc.orderBy("ord").collect()] == [(0, 1, "One", 1), (1, 2, "Two", 2)]
+
+
+def test_preparation_of_odd_pages(spark):
+    from proofmill.operators.workflows import prepare
+
+    made = prepare(spark.createDataFrame([(1, 1, None), (1, 2, ""), (2, 1, "A b. C d.")], "doc_id long, page long, text string"))
+    got = {r["doc_id"]: r for r in made.collect()}
+    assert len(got[1]["candidates"]) == 0 and [x["tier"] for x in got[1]["page_quality"]] == ["empty", "empty"] and got[1]["ocr_required_pages"] == [1, 2]
+    assert [x["quote"] for x in got[2]["candidates"]] == ["A b.", "C d."] and got[2]["pdf_sha256"] is None
+    assert prepare(spark.createDataFrame([], "doc_id long, page long, text string")).collect() == []
+
+
+def test_unknown_programs(spark):
+    from proofmill.operators.workflows import run_program
+
+    steps = spark.createDataFrame([("p", 1, "cut", "a", "b")], "program string, ord int, mode string, old string, new string")
+    files = spark.createDataFrame([("a",)], "text string")
+    for name in ("p", "q"):
+        with pytest.raises(ValueError):
+            run_program(files, steps, name)
