@@ -4,18 +4,18 @@ A byte goes if a string of LENGTH bytes that covers it also starts earlier.
 Every such string (window) is led by an anchor, the least-hashed q-gram in it,
 so that equal windows have equal anchors and meet in one bucket:
 
-1. Windows in a row with the same anchor are one run. Runs with the same
-   anchor and the same bytes around it are one class; all of a class but its
-   first run are repeats. Each task settles its own repeats before the
-   shuffle, so a passage that many documents share sends one run for each task.
-2. Where an anchor has several classes, the first run of each sends its bytes.
+1. Windows in a row with the same anchor are one run. Each task compares the bytes of
+   its runs of one hash before the shuffle and sends one run of each class of equal
+   ones: so a passage that many documents share costs one run for each task.
+2. Where an anchor has several runs, each sends its bytes.
    Their suffixes are sorted to LENGTH bytes: initial q-gram buckets are refined by
    sorting on the bucket pointers of later offsets, each pass using the
    pointers of the one before. Equal windows end in one bucket; all but the
-   earliest are repeats.
+   earliest are repeats. So hashes only bring windows together; bytes decide.
 3. The repeats go back to their documents, which drop what they cover.
 
-Windows of anchors that very many classes share are dealt by their own hash.
+Tasks count the classes of their anchors. Should any anchor have very many over all
+documents, the first step is taken again with the windows of such anchors dealt by their own hash.
 """
 
 from __future__ import annotations
@@ -37,14 +37,19 @@ LENGTH, ANCHOR = 100, 32
 CHUNK = 1 << 20
 #: Runs that a task gathers before it sends them.
 FLUSH = 1_000_000
-#: Runs in a bucket bin, bytes of text in a document bin, and bins in a partition.
-BIN_RUNS, BIN_BYTES, BINS = 60_000, 2 << 20, 8
-#: An anchor of more classes than this is dealt by window; one document in SAMPLED is looked at to find such anchors.
-HOT_CLASSES, SAMPLED = 200_000, 64
+#: Runs in a bucket bin, bytes of text in a document bin, bins in a partition, and the most partitions; beyond them a partition holds more bins.
+BIN_RUNS, BIN_BYTES, BINS, MOST_PARTITIONS = 60_000, 2 << 20, 8, 50_000
+#: An anchor of more classes than this is dealt by window. Classes of an anchor count where FLUSH runs hold at least COUNTED of them.
+HOT_CLASSES, COUNTED = 60_000, 4
+#: Bytes that are compared at once.
+COMPARED = 1 << 22
 FIRST_DOC = -(1 << 63)
 
 RUN = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("dh", "<u8"), ("lo", "<u8"), ("len", "<u2")])
 SPAN = np.dtype([("doc", "<i8"), ("dh", "<u8"), ("lo", "<u8"), ("len", "<u2")])
+COUNT = np.dtype([("key", "<u8"), ("n", "<i8")])
+#: What a run finder gives: RUN rows, the bytes that were scanned, and where in them each run begins.
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def pack(table: np.ndarray) -> bytes:
@@ -65,8 +70,8 @@ class Runs:
     def __init__(self, length: int, hot: np.ndarray):
         self.length, self.q, self.hot, self.powers = length, min(ANCHOR, length), hot, Powers()
 
-    def of(self, data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, dh: np.ndarray) -> Iterator[np.ndarray]:
-        """RUN rows of all windows of the texts data[offsets[i] : offsets[i + 1]], some texts or a part of a long one at a time."""
+    def of(self, data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, dh: np.ndarray) -> Iterator[Found]:
+        """All windows of the texts data[offsets[i] : offsets[i + 1]], some texts or a part of a long one at a time."""
         row, rows = 0, len(doc)
         while row < rows:
             end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, side="right")) - 1)
@@ -79,10 +84,10 @@ class Runs:
                     yield self._scan(part, np.array([0, len(part)]), doc[row:end], dh[row:end], at - a)
             row = end
 
-    def _scan(self, data: np.ndarray, cuts: np.ndarray, doc: np.ndarray, dh: np.ndarray, base: int) -> np.ndarray:
+    def _scan(self, data: np.ndarray, cuts: np.ndarray, doc: np.ndarray, dh: np.ndarray, base: int) -> Found:
         length, q, n = self.length, self.q, len(data)
         if n < length:
-            return np.empty(0, RUN)
+            return np.empty(0, RUN), data[:0], np.empty(0, np.int64)
         up, down = self.powers.upto(n + 1)
         sums = np.empty(n + 1, U64)
         sums[0] = 0
@@ -100,7 +105,7 @@ class Runs:
         owner = np.repeat(np.arange(len(doc)), np.diff(cuts))[: len(anchor)]
         starts = np.flatnonzero(np.arange(len(anchor)) + length <= cuts[owner + 1])
         if not len(starts):
-            return np.empty(0, RUN)
+            return np.empty(0, RUN), data[:0], np.empty(0, np.int64)
         anchor, owner = anchor[starts], owner[starts]
         key = grams[anchor]
         split = np.isin(key, self.hot) if len(self.hot) else np.zeros(len(starts), bool)
@@ -114,18 +119,45 @@ class Runs:
         out["ctx"] = mix64(around + ((anchor[at] - lo) * 1024 + (hi - lo)).astype(U64) * ~split[at])
         out["doc"], out["dh"] = doc[owner[at]], dh[owner[at]]
         out["lo"], out["len"] = (lo - cuts[owner[at]] + base), hi - lo + 1
-        return out
-
-
-def settle(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the first run of each class, sorted; the other runs). The same place given twice counts once."""
-    runs = runs[np.lexsort((runs["lo"], runs["dh"], runs["doc"], runs["ctx"], runs["key"]))]
-    if len(runs) < 2:
-        return runs, runs[:0]
-    same = (runs["key"][1:] == runs["key"][:-1]) & (runs["ctx"][1:] == runs["ctx"][:-1])
-    again = same & (runs["doc"][1:] == runs["doc"][:-1]) & (runs["dh"][1:] == runs["dh"][:-1]) & (runs["lo"][1:] == runs["lo"][:-1])
-    runs, same = runs[np.append(True, ~again)], same[~again]
-    first = np.append(True, ~same)
+        return out, data, lo
+
+
+def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether data[a : a + size] and data[b : b + size] are the same, for each a, b and size (above 0)."""
+    out, ends, i = np.ones(len(a), bool), np.cumsum(sizes), 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - sizes[i] + COMPARED, side="right")))
+        n = sizes[i:j]
+        start = np.cumsum(n) - n
+        along = np.arange(int(n.sum())) - np.repeat(start, n)
+        out[i:j] = ~np.logical_or.reduceat(data[np.repeat(a[i:j], n) + along] != data[np.repeat(b[i:j], n) + along], start)
+        i = j
+    return out
+
+
+def distinct_places(runs: np.ndarray) -> np.ndarray:
+    """``runs`` in the order of (key, ctx, place), without those that give the same place again; as indices."""
+    order = np.lexsort((runs["lo"], runs["dh"], runs["doc"], runs["ctx"], runs["key"]))
+    new = np.ones(len(order), bool)
+    for name in ("key", "ctx", "doc", "dh", "lo"):
+        column = runs[name][order]
+        new[1:] &= column[1:] == column[:-1]
+    new[1:] = ~new[1:]
+    return order[new]
+
+
+def settle(runs: np.ndarray, data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(one run of each class, the earliest; the other runs) of runs whose bytes begin ``at`` places in ``data``.
+
+    Equal hashes propose, bytes decide: a run that differs from the first of its hash stays.
+    """
+    order = distinct_places(runs)
+    runs, at = runs[order], at[order]
+    first = np.ones(len(runs), bool)
+    first[1:] = (runs["key"][1:] != runs["key"][:-1]) | (runs["ctx"][1:] != runs["ctx"][:-1]) | (runs["len"][1:] != runs["len"][:-1])
+    rest = np.flatnonzero(~first)
+    head = _heads(first[1:], len(runs))[rest]
+    first[rest[~equal_bytes(data, at[rest], at[head], runs["len"][rest].astype(np.int64) + length - 1)]] = True
     return runs[first], runs[~first]
 
 
@@ -228,7 +260,7 @@ def _by_bin(df: DataFrame, bins: int, use: Callable[[list[tuple[int, bytes]]], I
         if held:
             yield from use(held)
 
-    return df.repartition(max(1, bins // BINS), "bin").sortWithinPartitions("bin").mapInArrow(run, ddl)
+    return df.repartition(min(MOST_PARTITIONS, max(1, bins // BINS)), "bin").sortWithinPartitions("bin").mapInArrow(run, ddl)
 
 
 BINNED = "bin int, kind int, data binary"
@@ -265,20 +297,26 @@ def _keys(b: pa.RecordBatch, several: bool) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _runs(plain: DataFrame, length: int, several: bool, hot: np.ndarray, bins: int) -> DataFrame:
-    """(bin, kind, data): kind 0, RUN rows by anchor; kind 1, SPAN rows of repeats that a task has found on its own."""
+    """(bin, kind, data): kind 0, RUN rows by anchor; kind 1, SPAN rows of repeats that a task has found on its own; kind 3, COUNT rows of anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, held, n = Runs(length, hot), [], 0
 
         def flush() -> pa.RecordBatch:
-            first, rest = settle(np.concatenate(held))
+            base = np.cumsum([0, *(len(part) for _, part, _ in held)])
+            at = np.concatenate([x + b for (_, _, x), b in zip(held, base[:-1], strict=True)])
+            first, rest = settle(np.concatenate([x for x, _, _ in held]), np.concatenate([part for _, part, _ in held]), at, length)
             spans = spans_of(rest)
-            return _rows(_dealt(first, first["key"], bins, 0) + _dealt(spans, _doc_bin(np.ascontiguousarray(spans["doc"])), bins, 1))
+            counts = _class_counts(first)
+            return _rows(
+                _dealt(first, first["key"], bins, 0) + _dealt(spans, _doc_bin(np.ascontiguousarray(spans["doc"])), bins, 1)
+                + ([(0, 3, pack(counts))] if len(counts) else [])
+            )
 
         for b in batches:
             for found in finder.of(*_keys(b, several)):
                 held.append(found)
-                n += len(found)
+                n += len(found[0])
                 if n >= FLUSH:
                     yield flush()
                     held, n = [], 0
@@ -288,34 +326,41 @@ def _runs(plain: DataFrame, length: int, several: bool, hot: np.ndarray, bins: i
     return plain.select("doc", "text").mapInArrow(run, BINNED)
 
 
-def _hot_anchors(plain: DataFrame, length: int) -> np.ndarray:
-    """Anchors of which the sampled documents promise more than HOT_CLASSES classes; there are few by their definition."""
+def _class_counts(first: np.ndarray) -> np.ndarray:
+    keys, n = np.unique(first["key"], return_counts=True)
+    out = np.empty(int((n >= COUNTED).sum()), COUNT)
+    out["key"], out["n"] = keys[n >= COUNTED], n[n >= COUNTED]
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Runs(length, np.empty(0, U64))
+
+def _hot_anchors(runs: DataFrame) -> np.ndarray:
+    """Anchors with more than HOT_CLASSES classes over all documents, as the tasks have counted them; there are few by their definition.
+
+    What the tasks leave out of the count is under COUNTED classes of an anchor for each FLUSH runs.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [*finder.of(*_keys(b, False))]
-            keys, n = np.unique(settle(np.concatenate(found))[0]["key"], return_counts=True) if found else (np.empty(0, U64), np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["key", "n"])
+            for data in b.column("data").to_pylist():
+                t = unpack(data, COUNT)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(t["key"]).view(np.int64)), pa.array(np.ascontiguousarray(t["n"]))], names=["key", "n"])
 
-    least = max(2, HOT_CLASSES // SAMPLED)
-    counts = plain.filter(F.pmod(F.xxhash64("doc"), F.lit(SAMPLED)) == 0).select("doc", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > least)
-    return np.array(sorted(r[0] for r in counts.select("key").collect()), np.int64).view(U64)
+    found = runs.filter("kind = 3").select("data").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT_CLASSES)
+    return np.array(sorted(r[0] for r in found.select("key").collect()), np.int64).view(U64)
 
 
 def _matched(runs: DataFrame, bins: int, doc_bins: int) -> DataFrame:
-    """(bin, kind, data) by document: kind 1, repeats; kind 2, the first run of each class of an anchor that has several."""
+    """(bin, kind, data) by document: kind 1, repeats; kind 2, the runs of each anchor that has several."""
 
     def use(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         spans = [unpack(d, SPAN) for k, d in held if k == 1]
         parts = [unpack(d, RUN) for k, d in held if k == 0]
         rows: list[tuple[int, int, bytes]] = []
         if parts:
-            first, rest = settle(np.concatenate(parts))
-            spans.append(spans_of(rest))
-            key = first["key"]
-            same = key[1:] == key[:-1]
-            several = first[np.append(same, False) | np.append(False, same)]
+            all_runs = np.concatenate(parts)
+            all_runs = all_runs[distinct_places(all_runs)]
+            same = all_runs["key"][1:] == all_runs["key"][:-1]
+            several = all_runs[np.append(same, False) | np.append(False, same)]
             rows += _dealt(several, _doc_bin(np.ascontiguousarray(several["doc"])), doc_bins, 2)
         if spans:
             all_spans = np.concatenate(spans)
@@ -323,7 +368,7 @@ def _matched(runs: DataFrame, bins: int, doc_bins: int) -> DataFrame:
         if rows:
             yield _rows(rows)
 
-    return _by_bin(runs, bins, use, BINNED)
+    return _by_bin(runs.filter("kind < 3"), bins, use, BINNED)
 
 
 def _packed_docs(docs: DataFrame, several: bool, doc_bins: int) -> DataFrame:
@@ -435,8 +480,11 @@ def remove_repeats(docs: DataFrame, finish: Finish, ddl: str | StructType, lengt
     several = not plain.groupBy("doc").count().filter("count > 1").isEmpty()
     bins = max(16, -(-total // (ANCHOR * BIN_RUNS)))
     doc_bins = max(16, -(-total // BIN_BYTES))
-    hot = _hot_anchors(plain, length)
-    matched = durable(_matched(_runs(plain, length, several, hot, bins), bins, doc_bins))
+    runs = durable(_runs(plain, length, several, np.empty(0, U64), bins))
+    hot = _hot_anchors(runs)
+    if len(hot):
+        runs = durable(_runs(plain, length, several, hot, bins))
+    matched = durable(_matched(runs, bins, doc_bins))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_DOC)).alias("doc"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
     packed = _packed_docs(rows, several, doc_bins)
     refined = durable(_refined(_contexts(packed, matched, length, doc_bins, bins), length, bins, doc_bins))
@@ -485,7 +533,9 @@ def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` without their repeats; n_chars, if there is such a column, counts what is left.
 
-    Only whole characters go: a range that begins or ends inside one leaves it. A null text stays null.
+    Only whole characters go: a range that begins or ends inside one leaves it. A null text stays null. Of windows
+    under the same doc_id the one further left stays; null doc_ids and repeated rows are as in remove_repeats. An
+    empty table gives no rows; other columns, whatever their names, come back as they were.
     """
 
     def finish(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, ranges: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from proofmill.llm import suffixes
-from proofmill.llm.suffixes import RUN, Runs, merged, pack, repeat_digests, repeated_windows, settle, unpack
+from proofmill.llm.suffixes import RUN, Runs, equal_bytes, merged, pack, repeat_digests, repeated_windows, settle, unpack
 
 from . import brute
 from .data import AWKWARD, table
@@ -40,7 +40,7 @@ def test_against_brute_force(spark, seed, length):
 
 def test_hot_anchors(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT_CLASSES", 2)
-    monkeypatch.setattr(suffixes, "SAMPLED", 1)
+    monkeypatch.setattr(suffixes, "COUNTED", 1)
     compare(spark, corpus(7, 100))
 
 
@@ -63,7 +63,7 @@ def test_long_texts_are_scanned_in_parts(monkeypatch):
     rng = random.Random(3)
     text = bytes(rng.choice(b"abc ") for _ in range(5000))
     text = text[:2000] + text[100:900] + text[2000:]
-    find = lambda: np.concatenate([*Runs(100, np.empty(0, np.uint64)).of(np.frombuffer(text, np.uint8), np.array([0, len(text)]), np.zeros(1, np.int64), np.zeros(1, np.uint64))])
+    find = lambda: np.concatenate([x for x, _, _ in Runs(100, np.empty(0, np.uint64)).of(np.frombuffer(text, np.uint8), np.array([0, len(text)]), np.zeros(1, np.int64), np.zeros(1, np.uint64))])
     whole = find()
     monkeypatch.setattr(suffixes, "CHUNK", 700)
     parts = find()
@@ -89,6 +89,47 @@ def test_small_parts():
     runs = np.zeros(3, RUN)
     runs["doc"], runs["lo"], runs["len"] = [2, 1, 2], [5, 9, 5], 3
     assert (unpack(pack(runs), RUN) == runs).all()
-    first, rest = settle(runs)
+    first, rest = settle(runs, np.zeros(200, np.uint8), np.array([0, 102, 0]), 10)
     assert first["doc"].tolist() == [1] and rest["doc"].tolist() == [2]
     assert [x.tolist() for x in merged(runs, 4)] == [[5], [15]]
+
+
+def test_equal_hashes_of_different_bytes(spark, monkeypatch):
+    """With hashes that say that everything is equal, bytes still decide: in a task and over tasks."""
+    scan = Runs._scan
+
+    def one_hash(self, *args):
+        found, data, at = scan(self, *args)
+        found["key"], found["ctx"] = 7, 7
+        return found, data, at
+
+    monkeypatch.setattr(Runs, "_scan", one_hash)
+    rows = corpus(5, 25)
+    data, offsets = suffixes.text_bytes(suffixes.pa.array([t for _, t in rows]))
+    doc = np.array([d for d, _ in rows], np.int64)
+    found = [*Runs(100, np.empty(0, np.uint64)).of(data, offsets, doc, np.zeros(len(rows), np.uint64))]
+    runs, part, at = found[0]
+    first, rest = settle(runs, part, at, 100)
+    body = lambda r: part[int(at[np.flatnonzero((runs["doc"] == r["doc"]) & (runs["lo"] == r["lo"]))[0]]) :][: int(r["len"]) + 99].tobytes()
+    kept = {body(r) for r in first}
+    assert len(rest) and all(body(r) in kept for r in rest)
+    # what tasks send on is refined on bytes alone
+    contexts = [part[int(a) :][: int(r["len"]) + 99] for r, a in zip(runs, at)]
+    got = repeated_windows(np.concatenate(contexts), np.array([*map(len, contexts)]), runs["doc"], runs["dh"], runs["lo"], 100)
+    texts = dict(rows)
+    want = brute.repeated_bytes(rows, 100)
+    gone = {d: len((texts[d] or "").encode()) - len(k) for d, k, _ in want}
+    for d in gone:
+        mine = np.zeros(0, suffixes.SPAN) if not len(got) else got[got["doc"] == d]
+        lo, hi = merged(mine, 100)
+        assert int((hi - lo).sum()) == gone[d]
+
+
+def test_equal_bytes(monkeypatch):
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 2, 4000).astype(np.uint8)
+    a, b, n = rng.integers(0, 3900, 500), rng.integers(0, 3900, 500), rng.integers(1, 12, 500)
+    want = [data[x : x + k].tobytes() == data[y : y + k].tobytes() for x, y, k in zip(a, b, n)]
+    for at_once in (1, 50, 1 << 22):
+        monkeypatch.setattr(suffixes, "COMPARED", at_once)
+        assert equal_bytes(data, a, b, n).tolist() == want
