@@ -72,6 +72,28 @@ def test_blocks_find_the_same(spark, monkeypatch):
     assert sorted(map(tuple, leaks(docs, benchmark).collect())) == whole and len(whole) == 30
 
 
+def test_out_of_reach(spark, monkeypatch):
+    """Where the repetitions cannot reach the recall, every seed is checked: nothing is lost."""
+    monkeypatch.setattr(decontaminate, "MOST", 1)
+    rng = random.Random(6)
+    items = [(i, " ".join(f"v{rng.randrange(40)}" for _ in range(30))) for i in range(12)]
+    docs = [(i, " ".join(edited(rng, words(items[i % 12][1]), 6))) for i in range(60)]
+    got = {(r.doc_id, r.item_id, r.distance) for r in leaks(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute(docs, items) and len(got) >= 60
+
+
+def test_stage_keeps_columns_and_blocks(spark, monkeypatch):
+    items = [(i, " ".join(f"x{i}y{k}" for k in range(20))) for i in range(6)]
+    rows = [(i, "before " + items[i][1] + " after") for i in range(3)] + [(50, None), (51, ""), (None, "clean"), (52, "clean"), (52, "clean")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = table(spark, rows).selectExpr("*", "'mine' as item_id", "'mine' as distance")
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 45)
+    got = decontaminate.drop_leaking(docs, benchmark)
+    assert got.columns == docs.columns and all(r.item_id == r.distance == "mine" for r in got.collect())
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["50", "51", "52", "52", "None"]
+    assert decontaminate.drop_leaking(docs, benchmark.limit(0)).count() == len(rows)
+
+
 def test_empty(spark):
     benchmark = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
     assert leaks(table(spark, []), benchmark).collect() == []
