@@ -2,7 +2,8 @@
 
 Runs of neighbouring segments of a file (lines, and sentences in them) are held against header
 templates, the whole file against whole licence texts and their openings. A file without a
-licence of its own takes that of the nearest directory above it that holds a licence file.
+licence of its own takes that of the nearest directory above it that holds a licence file: a
+file with the name of one that matches a licence. A licence pasted into another file covers that file alone.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
-from .words import NOT_ALNUM, Words, found_in, hash_of
+from .words import NOT_ALNUM, Words, found_in, hashes_of
 
 #: Fixed values: (licence, text) of customary notices.
 HEADERS: tuple[tuple[str, str], ...] = (
@@ -83,6 +84,8 @@ TERMS = re.compile(rb"[a-z0-9]+").findall
 SEGMENTS = regex.compile(r"\n|(?<=[.!?])[^\S\n]+").split
 #: Comment marks that are words; others are no terms.
 MARKS = re.compile(r"^[^\S\n]*(?:rem|dnl)\b", re.IGNORECASE | re.MULTILINE)
+#: Names of licence files: one of these words, alone or beside others.
+LICENCE_NAME = r"(?i)(^|[-_. ])(licen[cs]es?|unlicen[cs]e|copying|copyright|notice)([-_. ]|$)"
 #: Rows whose terms are counted at once.
 ROWS = 256
 
@@ -166,7 +169,7 @@ class Screen:
 
     def __init__(self, templates: Templates) -> None:
         known = list(templates.idf)
-        keys = np.array([hash_of(t, separators=NOT_ALNUM) for t in known])
+        keys = hashes_of(known, separators=NOT_ALNUM)
         order = np.argsort(keys)
         known = [known[k] for k in order]
         self.keys, self.unknown = keys[order], templates.unknown
@@ -204,7 +207,7 @@ def learn(docs: DataFrame) -> Templates:
     """Templates weighed by the document frequencies of their terms over all of ``docs``; one row a batch leaves the executors."""
     known = template_terms()
 
-    keys = np.array([hash_of(t, separators=NOT_ALNUM) for t in known])
+    keys = hashes_of(known, separators=NOT_ALNUM)
     order = np.argsort(keys)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,8 +236,8 @@ def scan(docs: DataFrame, path: Column) -> DataFrame:
     ``path`` is a string column over ``docs`` with "/" between directories; a
     null path is a file of the root. A file matches by its whole text or by the best run of its
     segments; without either it inherits from the nearest directory at or above
-    its own that holds a licence file (of several, the highest cosine, then the first
-    name), else its licence is null. Null and empty texts match nothing of
+    its own that holds a licence file, which is one that matches and whose name says so (LICENCE_NAME; of several, the highest
+    cosine, then the first licence), else its licence is null. Null and empty texts match nothing of
     themselves; repeated rows give repeated results; null doc_ids pass through.
 
     Inheritance joins directories, not files: each directory counts once, however many files it has.
@@ -260,11 +263,13 @@ def scan(docs: DataFrame, path: Column) -> DataFrame:
         files.mapInArrow(run, "doc_id long, path string, own string, how string, score double")
         .withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
     )
-    licensed = scanned.filter("how = 'file'").groupBy("dir").agg(F.min_by("own", F.struct(-F.col("score"), F.col("own"))).alias("dir_licence"), F.max("score").alias("dir_score"))
+    named = F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_NAME)
+    # tables of their own, so that adaptive execution can split a directory that holds most files, or that most directories are in
+    licensed = durable(scanned.filter("own is not null").filter(named).groupBy("dir").agg(F.min_by("own", F.struct(-F.col("score"), F.col("own"))).alias("dir_licence"), F.max("score").alias("dir_score")))
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("above")))
     dirs = scanned.select("dir").distinct().select("dir", F.inline(F.when(F.col("dir") == "", F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("above")))).otherwise(above)))
-    nearest = (
+    nearest = durable(
         dirs.join(licensed.withColumnRenamed("dir", "above"), "above")
         .groupBy("dir").agg(F.max_by(F.struct("dir_licence", "dir_score", "above"), "depth").alias("from"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from .common import read
 
@@ -55,13 +55,24 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no paths; source/lang/doc_id stands in for one."""
-    from pyspark.sql import functions as F
-
     from .licenses import scan
 
     docs = read(spark, sf_dir, "documents")
-    return scan(docs, F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    return scan(docs, stand_in_path(docs))
+
+
+def stand_in_path(docs: DataFrame) -> Column:
+    """Documents have no paths. Runs of doc_ids are directories: 4096 make a tree, 256 a package, 16 a folder; the first file of each package and folder is named LICENSE."""
+    from pyspark.sql import functions as F
+
+    of = lambda n: F.expr(f"cast(floor(doc_id / {n}) as string)")
+    name = F.coalesce(docs["doc_id"].cast("string"), F.lit("none"))
+    tree, package, folder = F.concat(F.lit("t"), of(4096)), F.concat(F.lit("p"), of(256)), F.concat(F.lit("f"), of(16))
+    return (
+        F.when(docs["doc_id"] % 256 == 0, F.concat_ws("/", tree, package, F.lit("LICENSE")))
+        .when(docs["doc_id"] % 16 == 0, F.concat_ws("/", tree, package, folder, F.lit("LICENSE")))
+        .otherwise(F.concat_ws("/", tree, package, folder, name))
+    )
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

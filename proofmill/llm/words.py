@@ -140,9 +140,13 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> list[np.ndarray]
     return out
 
 
-def hash_of(word: str, lower: bool = True, separators: np.ndarray = SEPARATOR) -> np.uint64:
-    """The hash that Words gives one word."""
-    return next(Words(lower, separators).of(pa.array([word])))[1][0]
+def hashes_of(words: list[str], lower: bool = True, separators: np.ndarray = SEPARATOR) -> np.ndarray:
+    """The hash that Words gives each of many words, in their order."""
+    found = [h for _, h, _ in Words(lower, separators).of(pa.array(words, pa.string()))]
+    out = np.concatenate(found) if found else np.empty(0, U64)
+    if len(out) != len(words):
+        raise ValueError("not all of these are single words")
+    return out
 
 
 def found_in(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -1,6 +1,8 @@
 import math
+import os
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from proofmill.llm.licenses import FILE_AT, FILES, HEADER_AT, HEADERS, SEGMENTS, Templates, learn, scan, template_terms, terms
@@ -112,3 +114,42 @@ def test_screen_leaves_out_no_match(spark):
     learned = learn(docs(spark, rows))
     got = {r.doc_id: (r.licence, r.how, r.score) for r in scan(docs(spark, rows), F.col("source")).collect()}
     assert got == {k: learned.scan(x) for k, x in enumerate(texts)} and t.cues
+
+
+def test_pasted_licences_cover_their_file_alone(spark):
+    rows = [
+        (0, FILES[0][1], "a/post.html"), (1, "plain", "a/x"), (2, "Licensed under CC BY 4.0.", "b/LICENSE.md"), (3, "plain", "b/c/d/x"), (4, "plain", "b/x"), (5, "plain", "LICENSES.txt"),
+        (6, "Released under the MIT License.", "b/c/COPYING"), (7, "SPDX-License-Identifier: MIT", "d/licensed_work.py"), (8, "plain", "d/x"), (9, "Licensed under CC BY 4.0.", "d/MIT-LICENSE"),
+    ]
+    got = {r.doc_id: (r.licence, r.how, r.licence_dir) for r in scan(docs(spark, rows), F.col("source")).collect()}
+    assert got == {
+        0: ("MIT", "file", None), 1: (None, None, None), 2: ("CC-BY-4.0", "header", None), 3: ("MIT", "inherited", "b/c"), 4: ("CC-BY-4.0", "inherited", "b"), 5: (None, None, None),
+        6: ("MIT", "header", None), 7: ("MIT", "header", None), 8: ("CC-BY-4.0", "inherited", "d"), 9: ("CC-BY-4.0", "header", None),
+    }
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_query_inherits_as_by_hand(spark):
+    """Own matches as the operator's definition gives them, then the nearest licence file by walking up each path."""
+    from proofmill.llm.common import read
+    from proofmill.llm.queries import op6_licenses, stand_in_path
+
+    documents = read(spark, "/root/testdata/sf0.01", "documents")
+    rows = documents.select("doc_id", stand_in_path(documents).alias("path")).collect()
+    # a path of its own for each text, under no licence file: what the operator finds in the text itself
+    alone = scan(documents, F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/x")))
+    found = {r.doc_id: (r.licence, r.how, r.score) for r in alone.collect()}
+    own = {r.doc_id: (*found[r.doc_id], r.path) for r in rows}
+    licensed = {}
+    for d, (name, _, score, path) in own.items():
+        folder, _, file = path.rpartition("/")
+        if name and file == "LICENSE":
+            licensed[folder] = min(licensed.get(folder, (1, "")), (-score, name))
+    want = {}
+    for d, (name, how, score, path) in own.items():
+        folder = path.rpartition("/")[0]
+        while name is None and folder and folder not in licensed:
+            folder = folder.rpartition("/")[0]
+        want[d] = (name, how) if name else (licensed[folder][1], "inherited") if folder in licensed else (None, None)
+    got = {r.doc_id: (r.licence, r.how) for r in op6_licenses(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want and sum(h == "inherited" for _, h in got.values()) >= 20
