@@ -281,14 +281,19 @@ def _size_class(n: Column, num: int, den: int) -> Column:
 def _open_members(members: DataFrame, num: int, den: int) -> DataFrame:
     """The members (bucket, node, n, c) of buckets that hold several components.
 
-    A bucket of more than one chunk becomes a bucket for each two neighbouring
-    size classes: members whose sizes alone rule a link out are not compared.
+    A bucket of more than one chunk becomes a bucket for each size class: there the main component's members of that class meet
+    the others of that class and of the neighbouring ones. Members whose sizes alone rule a link out are not compared, and most members get one row.
     """
-    sizes = durable(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("items"), F.min("c").alias("one"), F.max("c").alias("other")).filter("one <> other").select("bucket", "k", "items"))
+    each = members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("items"))
+    sizes = durable(
+        each.groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("k"), F.sum("items").alias("items"))
+        .filter("parts > 1").select("bucket", "main", "k", "items")
+    )
     size_class = _size_class(F.col("n"), num, den)
-    apart = F.array(F.xxhash64("bucket", size_class), F.xxhash64("bucket", size_class + 1))
+    of = lambda *classes: F.array(*(F.xxhash64("bucket", x) for x in classes))
     large = (F.col("k") > CHUNK_MEMBERS) | (F.col("items") > CHUNK_ITEMS)
-    return durable(members.join(sizes, "bucket").select(F.explode(F.when(large, apart).otherwise(F.array("bucket"))).alias("bucket"), "node", "n", "c"))
+    buckets = F.when(~large, F.array("bucket")).when(F.col("c") == F.col("main"), of(size_class)).otherwise(of(size_class - 1, size_class, size_class + 1))
+    return durable(members.join(sizes, "bucket").select(F.explode(buckets).alias("bucket"), "node", "n", "c"))
 
 
 def _block_links(members: DataFrame, plain: DataFrame, words: int, num: int, den: int) -> DataFrame:
