@@ -7,15 +7,16 @@ so that equal windows have equal anchors and meet in one bucket:
 1. Windows in a row with the same anchor are one run. Each task compares the bytes of
    its runs of one hash before the shuffle and sends one run of each class of equal
    ones: so a passage that many documents share costs one run for each task.
-2. Where an anchor has several runs, each sends its bytes.
-   Their suffixes are sorted to LENGTH bytes: initial q-gram buckets are refined by
+2. Where an anchor has several runs, each sends its bytes. Runs of equal bytes are one
+   class again; where an anchor has several classes, the
+   suffixes of their first runs are sorted to LENGTH bytes: initial q-gram buckets are refined by
    sorting on the bucket pointers of later offsets, each pass using the
    pointers of the one before. Equal windows end in one bucket; all but the
    earliest are repeats. So hashes only bring windows together; bytes decide.
 3. The repeats go back to their documents, which drop what they cover.
 
-Tasks count the classes of their anchors. Should any anchor have very many over all
-documents, the first step is taken again with the windows of such anchors dealt by their own hash.
+The second step counts the runs of each anchor, over all documents. Should any have very many,
+the first step is taken again with the windows of such anchors dealt by their own hash.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ CHUNK = 1 << 20
 FLUSH = 1_000_000
 #: Runs in a bucket bin, bytes of text in a document bin, bins in a partition, and the most partitions; beyond them a partition holds more bins.
 BIN_RUNS, BIN_BYTES, BINS, MOST_PARTITIONS = 60_000, 2 << 20, 8, 50_000
-#: An anchor of more classes than this is dealt by window. Classes of an anchor count where FLUSH runs hold at least COUNTED of them.
-HOT_CLASSES, COUNTED = 60_000, 4
+#: An anchor of more runs than this, of those that tasks send on, is dealt by window. From so many packed bytes on the runs of such anchors are only counted.
+HOT_CLASSES, COUNTED_FROM = 60_000, 64 << 20
 #: Bytes that are compared at once.
 COMPARED = 1 << 22
 FIRST_DOC = -(1 << 63)
@@ -147,18 +148,24 @@ def distinct_places(runs: np.ndarray) -> np.ndarray:
 
 
 def settle(runs: np.ndarray, data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(one run of each class, the earliest; the other runs) of runs whose bytes begin ``at`` places in ``data``.
+    """(the earliest run of each class, the other runs), as indices, of runs whose bytes begin ``at`` places in ``data``.
 
-    Equal hashes propose, bytes decide: a run that differs from the first of its hash stays.
+    Equal hashes propose, bytes decide: a run that differs from the first of its hash stays. A place given twice counts once.
     """
     order = distinct_places(runs)
-    runs, at = runs[order], at[order]
-    first = np.ones(len(runs), bool)
-    first[1:] = (runs["key"][1:] != runs["key"][:-1]) | (runs["ctx"][1:] != runs["ctx"][:-1]) | (runs["len"][1:] != runs["len"][:-1])
+    sorted_, at = runs[order], at[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (sorted_["key"][1:] != sorted_["key"][:-1]) | (sorted_["ctx"][1:] != sorted_["ctx"][:-1]) | (sorted_["len"][1:] != sorted_["len"][:-1])
     rest = np.flatnonzero(~first)
-    head = _heads(first[1:], len(runs))[rest]
-    first[rest[~equal_bytes(data, at[rest], at[head], runs["len"][rest].astype(np.int64) + length - 1)]] = True
-    return runs[first], runs[~first]
+    head = _heads(first[1:], len(order))[rest]
+    first[rest[~equal_bytes(data, at[rest], at[head], sorted_["len"][rest].astype(np.int64) + length - 1)]] = True
+    return order[first], order[~first]
+
+
+def crowded(runs: np.ndarray) -> np.ndarray:
+    """Whether each run's anchor has several of them."""
+    _, which, n = np.unique(runs["key"], return_inverse=True, return_counts=True)
+    return n[which] > 1
 
 
 def spans_of(runs: np.ndarray) -> np.ndarray:
@@ -245,18 +252,24 @@ def merged(spans: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], hi[np.append(new[1:], True)]
 
 
-def _by_bin(df: DataFrame, bins: int, use: Callable[[list[tuple[int, bytes]]], Iterator[pa.RecordBatch]], ddl: str | StructType) -> DataFrame:
-    """Gather the (bin, kind, data) rows of each bin and hand them to ``use``; one bin is in memory at a time."""
+def _by_bin(df: DataFrame, bins: int, use: Callable[[list[tuple[int, bytes]]], Iterator[pa.RecordBatch]], ddl: str | StructType, shrink: Callable[[list[tuple[int, bytes]]], list[tuple[int, bytes]]] | None = None) -> DataFrame:
+    """Gather the (bin, kind, data) rows of each bin and hand them to ``use``; one bin is in memory at a time.
+
+    ``shrink`` makes the rows of a bin smaller each time that they have grown by COUNTED_FROM bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, grown = None, [], 0
         for b in batches:
             for i, bin_ in enumerate(b.column("bin").to_pylist()):
                 if bin_ != now:
                     if held:
                         yield from use(held)
-                    now, held = bin_, []
+                    now, held, grown = bin_, [], 0
                 held.append((b.column("kind")[i].as_py(), b.column("data")[i].as_py()))
+                grown += len(held[-1][1])
+                if shrink and grown > COUNTED_FROM:
+                    held, grown = shrink(held), 0
         if held:
             yield from use(held)
 
@@ -297,7 +310,7 @@ def _keys(b: pa.RecordBatch, several: bool) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _runs(plain: DataFrame, length: int, several: bool, hot: np.ndarray, bins: int) -> DataFrame:
-    """(bin, kind, data): kind 0, RUN rows by anchor; kind 1, SPAN rows of repeats that a task has found on its own; kind 3, COUNT rows of anchors."""
+    """(bin, kind, data): kind 0, RUN rows by anchor; kind 1, SPAN rows of repeats that a task has found on its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, held, n = Runs(length, hot), [], 0
@@ -305,13 +318,10 @@ def _runs(plain: DataFrame, length: int, several: bool, hot: np.ndarray, bins: i
         def flush() -> pa.RecordBatch:
             base = np.cumsum([0, *(len(part) for _, part, _ in held)])
             at = np.concatenate([x + b for (_, _, x), b in zip(held, base[:-1], strict=True)])
-            first, rest = settle(np.concatenate([x for x, _, _ in held]), np.concatenate([part for _, part, _ in held]), at, length)
-            spans = spans_of(rest)
-            counts = _class_counts(first)
-            return _rows(
-                _dealt(first, first["key"], bins, 0) + _dealt(spans, _doc_bin(np.ascontiguousarray(spans["doc"])), bins, 1)
-                + ([(0, 3, pack(counts))] if len(counts) else [])
-            )
+            runs = np.concatenate([x for x, _, _ in held])
+            one, others = settle(runs, np.concatenate([part for _, part, _ in held]), at, length)
+            first, spans = runs[one], spans_of(runs[others])
+            return _rows(_dealt(first, first["key"], bins, 0) + _dealt(spans, _doc_bin(np.ascontiguousarray(spans["doc"])), bins, 1))
 
         for b in batches:
             for found in finder.of(*_keys(b, several)):
@@ -326,31 +336,29 @@ def _runs(plain: DataFrame, length: int, several: bool, hot: np.ndarray, bins: i
     return plain.select("doc", "text").mapInArrow(run, BINNED)
 
 
-def _class_counts(first: np.ndarray) -> np.ndarray:
-    keys, n = np.unique(first["key"], return_counts=True)
-    out = np.empty(int((n >= COUNTED).sum()), COUNT)
-    out["key"], out["n"] = keys[n >= COUNTED], n[n >= COUNTED]
-    return out
-
-
-def _hot_anchors(runs: DataFrame) -> np.ndarray:
-    """Anchors with more than HOT_CLASSES classes over all documents, as the tasks have counted them; there are few by their definition.
-
-    What the tasks leave out of the count is under COUNTED classes of an anchor for each FLUSH runs.
-    """
+def _counted(held: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    """``held`` with the runs of anchors beyond HOT_CLASSES as counts: the step will be taken again, so only their number matters."""
+    parts = [unpack(d, RUN) for k, d in held if k == 0]
+    counts = [unpack(d, COUNT) for k, d in held if k == 3]
+    if not parts:
+        return held
+    runs = np.concatenate(parts)
+    keys, which, n = np.unique(runs["key"], return_inverse=True, return_counts=True)
+    hot = n > HOT_CLASSES
+    hot |= np.isin(keys, np.concatenate(counts)["key"]) if counts else False
+    out = np.empty(int(hot.sum()), COUNT)
+    out["key"], out["n"] = keys[hot], n[hot]
+    return [x for x in held if x[0] != 0] + [(kind, pack(t)) for kind, t in ((0, runs[~hot[which]]), (3, out)) if len(t)]
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column("data").to_pylist():
-                t = unpack(data, COUNT)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(t["key"]).view(np.int64)), pa.array(np.ascontiguousarray(t["n"]))], names=["key", "n"])
 
-    found = runs.filter("kind = 3").select("data").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT_CLASSES)
-    return np.array(sorted(r[0] for r in found.select("key").collect()), np.int64).view(U64)
+def _hot_anchors(matched: DataFrame) -> np.ndarray:
+    """The anchors with more than HOT_CLASSES runs over all documents; there are few by their definition."""
+    found = [unpack(r[0], COUNT)["key"] for r in matched.filter("kind = 3").select("data").toLocalIterator()]
+    return np.unique(np.concatenate(found)) if found else np.empty(0, U64)
 
 
 def _matched(runs: DataFrame, bins: int, doc_bins: int) -> DataFrame:
-    """(bin, kind, data) by document: kind 1, repeats; kind 2, the runs of each anchor that has several."""
+    """(bin, kind, data) by document: kind 1, repeats; kind 2, the runs of each anchor that has several; kind 3, COUNT rows of hot anchors."""
 
     def use(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         spans = [unpack(d, SPAN) for k, d in held if k == 1]
@@ -359,8 +367,9 @@ def _matched(runs: DataFrame, bins: int, doc_bins: int) -> DataFrame:
         if parts:
             all_runs = np.concatenate(parts)
             all_runs = all_runs[distinct_places(all_runs)]
-            same = all_runs["key"][1:] == all_runs["key"][:-1]
-            several = all_runs[np.append(same, False) | np.append(False, same)]
+            several = all_runs[crowded(all_runs)]
+            rows += [(0, 3, d) for k, d in _counted([(0, pack(several))]) if k == 3] if len(several) > HOT_CLASSES else []
+            rows += [(0, 3, d) for k, d in held if k == 3]
             rows += _dealt(several, _doc_bin(np.ascontiguousarray(several["doc"])), doc_bins, 2)
         if spans:
             all_spans = np.concatenate(spans)
@@ -368,7 +377,7 @@ def _matched(runs: DataFrame, bins: int, doc_bins: int) -> DataFrame:
         if rows:
             yield _rows(rows)
 
-    return _by_bin(runs.filter("kind < 3"), bins, use, BINNED)
+    return _by_bin(runs, bins, use, BINNED, _counted)
 
 
 def _packed_docs(docs: DataFrame, several: bool, doc_bins: int) -> DataFrame:
@@ -451,10 +460,14 @@ def _refined(contexts: DataFrame, length: int, bins: int, doc_bins: int) -> Data
                 heads.append(head)
                 bodies.append(body[at + RUN.itemsize : at + RUN.itemsize + size])
                 at += RUN.itemsize + size
-        runs = np.concatenate(heads)
-        # only windows with the same anchor can be equal; sorting all of the bin at once finds the same
+        runs, sizes = np.concatenate(heads), np.array([*map(len, bodies)])
         data = np.frombuffer(b"".join(bodies), np.uint8)
-        found = repeated_windows(data, np.array([*map(len, bodies)]), runs["doc"], runs["dh"], runs["lo"], length)
+        one, others = settle(runs, data, np.cumsum(sizes) - sizes, length)
+        several = np.zeros(len(runs), bool)
+        several[one[crowded(runs[one])]] = True
+        # only windows with the same anchor can be equal; sorting all of the bin at once finds the same
+        left = runs[several]
+        found = np.concatenate([spans_of(runs[others]), repeated_windows(data[np.repeat(several, sizes)], sizes[several], left["doc"], left["dh"], left["lo"], length)])
         if len(found):
             yield _rows(_dealt(found, _doc_bin(np.ascontiguousarray(found["doc"])), doc_bins, 1))
 
@@ -480,11 +493,10 @@ def remove_repeats(docs: DataFrame, finish: Finish, ddl: str | StructType, lengt
     several = not plain.groupBy("doc").count().filter("count > 1").isEmpty()
     bins = max(16, -(-total // (ANCHOR * BIN_RUNS)))
     doc_bins = max(16, -(-total // BIN_BYTES))
-    runs = durable(_runs(plain, length, several, np.empty(0, U64), bins))
-    hot = _hot_anchors(runs)
+    matched = durable(_matched(_runs(plain, length, several, np.empty(0, U64), bins), bins, doc_bins))
+    hot = _hot_anchors(matched)
     if len(hot):
-        runs = durable(_runs(plain, length, several, hot, bins))
-    matched = durable(_matched(runs, bins, doc_bins))
+        matched = durable(_matched(_runs(plain, length, several, hot, bins), bins, doc_bins))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_DOC)).alias("doc"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
     packed = _packed_docs(rows, several, doc_bins)
     refined = durable(_refined(_contexts(packed, matched, length, doc_bins, bins), length, bins, doc_bins))

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from proofmill.llm import suffixes
@@ -39,9 +40,40 @@ def test_against_brute_force(spark, seed, length):
 
 
 def test_hot_anchors(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "HOT_CLASSES", 2)
-    monkeypatch.setattr(suffixes, "COUNTED", 1)
-    compare(spark, corpus(7, 100))
+    """Passages with other words around them each time, under an anchor that counts as hot: the windows of such anchors are dealt one by one."""
+    rng = random.Random(8)
+    shared = "".join(rng.choice("abcdefgh") for _ in range(70))
+    rows = corpus(7, 40) + [(5000 + i, f"{rng.random()}{shared}{rng.choice(['one end', 'two ends'])} " + "x" * rng.randrange(60)) for i in range(300)]
+    key = hot_keys(rows)
+    assert len(key)
+    monkeypatch.setattr(suffixes, "_hot_anchors", lambda matched: key)
+    compare(spark, rows)
+
+
+def hot_keys(rows):
+    """The anchors of more than 20 runs."""
+    data, offsets = suffixes.text_bytes(pa.array([t for _, t in rows]))
+    runs = np.concatenate([x for x, _, _ in Runs(100, np.empty(0, np.uint64)).of(data, offsets, np.array([d for d, _ in rows], np.int64), np.zeros(len(rows), np.uint64))])
+    keys, n = np.unique(runs["key"], return_counts=True)
+    return keys[n > 20]
+
+
+def test_counts_of_hot_anchors(monkeypatch):
+    """However the rows of a bin come, the hot anchors of it are found and the other runs kept."""
+    monkeypatch.setattr(suffixes, "HOT_CLASSES", 5)
+    runs = np.zeros(60, RUN)
+    runs["key"] = [1] * 20 + [2] * 6 + [*range(100, 134)]
+    runs["lo"] = np.arange(60)
+    held = [(0, pack(runs[a : a + 9])) for a in range(0, 60, 9)] + [(1, b"spans")]
+    whole = suffixes._counted(held)
+    piecewise = []
+    for x in held:
+        piecewise = suffixes._counted([*piecewise, x]) if x[0] == 0 else [*piecewise, x]
+    for found in (whole, piecewise):
+        keys = {int(k) for kind, d in found if kind == 3 for k in unpack(d, suffixes.COUNT)["key"]}
+        left = np.concatenate([unpack(d, RUN) for kind, d in found if kind == 0])
+        assert keys == {1, 2} and (1, b"spans") in found
+        assert {int(k) for k in left["key"]} == {*range(100, 134)}
 
 
 def test_awkward(spark):
@@ -89,7 +121,7 @@ def test_small_parts():
     runs = np.zeros(3, RUN)
     runs["doc"], runs["lo"], runs["len"] = [2, 1, 2], [5, 9, 5], 3
     assert (unpack(pack(runs), RUN) == runs).all()
-    first, rest = settle(runs, np.zeros(200, np.uint8), np.array([0, 102, 0]), 10)
+    first, rest = (runs[x] for x in settle(runs, np.zeros(200, np.uint8), np.array([0, 102, 0]), 10))
     assert first["doc"].tolist() == [1] and rest["doc"].tolist() == [2]
     assert [x.tolist() for x in merged(runs, 4)] == [[5], [15]]
 
@@ -105,11 +137,11 @@ def test_equal_hashes_of_different_bytes(spark, monkeypatch):
 
     monkeypatch.setattr(Runs, "_scan", one_hash)
     rows = corpus(5, 25)
-    data, offsets = suffixes.text_bytes(suffixes.pa.array([t for _, t in rows]))
+    data, offsets = suffixes.text_bytes(pa.array([t for _, t in rows]))
     doc = np.array([d for d, _ in rows], np.int64)
     found = [*Runs(100, np.empty(0, np.uint64)).of(data, offsets, doc, np.zeros(len(rows), np.uint64))]
     runs, part, at = found[0]
-    first, rest = settle(runs, part, at, 100)
+    first, rest = (runs[x] for x in settle(runs, part, at, 100))
     body = lambda r: part[int(at[np.flatnonzero((runs["doc"] == r["doc"]) & (runs["lo"] == r["lo"]))[0]]) :][: int(r["len"]) + 99].tobytes()
     kept = {body(r) for r in first}
     assert len(rest) and all(body(r) in kept for r in rest)
