@@ -1,8 +1,12 @@
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 
+from proofmill.llm import quality
+from proofmill.llm.words import PUNCTUATION, SEPARATOR, hashes_of
 from proofmill.llm.quality import OrdinalModel, grade_documents, learn, shapes
 
 from .data import AWKWARD, table
@@ -53,3 +57,60 @@ def test_fit_beats_the_prior():
 def test_shapes():
     got = shapes(pa.array(["word Word", "", None, "WORD!!!!! x1&&", "Éa"]).slice(0))
     assert got.to_pylist() == [b"a Aa", b"", b"", b"A! a0&", b"a"]
+
+
+def loss(weights, cuts, rows, grades):
+    """Mean negative log likelihood of the cumulative-link model and the ridge, by their definition."""
+    edges = [-math.inf, *cuts, math.inf]
+    below = lambda t, eta: 0.0 if t == -math.inf else 1.0 if t == math.inf else 1 / (1 + math.exp(eta - t))
+    total = 0.0
+    for (ids, values), g in zip(rows, grades, strict=True):
+        eta = sum(v * weights[i] for i, v in zip(ids, values, strict=True))
+        total -= math.log(max(1e-12, below(edges[g + 1], eta) - below(edges[g], eta)))
+    return total / len(rows) + quality.RIDGE / 2 * sum(w * w for w in weights.values())
+
+
+def test_fit_is_the_least_loss():
+    """No step along any weight or threshold makes the loss of the definition smaller, and plain gradient descent ends there too."""
+    rng = random.Random(12)
+    grades, rows = [], []
+    for _ in range(120):
+        g = rng.randrange(3)
+        ids = sorted(rng.sample(range(6), 3))
+        rows.append((np.array(ids, np.int64), np.array([rng.random() + (0.7 * g if i == 0 else 0) for i in ids])))
+        grades.append(g)
+    model = OrdinalModel.fit(rows, np.array(grades), 3)
+    weights, cuts = {i: float(model.weights[i]) for i in range(6)}, [float(t) for t in model.thresholds]
+    best = loss(weights, cuts, rows, grades)
+    for step in (0.05, 0.3):
+        for sign in (-1, 1):
+            for i in weights:
+                assert loss(weights | {i: weights[i] + sign * step}, cuts, rows, grades) > best - 1e-4
+            for k in range(2):
+                assert loss(weights, [c + sign * step * (j == k) for j, c in enumerate(cuts)], rows, grades) > best - 1e-4
+    w, c = dict.fromkeys(range(6), 0.0), [-0.5, 0.5]
+    for _ in range(400):
+        at = loss(w, c, rows, grades)
+        gw = {i: (loss(w | {i: w[i] + 1e-5}, c, rows, grades) - at) / 1e-5 for i in w}
+        gc = [(loss(w, [x + 1e-5 * (j == k) for j, x in enumerate(c)], rows, grades) - at) / 1e-5 for k in range(2)]
+        w, c = {i: w[i] - 2.0 * gw[i] for i in w}, [x - 2.0 * g for x, g in zip(c, gc, strict=True)]
+    assert best <= loss(w, c, rows, grades) + 1e-3
+
+
+def test_grades_by_definition(spark):
+    """Expected grade and tail probability from features counted in plain Python."""
+    rows, labels = corpus(90)
+    model = learn(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    texts = [*rows, (1000, "Same same same ä-b 12,5 !!!"), (1001, None), (1002, "...")]
+    for r in grade_documents(table(spark, texts), model).collect():
+        text = next(t for d, t in texts if d == r.doc_id) or ""
+        words, tokens = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text), re.findall(r"[^\x20\x09-\x0D]+", text)
+        looks = [x.decode("utf-8", "surrogateescape") for x in shapes(pa.array([text])).to_pylist()[0].split()]
+        eta = 0.0
+        for kind, found, separators, lower in ((1, words, PUNCTUATION, True), (2, looks, SEPARATOR, False)):
+            for h in hashes_of(found, lower, separators):
+                eta += quality.SCALE / len(found) * model.weights[int(h ^ np.uint64(kind)) % (quality.BUCKETS - 2)]
+        eta += model.weights[quality.REPEATED] * quality.SCALE * sum(a == b for a, b in zip(tokens, tokens[1:])) / max(1, len(tokens))
+        eta += model.weights[quality.EMPTY] * quality.SCALE * (not tokens)
+        tails = [1 / (1 + math.exp(t - eta)) for t in model.thresholds]
+        assert math.isclose(r.expected_grade, sum(tails), abs_tol=1e-6) and math.isclose(r.tail_probability, tails[quality.SELECT - 1], abs_tol=1e-6), text
