@@ -82,4 +82,43 @@ with {RULE_CTES.strip()}
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept from verdicts
 """
 
-ORACLES: dict[str, str] = {"op2_sharding": OP2, "op10_quality_rules": OP10}
+#: All windows of 100 bytes (cut from blocks of hex digits) by their MD5; those that are not the first of their kind are repeats, which merge to runs.
+OP4 = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, ''))::bigint as n from documents),
+block as (select doc_id, b, n, substr(h, 2 * b + 1, 2 * 1123) as t from (select doc_id, h, n, unnest(range(0, n - 99, 1024)) as b from d where n >= 100)),
+win as (select doc_id, b + i as i, md5_number(substr(t, 2 * i + 1, 200)) as g from (select doc_id, b, t, unnest(range(0, least(1024, n - 99 - b))) as i from block)),
+rep as (select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) as k from win) where k > 1),
+cut as (
+  select doc_id, min(i) as a, max(i) + 100 as b from (
+    select doc_id, i, sum(new) over (partition by doc_id order by i) as run from (
+      select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 100 then 0 else 1 end as new from rep))
+  group by doc_id, run),
+piece as (
+  select d.doc_id, d.n, d.h, a, b, coalesce(lag(b) over (partition by d.doc_id order by a), 0) as after from d left join cut using (doc_id)),
+kept as (
+  select doc_id, any_value(n) as n, any_value(h) as h, coalesce(sum(b - a), 0)::bigint as removed, count(a) as spans, coalesce(max(b), 0) as last,
+    coalesce(string_agg(substr(h, 2 * after + 1, 2 * (a - after)), '' order by a), '') as head
+  from piece group by doc_id)
+select doc_id, n as n_bytes, removed as n_removed, spans as n_spans, sha256(unhex(head || substr(h, 2 * last + 1))) as kept_sha256 from kept
+"""
+
+#: An exact similarity join on the rarest shingles of each set, then all that is reachable from each document.
+OP9 = """
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+sh as (select distinct doc_id, unnest(case when len(w) = 1 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from w where len(w) > 0),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+f as (select s, count(*) as c from sh group by s),
+r as (
+  select doc_id, s, n from (select sh.doc_id, s, n, row_number() over (partition by sh.doc_id order by c, s) as k from sh join f using (s) join n using (doc_id))
+  where k <= n - (80 * n + 99) // 100 + 1),
+cand as (select distinct x.doc_id as a, y.doc_id as b from r x join r y on x.s = y.s and x.doc_id < y.doc_id where 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+both_ as (select a, b, count(*) as k from cand join sh x on x.doc_id = a join sh y on y.doc_id = b and y.s = x.s group by a, b),
+link as (select a, b from both_ join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+edge as (select a, b from link union all select b, a from link),
+reach as (select doc_id, doc_id as other from documents union select reach.doc_id, edge.b from reach join edge on edge.a = reach.other),
+least_ as (select doc_id, min(other) as component_id from reach group by doc_id)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept from documents d join least_ using (doc_id) left join n using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_sharding": OP2, "op4_suffix_dedup": OP4, "op9_near_duplicates": OP9, "op10_quality_rules": OP10}
