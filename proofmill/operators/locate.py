@@ -40,7 +40,7 @@ def containing(quotes: DataFrame, sources: DataFrame, quote: str = "quote", text
     Quotes of ANCHOR + 2 words or more join on their words 2 to ANCHOR + 1, which stand as whole
     words in any source that holds the quote: no pair is lost, and a source is
     scanned once. The few shorter quotes are looked for one by one. Quotes are
-    broadcast up to BROADCAST_QUOTES rows; beyond, both joins shuffle on the anchor.
+    broadcast up to BROADCAST_QUOTES rows; beyond, both joins shuffle on the anchor, and quotes of one or two words are broadcast in blocks of about so many.
     """
     long_ = F.size(_words(F.col(quote))) >= ANCHOR + 2
     anchored = quotes.filter(long_).withColumn("_anchor", F.xxhash64(F.transform(F.slice(_words(F.col(quote)), 2, ANCHOR), lambda w: F.xxhash64(w))))
@@ -63,7 +63,13 @@ def containing(quotes: DataFrame, sources: DataFrame, quote: str = "quote", text
     lone = inner.filter("_word is null")
     by_word = sources.withColumn("_word", F.explode(F.array_distinct(_words(F.col(text)))))
     pairs = by_word.join(inner.filter("_word is not null"), "_word").filter(F.contains(F.col(text), F.col(quote))).drop("_word")
-    return found.unionByName(pairs).unionByName(sources.join(lone.drop("_word"), F.contains(F.col(text), F.col(quote))))
+    found = found.unionByName(pairs)
+    # quotes of one or two words have no word that must stand whole: blocks of them, each broadcast, meet all sources
+    blocks = -(-lone.count() // max(1, BROADCAST_QUOTES))
+    for block in range(blocks):
+        part = lone.filter(F.pmod(F.xxhash64(quote), F.lit(blocks)) == block).drop("_word")
+        found = found.unionByName(sources.join(F.broadcast(part), F.contains(F.col(text), F.col(quote))))
+    return found
 
 
 def within_document(quotes: DataFrame, pages: DataFrame, exclusions: DataFrame | None = None) -> DataFrame:
