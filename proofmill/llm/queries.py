@@ -96,8 +96,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), num=10, den=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_quality": op5_quality, "op6_licenses": op6_licenses, "op7_language": op7_language, "op8_toxicity": op8_toxicity, "op9_near_duplicates": op9_near_duplicates, "op10_quality_rules": op10_quality_rules}
+    return {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_quality": op5_quality, "op6_licenses": op6_licenses, "op7_language": op7_language, "op8_toxicity": op8_toxicity, "op9_near_duplicates": op9_near_duplicates, "op10_quality_rules": op10_quality_rules, "op12_spelling_variants": op12_spelling_variants, "op13_resampling": op13_resampling}
 
 
 def oracle_sql() -> dict[str, str]:

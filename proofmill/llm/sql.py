@@ -121,4 +121,56 @@ least_ as (select doc_id, min(other) as component_id from reach group by doc_id)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept from documents d join least_ using (doc_id) left join n using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_sharding": OP2, "op4_suffix_dedup": OP4, "op9_near_duplicates": OP9, "op10_quality_rules": OP10}
+_CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _crc(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes, from the table of CRC32."""
+    return f"""xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint,
+    list_transform(range(1, strlen({text}) * 2, 2), lambda i: ('0x' || substr(hex({text}), i, 2))::ubigint)),
+    lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::bigint])))"""
+
+
+#: Words that differ by one replaced character leave the same rest without it; by one more or less, the shorter is a rest of the longer.
+OP12 = f"""
+with recursive {CRC32.strip()},
+run as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_CAPITALS}), '[A-Za-zÀ-ÿ]+')) as r from documents),
+kind as (select doc_id, r, count(*) as k from run group by all),
+keyed as (select r, k, {_crc("coalesce(doc_id::varchar, '') || ':' || r")} as h from kind, crc_table),
+damaged as (select case when h % 199 = 0 then substr(r, 1, (h % length(r))::bigint) || substr(r, (h % length(r))::bigint + 2) else r end as word, k from keyed),
+v as (select word, sum(k)::bigint as n from damaged where length(word) >= 6 group by word having sum(k) >= 5),
+less as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from v)),
+near as (
+  select x.word, y.word as other, y.n as other_n from less x join less y on x.i = y.i and x.rest = y.rest and x.word <> y.word
+  union select x.word, y.word, y.n from less x join v y on x.rest = y.word
+  union select y.word, x.word, x.n from less x join v y on x.rest = y.word),
+best as (select word, count(*)::bigint as n_near, max(other_n) as best_n, arg_min(other, (-other_n, other)) as best from near group by word),
+formed as (
+  select v.word, case when best_n >= 5 * n then best end as form, n, coalesce(n_near, 0)::bigint as n_near, case when best_n >= 5 * n then best_n end as form_n
+  from v left join best using (word)),
+walk as (select word, word as here, 0 as d from formed union all select walk.word, formed.form, d + 1 from walk join formed on formed.word = walk.here where formed.form is not null),
+ending as (select word, arg_max(here, d) as root from walk group by word)
+select word, form, root, n, n_near, form_n from formed join ending using (word)
+"""
+
+OP13 = f"""
+with {CRC32.strip()},
+d as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_CAPITALS}), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) as w from documents),
+b as (select unnest(regexp_extract_all(translate(coalesce(text, ''), {_CAPITALS}), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) as w from benchmark),
+hashed as (select w, ({_crc("w")} % 10000)::bigint as bucket from (select w from d union select w from b), crc_table),
+s as (select bucket, count(*)::double as s from d join hashed using (w) group by bucket),
+t as (select bucket, count(*)::double as t from b join hashed using (w) group by bucket),
+total as (select (select count(*)::double from d) as s, (select count(*)::double from b) as t),
+gain as (
+  select s.bucket, floor(1000 * ln(((coalesce(t.t, 0) + 1) * (total.s + 10000)) / ((s.s + 1) * (total.t + 10000))))::bigint as gain
+  from s left join t using (bucket), total),
+weighed as (select doc_id, count(*)::bigint as n, floor(sum(gain)::double / count(*))::bigint as weight from d join hashed using (w) join gain using (bucket) group by doc_id),
+scored as (
+  select doc_id, coalesce(n, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id::varchar), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+  from documents left join weighed using (doc_id)),
+ranked as (select doc_id, row_number() over (order by score desc, doc_id)::bigint as rank from scored where n_features >= 20)
+select doc_id, n_features, weight, score, case when rank <= (select count(*) * 10 // 100 from ranked) then rank end as rank from scored left join ranked using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_sharding": OP2, "op4_suffix_dedup": OP4, "op9_near_duplicates": OP9, "op10_quality_rules": OP10, "op12_spelling_variants": OP12, "op13_resampling": OP13}
