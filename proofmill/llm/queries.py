@@ -96,6 +96,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .metricjoin import jaccard_join
+
+    return jaccard_join(read(spark, sf_dir, "documents"), words=5, num=80, den=100)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spelling import spelling_variants
 
@@ -109,7 +115,7 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_quality": op5_quality, "op6_licenses": op6_licenses, "op7_language": op7_language, "op8_toxicity": op8_toxicity, "op9_near_duplicates": op9_near_duplicates, "op10_quality_rules": op10_quality_rules, "op12_spelling_variants": op12_spelling_variants, "op13_resampling": op13_resampling}
+    return {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_quality": op5_quality, "op6_licenses": op6_licenses, "op7_language": op7_language, "op8_toxicity": op8_toxicity, "op9_near_duplicates": op9_near_duplicates, "op10_quality_rules": op10_quality_rules, "op11_jaccard_join": op11_jaccard_join, "op12_spelling_variants": op12_spelling_variants, "op13_resampling": op13_resampling}
 
 
 def oracle_sql() -> dict[str, str]:

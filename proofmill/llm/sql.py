@@ -103,10 +103,10 @@ select doc_id, n as n_bytes, removed as n_removed, spans as n_spans, sha256(unhe
 """
 
 #: An exact similarity join on the rarest shingles of each set, then all that is reachable from each document.
-OP9 = """
+_LINKED = """
 with recursive w as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
-sh as (select distinct doc_id, unnest(case when len(w) = 1 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from w where len(w) > 0),
+sh as (select distinct doc_id, unnest(case when len(w) < WORDS then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - WORDS + 2), lambda i: array_to_string(w[i:i + WORDS - 1], ' ')) end) as s from w where len(w) > 0),
 n as (select doc_id, count(*) as n from sh group by doc_id),
 f as (select s, count(*) as c from sh group by s),
 r as (
@@ -118,9 +118,18 @@ link as (select a, b from both_ join n x on x.doc_id = a join n y on y.doc_id =
 edge as (select a, b from link union all select b, a from link),
 reach as (select doc_id, doc_id as other from documents union select reach.doc_id, edge.b from reach join edge on edge.a = reach.other),
 least_ as (select doc_id, min(other) as component_id from reach group by doc_id)
+"""
+
+OP9 = _LINKED.replace("WORDS", "2").strip() + """
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept from documents d join least_ using (doc_id) left join n using (doc_id)
 """
 
+OP11 = _LINKED.replace("WORDS", "5").strip() + """
+, degree as (select a as doc_id, count(*) as k from edge group by a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, coalesce(degree.k, 0)::bigint as n_links
+from documents d join least_ using (doc_id) left join n using (doc_id) left join degree using (doc_id)
+"""
+
 _CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
@@ -173,4 +182,4 @@ ranked as (select doc_id, row_number() over (order by score desc, doc_id)::bigin
 select doc_id, n_features, weight, score, case when rank <= (select count(*) * 10 // 100 from ranked) then rank end as rank from scored left join ranked using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_sharding": OP2, "op4_suffix_dedup": OP4, "op9_near_duplicates": OP9, "op10_quality_rules": OP10, "op12_spelling_variants": OP12, "op13_resampling": OP13}
+ORACLES: dict[str, str] = {"op2_sharding": OP2, "op4_suffix_dedup": OP4, "op9_near_duplicates": OP9, "op10_quality_rules": OP10, "op11_jaccard_join": OP11, "op12_spelling_variants": OP12, "op13_resampling": OP13}
