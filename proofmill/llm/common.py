@@ -48,15 +48,16 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """``names``, each with underscores put before it until no column of ``df`` has that name."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+def by_position(df: DataFrame, *own: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with the columns ``own`` (those that it has) under these names and all others named by their place, and the old names for ``toDF``.
+
+    So no name of the caller's, with dots, backticks or in other letters, meets one that is used inside. Of
+    names that differ by case alone the exact one is meant, else the first.
+    """
+    names = df.columns
+    folded = [c.lower() for c in names]
+    at = {(names.index(name) if name in names else folded.index(name.lower())): name for name in own if name.lower() in folded}
+    return df.toDF(*(at.get(k, f"_column{k}") for k in range(len(names)))), names
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

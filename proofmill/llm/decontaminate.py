@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, durable, mix64, stream64
+from .common import U64, by_position, durable, mix64, stream64
 from .words import PUNCTUATION, Words
 
 #: Edits allowed for each word of an item, and the recall that the repetitions aim at.
@@ -294,6 +294,7 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null and empty texts stay, as nothing leaks into them; repeated rows stay or go together; an empty benchmark, or one
     without words, drops nothing; an empty table stays empty; any column names beside doc_id and text go.
     """
+    docs, names = by_position(docs, "doc_id", "text")
     for items, alone in _announced(_blocks(benchmark)):
         items.calibrate()
         shared = docs.sparkSession.sparkContext.broadcast(items)
@@ -313,4 +314,4 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         if not alone:
             docs = durable(docs)
             shared.destroy()
-    return docs
+    return docs.toDF(*names)

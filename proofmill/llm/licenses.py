@@ -64,7 +64,7 @@ HEADERS: tuple[tuple[str, str], ...] = (
 )
 #: Licences whose whole texts lie in licence_texts.
 WHOLE = (
-    "AGPL-3.0", "Apache-2.0", "Artistic-1.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0",
+    "Apache-2.0", "Artistic-1.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0",
     "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib",
 )
 #: Fixed values: (licence, opening text) of licence files, then (licence, whole text).
@@ -76,6 +76,8 @@ FILES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software."),
     *((name, resources(__package__).joinpath("licence_texts", f"{name}.txt").read_text("utf-8")) for name in WHOLE),
 )
+#: Licences known from their notices alone that share nearly all of a whole text: (licence of that text, a term, how often it stands in the other one at least, the other one).
+LIKENESSES = (("GPL-3.0", "affero", 6, "AGPL-3.0"),)
 #: Goes along with open licences too: counts where no other licence matches.
 WEAK = "Proprietary"
 #: Cosine from which a segment or a whole file matches a template.
@@ -154,7 +156,8 @@ class Templates:
         """(licence, "file" or "header", cosine) of a whole text; without ``whole`` it is known to be no licence file."""
         words = terms(text or "")
         if whole and words and (found := self.best(words, self.files, FILE_AT)):
-            return found[1], "file", found[0]
+            name = next((other for like, term, least, other in LIKENESSES if found[1] == like and words.count(term) >= least), found[1])
+            return name, "file", found[0]
         if self.cues.isdisjoint(words):
             return None, None, None
         hits = list(self.notices(text))

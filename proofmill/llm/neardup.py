@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, durable, mix64, release_memory, stream64, unused
+from .common import U64, by_position, durable, mix64, release_memory, stream64
 from .components import connected_components, merge_components
 from .words import Words, shingles
 
@@ -97,15 +97,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: in
     Nulls, empty texts, ties and repeated rows are as there: a null or empty text is a copy of nothing and stays, a
     null doc_id comes after all others, repeated rows stay or go together. An empty table stays empty; any column names go.
     """
-    id_, text_hash = unused(docs, "doc", "text_hash")
-    dropped = durable(
-        _classified(docs, words, num, den, BANDS, ROWS).filter("not kept")
-        .select(F.coalesce("doc_id", F.lit(LAST)).alias(id_), F.col("text_hash").alias(text_hash)).distinct()
-    )
+    docs, names = by_position(docs, "doc_id", "text")
+    dropped = durable(_classified(docs, words, num, den, BANDS, ROWS).filter("not kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text_hash").distinct())
     if dropped.count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
-    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), text_hash: F.xxhash64(F.col("text").cast("string"))})
-    return keyed.join(dropped, [id_, text_hash], "left_anti").select(*(docs[c] for c in docs.columns))
+    keyed = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "text_hash": F.xxhash64(F.col("text").cast("string"))})
+    return keyed.join(dropped, ["doc", "text_hash"], "left_anti").select(*docs.columns).toDF(*names)
 
 
 def _classified(docs: DataFrame, words: int, num: int, den: int, bands: int, rows: int) -> DataFrame:

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import by_position, durable
 
 #: False rejections that each rule may cause in each stratum, and the chance that any cutoff breaks that.
 RISK, CONFIDENCE = 0.01, 0.05
@@ -165,6 +165,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     a null doc_id has no label, and an empty table stays empty. Cutoffs are crossed above them, so a score that ties with one stays.
     Rows and features are written once and read for the cutoffs and the verdict.
     """
+    docs, names = by_position(docs, "doc_id", "text")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     features = durable(with_features(rows).drop("text"))
-    return judged(features, cutoffs(features, labels)).filter("kept").select("row.*")
+    return judged(features, cutoffs(features, labels)).filter("kept").select("row.*").toDF(*names)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import U64, durable, mix64
+from .common import U64, by_position, durable, mix64
 from .words import BYTE_VALUE, Powers, text_bytes
 
 LENGTH, ANCHOR = 100, 32
@@ -570,4 +570,5 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns["n_chars"] = pa.array([len(t) if t is not None else old for t, old in zip(texts, columns["n_chars"].to_pylist(), strict=True)], pa.int64()).cast(columns["n_chars"].type)
         return pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
-    return remove_repeats(docs, finish, docs.schema, length)
+    docs, names = by_position(docs, "doc_id", "text", "n_chars")
+    return remove_repeats(docs, finish, docs.schema, length).toDF(*names)

@@ -83,6 +83,35 @@ def test_whole_licence_texts_are_files_and_inherited(spark):
     assert got == {f"{n}/COPYING": (n, "file") for n in texts} | {f"{n}/deep/x": (n, "inherited") for n in texts}
 
 
+def test_vectors_against_the_definition(spark):
+    """Cosines from plain sums: tf 1 + ln n, idf as learnt, terms of no template under one weight."""
+    import re
+
+    t = learn(docs(spark, ROWS))
+
+    def cosine(a, b):
+        x, y = (Counter(re.findall("[a-z0-9]+", s.lower())) for s in (a, b))
+        weigh = lambda c, w: (1 + math.log(c[w])) * t.idf.get(w, t.unknown) if c[w] else 0.0
+        words = sorted(set(x) | set(y))
+        dot = sum(weigh(x, w) * weigh(y, w) for w in words)
+        return dot / math.sqrt(sum(weigh(x, w) ** 2 for w in words)) / math.sqrt(sum(weigh(y, w) ** 2 for w in words))
+
+    for text in (MIT_FILE, GPL_FILE, *(f"{h} and a few words more" for _, h in HEADERS[:6])):
+        for group, at in ((HEADERS, HEADER_AT), (FILES, FILE_AT)):
+            vectors = t.headers if group is HEADERS else t.files
+            want = [(cosine(text, b), n) for n, b in group]
+            got = t.best(terms(text), vectors, at)
+            top = max(c for c, _ in want)
+            assert (got is None and top < at) or (math.isclose(got[0], top, abs_tol=1e-9) and got[1] in {n for c, n in want if math.isclose(c, top, abs_tol=1e-9)})
+
+
+def test_affero_is_told_from_the_text_that_it_shares(spark):
+    gpl = next(t for n, t in FILES if n == "GPL-3.0" and len(t) > 10_000)
+    affero = gpl.replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE").replace("GNU General Public License", "GNU Affero General Public License")
+    got = scan(docs(spark, [(1, gpl, "a/COPYING"), (2, affero, "b/COPYING")]), F.col("source")).collect()
+    assert {(r.doc_id, r.licence, r.how) for r in got} == {(1, "GPL-3.0", "file"), (2, "AGPL-3.0", "file")}
+
+
 def test_wrapped_notices(spark):
     import textwrap
 

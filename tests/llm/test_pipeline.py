@@ -1,5 +1,6 @@
 import random
 
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -80,7 +81,22 @@ def test_cuts_leave_whole_characters(spark):
     assert got == {1: rows[0][1], 2: "èb", 3: None}
 
 
-def test_queries_of_all_ten_operators():
+def test_stages_take_any_column_names(spark, tmp_path):
+    """Dots, backticks, a name that differs by case alone, and names that the stages use inside."""
+    docs, items = corpus()
+    d = write(spark, tmp_path, docs, [(1, 1, 0)], items)
+    plain = spark.read.parquet(f"{d}/documents.parquet")
+    odd = ["a.b", "c`d", "e f", "Text", "row", "doc", "text_hash", "Kept", "stratum", "n_words", "base_failed", "_w", "score_symbols", "cutoff_symbols", "_column2", "bin", "kind", "data", "h", "start"]
+    wide = plain.select("*", *(F.concat(F.lit(f"{k}:"), F.col("doc_id").cast("string")).alias(name) for k, name in enumerate(odd)))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, wide, d)
+        assert after.columns == wide.columns
+        rows = after.collect()
+        assert sorted((r[0], r[1]) for r in rows) == sorted((r.doc_id, r.text) for r in stage(spark, plain, d).collect())
+        assert all(list(r)[len(plain.columns) :] == [f"{k}:{r[0]}" for k in range(len(odd))] for r in rows)
+
+
+def test_queries_of_all_operators():
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)
