@@ -118,6 +118,14 @@ def slice_between(text: Column, start: str, end: str) -> Column:
     return F.when((a > 0) & (b > 0), F.substring(rest, F.lit(1), b - 1))
 
 
+def section(text: Column, heading: str, before: str | None = None) -> Column:
+    """The lines under ``heading``, a whole line but for white space at its end: up to the next heading of its level or a higher one, or the line ``before``. Null without the heading."""
+    level = len(heading) - len(heading.lstrip("#"))
+    ends = [r"\z", *([rf"^#{{1,{level}}}[ \t]"] if level else []), *([rf"^\Q{before}\E[ \t]*\r?$"] if before else [])]
+    found = F.regexp_extract_all(text, F.lit(rf"(?ms)^\Q{heading}\E[ \t]*\r?$(.*?)(?={'|'.join(ends)})"), 1)
+    return F.get(found, F.lit(0))
+
+
 def in_order(text: Column, first: str, second: str) -> Column:
     a, b = F.locate(first, text), F.locate(second, text)
     return (a > 0) & (b > 0) & (a < b)

@@ -20,20 +20,24 @@ def lookup(v: Column, path: str) -> Column:
     return F.try_variant_get(v, _step(path), "variant")
 
 
+def is_object(v: Column) -> Column:
+    """False for every other kind, and where there is nothing."""
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
 def kind(v: Column) -> Column:
-    """The JSON kind: OBJECT, ARRAY, STRING, BOOLEAN, NUMBER, NULL, or MISSING."""
-    name = F.schema_of_variant(v)
+    """The JSON kind: OBJECT, ARRAY, STRING, BOOLEAN, NUMBER, NULL, or MISSING. What lies inside an object or a list is not looked at."""
     return (
-        F.when(v.isNull(), "MISSING").when(F.is_variant_null(v), "NULL").when(name.startswith("OBJECT"), "OBJECT").when(name.startswith("ARRAY"), "ARRAY")
-        .when(name == "STRING", "STRING").when(name == "BOOLEAN", "BOOLEAN").otherwise("NUMBER")
+        F.when(v.isNull(), "MISSING").when(F.is_variant_null(v), "NULL").when(is_object(v), "OBJECT").when(elements(v).isNotNull(), "ARRAY")
+        .otherwise(F.coalesce(F.element_at(F.create_map(F.lit("STRING"), F.lit("STRING"), F.lit("BOOLEAN"), F.lit("BOOLEAN")), F.schema_of_variant(v)), F.lit("NUMBER")))
     )
 
 
 def text(v: Column) -> Column:
     """The value of a JSON string; null for any other kind."""
-    return F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
 def elements(v: Column) -> Column:
     """array<variant> of a JSON array; null for any other kind."""
-    return F.when(kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>"))
+    return F.try_variant_get(v, "$", "array<variant>")

@@ -16,6 +16,8 @@ from ..functions.text import in_order, occurrences, sentences, with_quote_id
 #: Our choice: the longest quote that is accepted, in code points.
 MAX_QUOTE_CHARS = 2000
 MAX_SENTENCES = 2
+#: Fixed value: the version of a sidecar's format.
+SIDECAR_VERSION = "future-work-v1"
 #: The field names of a facts file.
 FACT_FIELDS = ("paper", "research_problem", "research_object", "approach", "findings", "contributions", "topic_terms", "limitations", "source_anchors", "confidence")
 PAPER_FIELDS = ("title", "authors", "year", "venue", "doi")
@@ -28,13 +30,13 @@ def item_errors(items: DataFrame, candidates: DataFrame, limit: int = MAX_QUOTE_
     document), quote and page (not on that page), does not match (a given id that is
     not the quote's). A shortened quote is another quote, so it is no candidate.
     """
-    known = candidates.select("doc_id", "quote", "page").distinct()
-    pages = known.groupBy("doc_id", "quote").agg(F.count(F.lit(1)).alias("_pages"))
-    same = known.withColumn("_here", F.lit(True))
-    joined = with_quote_id(items, "quote", "_id").join(pages, ["doc_id", "quote"], "left").join(same, ["doc_id", "quote", "page"], "left")
+    # quotes meet by their digests, so that no text is shuffled for the candidates; one aggregate knows all pages of a quote
+    digest = F.unhex(F.md5(F.col("quote").cast("binary"))).alias("_key")
+    known = candidates.select("doc_id", digest, "page").groupBy("doc_id", "_key").agg(F.collect_set("page").alias("_pages"))
+    joined = with_quote_id(items, "quote", "_id").withColumn("_key", digest).join(known, ["doc_id", "_key"], "left")
     error = (
         F.when(F.length("quote") > limit, "exceeds").when(F.col("_pages").isNull(), "prepared candidate")
-        .when(F.col("_here").isNull(), "quote and page").when(F.col("id").isNotNull() & (F.col("id") != F.col("_id")), "does not match")
+        .when(~F.coalesce(F.array_contains("_pages", F.col("page")), F.lit(False)), "quote and page").when(F.col("id").isNotNull() & (F.col("id") != F.col("_id")), "does not match")
     )
     return joined.select(*items.columns, F.col("_id").alias("quote_id"), error.alias("error"))
 
@@ -128,10 +130,18 @@ def patch_section(markdown: Column, heading: str, before: str, rendered: Column)
 
 def render_items(items: Column) -> Column:
     """Bullets of array<struct<quote, translation_zh, source>>."""
-    return F.array_join(F.transform(items, lambda x: F.concat(F.lit("- 原文："), x["quote"], F.lit("\n- 译："), x["translation_zh"], F.lit("\n- 出处："), x["source"])), "\n")
+    return F.array_join(F.transform(items, lambda x: F.concat(F.lit("- 原文："), x["quote"], F.lit("\n  译："), x["translation_zh"], F.lit("\n  出处："), x["source"])), "\n")
 
 
-def sidecar(items: DataFrame, errors: DataFrame, version: str = "future-work-v1") -> DataFrame:
+def sidecar_body(items: Column, version: str = SIDECAR_VERSION) -> Column:
+    """The JSON text of a sidecar from columns analysis, evidence_level, fingerprint and its items, array<struct<id, quote, translation_zh, source, page, ...>> in their order."""
+    kept = F.transform(items, lambda x: F.struct(*(x[c].alias(c) for c in ("id", "quote", "translation_zh", "source", "page"))))
+    return F.to_json(F.struct(
+        F.lit(1).alias("schema"), F.lit(version).alias("extractor_version"), "analysis", "evidence_level", F.col("fingerprint").alias("source_pdf_fingerprint"), F.lit("ok").alias("status"), kept.alias("items"),
+    ))
+
+
+def sidecar(items: DataFrame, errors: DataFrame, version: str = SIDECAR_VERSION) -> DataFrame:
     """(analysis, path, json): a sidecar for each analysis without any error in the batch; items in their order.
 
     ``items``: analysis, evidence_level, fingerprint, ord, id, quote, translation_zh, source, page.
@@ -139,11 +149,7 @@ def sidecar(items: DataFrame, errors: DataFrame, version: str = "future-work-v1"
     clean = items.join(errors.filter("error is not null").select("analysis").distinct(), "analysis", "left_anti")
     item = F.struct("ord", "id", "quote", "translation_zh", "source", "page")
     grouped = clean.groupBy("analysis", "evidence_level", "fingerprint").agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    body = F.struct(
-        F.lit(1).alias("schema"), F.lit(version).alias("extractor_version"), "analysis", "evidence_level", F.col("fingerprint").alias("source_pdf_fingerprint"), F.lit("ok").alias("status"),
-        F.transform("_items", lambda x: F.struct(x["id"].alias("id"), x["quote"].alias("quote"), x["translation_zh"].alias("translation_zh"), x["source"].alias("source"), x["page"].alias("page"))).alias("items"),
-    )
-    return grouped.select("analysis", F.concat("analysis", F.lit(".future_work.json")).alias("path"), F.to_json(body).alias("json"))
+    return grouped.select("analysis", F.concat("analysis", F.lit(".future_work.json")).alias("path"), sidecar_body(F.col("_items"), version).alias("json"))
 
 
 def first_candidates(candidates: DataFrame, by: Sequence[str]) -> DataFrame:

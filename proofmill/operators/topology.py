@@ -1,7 +1,7 @@
 """Verdicts over event logs: who spawned whom, and is the tree of the expected shape.
 
-Any number of runs goes through one plan: typed gates, posexplode of the events,
-distinct edges, degree counts, one ordered CASE.
+Any number of runs goes through one plan without a shuffle: a log is one row, its events become typed
+structs in a few steps, edges, owners and both hops follow from the array of distinct edges, then one ordered CASE.
 """
 
 from __future__ import annotations
@@ -60,43 +60,43 @@ def contract_rules(contract: object, pinned_id: str) -> tuple[Rules | None, list
     return Rules(contract["contract_id"], tuple(methods), path, tool, named("thread_id"), named("app_server_events")), []
 
 
-def _event_rows(runs: DataFrame, rules: Rules) -> DataFrame:
-    """One row for each event of a run that got past the gates: (run_id, index, problem, sender, receivers)."""
-    event = F.col("event")
-    method = V.text(V.lookup(event, "message.method"))
-    item = V.lookup(event, rules.item_path)
-    receivers = V.lookup(item, "receiverThreadIds")
-    sender = V.text(V.lookup(item, "senderThreadId"))
-    received = V.elements(receivers)
-    none = receivers.isNull() | F.is_variant_null(receivers) | (F.size(received) == 0)
-    names = F.forall(received, lambda r: F.coalesce(V.text(r) != "", F.lit(False)))
-    method_kind = V.kind(V.lookup(event, "message.method"))
-    formal = F.coalesce((V.text(V.lookup(item, "type")) == ITEM_TYPE) & (V.text(V.lookup(item, "tool")) == rules.tool), F.lit(False))
-    is_completed = F.lit(COMPLETED in rules.methods) & (method == COMPLETED)
+def _read_events(gated: DataFrame, rules: Rules) -> DataFrame:
+    """``gated`` with what its events say: problems (array<struct<index, problem>>) and edges (distinct array<struct<sender, receiver>>).
+
+    Each step walks its paths once and keeps what it found for the next one.
+    """
+    methods = F.array(*map(F.lit, rules.methods))
+    opened = gated.withColumn("_e", F.transform("events", lambda e: F.struct(
+        V.is_object(e).alias("whole"), V.lookup(e, "message").alias("message"), V.lookup(e, rules.item_path).alias("item"),
+    )))
+    named = opened.withColumn("_e", F.transform("_e", lambda x: F.struct(
+        x["whole"].alias("whole"), V.is_object(x["message"]).alias("message"), V.lookup(x["message"], "method").alias("method"), x["item"].alias("item"), V.is_object(x["item"]).alias("is_item"),
+        V.lookup(x["item"], "type").alias("type"), V.lookup(x["item"], "tool").alias("tool"), V.lookup(x["item"], "senderThreadId").alias("sender"), V.lookup(x["item"], "receiverThreadIds").alias("receivers"),
+    )))
+    typed = named.withColumn("_e", F.transform("_e", lambda x: F.struct(
+        x["whole"].alias("whole"), x["message"].alias("message"), V.text(x["method"]).alias("method"), (V.is_object(x["method"]) | V.elements(x["method"]).isNotNull()).alias("nested"),
+        x["item"].isNotNull().alias("has_item"), x["is_item"].alias("is_item"), F.coalesce((V.text(x["type"]) == ITEM_TYPE) & (V.text(x["tool"]) == rules.tool), F.lit(False)).alias("formal"),
+        V.text(x["sender"]).alias("sender"), V.elements(x["receivers"]).alias("received"), (x["receivers"].isNull() | F.is_variant_null(x["receivers"])).alias("absent"),
+    )))
+    listed = typed.withColumn("_e", F.transform("_e", lambda x: F.struct(
+        x["whole"].alias("whole"), x["message"].alias("message"), x["nested"].alias("nested"), x["has_item"].alias("has_item"), x["is_item"].alias("is_item"), x["formal"].alias("formal"),
+        F.coalesce(F.array_contains(methods, x["method"]), F.lit(False)).alias("dispatch"), (x["method"] == COMPLETED).alias("completed"), (F.coalesce(x["sender"], F.lit("")) != "").alias("sent"), x["sender"].alias("sender"),
+        F.transform(x["received"], V.text).alias("receivers"), (x["absent"] | (F.size(x["received"]) == 0)).alias("none"),
+    )))
+    is_completed = lambda x: F.lit(COMPLETED in rules.methods) & x["completed"]
+    names = lambda x: F.coalesce(F.forall(x["receivers"], lambda r: F.coalesce(r != "", F.lit(False))), F.lit(False))
     # receivers are judged before the sender; what is no dispatch, or another tool, is passed over
-    problem = (
-        F.when(V.kind(event) != "OBJECT", "event: not an object")
-        .when(V.kind(V.lookup(event, "message")) != "OBJECT", "message: not an object")
-        .when(method_kind.isin("OBJECT", "ARRAY"), "method: not a name")
-        .when(F.coalesce(~method.isin(*rules.methods), F.lit(True)), None)
-        .when(item.isNull(), "item: missing")
-        .when(V.kind(item) != "OBJECT", "item: not an object")
-        .when(~formal, None)
-        .when(none & is_completed, "receivers: none though completed")
-        .when(none, None)
-        .when(received.isNull() | ~names, "receivers: malformed")
-        .when(F.coalesce(sender == "", F.lit(True)), "sender: missing")
+    problem = lambda x: (
+        F.when(~x["whole"], "event: not an object").when(~x["message"], "message: not an object").when(x["nested"], "method: not a name").when(~x["dispatch"], None)
+        .when(~x["has_item"], "item: missing").when(~x["is_item"], "item: not an object").when(~x["formal"], None)
+        .when(x["none"] & is_completed(x), "receivers: none though completed").when(x["none"], None).when(~names(x), "receivers: malformed").when(~x["sent"], "sender: missing")
     )
-    edge = F.coalesce(method.isin(*rules.methods), F.lit(False)) & formal & ~none & F.coalesce(names, F.lit(False)) & F.coalesce(sender != "", F.lit(False))
-    return (
-        runs.select("run_id", F.posexplode("events").alias("index", "event"))
-        .select("run_id", "index", problem.alias("problem"), F.when(edge, sender).alias("sender"), F.when(edge, F.transform(received, lambda r: V.text(r))).alias("receivers"))
-    )
-
-
-def formal_edges(events: DataFrame) -> DataFrame:
-    """Distinct (run_id, sender, receiver)."""
-    return events.filter("sender is not null").select("run_id", "sender", F.explode("receivers").alias("receiver")).distinct()
+    edge = lambda x: x["dispatch"] & x["formal"] & ~x["none"] & names(x) & x["sent"]
+    judged = listed.withColumns({
+        "problems": F.filter(F.transform("_e", lambda x, k: F.struct(k.alias("index"), problem(x).alias("problem"))), lambda p: p["problem"].isNotNull()),
+        "edges": F.array_distinct(F.flatten(F.transform(F.filter("_e", edge), lambda x: F.transform(x["receivers"], lambda r: F.struct(x["sender"].alias("sender"), r.alias("receiver")))))),
+    })
+    return judged.drop("events", "_e")
 
 
 def child_counts(edges: DataFrame, by: list[str]) -> DataFrame:
@@ -121,35 +121,33 @@ def verdicts(runs: DataFrame, contract_json: str, pinned_id: str) -> DataFrame:
         rules, wrong = None, ["contract: unreadable"]
     if rules is None:
         return _verdict(runs.select("run_id"), F.lit("INVALID_TEST_EXECUTION"), F.array(F.lit("; ".join(wrong))))
-    parsed = runs.select("run_id", V.parse(F.col("response")).alias("v"))
     v = F.col("v")
-    version, passed = V.lookup(v, "version"), V.lookup(v, "passed")
     at = lambda p: V.lookup(v, p) if p else F.parse_json(F.lit("null"))
-    thread, events = V.text(at(rules.thread_path)), at(rules.events_path)
+    looked = runs.select("run_id", V.parse(F.col("response")).alias("v")).select(
+        "run_id", v.isNull().alias("unread"), V.is_object(v).alias("whole"), V.lookup(v, "version").alias("version"), V.lookup(v, "passed").alias("passed"), V.text(at(rules.thread_path)).alias("thread"), at(rules.events_path).alias("events"),
+    )
+    version, passed, thread, events = (F.col(c) for c in ("version", "passed", "thread", "events"))
     gate = (
-        F.when(v.isNull(), F.array(F.lit("INVALID_TEST_EXECUTION"), F.lit("response: unreadable")))
-        .when(V.kind(v) != "OBJECT", F.array(F.lit("INVALID_TEST_EXECUTION"), F.lit("response: not an object")))
+        F.when(F.col("unread"), F.array(F.lit("INVALID_TEST_EXECUTION"), F.lit("response: unreadable")))
+        .when(~F.col("whole"), F.array(F.lit("INVALID_TEST_EXECUTION"), F.lit("response: not an object")))
         .when(V.kind(passed) != "BOOLEAN", F.array(F.lit("INVALID_TEST_EXECUTION"), F.lit("passed: not a boolean")))
         .when(V.kind(version).isin("MISSING", "NULL") | (F.btrim(V.text(version), F.lit(" \t\r\n\x0b\f")) == ""), F.array(F.lit("BLOCKED"), F.lit("version: none")))
         .when(V.kind(version) != "STRING", F.array(F.lit("INVALID_TEST_EXECUTION"), F.lit("version: not a string")))
         .when(F.coalesce(thread == "", F.lit(True)), F.array(F.lit("INVALID_TEST_EXECUTION"), F.lit("thread_id: missing")))
         .when(~V.kind(events).isin("MISSING", "NULL", "ARRAY"), F.array(F.lit("INVALID_TEST_EXECUTION"), F.lit("events: not a list")))
     )
-    gated = parsed.select("run_id", gate.alias("gate"), V.text(version).alias("version"), thread.alias("root"), V.elements(events).alias("events"))
-    rows = _event_rows(gated.filter("gate is null"), rules)
-    problems = rows.filter("problem is not null").groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("index", "problem"))), lambda p: F.concat(F.lit("event "), p["index"].cast("string"), F.lit(": "), p["problem"])).alias("problems"))
-    edges = formal_edges(rows)
-    conflicts = ownership_conflicts(edges, ["run_id"]).groupBy("run_id").agg(F.sort_array(F.collect_list("receiver")).alias("conflicts"))
-    total = edges.groupBy("run_id").agg(F.count(F.lit(1)).cast("int").alias("relations"))
-    roots = gated.filter("gate is null").select("run_id", "root")
-    outer = edges.join(roots, [edges["run_id"] == roots["run_id"], edges["sender"] == roots["root"]]).select(edges["run_id"], F.col("receiver").alias("outer"))
-    nested = edges.alias("e").join(outer.alias("o"), F.expr("e.run_id = o.run_id and e.sender = o.outer")).groupBy("e.run_id").agg(F.sort_array(F.collect_set("receiver")).alias("nested"))
-    outers = outer.groupBy("run_id").agg(F.sort_array(F.collect_set("outer")).alias("outers"))
+    gated = looked.select("run_id", gate.alias("gate"), V.text(F.col("version")).alias("version"), F.col("thread").alias("root"), F.when(gate.isNull(), V.elements(F.col("events"))).alias("events"))
     empty = F.array().cast("array<string>")
-    facts = (
-        gated.drop("events").join(problems, "run_id", "left").join(conflicts, "run_id", "left").join(total, "run_id", "left").join(outers, "run_id", "left").join(nested, "run_id", "left")
-        .withColumns({"outers": F.coalesce("outers", empty), "nested": F.coalesce("nested", empty), "relations": F.coalesce("relations", F.lit(0))})
-    )
+    owned = _read_events(gated, rules).withColumn("_r", F.array_sort(F.transform("edges", lambda e: e["receiver"])))
+    # edges are distinct, so a receiver that stands twice has two senders
+    twice = F.array_distinct(F.filter("_r", lambda r, k: (k > 0) & (F.get("_r", F.greatest(k - 1, F.lit(0))) == r)))
+    below = lambda sender: F.array_sort(F.transform(F.filter("edges", lambda e: e["sender"] == sender), lambda e: e["receiver"]))
+    hop = owned.withColumns({
+        "conflicts": F.when(F.size(twice) > 0, twice), "relations": F.when(F.col("edges").isNull(), 0).otherwise(F.size("edges")), "outers": F.coalesce(below(F.col("root")), empty),
+        "problems": F.when(F.size("problems") > 0, F.transform("problems", lambda p: F.concat(F.lit("event "), p["index"].cast("string"), F.lit(": "), p["problem"]))),
+    })
+    # the second hop counts where the first one is of one child
+    facts = hop.withColumn("nested", F.when(F.size("outers") == 1, F.coalesce(below(F.get("outers", F.lit(0))), empty)).otherwise(empty)).drop("edges", "_r")
     n, m = F.size("outers"), F.size("nested")
     status = (
         F.when(F.col("gate").isNotNull(), F.col("gate")[0])

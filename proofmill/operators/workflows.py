@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import variants as V
-from ..functions.text import apply_steps, page_marker, source_label, with_quote_id
+from ..functions.text import apply_steps, fingerprint, page_marker, source_label, with_quote_id
 from ..sources.inputs import fulltext_caches, markdown_items, page_quality
 from ..sources.sinks import cache_metadata_path
 from . import evidence, locate
 from .pages import KEYWORDS, LAST_PAGES, ocr_required, page_candidates, page_selection
 
 
+#: The format that a facts file names unless the caller says otherwise: its kind is our choice, its version a fixed value.
+FACTS_KIND, FACTS_VERSION = "analysis-facts", "facts-v1"
+
+
 def candidates_markdown(candidates: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, markdown): a debug view of the candidates (key, page, ord, quote) with a marker before each page."""
     by_page = candidates.groupBy(key, "page").agg(F.array_sort(F.collect_list(F.struct("ord", "quote"))).alias("_q"))
@@ -60,36 +64,41 @@ def finalize(analyses: DataFrame, items: DataFrame, heading: str, before: str) -
     patched = evidence.patch_section(F.col("markdown"), heading, before, evidence.render_items(F.col("_items")))
     anchors = F.when(F.coalesce(F.size(F.split("markdown", r"\Q" + before + r"\E")) != 2, F.lit(True)) | patched.isNull(), "anchors")
     error = F.coalesce("_bad", F.when(F.col("_ids") < F.col("_n"), "duplicate id"), anchors)
-    body = F.to_json(F.struct(
-        F.lit(1).alias("schema"), "analysis", "evidence_level", F.col("fingerprint").alias("source_pdf_fingerprint"), F.lit("ok").alias("status"),
-        F.transform("_items", lambda x: x.dropFields("ord")).alias("items"),
-    ))
     fine = F.col("error").isNull()
-    return joined.withColumns({"error": error, "_p": patched, "_j": body}).select(
+    return joined.withColumns({"error": error, "_p": patched, "_j": evidence.sidecar_body(F.col("_items"))}).select(
         "analysis", F.when(fine, F.col("_p")).alias("markdown"), F.when(fine, F.concat(F.col("analysis").cast("string"), F.lit(".future_work.json"))).alias("path"), F.when(fine, F.col("_j")).alias("json"),
         F.when(fine, F.size("_items")).alias("items"), "error",
     )
 
 
 def upgrade(analyses: DataFrame, pages: DataFrame, heading: str, before: str, candidates: DataFrame | None = None, exclusions: DataFrame | None = None) -> DataFrame:
-    """``finalize`` for analyses (with doc_id) whose items stand in their own Markdown: each is read, proved in the pages and numbered anew."""
-    found = markdown_items(analyses.select("analysis", "doc_id", F.col("markdown").alias("text")), ["analysis", "doc_id"])
+    """``finalize`` for analyses (with doc_id) whose items stand in their own Markdown under ``heading``: each is read, proved in the pages and numbered anew."""
+    found = markdown_items(analyses.select("analysis", "doc_id", F.col("markdown").alias("text")), ["analysis", "doc_id"], heading=heading, before=before)
     keyed = found.withColumn("item_id", F.xxhash64("analysis", "doc_id", "ord"))
     proved = prove_items(keyed.select("item_id", "doc_id", "quote", "page", "source"), pages, candidates, exclusions=exclusions)
     named = keyed.select("item_id", "doc_id", "analysis", "ord", "translation_zh").join(proved, ["item_id", "doc_id"])
     return finalize(analyses.drop("doc_id"), named.select("analysis", "ord", "id", "quote", "translation_zh", "source", "page", "error"), heading, before)
 
 
-def finish_facts(drafts: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """(analysis, path, json, error): drafts (analysis, evidence_level, input_fingerprint, draft) checked, then joined with their sidecar, whose ids go in.
+def finish_facts(drafts: DataFrame, sidecars: DataFrame, kind: str = FACTS_KIND, version: str = FACTS_VERSION, sources: DataFrame | None = None) -> DataFrame:
+    """(analysis, path, json, input_fingerprint, error): drafts (analysis, evidence_level, draft) checked, then joined with their sidecar, whose ids go in.
 
-    The ids come from the sidecar alone: a draft that brings its own has an unknown field.
+    The fingerprint is that of the input's bytes now: ``sources`` (analysis, content); without them the drafts bring it as ``input_fingerprint``.
+    A draft without a source has the error "no input". The ids come from the sidecar alone: a draft that brings its own has an unknown field.
+    ``kind`` and ``version`` name the file's format.
     """
+    if sources is not None:
+        prints = sources.select("analysis", fingerprint(F.col("content")).alias("input_fingerprint"))
+        drafts = drafts.drop("input_fingerprint").join(prints, "analysis", "left")
     joined = evidence.facts_join(drafts, sidecars)
-    error = F.coalesce(evidence.schema_errors(F.col("draft")), F.col("error"))
-    body = F.to_json(F.struct(F.lit(1).alias("schema"), "analysis", "evidence_level", "input_fingerprint", "future_work_ids", V.parse(F.col("draft")).alias("facts")))
+    error = F.coalesce(evidence.schema_errors(F.col("draft")), F.when(F.col("input_fingerprint").isNull() & F.lit(sources is not None), "no input"), F.col("error"))
+    body = F.to_json(F.struct(
+        F.lit(1).alias("schema"), F.lit(kind).alias("kind"), F.lit(version).alias("generator_version"), "analysis", "evidence_level", "input_fingerprint", F.lit("ok").alias("status"),
+        "future_work_ids", V.parse(F.col("draft")).alias("facts"),
+    ))
+    fine = F.col("error").isNull()
     return joined.withColumns({"error": error, "_j": body}).select(
-        "analysis", F.when(F.col("error").isNull(), F.concat(F.col("analysis").cast("string"), F.lit(".facts.json"))).alias("path"), F.when(F.col("error").isNull(), F.col("_j")).alias("json"), "error",
+        "analysis", F.when(fine, F.concat(F.col("analysis").cast("string"), F.lit(".facts.json"))).alias("path"), F.when(fine, F.col("_j")).alias("json"), F.when(fine, F.col("input_fingerprint")).alias("input_fingerprint"), "error",
     )
 
 

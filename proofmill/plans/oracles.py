@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+from ..operators.evidence import FACT_FIELDS
 from . import samples
 
 
@@ -152,7 +153,7 @@ ORACLES: dict[str, str] = {
     "source_labels": values([(1, "Section 5"), (2, "Section 5（p.2–3）"), (3, "Section 5"), (4, "p.3 of the notes")], "n int, label varchar"),
     "normalized_inputs": values([("/a.json", None, False), ("b.json", "path must be absolute", None), ("/c.json", "kind", None), ("/d.json", "abstract", None), ("/e.json", "unreadable", None), ("/f.json", "not an object", None), ("/g.json", "schema", None), ("/h.json", "level", None), ("/i.json", "abstract", None)], "path varchar, error varchar, leaks boolean"),
     "text_papers": values([(1, "On x", 2021, "Body here."), (2, None, None, "No header at all"), (3, "t", None, "Body\n---\nmore")], "n int, title varchar, year int, body varchar"),
-    "markdown_items": values([(1, 0, "One.", "一。", "Section 5", 3), (1, 1, "Two.", "二。", "End", None)], "n int, ord int, quote varchar, translation_zh varchar, source varchar, page int"),
+    "markdown_items": f"with {PAGES} select doc_id, (row_number() over (partition by doc_id order by page) - 1)::int as ord, trim(string_split(text, chr(10))[1]) as quote, 'x' as translation_zh, 'Turn' as source, page::int as page from p",
     "prepared_kinds": values([(1, False, 2), (2, False, 1), (3, True, 0), (4, False, None)], "n int, literal boolean, items int"),
     "marked_pages": "select conv_id as doc_id, string_agg('<!-- PDF_PAGE: ' || (turn + 1) || ' -->' || chr(10) || text, chr(10) order by turn) as text from conversations group by conv_id",
     "page_tiers": r"select conv_id as doc_id, turn as page, case when not regexp_matches(text, '\p{L}') then 'empty' when length(regexp_replace(text, '[^\p{L}\s]', '', 'g')) * 2 < length(text) then 'untrusted' else 'ok' end as tier from conversations",
@@ -162,7 +163,8 @@ ORACLES: dict[str, str] = {
     "ownership_conflicts": "select l_partkey as receiver, count(distinct l_suppkey) as senders from lineitem group by 1 having count(distinct l_suppkey) > 1",
     "topology_verdicts": """with c as (select c_custkey, count(o_orderkey)::int as n from customer left join orders on o_custkey = c_custkey group by 1)
       select c_custkey::varchar as run_id, case n when 3 then 'PASS' when 0 then 'NOT_TESTED' else 'FAIL_PRODUCER' end as producer_status, n as nested_direct_child_count, n + 1 as formal_spawn_relation_count,
-      case n when 3 then 0 when 0 then 4 else 1 end as exit_code from c""",
+      case n when 3 then 0 when 0 then 4 else 1 end as exit_code from c
+      union all select 'e' || event_id, case when event_id % 12 in (8, 9) then 'BLOCKED' else 'INVALID_TEST_EXECUTION' end, 0, 0, case when event_id % 12 in (8, 9) then 2 else 3 end from events""",
     "topology_reasons": values(samples.REASONS, "run_id varchar, reasons varchar"),
     "contract_gates": values([(name, status, {"PASS": 0, "INVALID_TEST_EXECUTION": 3}[status]) for name, _, status in samples.CONTRACTS], "contract varchar, producer_status varchar, exit_code int"),
     "topology_gates": values([(name, status) for name, _, status in samples.LOGS], "run_id varchar, producer_status varchar"),
@@ -185,15 +187,24 @@ ORACLES: dict[str, str] = {
     "outer_states": values([(1, "CASE_NOT_STARTED"), (2, "CASE_NOT_STARTED"), (3, "PASS"), (4, "BLOCKED")], "n int, status varchar"),
     "artifact_paths": "select doc_id, '/out/' || doc_id || '.md.future_work.json' as sidecar, '/out/' || doc_id || '.md.facts.json' as facts, '/out/' || doc_id || '.md.meta.json' as metadata, case when not starts_with(source, '/') then 'path must be absolute' end as error from documents",
     "finalized_analyses": f"""with {CHECKED}, g as (select doc_id, min_by(error, item_id) filter (where error is not null) as bad, count(distinct quote_id) < count(*) as twice, count(*)::int as n,
-        string_agg('- 原文：' || quote || chr(10) || '- 译：' || chr(10) || '- 出处：§', chr(10) order by item_id) as bullets from ck group by doc_id),
+        string_agg('- 原文：' || quote || chr(10) || '  译：' || chr(10) || '  出处：§', chr(10) order by item_id) as bullets from ck group by doc_id),
       e as (select d.doc_id, coalesce(bad, case when twice then 'duplicate id' end) as error, coalesce(n, 0) as n, coalesce(bullets, '') as bullets from (select distinct doc_id from p) d left join g using (doc_id))
       select doc_id as analysis, case when error is null then md5('# ' || doc_id || chr(10) || '## Next' || chr(10) || bullets || chr(10) || '## Notes' || chr(10) || 'kept' || chr(10)) end as markdown, case when error is null then n end as items, error from e""",
     "proved_items": values([(i, a, b, "Section 5" + (f"（p.{a}–{b}）" if b > a else ""), None) for i, _, a, _, b, _ in samples.SPAN_PLACES] + [(i, None, None, "Section 5（p.9）", "not in source") for i in (6, 7, 8)], "item_id bigint, page bigint, end_page bigint, source varchar, error varchar"),
-    "upgraded_analyses": values(samples.UPGRADED, "analysis varchar, items int, starts varchar, markdown varchar, error varchar"),
+    "upgraded_analyses": f"""with {PAGES}, w as (select doc_id, page, array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: true)[1:5], ' ') || case when doc_id % 3 = 0 and page = 0 then ' zzz' else '' end as quote from p),
+      c as (select *, case when len({sentences('quote')}) > 2 then 'sentences' when doc_id % 3 = 0 and page = 0 then 'not in source' end as error, sha256({NORMAL}) as id from w),
+      g as (select doc_id, min_by(error, page) filter (where error is not null) as bad, count(distinct id) < count(*) as twice, count(*)::int as n, string_agg(page::varchar, ',' order by page) as starts,
+        string_agg('- 原文：' || quote || chr(10) || '  译：x' || chr(10) || '  出处：Turn', chr(10) order by page) as bullets from c group by doc_id),
+      e as (select *, coalesce(bad, case when twice then 'duplicate id' end) as error, '- 原文：elsewhere' || chr(10) || '  译：x' || chr(10) || '  出处：y' || chr(10) as other from g)
+      select doc_id::varchar as analysis, case when error is null then n end as items, case when error is null then starts end as starts,
+        case when error is null then md5('# T' || chr(10) || '## Before' || chr(10) || other || '## Next' || chr(10) || bullets || chr(10) || '## Notes' || chr(10) || other) end as markdown, error from e""",
     "validated_caches": """with s as (select conv_id::varchar as path, l.quality, l.toxic, case when l.doc_id is null then 'no source' when quality = 0 then 'stale' when toxic = 1 then 'missing pages' end as error from (select distinct conv_id from conversations) left join labels l on l.doc_id = conv_id)
       select path, turn as page, md5(text) as text, error from s join conversations on conv_id::varchar = path where error is null union all select path, null, null, error from s where error is not null""",
     "candidates_markdown": f"""with {CAND}, b as (select doc_id, page, '<!-- PDF_PAGE: ' || page || ' -->' || chr(10) || string_agg('- ' || quote, chr(10) order by ord) as t from cand group by doc_id, page)
       select doc_id, md5(string_agg(t, chr(10) || chr(10) order by page)) as markdown from b group by doc_id""",
 }
-ORACLES["finished_facts"] = f"""with f as ({ORACLES['facts_join']}), r as (select analysis, case when n_chars < 300 then 'not an object' else error end as error, future_work_ids as ids from f join documents on doc_id = analysis)
-      select analysis, case when error is null then ids end as future_work_ids, error from r"""
+ORACLES["finished_facts"] = f"""with f as ({ORACLES['facts_join']}),
+      r as (select f.analysis, case when n_chars < 300 then 'not an object' when doc_id % 11 = 5 then 'no input' else error end as error, future_work_ids as ids, 'sha256:' || sha256(text) as print from f join documents on doc_id = f.analysis)
+      select analysis, case when error is null then analysis || '.facts.json' end as path, case when error is null then '{{"schema":1,"kind":"analysis-facts","generator_version":"facts-v1","analysis":' || analysis || ',"evidence_level":"fulltext","input_fingerprint":"' || print
+        || '","status":"ok","future_work_ids":[' || case when ids = '' then '' else '"' || replace(ids, ',', '","') || '"' end || '],"facts":{{' || (select string_agg('"' || k || '":"x"', ',' order by k) from (values {', '.join(f"('{k}')" for k in FACT_FIELDS)}) v(k)) || '}}}}' end as json,
+        case when error is null then print end as input_fingerprint, error from r"""

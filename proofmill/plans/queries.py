@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -397,9 +397,26 @@ def text_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.text_papers(spark.createDataFrame(samples.TEXT_PAPERS, "n int, text string")).select("n", "title", "year", "body")
 
 
+def _bullet(quote: Column, source: Column, bulleted: Column) -> Column:
+    """One item in either form of its second and third line."""
+    lead = F.when(bulleted, "- ").otherwise("  ")
+    return F.concat(F.lit("- 原文："), quote, F.lit("\n"), lead, F.lit("译：x\n"), lead, F.lit("出处："), source)
+
+
+def _analyses(spark: SparkSession, sf_dir: str, quote: Column) -> DataFrame:
+    """(doc_id, markdown): an item for each page under "## Next", in both forms of bullets, and bullets of another section before and behind it."""
+    source = F.concat(F.lit("Turn（p."), F.col("page").cast("string"), F.lit("）"))
+    item = F.struct("page", _bullet(quote, source, F.col("page") % 2 == 1).alias("b"))
+    other = F.lit("- 原文：elsewhere\n  译：x\n  出处：y\n")
+    grouped = conversation_pages(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["b"]), "\n").alias("items"))
+    return grouped.select("doc_id", F.concat(F.lit("# T\n## Before\n"), other, F.lit("## Next\n"), F.col("items"), F.lit("\n## Notes\n"), other).alias("markdown"))
+
+
 @query
 def markdown_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.markdown_items(spark.createDataFrame(samples.MARKDOWN, "n int, text string"), ["n"])
+    """The first lines of all pages as items; the bullets of other sections are none."""
+    files = _analyses(spark, sf_dir, F.split("text", "\n")[0])
+    return inputs.markdown_items(files, ["doc_id"], "markdown", heading="## Next")
 
 
 @query
@@ -451,7 +468,25 @@ def topology_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").cast("string").alias("run_id"),
         F.to_json(F.struct(F.lit(True).alias("passed"), F.lit("1").alias("version"), F.struct(root.alias("thread_id"), F.concat(F.array(event("item/completed", root, worker)), F.coalesce("nested", F.array().cast(nested.schema["nested"].dataType))).alias("app_server_events")).alias("output"))).alias("response"),
     )
-    return topology.verdicts(runs, samples.CONTRACT, samples.CONTRACT_ID).select("run_id", "producer_status", "nested_direct_child_count", "formal_spawn_relation_count", "exit_code")
+    return topology.verdicts(runs.unionByName(_odd_logs(spark, sf_dir)), samples.CONTRACT, samples.CONTRACT_ID).select("run_id", "producer_status", "nested_direct_child_count", "formal_spawn_relation_count", "exit_code")
+
+
+def _odd_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log for each event with a mistake by its id: cut short, no log at all, no version, and events that break one rule each."""
+    name = F.concat(F.lit("e"), F.col("event_id").cast("string"))
+    item = lambda sender, receivers, method="item/completed": F.format_string('{"message": {"method": "%s", "params": {"item": {"type": "%s", "tool": "spawnAgent", "senderThreadId": %s, "receiverThreadIds": %s}}}}', F.lit(method), F.lit(topology.ITEM_TYPE), F.to_json(F.array(sender)).substr(F.lit(2), F.length(F.to_json(F.array(sender))) - 2), receivers)
+    child = F.concat(F.lit('["w'), name, F.lit('"]'))
+    rules = (
+        F.lit("7"), F.lit('{"message": []}'), F.lit('{"message": {"method": ["x"]}}'), F.lit('{"message": {"method": "item/started"}}'), item(F.lit(""), child), item(name, F.lit("[]")), item(name, F.lit("[3]")),
+        F.concat(item(name, child), F.lit(", "), item(F.lit("other"), child)), item(name, F.lit("null"), "item/started"),
+    )
+    events = F.lit("")
+    for k, text in enumerate(rules):
+        events = F.when(F.col("event_id") % 12 == k, text).otherwise(events)
+    version = F.when(F.col("event_id") % 12 == 9, "null").otherwise('"1"')
+    whole = F.concat(F.lit('{"passed": true, "version": '), version, F.lit(', "output": {"thread_id": "'), name, F.lit('", "app_server_events": ['), events, F.lit("]}}"))
+    k = F.col("event_id") % 12
+    return table(spark, sf_dir, "events").select(name.alias("run_id"), F.when(k == 10, F.expr("left(props, length(props) - 1)")).when(k == 11, F.col("props")).otherwise(whole).alias("response"))
 
 
 @query
@@ -600,21 +635,23 @@ def proved_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def upgraded_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(samples.SPAN_PAGES, "doc_id long, page long, text string")
-    analyses = spark.createDataFrame(samples.UPGRADES, "analysis string, doc_id long, markdown string").withColumns({"evidence_level": F.lit("fulltext"), "fingerprint": F.lit("sha256:0")})
-    found = workflows.upgrade(analyses, rows, "## Next", "## Notes")
+    """The first five words of each page as items in its conversation's Markdown; in one conversation of three those of the first page have a word more that is not there."""
+    words = F.array_join(F.slice(F.split(F.trim(F.regexp_replace("text", "\\s+", " ")), " "), 1, 5), " ")
+    quote = F.when((F.col("doc_id") % 3 == 0) & (F.col("page") == 0), F.concat(words, F.lit(" zzz"))).otherwise(words)
+    analyses = _analyses(spark, sf_dir, quote).withColumns({"analysis": F.col("doc_id").cast("string"), "evidence_level": F.lit("fulltext"), "fingerprint": F.lit("sha256:0")})
+    found = workflows.upgrade(analyses, conversation_pages(spark, sf_dir).select("doc_id", "page", "text"), "## Next", "## Notes")
     starts = F.transform(V.elements(V.lookup(V.parse(F.col("json")), "items")), lambda x: F.try_variant_get(x, "$.page", "string"))
-    return found.select("analysis", "items", F.array_join(starts, ",").alias("starts"), "markdown", "error")
+    return found.select("analysis", "items", F.array_join(starts, ",").alias("starts"), F.md5("markdown").alias("markdown"), "error")
 
 
 @query
 def finished_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A draft for every document; short documents have a list for one."""
+    """A draft for every document; short documents have a list for one, one in eleven has no input. The fingerprint is that of the text now."""
     whole = F.to_json(F.struct(*(F.lit("x").alias(f) for f in evidence.FACT_FIELDS)))
-    drafts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("analysis"), F.lit("fulltext").alias("evidence_level"), T.fingerprint(F.col("text")).alias("input_fingerprint"), F.when(F.col("n_chars") < 300, "[]").otherwise(whole).alias("draft"))
-    found = workflows.finish_facts(drafts, _sidecars(spark, sf_dir))
-    ids = F.array_join(F.transform(V.elements(V.lookup(V.parse(F.col("json")), "future_work_ids")), lambda x: F.try_variant_get(x, "$", "string")), ",")
-    return found.select("analysis", ids.alias("future_work_ids"), "error")
+    docs = table(spark, sf_dir, "documents").withColumn("analysis", F.col("doc_id"))
+    drafts = docs.select("analysis", F.lit("fulltext").alias("evidence_level"), F.when(F.col("n_chars") < 300, "[]").otherwise(whole).alias("draft"))
+    found = workflows.finish_facts(drafts, _sidecars(spark, sf_dir), sources=docs.filter("doc_id % 11 <> 5").select("analysis", F.col("text").alias("content")))
+    return found.select("analysis", "path", "json", "input_fingerprint", "error")
 
 
 @query

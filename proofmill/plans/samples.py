@@ -70,7 +70,6 @@ INPUTS = [
     ("/e.json", "{"), ("/f.json", "[]"), ("/g.json", json.dumps(_GOOD | {"schema": 2})), ("/h.json", json.dumps(_GOOD | {"level": "fulltext"})), ("/i.json", json.dumps(_GOOD | {"abstract": " "})),
 ]
 TEXT_PAPERS = [(1, "TITLE: On x\nAUTHORS: A; B\nYEAR: 2021\nVENUE: V\nDOI: 10/x\n---\nBody here."), (2, "No header at all"), (3, "TITLE: t\nYEAR: soon\n---\nBody\n---\nmore")]
-MARKDOWN = [(1, "## Future\n- 原文：One.\n- 译：一。\n- 出处：Section 5（p.3）\n\n- 原文：Two.\n- 译：二。\n- 出处：End\n"), (2, "nothing")]
 PREPARED = [(1, '{"items":[{"q":1},{"q":2}]}'), (2, '[{"q":1}]'), (3, '{"source_pages":[],"items":[]}'), (4, '{"source_pages":null}')]
 JSON_KINDS = [(1, '{"a":{"b":1}}'), (2, '{"a":{"b":null}}'), (3, '{"a":{}}'), (4, '{"a":{"b":"x"}}'), (5, '{"a":{"b":true}}'), (6, '{"a":{"b":[1]}}'), (7, '{"a":{"b":{"c":1}}}'), (8, '{"a":[1]}'), (9, "x")]
 FRONTMATTER = [
@@ -160,15 +159,3 @@ CONTRACTS = [
     ("no item types", json.dumps(_CONTRACT | {"dispatch_evidence_item_types": []}), "INVALID_TEST_EXECUTION"), ("no identity", json.dumps(_CONTRACT | {"raw_identity_path": {}}), "INVALID_TEST_EXECUTION"),
     ("no delegation", json.dumps(_CONTRACT | {"delegation": {}}), "INVALID_TEST_EXECUTION"), ("unreadable", "{", "INVALID_TEST_EXECUTION"),
 ]
-_BULLET = "- 原文：{}\n- 译：x\n- 出处：{}"
-UPGRADES = [
-    ("a", 1, "# A\n## Next\n" + _BULLET.format("Later work.", "End") + "\n" + _BULLET.format("at a page end and goes", "Section 5（p.2）") + "\n## Notes\nkept\n"),
-    ("b", 1, "# B\n## Next\n" + _BULLET.format("never said", "End") + "\n## Notes\nkept\n"),
-    ("c", 2, "# C\n## Notes\nkept\n"), ("d", 2, "# D\nno anchor\n"),
-    ("e", 1, "# E\n## Next\n" + _BULLET.format("Later work.", "End") + "\n" + _BULLET.format("Later work.", "End") + "\n## Notes\nkept\n"),
-]
-#: By hand: the second item of the first analysis spans pages 2 and 3.
-UPGRADED = [
-    ("a", 2, "2,2", "# A\n## Next\n" + _BULLET.format("Later work.", "End") + "\n" + _BULLET.format("at a page end and goes", "Section 5（p.2–3）") + "\n## Notes\nkept\n", None),
-    ("b", None, None, None, "not in source"), ("c", 0, "", "# C\n## Next\n\n## Notes\nkept\n", None), ("d", None, None, None, "anchors"), ("e", None, None, None, "duplicate id"),
-]

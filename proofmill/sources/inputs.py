@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import variants as V
-from ..functions.text import fingerprint, page_marker
+from ..functions.text import fingerprint, page_marker, section
+
 
 def read_whole(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, text): one row for each file."""
@@ -66,14 +67,21 @@ def page_cache(caches: DataFrame, text: str = "text") -> DataFrame:
     return caches.select("path", parsed.alias("c")).filter("c.schema = 1").select("path", F.col("c.pdf_sha256").alias("pdf_sha256"), F.explode("c.pages").alias("p", "text")).select("path", "pdf_sha256", F.col("p").try_cast("int").alias("page"), "text")
 
 
-def markdown_items(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, ord, quote, translation_zh, source, page) from bullets; the page comes out of the source's suffix."""
-    whole = F.regexp_extract_all(F.col(text), F.lit("- 原文：([^\\n]*)\\n- 译：([^\\n]*)\\n- 出处：([^\\n]*)"), 0)
+#: Fixed value: the bullets of one item; the second and third line are bullets of their own or go on under the first.
+ITEM = r"(?m)^- 原文：([^\n]*)\n(?:- |[ \t]+)译：([^\n]*)\n(?:- |[ \t]+)出处：([^\n]*)"
+
+
+def markdown_items(files: DataFrame, keys: list[str], text: str = "text", heading: str | None = None, before: str | None = None) -> DataFrame:
+    """(keys, ord, quote, translation_zh, source, page) from bullets; the page comes out of the source's suffix.
+
+    With ``heading`` the bullets of that section alone (text.section), whatever other sections hold.
+    """
     suffix = "\\s*[（(]p\\.\\s*([0-9]+)[^）)]*[）)]\\s*$"
-    cut = lambda k: F.trim(F.regexp_extract("block", "- 原文：([^\\n]*)\\n- 译：([^\\n]*)\\n- 出处：([^\\n]*)", k))
+    part = lambda k: F.regexp_replace(F.trim(F.regexp_extract("block", ITEM, k)), "\r$", "")
+    body = F.col(text) if heading is None else section(F.col(text), heading, before)
     return (
-        files.select(*keys, F.posexplode(whole).alias("ord", "block"))
-        .select(*keys, "ord", cut(1).alias("quote"), cut(2).alias("translation_zh"), F.regexp_replace(cut(3), suffix, "").alias("source"), F.nullif(F.regexp_extract(cut(3), suffix, 1), F.lit("")).cast("int").alias("page"))
+        files.select(*keys, F.posexplode(F.regexp_extract_all(body, F.lit(ITEM), 0)).alias("ord", "block"))
+        .select(*keys, "ord", part(1).alias("quote"), part(2).alias("translation_zh"), F.regexp_replace(part(3), suffix, "").alias("source"), F.nullif(F.regexp_extract(part(3), suffix, 1), F.lit("")).cast("int").alias("page"))
     )
 
 

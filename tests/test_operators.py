@@ -209,3 +209,61 @@ def test_unknown_programs(spark):
     for name in ("p", "q"):
         with pytest.raises(ValueError):
             run_program(files, steps, name)
+
+
+def test_items_of_a_section_in_both_forms(spark):
+    """Second and third lines as bullets or indented, the named section alone, line ends of either kind."""
+    indented = "# 题\n\n## 局限\n- 原文：not this\n  译：x\n  出处：y\n\n## 未来（F）\n- 原文：We plan more.\n  译：计划。\n  出处：Method\n\n## 评估\n- 原文：nor this\n  译：x\n  出处：y\n"
+    rows = [
+        (1, indented), (2, indented.replace("  译", "- 译").replace("  出处", "- 出处")), (3, indented.replace("\n", "\r\n")), (4, indented.replace("## 未来（F）", "## 未来（F） more")),
+        (5, "## 未来（F）\n### part\n- 原文：One.\n\t译：一\n\t出处：S（p.3–4）\n# 题\n- 原文：out\n  译：x\n  出处：y"), (6, "## 未来（F）\n- 原文：no second line\n"), (7, None),
+    ]
+    found = inputs.markdown_items(spark.createDataFrame(rows, "n int, text string"), ["n"], heading="## 未来（F）").collect()
+    assert sorted(map(tuple, found)) == [(k, 0, "We plan more.", "计划。", "Method", None) for k in (1, 2, 3)] + [(5, 0, "One.", "一", "S", 3)]
+    assert inputs.markdown_items(spark.createDataFrame(rows[:1], "n int, text string"), ["n"]).count() == 3
+
+
+def test_rendered_items_are_read_back(spark):
+    from proofmill.operators.evidence import patch_section, render_items
+
+    items = spark.createDataFrame([([("A b.", "甲", "S（p.1–2）"), ("C d.", "", "T")],)], "i array<struct<quote:string,translation_zh:string,source:string>>")
+    text = items.select(patch_section(F.lit("# T\n## Next\nold\n## Notes\n- 原文：x\n  译：y\n  出处：z\n"), "## Next", "## Notes", render_items(F.col("i"))).alias("text"))
+    got = inputs.markdown_items(text, [], heading="## Next", before="## Notes").collect()
+    assert [tuple(r) for r in got] == [(0, "A b.", "甲", "S", 1), (1, "C d.", "", "T", None)]
+
+
+def test_upgrade_reads_its_section_alone(spark):
+    from proofmill.operators.workflows import upgrade
+
+    bullets = lambda quote, source: f"- 原文：{quote}\n  译：x\n  出处：{source}\n"
+    pages = spark.createDataFrame(samples.SPAN_PAGES, "doc_id long, page long, text string")
+    rows = [
+        ("a", 1, "# A\n## Next\n" + bullets("Later work.", "End") + bullets("at a page end and goes", "Section 5（p.2）") + "## Notes\n" + bullets("never said", "kept")),
+        ("b", 1, "# B\n## Next\n" + bullets("never said", "End") + "## Notes\nkept\n"), ("c", 2, "# C\n## Notes\nkept\n"), ("d", 2, "# D\nno anchor\n"),
+        ("e", 1, "# E\n## Next\n" + bullets("Later work.", "End") * 2 + "## Notes\nkept\n"),
+    ]
+    analyses = spark.createDataFrame(rows, "analysis string, doc_id long, markdown string").withColumns({"evidence_level": F.lit("fulltext"), "fingerprint": F.lit("sha256:0")})
+    got = {r.analysis: r for r in upgrade(analyses, pages, "## Next", "## Notes").collect()}
+    assert {k: (r.items, r.error) for k, r in got.items()} == {"a": (2, None), "b": (None, "not in source"), "c": (0, None), "d": (None, "anchors"), "e": (None, "duplicate id")}
+    assert "出处：Section 5（p.2–3）\n## Notes\n" in got["a"].markdown and got["a"].markdown.endswith(bullets("never said", "kept"))
+    body = json.loads(got["a"].json)
+    assert body["extractor_version"] == "future-work-v1" and [i["page"] for i in body["items"]] == [2, 2] and list(body["items"][0]) == ["id", "quote", "translation_zh", "source", "page"]
+
+
+def test_facts_file_names_its_format_and_input(spark):
+    from proofmill.operators.evidence import FACT_FIELDS
+    from proofmill.operators.workflows import finish_facts
+
+    draft = json.dumps(dict.fromkeys(FACT_FIELDS, "x"))
+    drafts = spark.createDataFrame([(a, "fulltext", draft) for a in "abc"], "analysis string, evidence_level string, draft string")
+
+    def finish(content):
+        sources = spark.createDataFrame([("a", content), ("b", b"other")], "analysis string, content binary")
+        sides = sources.select("analysis", F.lit("fulltext").alias("evidence_level"), F.concat(F.lit("sha256:"), F.sha2(F.lit(content), 256)).alias("source_pdf_fingerprint"), F.lit("ok").alias("status"), F.array(F.lit("i")).alias("future_work_ids"))
+        return {r["analysis"]: r for r in finish_facts(drafts, sides, kind="facts-of-a-paper", version="v9", sources=sources).collect()}
+
+    one, two = finish(b"full text"), finish(b"changed")
+    body = json.loads(one["a"]["json"])
+    assert {k: body[k] for k in ("schema", "kind", "generator_version", "evidence_level", "status", "future_work_ids")} == {"schema": 1, "kind": "facts-of-a-paper", "generator_version": "v9", "evidence_level": "fulltext", "status": "ok", "future_work_ids": ["i"]}
+    assert one["a"]["input_fingerprint"] == body["input_fingerprint"] != two["a"]["input_fingerprint"]
+    assert one["b"]["error"] == "fingerprint" and one["c"]["error"] == "no input" and one["c"]["json"] is None
