@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.automaton import Automaton
 from ..functions.text import missing_markers, present_markers
+from .locate import pattern_blocks
+
+#: Pairs of a text and a marker that are looked at together.
+MOST_CELLS = 1 << 22
 
 
 def marker_gate(text: Column, required: Sequence[str], forbidden: Sequence[str] = ()) -> tuple[Column, Column, Column]:
@@ -17,9 +25,26 @@ def marker_gate(text: Column, required: Sequence[str], forbidden: Sequence[str]
 
 
 def missing_rows(texts: DataFrame, markers: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, marker) of required markers that a text lacks; ``markers`` is a small list of (marker)."""
-    wanted = F.broadcast(markers.agg(F.collect_set("marker").alias("_m")))
-    return texts.join(wanted, F.lit(True)).select(key, F.explode(F.filter("_m", lambda m: F.instr(F.col(text), m) == 0)).alias("marker"))
+    """(key, marker) of required markers (marker) that a text lacks, whatever their number: one scan of the texts for each block of markers. A null text is not judged."""
+    kind = texts.schema[key].dataType
+    out = None
+    for block in pattern_blocks(markers.select("marker")):
+
+        def run(batches: Iterator[pa.RecordBatch], block: list[str] = block) -> Iterator[pa.RecordBatch]:
+            automaton, names = Automaton([m.encode() for m in block]), pa.array(block, pa.string())
+            for b in batches:
+                rows = max(1, MOST_CELLS // len(block))
+                for at in range(0, len(b), rows):
+                    part = b.slice(at, rows)
+                    lacks = np.ones((len(part), len(block)), bool)
+                    lacks[automaton.find(part.column("t"))] = False
+                    lacks[part.column("t").is_null().to_numpy(zero_copy_only=False)] = False
+                    row, which = np.nonzero(lacks)
+                    yield pa.RecordBatch.from_arrays([part.column("k").take(pa.array(row)), names.take(pa.array(which))], names=[key, "marker"])
+
+        found = texts.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, StructType([StructField(key, kind), StructField("marker", StringType())]))
+        out = found if out is None else out.unionByName(found)
+    return texts.select(key, F.lit("").alias("marker")).limit(0) if out is None else out
 
 
 def mutants(texts: DataFrame, markers: Sequence[str], key: str, text: str = "text") -> DataFrame:

@@ -10,9 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.automaton import Automaton
 from ..functions.text import comparison_view, view_with_offsets, with_nfkc
 from .layout import source_bounds
 
@@ -20,6 +23,8 @@ from .layout import source_bounds
 ANCHOR = 8
 #: Quotes that are broadcast at most.
 BROADCAST_QUOTES = 100_000
+#: Bytes of the patterns that one pass over the texts looks for: they bound the automaton of a task (some 400 bytes for each of its states).
+PATTERN_BYTES = 1 << 18
 
 
 def with_view(df: DataFrame, source: str = "text", target: str = "view") -> DataFrame:
@@ -39,8 +44,8 @@ def containing(quotes: DataFrame, sources: DataFrame, quote: str = "quote", text
 
     Quotes of ANCHOR + 2 words or more join on their words 2 to ANCHOR + 1, which stand as whole
     words in any source that holds the quote: no pair is lost, and a source is
-    scanned once. The few shorter quotes are looked for one by one. Quotes are
-    broadcast up to BROADCAST_QUOTES rows; beyond, both joins shuffle on the anchor, and quotes of one or two words are broadcast in blocks of about so many.
+    scanned once. All shorter quotes are found by one more scan (``holding``). Quotes are
+    broadcast up to BROADCAST_QUOTES rows; beyond, the joins shuffle on the anchor and on the quote.
     """
     long_ = F.size(_words(F.col(quote))) >= ANCHOR + 2
     anchored = quotes.filter(long_).withColumn("_anchor", F.xxhash64(F.transform(F.slice(_words(F.col(quote)), 2, ANCHOR), lambda w: F.xxhash64(w))))
@@ -56,20 +61,40 @@ def containing(quotes: DataFrame, sources: DataFrame, quote: str = "quote", text
     found = keys.join(side, "_anchor").filter(F.contains(F.col(text), F.col(quote))).drop("_anchor")
     if short.isEmpty():
         return found
-    if _small(short):
-        return found.unionByName(sources.join(F.broadcast(short), F.contains(F.col(text), F.col(quote))))
-    # many short quotes: join on their second word, which is whole if a third follows it, and the words of the sources
-    inner = short.withColumn("_word", F.when(F.size(_words(F.col(quote))) > 2, F.get(_words(F.col(quote)), F.lit(1))))
-    lone = inner.filter("_word is null")
-    by_word = sources.withColumn("_word", F.explode(F.array_distinct(_words(F.col(text)))))
-    pairs = by_word.join(inner.filter("_word is not null"), "_word").filter(F.contains(F.col(text), F.col(quote))).drop("_word")
-    found = found.unionByName(pairs)
-    # quotes of one or two words have no word that must stand whole: blocks of them, each broadcast, meet all sources
-    blocks = -(-lone.count() // max(1, BROADCAST_QUOTES))
-    for block in range(blocks):
-        part = lone.filter(F.pmod(F.xxhash64(quote), F.lit(blocks)) == block).drop("_word")
-        found = found.unionByName(sources.join(F.broadcast(part), F.contains(F.col(text), F.col(quote))))
-    return found
+    scanned = holding(sources, short.select(F.col(quote)), text, "_quote")
+    side = F.broadcast(short) if _small(short) else short
+    return found.unionByName(scanned.join(side, F.col("_quote") == F.col(quote)).drop("_quote"))
+
+
+def holding(sources: DataFrame, patterns: DataFrame, text: str, pattern: str) -> DataFrame:
+    """``sources`` with a column ``pattern``: a row for each different pattern (the first column of ``patterns``) that the text holds literally.
+
+    An automaton of all patterns reads each text once; patterns beyond PATTERN_BYTES go in blocks, a pass each. Null patterns are none; an empty one is in every text that is not null.
+    """
+    schema = StructType([*sources.schema.fields, StructField(pattern, StringType())])
+    found = sources.limit(0).withColumn(pattern, F.lit(None).cast("string"))
+    for block in pattern_blocks(patterns):
+
+        def run(batches: Iterator[pa.RecordBatch], block: list[str] = block) -> Iterator[pa.RecordBatch]:
+            automaton, names = Automaton([p.encode() for p in block]), pa.array(block, pa.string())
+            for b in batches:
+                row, which = automaton.find(b.column(text))
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array(row)).columns, names.take(pa.array(which))], names=[*b.schema.names, pattern])
+
+        found = found.unionByName(sources.mapInArrow(run, schema))
+    if patterns.filter(F.col(patterns.columns[0]) == "").isEmpty():
+        return found
+    return found.unionByName(sources.filter(F.col(text).isNotNull()).withColumn(pattern, F.lit("")))
+
+
+def pattern_blocks(patterns: DataFrame) -> Iterator[list[str]]:
+    """The different patterns that are not empty, in lists of about PATTERN_BYTES bytes, one at a time."""
+    named = patterns.select(F.col(patterns.columns[0]).alias("p")).filter("p <> ''").distinct()
+    total = named.agg(F.coalesce(F.sum(F.octet_length("p")), F.lit(0))).first()[0]
+    blocks = -(-total // PATTERN_BYTES)
+    for k in range(blocks):
+        if block := [r[0] for r in named.filter(F.pmod(F.xxhash64("p"), F.lit(blocks)) == k).collect()]:
+            yield block
 
 
 def within_document(quotes: DataFrame, pages: DataFrame, exclusions: DataFrame | None = None) -> DataFrame:

@@ -537,6 +537,24 @@ def missing_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.missing_rows(table(spark, sf_dir, "pages").select("page_id", "html"), markers, "page_id", "html")
 
 
+@query
+def short_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of the benchmark below ten words, and the documents that hold it."""
+    listed = pages.page_candidates(table(spark, sf_dir, "benchmark").select("item_id", "text"), keys=("item_id",))
+    quotes = locate.with_view(listed.filter(F.size(F.split("quote", "\\s+")) < 10), "quote", "short").select("short").distinct()
+    docs = locate.with_view(_spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "view")
+    return locate.containing(quotes, docs, quote="short").groupBy("short").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"))
+
+
+@query
+def word_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands of markers in one scan: all words of at least eight letters in the conversations, and how many documents hold each."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), 0)
+    markers = conversation_pages(spark, sf_dir).select(F.explode(words).alias("marker")).distinct()
+    docs = _spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return locate.holding(docs, markers, "text", "marker").groupBy("marker").agg(F.count(F.lit(1)).alias("documents"))
+
+
 @query
 def ordered_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.in_order(F.col("html"), "<nav>", "</nav>").alias("nav"), T.in_order(F.col("html"), "</body>", "<body>").alias("reversed"))

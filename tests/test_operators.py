@@ -4,13 +4,15 @@ import itertools
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from proofmill.functions import automaton
 from proofmill.functions.text import view_with_offsets
-from proofmill.operators import locate, topology
+from proofmill.operators import gates, locate, topology
 from proofmill.plans import samples
 from proofmill.sources import inputs, sinks
 from proofmill.streaming import events
@@ -72,6 +74,30 @@ def test_anchored_join_equals_brute_force(spark, monkeypatch, limit):
     assert got == sorted((k, i) for k, q in quotes for i, t in docs if q in t)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abé", min_size=1, max_size=5), min_size=1, max_size=12, unique=True), st.lists(st.none() | st.text(alphabet="abéc", max_size=50), max_size=8), st.sampled_from([5, 4096]))
+def test_automaton_finds_what_is_there(patterns, texts, piece):
+    before, automaton.PIECE = automaton.PIECE, piece
+    try:
+        rows, which = automaton.Automaton([p.encode() for p in patterns]).find(pa.array(texts, pa.string()))
+    finally:
+        automaton.PIECE = before
+    assert list(zip(rows.tolist(), which.tolist(), strict=True)) == [(i, j) for i, t in enumerate(texts) for j, p in enumerate(patterns) if t is not None and p in t]
+
+
+def test_patterns_in_blocks(spark, monkeypatch):
+    """Several passes, empty and null patterns, null texts, markers that all texts lack."""
+    texts = spark.createDataFrame([(1, "one two"), (2, ""), (3, None), (4, "twofold é")], "k int, t string")
+    patterns = spark.createDataFrame([("two",), ("é",), ("one two",), ("none",), ("",), (None,), ("two",)], "marker string")
+    for size in (1, 1 << 18):
+        monkeypatch.setattr(locate, "PATTERN_BYTES", size)
+        got = {(r.k, r.p) for r in locate.holding(texts, patterns, "t", "p").collect()}
+        assert got == {(1, "two"), (1, "one two"), (4, "two"), (4, "é"), (1, ""), (2, ""), (4, "")}
+        lacking = {tuple(r) for r in gates.missing_rows(texts, patterns, "k", "t").collect()}
+        assert lacking == {(1, "é"), (1, "none"), (2, "two"), (2, "é"), (2, "one two"), (2, "none"), (4, "one two"), (4, "none")}
+    assert gates.missing_rows(texts, patterns.limit(0), "k", "t").collect() == [] and locate.holding(texts.limit(0), patterns, "t", "p").collect() == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aé-\n \tﬁ①é", max_size=40))
 def test_view_offsets_point_into_the_text(text):
