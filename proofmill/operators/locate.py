@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -131,26 +132,44 @@ def within_document(quotes: DataFrame, pages: DataFrame, exclusions: DataFrame |
     crossing = F.expr("_over is not null and _over <= _kept and _over + length(_q) - 1 > _kept")
     hit = placed.filter((F.col("_in") > 0) | crossing).withColumn("_at", F.when(F.col("_in") > 0, F.col("_in")).otherwise(F.col("_over")))
     first = hit.withColumn("_rank", F.row_number().over(Window.partitionBy("item_id", "doc_id").orderBy("page", "_at"))).filter("_rank = 1")
-    return first.select("item_id", "doc_id", F.col("page").alias("start_page"), F.when(F.col("_in") > 0, F.col("text")).otherwise(F.col("_body")).alias("text"), "_nbody", "_next", F.length("_q").alias("_n"), F.col("_at"), "_kept", (F.col("_in") > 0).alias("_one"), "_from", "_nfrom").mapInPandas(_raw, "item_id long, doc_id long, start_page long, start_offset int, end_page long, end_offset int")
-
-
-def _raw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From places in the view to places in the text; only located rows come here."""
-    for f in frames:
-        out = []
-        for r in f.itertuples(index=False, name=None):
-            _, at = view_with_offsets(r[3])
-            start = at[int(r[7]) - 1]
-            last = int(r[7]) + int(r[6]) - 2
-            if r[9]:
-                end_page, end = r[2], at[last] + 1
-            else:
-                _, more = view_with_offsets(r[4])
-                gap = 0 if int(r[8]) < len(at) else 1
-                start += int(r[10])
-                end_page, end = r[5], int(r[11]) + more[last - int(r[8]) - gap] + 1
-            out.append((r[0], r[1], r[2], start, end_page, end))
-        yield pd.DataFrame(out, columns=["item_id", "doc_id", "start_page", "start_offset", "end_page", "end_offset"])
+    found = first.withColumns({"_one": F.col("_in") > 0, "_gap": F.when(hyphen, 0).otherwise(1), "_last": F.col("_at") + F.length("_q") - 2})
+    # the map of each page that a span touches is made once, however many quotes lie there; over a page end it is the body's
+    touched = found.select("doc_id", F.inline(F.filter(F.array(
+        F.struct("page", F.col("_one").alias("whole"), F.when(F.col("_one"), F.col("text")).otherwise(F.col("_body")).alias("t")),
+        F.struct(F.col("_next").alias("page"), F.lit(False).alias("whole"), F.when(~F.col("_one"), F.col("_nbody")).alias("t")),
+    ), lambda x: x["t"].isNotNull())))
+    maps = touched.dropDuplicates(["doc_id", "page", "whole"]).select("doc_id", "page", "whole", offset_map(F.col("t")).alias("_map"))
+    here = maps.select("doc_id", "page", F.col("whole").alias("_one"), F.col("_map").alias("_here"))
+    there = maps.filter("not whole").select("doc_id", F.col("page").alias("_next"), F.col("_map").alias("_there"))
+    placed = found.drop("text", "_body", "_nbody", "_v", "_b", "_nb").join(here, ["doc_id", "page", "_one"]).join(there, ["doc_id", "_next"], "left")
+    one = F.col("_one")
+    return placed.select(
+        "item_id", "doc_id", F.col("page").alias("start_page"), (text_position("_here", F.col("_at") - 1) + F.when(one, 0).otherwise(F.col("_from"))).cast("int").alias("start_offset"),
+        F.when(one, F.col("page")).otherwise(F.col("_next")).alias("end_page"),
+        (F.when(one, text_position("_here", F.col("_last"))).otherwise(F.col("_nfrom") + text_position("_there", F.col("_last") - F.col("_kept") - F.col("_gap"))) + 1).cast("int").alias("end_offset"),
+    )
+
+
+@F.pandas_udf("struct<view:array<int>,text:array<int>>")
+def offset_map(texts: pd.Series) -> pd.DataFrame:
+    """The breakpoints of texts' comparison views: from each view position on, until the next, view and text go on character by character."""
+    rows = []
+    for text in texts:
+        at = np.array(view_with_offsets(text)[1], np.int64)
+        cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1)[: len(at)])
+        rows.append((cuts.tolist(), at[cuts].tolist()))
+    return pd.DataFrame(rows, columns=["view", "text"])
+
+
+def text_position(offsets: str, position: Column) -> Column:
+    """Where the character at a ``position`` of the view begins in the text, by binary search in the column ``offsets`` (offset_map)."""
+    view, text = F.col(f"{offsets}.view"), F.col(f"{offsets}.text")
+    half = lambda a: ((a["lo"] + a["hi"]) / 2).cast("int")
+    step = lambda a, _: F.when(F.get(view, half(a)) <= position, F.struct(half(a).alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), half(a).alias("hi")))
+    # after as many halvings as the length has bits lo is the last breakpoint at or before the position
+    bits = F.when(F.size(view) > 1, F.sequence(F.lit(1), F.ceil(F.log2(F.size(view))).cast("int"))).otherwise(F.array().cast("array<int>"))
+    last = F.aggregate(bits, F.struct(F.lit(0).alias("lo"), F.size(view).alias("hi")), lambda a, k: F.when(a["hi"] - a["lo"] > 1, step(a, k)).otherwise(a), lambda a: a["lo"])
+    return F.transform(F.array(last), lambda k: F.get(text, k) + position - F.get(view, k))[0]
 
 
 def first_source(pairs: DataFrame, item: str, source: str, at: Column) -> DataFrame:

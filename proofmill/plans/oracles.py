@@ -105,7 +105,10 @@ ORACLES: dict[str, str] = {
     "mixed_edge_exclusions": values(samples.MIXED_SPANS, "page int, span_start int, span_end int, line varchar, edge varchar"),
     "body_bounds": values([(1, 3, 8, None), (2, None, None, "non-outer edge"), (3, 0, 5, None), (4, 3, 0, None), (5, 3, 5, None)], "n int, body_start int, body_end int, error varchar"),
     "adjacent_pages": f"with {PAGES} select * from (select doc_id, page, lead(page) over (partition by doc_id order by page) as next_page from p) where next_page = page + 1",
-    "stitched_locate": f"with {PAGES} select doc_id * 1000 + page as item_id, doc_id, page as start_page, next_page as end_page, true as proved from (select *, lead(page) over (partition by doc_id order by page) as next_page from p) where next_page = page + 1",
+    "stitched_locate": f"""with {PAGES}, h as (select doc_id, page, case when page % 3 = 1 then 'rupted ' else '' end || text || case when page % 3 = 0 then ' inter-' else '' end as t from p),
+      n as (select *, lead(page) over w as next_page, lead(t) over w as nt from h window w as (partition by doc_id order by page))
+      select doc_id * 1000 + page as item_id, doc_id, page as start_page, (length(t) - length(regexp_extract(t, '(?:\\S+\\s+){{0,11}}\\S+\\s*$')))::int as start_offset, next_page as end_page, length(regexp_extract(nt, '^\\s*(?:\\S+\\s+){{0,11}}\\S+'))::int as end_offset
+      from n where next_page = page + 1""",
     "page_selection": f"with {SELECTION} select * from sel",
     "ocr_required": f"with {REQUIRED} select * from req",
     "ocr_merge": f"with {MERGED} select * from merged",

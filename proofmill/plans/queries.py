@@ -149,16 +149,24 @@ def adjacent_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.adjacent(conversation_pages(spark, sf_dir)).select("doc_id", "page", "next_page")
 
 
+def _broken_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns as pages; a third of them end inside a word, with a hyphen, and the next page goes on with its other half."""
+    all_pages = conversation_pages(spark, sf_dir).drop("role")
+    head = F.when(F.col("page") % 3 == 1, F.lit("rupted ")).otherwise("")
+    return all_pages.withColumn("text", F.concat(head, F.col("text"), F.when(F.col("page") % 3 == 0, F.lit(" inter-")).otherwise("")))
+
+
 @query
 def stitched_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes made of the last twelve words of a page and the first twelve of the next, proved over the page end."""
-    pages_ = conversation_pages(spark, sf_dir)
+    """Quotes made of the last twelve words of a page and the first twelve of the next, over every page end: where they begin and end in the raw pages."""
+    pages_ = _broken_pages(spark, sf_dir)
     two = locate.with_view(pages.adjacent(pages_), "text", "a").withColumnRenamed("next_text", "nt")
-    two = locate.with_view(two, "nt", "b").filter("not endswith(a, '-')")
+    two = locate.with_view(two, "nt", "b")
     last = F.expr("array_join(slice(split(a, ' '), greatest(1, size(split(a, ' ')) - 11), 12), ' ')")
-    quotes = two.select((F.col("doc_id") * 1000 + F.col("page")).alias("item_id"), "doc_id", F.concat_ws(" ", last, F.expr("array_join(slice(split(b, ' '), 1, 12), ' ')")).alias("quote"), F.col("page"))
-    found = locate.within_document(quotes, pages_)
-    return found.select("item_id", "doc_id", "start_page", "end_page", (F.col("end_offset") > 0).alias("proved"))
+    first = F.expr("array_join(slice(split(b, ' '), 1, 12), ' ')")
+    joined = F.when(F.col("page") % 3 == 0, F.concat(F.regexp_replace(last, "-$", ""), first)).otherwise(F.concat_ws(" ", last, first))
+    quotes = two.select((F.col("doc_id") * 1000 + F.col("page")).alias("item_id"), "doc_id", joined.alias("quote"), F.col("page"))
+    return locate.within_document(quotes, pages_)
 
 
 @query
