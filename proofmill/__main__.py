@@ -21,13 +21,16 @@ SEVERITY = ("INVALID_TEST_EXECUTION", "BLOCKED", "FAIL_PRODUCER", "NOT_TESTED",
 
 
 def verify(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Verdicts for response files under one contract; the exit code of the worst."""
+    """Verdicts for response files under one contract, each printed with its status on standard error; the exit code of the worst."""
     runs = inputs.read_whole(spark, args.responses).select(F.col("path").alias("run_id"), F.col("text").alias("response"))
     contract = "\n".join(r[0] for r in spark.read.text(args.contract, wholetext=True).limit(1).collect())
     found = topology.verdicts(runs, contract, args.contract_id).persist()
     sinks.write_json_lines(sinks.verdict_json(found), args.output)
+    # one at a time: the driver holds no batch
+    for r in sinks.verdict_json(found).join(found.select("run_id", "producer_status"), "run_id").orderBy("run_id").toLocalIterator():
+        print(r["json"], end="")
+        print(f"producer_status: {r['producer_status']}", file=sys.stderr)
     counts = {r[0]: r[1] for r in found.groupBy("producer_status").count().collect()}
-    print(json.dumps(counts, sort_keys=True))
     worst = next((s for s in SEVERITY if s in counts), "INVALID_TEST_EXECUTION")
     return topology.EXIT_CODES[worst]
 
@@ -94,8 +97,11 @@ def upgrade(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def facts_validate(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Field names of drafts (analysis, draft)."""
+    """Field names of drafts (analysis, draft); with --nested the kinds of all fields inside too."""
     drafts = spark.read.parquet(args.drafts)
+    if args.nested:
+        found = evidence.shape_errors(drafts.select("analysis", "draft"), evidence.DRAFT_SHAPE)
+        return _written(found.select("analysis", "draft", F.nullif(F.array_join("errors", "; "), F.lit("")).alias("error")), args.output)
     return _written(drafts.select("analysis", "draft", evidence.schema_errors(F.col("draft")).alias("error")), args.output)
 
 
@@ -143,7 +149,7 @@ COMMANDS: tuple[tuple[Callable[[SparkSession, argparse.Namespace], int], tuple[s
     (verify, ("responses", "contract", "contract_id"), {}), (normalize, ("inputs",), {"--kind": {"required": True}}), (candidates, ("pages",), {}),
     (prepare, ("pages",), {"--last-pages": {"type": int, "default": pages.LAST_PAGES}, "--debug-dir": {}}), (validate, ("items", "prepared"), {}),
     (finalize, ("analyses", "items"), {"--heading": {"required": True}, "--before": {"required": True}}), (upgrade, ("analyses", "prepared"), {"--heading": {"required": True}, "--before": {"required": True}}),
-    (facts_validate, ("drafts",), {}), (facts_finalize, ("drafts", "sidecars"), {}), (merge_ocr, ("pages", "quality", "replacements"), {}),
+    (facts_validate, ("drafts",), {"--nested": {"action": "store_true"}}), (facts_finalize, ("drafts", "sidecars"), {}), (merge_ocr, ("pages", "quality", "replacements"), {}),
     (update_ocr_cache, ("caches", "new"), {}), (validate_ocr_cache, ("caches", "sources"), {}), (update_fulltext_cache, ("new", "sources"), {}), (validate_fulltext_cache, ("caches", "metadata", "sources"), {}),
     (quality, ("pages",), {}),
 )

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import variants as V
 from ..functions.text import in_order, occurrences, sentences, with_quote_id
 
 #: Our choice: the longest quote that is accepted, in code points.
@@ -20,7 +21,14 @@ MAX_SENTENCES = 2
 SIDECAR_VERSION = "future-work-v1"
 #: The field names of a facts file.
 FACT_FIELDS = ("paper", "research_problem", "research_object", "approach", "findings", "contributions", "topic_terms", "limitations", "source_anchors", "confidence")
+#: The kinds of a draft's fields; names and kinds are fixed values, that all of a paper's own fields may be null is our choice.
 PAPER_FIELDS = ("title", "authors", "year", "venue", "doi")
+DRAFT_SHAPE: tuple[tuple[str, str, bool], ...] = (
+    ("paper", "OBJECT", True), *((f"paper.{f}", "ARRAY|NULL" if f == "authors" else "NUMBER|NULL" if f == "year" else "STRING|NULL", f == "title") for f in PAPER_FIELDS), ("paper.authors[]", "STRING", False),
+    *((f, "STRING", True) for f in ("research_problem", "research_object", "approach")), *((f, "ARRAY", True) for f in ("findings", "contributions", "topic_terms", "limitations")),
+    *((f"{f}[]", "STRING", False) for f in ("findings", "contributions", "topic_terms", "limitations")),
+    ("source_anchors", "OBJECT", True), *((f"source_anchors.{f}{e}", k, False) for f in ("research_problem", "research_object", "approach", "findings", "contributions", "limitations") for e, k in (("", "ARRAY"), ("[]", "STRING"))), ("confidence", "NUMBER", True),
+)
 
 
 def item_errors(items: DataFrame, candidates: DataFrame, limit: int = MAX_QUOTE_CHARS) -> DataFrame:
@@ -67,6 +75,38 @@ def schema_errors(draft: Column, allowed: Sequence[str] = FACT_FIELDS, required:
     )
 
 
+def shape_errors(drafts: DataFrame, shape: Sequence[tuple[str, str, bool]], draft: str = "draft", depth: int = 3) -> DataFrame:
+    """``drafts`` with ``errors``: all that is wrong with a JSON text under a shape (path, kind, required), sorted; null for a null text.
+
+    Paths are dotted names; those of a list's elements end in "[]". Kinds are those of ``variants.kind``, several as "STRING|NULL". A
+    name that the shape lacks is unknown, one under an unknown or wrong one is not looked at. A required
+    name is missed where its parent is an object. ``depth`` levels are walked, each once: it is a column of its own.
+    """
+    kinds = F.create_map(*(F.lit(x) for path, kind, _ in shape for x in (path, F.array(*map(F.lit, kind.split("|"))))))
+    kept = lambda x: F.struct(x["path"].alias("path"), x["v"].alias("v"), V.kind(x["v"]).alias("kind"), F.element_at(kinds, x["path"]).alias("may"))
+    fits = lambda x: F.coalesce(F.array_contains(x["may"], x["kind"]), F.lit(False))
+    under = lambda x: F.when(x["path"] == "", "").otherwise(F.concat(x["path"], F.lit(".")))
+    place = lambda path, v: F.struct(path.alias("path"), v.alias("v"))
+    inside = lambda x: (
+        F.when(x["kind"] == "OBJECT", F.transform(F.map_entries(F.try_variant_get(x["v"], "$", "map<string,variant>")), lambda e: place(F.concat(under(x), e["key"]), e["value"])))
+        .when(x["kind"] == "ARRAY", F.transform(V.elements(x["v"]), lambda e: place(F.concat(x["path"], F.lit("[]")), e)))
+    )
+    whole = F.array(place(F.lit(""), F.col("_v")))
+    walked = drafts.withColumn("_v", V.parse(F.col(draft))).withColumn("_0", F.transform(whole, lambda x: F.struct(x["path"].alias("path"), x["v"].alias("v"), V.kind(x["v"]).alias("kind"), F.array(F.lit("OBJECT")).alias("may"))))
+    for k in range(depth):
+        # what fits is opened, then each part is told its kind
+        opened = F.flatten(F.transform(F.filter(f"_{k}", lambda x: fits(x) & x["kind"].isin("OBJECT", "ARRAY")), inside))
+        walked = walked.withColumn("_in", opened).withColumn(f"_{k + 1}", F.transform("_in", kept)).drop("_in")
+    slim = lambda x: F.struct(x["path"].alias("path"), x["kind"].alias("kind"), x["may"].isNotNull().alias("known"), fits(x).alias("fits"))
+    seen = walked.withColumn("_seen", F.concat(*(F.transform(f"_{k}", slim) for k in range(depth + 1)))).drop("_v", *(f"_{k}" for k in range(depth + 1)))
+    wrong = F.transform(F.filter("_seen", lambda x: ~x["fits"] & (x["path"] != "")), lambda x: F.when(x["known"], F.concat(x["path"], F.lit(": "), F.lower(x["kind"]))).otherwise(F.concat(F.lit("unknown: "), x["path"])))
+    listed = seen.withColumns({"_wrong": wrong, "_paths": F.transform("_seen", lambda x: x["path"]), "_open": F.transform(F.filter("_seen", lambda x: x["kind"] == "OBJECT"), lambda x: x["path"])})
+    needed = [F.when(F.array_contains("_open", p.rpartition(".")[0]) & ~F.array_contains("_paths", p), F.lit(f"missing: {p}")) for p, _, required in shape if required]
+    lacks = F.filter(F.array(*needed), lambda x: x.isNotNull()) if needed else F.array().cast("array<string>")
+    errors = F.when(F.col(draft).isNotNull(), F.when(~F.array_contains("_open", ""), F.array(F.lit("not an object"))).otherwise(F.array_sort(F.array_distinct(F.concat("_wrong", lacks)))))
+    return listed.withColumn("errors", errors).drop("_seen", "_wrong", "_paths", "_open")
+
+
 def facts_join(facts: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Facts (analysis, evidence_level, input_fingerprint) with their future-work sidecar (analysis, evidence_level, source_pdf_fingerprint, status, future_work_ids).
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -61,6 +61,41 @@ def impure_paths(files: DataFrame, forbidden: Sequence[str], path: str = "path")
     return files.filter(F.array_contains(parts, "tests") | name.rlike("^test_.*\\.py$") | name.isin(*forbidden))
 
 
+def install_errors(files: DataFrame, forbidden: Sequence[str], required: Sequence[str], path: str = "path", tree: str = "tree") -> DataFrame:
+    """(tree, path, error) of install trees (tree, path): what must not be there, and what must: a file, or with "/" at its end a folder that holds something."""
+    impure = impure_paths(files, forbidden, path).select(tree, path, F.lit("must not be there").alias("error"))
+    has = lambda r: F.bool_or(F.startswith(F.col(path), F.lit(r)) if r.endswith("/") else F.col(path) == r)
+    lacks = files.groupBy(tree).agg(F.filter(F.array(*(F.when(~F.coalesce(has(r), F.lit(False)), F.lit(r)) for r in required)), lambda x: x.isNotNull()).alias("_l"))
+    return impure.unionByName(lacks.select(tree, F.explode("_l").alias(path), F.lit("missing").alias("error")))
+
+
+def retry_verdicts(attempts: DataFrame, by: Sequence[str], limit: int = 2) -> DataFrame:
+    """(by, status, decision, used, ignored): what ordered attempts at a frozen revision (by, ord, status, transport, contaminated, inputs) amount to.
+
+    An attempt in a contaminated setup, or with other inputs than the first clean one, does not count. The first
+    verdict stays: a FAIL_PRODUCER, PASS, NOT_TESTED or INVALID_TEST_EXECUTION is never overwritten. BLOCKED by
+    the transport may be tried again ``limit`` times, BLOCKED by anything else not at all. decision: STOP, RETRY, or START where no attempt
+    counts (CASE_NOT_STARTED). used: attempts that count up to the end; ignored: all others.
+
+    ``ord`` is different for each attempt of a key. Windows stream over the sorted attempts of a key, however many there are.
+    """
+    order = Window.partitionBy(*by).orderBy("ord")
+    clean = ~F.coalesce("contaminated", F.lit(False))
+    frozen = F.first(F.when(clean, F.struct("inputs")), ignorenulls=True).over(order)["inputs"]
+    marked = attempts.withColumn("_counts", clean & frozen.eqNullSafe(F.col("inputs")))
+    again = F.col("_counts") & (F.col("status") == "BLOCKED") & F.coalesce("transport", F.lit(False))
+    marked = marked.withColumns({"_again": again, "_tries": F.sum(again.cast("int")).over(order)})
+    ends = F.col("_counts") & (~F.col("_again") | (F.col("_tries") > limit))
+    over = F.max(ends.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = marked.withColumns({"_ends": ends, "_live": F.col("_counts") & (F.coalesce(over, F.lit(0)) == 0)})
+    grouped = marked.groupBy(*by).agg(
+        F.min_by("status", F.when(F.col("_ends"), F.col("ord"))).alias("_final"), F.max_by("status", F.when(F.col("_live"), F.col("ord"))).alias("_last"),
+        F.count_if("_live").alias("used"), F.count_if(~F.col("_live")).alias("ignored"),
+    )
+    decision = F.when(F.col("_final").isNotNull(), "STOP").when(F.col("_last").isNotNull(), "RETRY").otherwise("START")
+    return grouped.select(*by, F.coalesce("_final", "_last", F.lit("CASE_NOT_STARTED")).alias("status"), decision.alias("decision"), "used", "ignored")
+
+
 def absolute_error(path: Column) -> Column:
     return F.when(~path.startswith("/"), F.lit("path must be absolute"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,15 +32,15 @@ def edge_exclusions(blocks: DataFrame, page_height: float = 1.0, band: float = 0
     proven = in_band & (F.coalesce("repeats", F.lit(False)) | F.coalesce(F.trim("text").rlike("^[0-9]+$"), F.lit(False)))
     seen = blocks.join(repeated, ["doc_id", "edge", "text"], "left").withColumn("_proven", proven)
     block = F.struct("ord", "edge", "top", "bottom", "line_height", "start", "end", "text", "_proven")
-    # pages without a proven block have no exclusions and stay out of Python
+    # pages without a proven block have no exclusions and stay out of Python; the others go through it in Arrow batches
     paged = seen.groupBy(*key).agg(F.array_sort(F.collect_list(block)).alias("_blocks"), F.max("_proven").alias("_any")).filter("_any").select(*key, "_blocks")
     kind = {f.name: f.dataType.simpleString() for f in blocks.schema}
-    spans = F.udf(_outer_runs, f"array<struct<start:{kind['start']},end:{kind['end']},text:string,edge:string>>")
+    spans = F.pandas_udf(lambda pages: pages.map(_outer_runs), f"array<struct<start:{kind['start']},end:{kind['end']},text:string,edge:string>>")
     return paged.select(*key, F.array_sort(spans("_blocks")).alias("edge_exclusions")).filter(F.size("edge_exclusions") > 0)
 
 
-def _outer_runs(blocks: list[Row]) -> list[tuple[int, int, str, str]]:
-    """(start, end, text, edge) of the proven blocks of one page that can be peeled from the ends of its extraction order."""
+def _outer_runs(blocks: Sequence[Mapping]) -> list[dict]:
+    """start, end, text and edge of the proven blocks of one page that can be peeled from the ends of its extraction order."""
     held = [b["_proven"] for b in blocks]
     n = len(blocks)
     while True:
@@ -55,12 +57,12 @@ def _outer_runs(blocks: list[Row]) -> list[tuple[int, int, str, str]]:
     nexts, ends = [*(b["start"] for b in blocks[1:]), None], [None, *(b["end"] for b in blocks[:-1])]
     first = [(blocks[k]["start"], blocks[k]["end"] if nexts[k] is None else nexts[k]) for k in range(head)]
     last = [(blocks[k]["start"] if ends[k] is None else ends[k], blocks[k]["end"]) for k in range(tail, n)]
-    return [(a, b, blocks[k]["text"], blocks[k]["edge"]) for (a, b), k in zip(first + last, (*range(head), *range(tail, n)), strict=True)]
+    return [{"start": a, "end": b, "text": blocks[k]["text"], "edge": blocks[k]["edge"]} for (a, b), k in zip(first + last, (*range(head), *range(tail, n)), strict=True)]
 
 
-def _stands_off(edge: Row, other: Row) -> bool:
+def _stands_off(edge: Mapping, other: Mapping) -> bool:
     """By at least the edge's line height; not where a position is unknown."""
-    if None in (edge["top"], edge["bottom"], edge["line_height"], other["top"], other["bottom"]):
+    if any(x is None or x != x for x in (edge["top"], edge["bottom"], edge["line_height"], other["top"], other["bottom"])):
         return False
     return max(other["top"] - edge["bottom"], edge["top"] - other["bottom"]) >= edge["line_height"]
 

@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.automaton import Automaton
 from ..functions.text import comparison_view, view_with_offsets, with_nfkc
@@ -150,7 +150,7 @@ def within_document(quotes: DataFrame, pages: DataFrame, exclusions: DataFrame |
     )
 
 
-@F.pandas_udf("struct<view:array<int>,text:array<int>>")
+@F.pandas_udf(StructType([StructField("view", ArrayType(IntegerType())), StructField("text", ArrayType(IntegerType()))]))
 def offset_map(texts: pd.Series) -> pd.DataFrame:
     """The breakpoints of texts' comparison views: from each view position on, until the next, view and text go on character by character."""
     rows = []

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import variants as V
-from ..functions.text import apply_steps, fingerprint, page_marker, source_label, with_quote_id
+from ..functions.text import fingerprint, occurrences, page_marker, source_label, with_quote_id
 from ..sources.inputs import fulltext_caches, markdown_items, page_quality
 from ..sources.sinks import cache_metadata_path
 from . import evidence, locate
@@ -184,24 +184,32 @@ def validated_fulltext_cache(caches: DataFrame, metadata: DataFrame, sources: Da
     return found.select("path", "text").join(states, "path").select("path", F.when(fine, F.col("text")).alias("text"), F.when(fine, F.col("source_sha256")).alias("pdf_sha256"), "error")
 
 
-def run_program(files: DataFrame, steps: DataFrame, program: str, text: str = "text") -> DataFrame:
-    """``files`` with ``result`` and ``error``: a stored rewrite program run over each text.
+def run_programs(files: DataFrame, steps: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
+    """``files`` with ``result`` and ``error``: the stored rewrite program that each row names, run over its text.
 
     ``steps``: program, ord, mode (once, all, keep, drop), old, new. "once" and "all" replace; "keep" and "drop"
-    are gates: the text must hold ``old``, or must not. A program is a short list, which the driver reads in order.
+    are gates: the text must hold ``old``, or must not. The steps of a program travel as one array and are folded over the text;
+    the first error ends the run. A program without steps, an unknown mode and an empty ``old`` are errors; a null text has neither result nor error.
     """
-    rows = steps.filter(F.col("program") == program).orderBy("ord").select("mode", "old", "new").collect()
-    if not rows:
-        raise ValueError(f"no program {program}")
-    if wrong := {r["mode"] for r in rows} - {"once", "all", "keep", "drop"}:
-        raise ValueError(f"unknown modes: {sorted(wrong)}")
-    result, error = F.col(text), F.lit(None).cast("string")
-    for k, r in enumerate(rows):
-        if r["mode"] in ("once", "all"):
-            result, problem = apply_steps(result, [(r["mode"], r["old"], r["new"])])
-            problem = F.regexp_replace(problem, "^step 1", f"step {k + 1}")
-        else:
-            there = F.contains(result, F.lit(r["old"]))
-            problem = F.when(~there if r["mode"] == "keep" else there, F.lit(f"step {k + 1}: {'missing' if r['mode'] == 'keep' else 'left over'}"))
-        error = F.coalesce(error, problem)
-    return files.withColumn("error", F.when(F.col(text).isNotNull(), error)).withColumn("result", F.when(F.col("error").isNull(), result))
+    step = F.struct("ord", "mode", "old", F.coalesce("new", F.lit("")).alias("new"))
+    listed = steps.groupBy(F.col("program").alias("_program")).agg(F.array_sort(F.collect_list(step)).alias("_steps"))
+    joined = files.join(listed, F.col(program).eqNullSafe(F.col("_program")), "left")
+
+    def run(state: Column, x: Column) -> Column:
+        now = state["text"]
+        n = occurrences(now, x["old"])
+        # the array is in order, and a step's number is its place in it
+        problem = (
+            F.when(F.coalesce(x["old"] == "", F.lit(True)), "nothing to look for").when((x["mode"] == "once") & (n != 1), F.concat(F.lit("expected once, found "), n.cast("string")))
+            .when((x["mode"] == "keep") & (n == 0), "missing").when((x["mode"] == "drop") & (n > 0), "left over").when(~x["mode"].isin("once", "all", "keep", "drop"), "unknown mode")
+        )
+        done = F.when(x["mode"].isin("once", "all"), F.replace(now, x["old"], x["new"])).otherwise(now)
+        fresh = F.struct(
+            F.when(problem.isNull(), done).otherwise(now).alias("text"), F.when(problem.isNotNull(), F.concat(F.lit("step "), (state["k"] + 1).cast("string"), F.lit(": "), problem)).alias("error"), (state["k"] + 1).alias("k"),
+        )
+        return F.when(state["error"].isNull(), fresh).otherwise(state)
+
+    start = F.struct(F.col(text).alias("text"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("k"))
+    ran = joined.withColumn("_ran", F.aggregate("_steps", start, run))
+    error = F.when(F.col(text).isNotNull(), F.coalesce(F.when(F.col("_steps").isNull(), F.concat(F.lit("no program "), F.coalesce(F.col(program), F.lit("null")))), F.col("_ran.error")))
+    return ran.withColumn("error", error).withColumn("result", F.when(F.col("error").isNull(), F.col("_ran.text"))).drop("_ran", "_steps", "_program")

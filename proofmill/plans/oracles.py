@@ -97,13 +97,7 @@ ORACLES: dict[str, str] = {
     "sentence_candidates": f"with {DOC_CAND} select *, sha256({NORMAL}) as id from dc",
     "quote_ids": f"select item_id, sha256({VIEW.format('text')}) as id from benchmark",
     "source_fingerprints": "select doc_id, 'sha256:' || sha256(text) as fingerprint from documents",
-    "nfkc_forms": values([(n, f) for (n, _), f in zip(samples.NFKC, samples.NFKC_FORMS, strict=True)], "n int, normal varchar"),
-    "cjk_sentences": values([(n, k, s) for (n, _), xs in zip(samples.CJK, _SPLIT_CJK, strict=True) for k, s in enumerate(xs)], "n int, ord int, sentence varchar"),
-    "dehyphenated": values([(1, "continent"), (2, "long- lasting"), (3, "in- line"), (4, "ab"), (5, "1-\n2"), (6, "end-"), (7, "éè")], "n int, joined varchar"),
     "repeated_edge_lines": "select edge, line, count(distinct doc_id) as pages from (select doc_id, 'top' as edge, string_split(text, chr(10))[1] as line from documents union all select doc_id, 'bottom', string_split(text, chr(10))[-1] from documents) group by all having count(distinct doc_id) >= 2",
-    "edge_exclusions": values([(1, 1, 0, 8, "HEADER", "top"), (1, 1, 20, 23, "1", "bottom"), (1, 2, 0, 7, "HEADER", "top")], "doc_id int, page int, span_start int, span_end int, line varchar, edge varchar"),
-    "mixed_edge_exclusions": values(samples.MIXED_SPANS, "page int, span_start int, span_end int, line varchar, edge varchar"),
-    "body_bounds": values([(1, 3, 8, None), (2, None, None, "non-outer edge"), (3, 0, 5, None), (4, 3, 0, None), (5, 3, 5, None)], "n int, body_start int, body_end int, error varchar"),
     "adjacent_pages": f"with {PAGES} select * from (select doc_id, page, lead(page) over (partition by doc_id order by page) as next_page from p) where next_page = page + 1",
     "stitched_locate": f"""with {PAGES}, h as (select doc_id, page, case when page % 3 = 1 then 'rupted ' else '' end || text || case when page % 3 = 0 then ' inter-' else '' end as t from p),
       n as (select *, lead(page) over w as next_page, lead(t) over w as nt from h window w as (partition by doc_id order by page))
@@ -113,7 +107,6 @@ ORACLES: dict[str, str] = {
     "ocr_required": f"with {REQUIRED} select * from req",
     "ocr_merge": f"with {MERGED} select * from merged",
     "ocr_unsupplied": f"with {REQUIRED} select * from req where (doc_id, page) not in (select (doc_id, page) from p where role <> 'user')",
-    "resolved_pages": values([(1, "19", "18,22"), (2, "", "18,19,22"), (3, "", "18,19,22"), (4, "5", "1")], "n int, required_now varchar, resolved_now varchar"),
     "refreshed_candidates": f"with {MERGED} {listed('merged', 'doc_id, page')}",
     "prepare_summary": f"with {CAND} select doc_id, count(*) as candidate_count, string_agg(distinct page::varchar, ',' order by page::varchar) as candidate_pages from (select *, page from cand) group by doc_id",
     "unlabelled_documents": "select doc_id from documents anti join labels using (doc_id)",
@@ -126,13 +119,11 @@ ORACLES: dict[str, str] = {
       select analysis, error, case when error is null then ids end as future_work_ids from j""",
     "sidecar_files": f"with {CHECKED} select doc_id || '.future_work.json' as path, count(*)::int as items from ck where doc_id not in (select doc_id from ck where error is not null) group by doc_id",
     "cache_states": "select doc_id::varchar as path, case when doc_id not in (select doc_id from labels) then 'no source' when doc_id % 3 = 0 then 'metadata is missing' when doc_id % 3 = 1 then 'stale' end as error from documents",
-    "cache_update": values([("p", "new", 2, "fresh", None), ("q", "same", 1, "one", None), ("q", "same", 2, "two again", None), ("r", "x", 1, "kept", None), ("s", "a", 1, "of a", "several fingerprints"), ("s", "b", 2, "of b", "several fingerprints"), ("s", "old", 1, "stays", None)], "path varchar, pdf_sha256 varchar, page int, text varchar, error varchar"),
     "fulltext_cache_stamps": """with s as (select d.doc_id::varchar as path, d.text, sha256(d.text) as sha, l.doc_id is not null as known from documents d left join (select distinct doc_id from labels) l using (doc_id))
       select path, case when known then md5(text) end as text, case when known then path || '.meta.json' end as metadata_path, case when known then '{"schema":1,"pdf_sha256":"' || sha || '"}' end as metadata, case when not known then 'no source' end as error from s""",
     "fulltext_cache_copies": """with s as (select d.doc_id::varchar as path, d.text, sha256(d.text) as sha, case when l.doc_id is null then 'no source' when d.doc_id % 5 in (0, 1, 3) then 'metadata is missing' when d.doc_id % 5 = 2 then 'stale' end as error
         from documents d left join (select distinct doc_id from labels) l using (doc_id))
       select path, case when error is null then md5(text) end as text, case when error is null then sha end as pdf_sha256, error from s""",
-    "toc_entries": values([("a", 0, 1, "Opening", 1), ("a", 1, 2, "Details", 2), ("b", 1, 1, "Numbered", 7)], "path varchar, ord int, level int, title varchar, page int"),
     "prepared_documents": f"""with {CAND}, {QUALITY}, sel as (select distinct doc_id, page from (select *, max(page) over (partition by doc_id) as e from p) where role = 'system' or page > e - 2 or contains(lower(text), 'tion the'))
       select doc_id, max(case when page = 0 then sha256(text) end) as pdf_sha256, (2 * count(*) filter (where role = 'system'))::int as toc_entries,
         (select count(*)::int from ql where ql.doc_id = p.doc_id) as tiers, (select coalesce(string_agg(page::varchar, ',' order by page), '') from sel where sel.doc_id = p.doc_id) as selected,
@@ -143,21 +134,7 @@ ORACLES: dict[str, str] = {
     "quality_reports": f"""with {PAGES}, s as (select doc_id, regexp_matches(coalesce(text, ''), '\\p{{L}}') as lettered, length(regexp_replace(text, '[^\\p{{L}}\\s]', '', 'g')) / length(text) as share from p), t as (select doc_id, case when lettered then share else 0 end as score, lettered from s)
       select doc_id, count(*) as pages, count(*) filter (where lettered and score >= 0.97) as ok, count(*) filter (where lettered and score < 0.97) as untrusted, count(*) filter (where not lettered) as empty, round(min(score), 9) as least_score, 0.97::double as threshold from t group by doc_id""",
     "json_file_errors": "select event_id, case when event_id % 7 = 0 then 'unreadable JSON' end as error from events",
-    "stored_program": """with s as (select page_id, html, (length(html) - length(replace(html, '<title>', ''))) // 7 as n, replace(html, '<title>', '<h1>') as one from pages), e as (select page_id, replace(one, 'href=', 'src=') as two,
-        case when n <> 1 then 'step 1: expected once, found ' || n when not contains(replace(one, 'href=', 'src='), '<nav>') then 'step 3: missing' when contains(replace(one, 'href=', 'src='), 'track(1)') then 'step 4: left over' end as error from s)
-      select page_id, case when error is null then md5(two) end as result, error from e""",
-    "page_cache_rows": values([("a", "x", 1, "one"), ("a", "x", 12, "twelve")], "path varchar, pdf_sha256 varchar, page int, text varchar"),
-    "foreign_digests": values([(1, None), (2, None), (3, "foreign digest")], "n int, error varchar"),
-    "draft_fields": values([(1, None), (2, "unknown fields: future_work_ids"), (3, "missing fields: b"), (4, "not an object"), (5, None)], "n int, error varchar"),
-    "abstract_sources": values([(1, None), (2, "source beyond the abstract"), (3, None)], "n int, error varchar"),
-    "canonical_quotes": values([(1, 2, "We will\nextend it.", "first"), (1, 3, "We will extend it.", "new"), (2, 1, "Other.", "o")], "doc_id int, start_page int, quote varchar, id varchar"),
-    "span_places_over_edges": values(samples.EDGE_PLACES, "item_id bigint, doc_id bigint, start_page bigint, start_offset int, end_page bigint, end_offset int"),
-    "span_places": values(samples.SPAN_PLACES, "item_id bigint, doc_id bigint, start_page bigint, start_offset int, end_page bigint, end_offset int"),
-    "source_labels": values([(1, "Section 5"), (2, "Section 5（p.2–3）"), (3, "Section 5"), (4, "p.3 of the notes")], "n int, label varchar"),
-    "normalized_inputs": values([("/a.json", None, False), ("b.json", "path must be absolute", None), ("/c.json", "kind", None), ("/d.json", "abstract", None), ("/e.json", "unreadable", None), ("/f.json", "not an object", None), ("/g.json", "schema", None), ("/h.json", "level", None), ("/i.json", "abstract", None)], "path varchar, error varchar, leaks boolean"),
-    "text_papers": values([(1, "On x", 2021, "Body here."), (2, None, None, "No header at all"), (3, "t", None, "Body\n---\nmore")], "n int, title varchar, year int, body varchar"),
     "markdown_items": f"with {PAGES} select doc_id, (row_number() over (partition by doc_id order by page) - 1)::int as ord, trim(string_split(text, chr(10))[1]) as quote, 'x' as translation_zh, 'Turn' as source, page::int as page from p",
-    "prepared_kinds": values([(1, False, 2), (2, False, 1), (3, True, 0), (4, False, None)], "n int, literal boolean, items int"),
     "marked_pages": "select conv_id as doc_id, string_agg('<!-- PDF_PAGE: ' || (turn + 1) || ' -->' || chr(10) || text, chr(10) order by turn) as text from conversations group by conv_id",
     "page_tiers": r"select conv_id as doc_id, turn as page, case when not regexp_matches(text, '\p{L}') then 'empty' when length(regexp_replace(text, '[^\p{L}\s]', '', 'g')) * 2 < length(text) then 'untrusted' else 'ok' end as tier from conversations",
     "edge_dedup": "select distinct l_suppkey as sender, l_partkey as receiver from lineitem",
@@ -168,11 +145,7 @@ ORACLES: dict[str, str] = {
       select c_custkey::varchar as run_id, case n when 3 then 'PASS' when 0 then 'NOT_TESTED' else 'FAIL_PRODUCER' end as producer_status, n as nested_direct_child_count, n + 1 as formal_spawn_relation_count,
       case n when 3 then 0 when 0 then 4 else 1 end as exit_code from c
       union all select 'e' || event_id, case when event_id % 12 in (8, 9) then 'BLOCKED' else 'INVALID_TEST_EXECUTION' end, 0, 0, case when event_id % 12 in (8, 9) then 2 else 3 end from events""",
-    "topology_reasons": values(samples.REASONS, "run_id varchar, reasons varchar"),
-    "contract_gates": values([(name, status, {"PASS": 0, "INVALID_TEST_EXECUTION": 3}[status]) for name, _, status in samples.CONTRACTS], "contract varchar, producer_status varchar, exit_code int"),
-    "topology_gates": values([(name, status) for name, _, status in samples.LOGS], "run_id varchar, producer_status varchar"),
     "json_paths": "select try_cast(props->>'k' as bigint) as k, count(*) as n from events group by 1",
-    "json_kinds": values([(1, "NUMBER"), (2, "NULL"), (3, "MISSING"), (4, "STRING"), (5, "BOOLEAN"), (6, "ARRAY"), (7, "OBJECT"), (8, "MISSING"), (9, "MISSING")], "n int, kind varchar"),
     "marker_gate": f"select *, missing = '' and unwanted = '' as passed from (select page_id, {found('html', ['<title>', '</html>', '<nav>', 'href='], False)} as missing, {found('html', ['%%%', 'track(1)'], True)} as unwanted from pages)",
     "missing_markers": "select page_id, marker from pages, (values ('<table>'), ('<nav>'), ('utm_source'), ('</p>')) m(marker) where not contains(html, marker)",
     "short_quotes": f"with b as ({listed('benchmark', 'item_id')}), q as (select distinct {NORMAL} as short from b where len(regexp_split_to_array(quote, '\\s+')) < 10), d as (select doc_id, {VIEW.format('text')} as view from documents) select short, count(*) as documents, min(doc_id) as first_doc from q join d on contains(view, short) group by short",
@@ -186,16 +159,11 @@ ORACLES: dict[str, str] = {
     "patch_section": """select page_id, md5(case when b > 0 then (case when a > 0 and a < b then left(m, a) else left(m, b) end) || '<nav>' || chr(10) || 'page ' || page_id || chr(10) || substr(m, b + 1) end) as patched,
       case when not (a > 0 and b > a and len(string_split(html, '<nav>')) = 2 and len(string_split(html, '</nav>')) = 2) then 'anchors' end as error from (select *, instr(m, chr(10) || '<nav>' || chr(10)) as a, instr(m, chr(10) || '</nav>' || chr(10)) as b from (select *, replace(replace(html, '<nav>', chr(10) || '<nav>' || chr(10)), '</nav>', chr(10) || '</nav>' || chr(10)) as m from pages))""",
     "html_title_and_text": r"select page_id, regexp_extract(html, '<title>((?s:.*?))</title>', 1) as title, md5(ltrim(regexp_replace(regexp_replace(html, '<script>[^\n]*?</script>|<style>[^\n]*?</style>', '', 'g'), '<[^>]*>', ' ', 'g'), ' ' || chr(9) || chr(10))) as body from pages",
-    "frontmatter": values([(1, "1.2", None, True), (2, "1.2", None, True), (3, None, "lines: 2", True), (4, None, "open quote", True), (5, None, "quote inside", True), (6, None, "double quotes", True), (7, None, "separators: 0", None), (8, None, "separators: 2", None), (9, None, "lines: 0", True)], "n int, version varchar, error varchar, joined boolean"),
-    "install_purity": values([("skill/tests/x.py",), ("skill/scripts/test_run.py",), ("skill/conftest.py",)], "path varchar"),
-    "revalidation": values([(1, "EXECUTE_CURRENT"), (2, "REJUDGE_PRIOR_EVIDENCE"), (3, "REUSE_PRIOR_PASS"), (4, "EXECUTE_CURRENT")], "case_id int, decision varchar"),
-    "outer_states": values([(1, "CASE_NOT_STARTED"), (2, "CASE_NOT_STARTED"), (3, "PASS"), (4, "BLOCKED")], "n int, status varchar"),
     "artifact_paths": "select doc_id, '/out/' || doc_id || '.md.future_work.json' as sidecar, '/out/' || doc_id || '.md.facts.json' as facts, '/out/' || doc_id || '.md.meta.json' as metadata, case when not starts_with(source, '/') then 'path must be absolute' end as error from documents",
     "finalized_analyses": f"""with {CHECKED}, g as (select doc_id, min_by(error, item_id) filter (where error is not null) as bad, count(distinct quote_id) < count(*) as twice, count(*)::int as n,
         string_agg('- 原文：' || quote || chr(10) || '  译：' || chr(10) || '  出处：§', chr(10) order by item_id) as bullets from ck group by doc_id),
       e as (select d.doc_id, coalesce(bad, case when twice then 'duplicate id' end) as error, coalesce(n, 0) as n, coalesce(bullets, '') as bullets from (select distinct doc_id from p) d left join g using (doc_id))
       select doc_id as analysis, case when error is null then md5('# ' || doc_id || chr(10) || '## Next' || chr(10) || bullets || chr(10) || '## Notes' || chr(10) || 'kept' || chr(10)) end as markdown, case when error is null then n end as items, error from e""",
-    "proved_items": values([(i, a, b, "Section 5" + (f"（p.{a}–{b}）" if b > a else ""), None) for i, _, a, _, b, _ in samples.SPAN_PLACES] + [(i, None, None, "Section 5（p.9）", "not in source") for i in (6, 7, 8)], "item_id bigint, page bigint, end_page bigint, source varchar, error varchar"),
     "upgraded_analyses": f"""with {PAGES}, w as (select doc_id, page, array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: true)[1:5], ' ') || case when doc_id % 3 = 0 and page = 0 then ' zzz' else '' end as quote from p),
       c as (select *, case when len({sentences('quote')}) > 2 then 'sentences' when doc_id % 3 = 0 and page = 0 then 'not in source' end as error, sha256({NORMAL}) as id from w),
       g as (select doc_id, min_by(error, page) filter (where error is not null) as bad, count(distinct id) < count(*) as twice, count(*)::int as n, string_agg(page::varchar, ',' order by page) as starts,
@@ -213,3 +181,7 @@ ORACLES["finished_facts"] = f"""with f as ({ORACLES['facts_join']}),
       select analysis, case when error is null then analysis || '.facts.json' end as path, case when error is null then '{{"schema":1,"kind":"analysis-facts","generator_version":"facts-v1","analysis":' || analysis || ',"evidence_level":"fulltext","input_fingerprint":"' || print
         || '","status":"ok","future_work_ids":[' || case when ids = '' then '' else '"' || replace(ids, ',', '","') || '"' end || '],"facts":{{' || (select string_agg('"' || k || '":"x"', ',' order by k) from (values {', '.join(f"('{k}')" for k in FACT_FIELDS)}) v(k)) || '}}}}' end as json,
         case when error is null then print end as input_fingerprint, error from r"""
+
+from .derived_sql import DERIVED  # noqa: E402
+
+ORACLES |= DERIVED

@@ -3,15 +3,11 @@
 The operators come without tables of their own; these stand in: a document is a
 row of ``documents``, a page a turn of ``conversations``, a quote an item of ``benchmark``,
 page quality ``labels.quality`` (0: untrusted), edges ``nation`` and ``lineitem``,
-JSON ``events.props``, markup ``pages.html``. What the tables lack (CJK, line-end
-hyphens, malformed logs) comes as inline rows.
+JSON ``events.props``, markup ``pages.html``. What the tables lack is put into their rows (``derived``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,21 +16,13 @@ from ..functions import variants as V
 from ..operators import evidence, gates, layout, locate, pages, topology, workflows
 from ..sources import inputs, sinks
 from . import samples
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-
-
-def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
-    return f
-
+from .registry import QUERIES, query  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """More tasks where a table comes as fewer row groups than there are cores: heavy text work follows."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
@@ -52,7 +40,7 @@ def conversation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = locate.with_view(table(spark, sf_dir, "benchmark").select("item_id", "text"), "text", "quote").select("item_id", "quote")
-    docs = locate.with_view(_spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "view")
+    docs = locate.with_view(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "view")
     return locate.containing(quotes, docs)
 
 
@@ -84,7 +72,7 @@ def quality_gated_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sentence_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return pages.page_candidates(docs, keys=("doc_id",)).select("doc_id", F.col("ord").cast("int").alias("ord"), "quote", "id")
 
 
@@ -98,24 +86,6 @@ def source_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("fingerprint"))
 
 
-@query
-def nfkc_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(samples.NFKC, "n int, raw string")
-    return T.normalized_quote(rows, "raw", "normal").select("n", "normal")
-
-
-@query
-def cjk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(samples.CJK, "n int, t string")
-    return rows.select("n", F.posexplode(T.sentences(F.col("t"))).alias("ord", "sentence"))
-
-
-@query
-def dehyphenated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(samples.HYPHENS, "n int, t string")
-    return rows.select("n", T.dehyphenate(F.col("t")).alias("joined"))
-
-
 @query
 def repeated_edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that are the first or last of at least two documents."""
@@ -124,26 +94,6 @@ def repeated_edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.repeated_edge_lines(edge, ["edge"])
 
 
-@query
-def edge_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = spark.createDataFrame(samples.BLOCKS, samples.BLOCK_SCHEMA)
-    return layout.edge_exclusions(blocks).select("doc_id", "page", F.inline("edge_exclusions")).withColumnsRenamed({"start": "span_start", "end": "span_end", "text": "line"})
-
-
-@query
-def mixed_edge_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers and page numbers in any order at either end of the extraction order."""
-    blocks = spark.createDataFrame(samples.MIXED_BLOCKS, samples.BLOCK_SCHEMA)
-    return layout.edge_exclusions(blocks).select("page", F.inline("edge_exclusions")).withColumnsRenamed({"start": "span_start", "end": "span_end", "text": "line"})
-
-
-@query
-def body_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(samples.BOUNDS, "n int, t string, spans array<struct<start:int,end:int>>")
-    start, end, error = layout.source_bounds(F.col("t"), F.col("spans"))
-    return rows.select("n", F.when(error.isNull(), start).alias("body_start"), F.when(error.isNull(), end).alias("body_end"), error.alias("error"))
-
-
 @query
 def adjacent_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.adjacent(conversation_pages(spark, sf_dir)).select("doc_id", "page", "next_page")
@@ -195,13 +145,6 @@ def ocr_unsupplied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unsupplied(ocr_required(spark, sf_dir), new)
 
 
-@query
-def resolved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(samples.MERGES, "n int, required array<int>, resolved array<int>, supplied array<int>")
-    left, done = pages.merge_state(F.col("required"), F.col("resolved"), F.col("supplied"))
-    return rows.select("n", F.array_join(left, ",").alias("required_now"), F.array_join(done, ",").alias("resolved_now"))
-
-
 @query
 def refreshed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates after the merge: kept for untouched pages, made anew for replaced ones."""
@@ -286,12 +229,6 @@ def cache_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.cache_errors(caches, sources).select("path", "error")
 
 
-@query
-def cache_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = (spark.createDataFrame(rows, "path string, pdf_sha256 string, page int, text string") for rows in (samples.CACHE_OLD, samples.CACHE_NEW))
-    return evidence.update_cache(old, new).select("path", "pdf_sha256", "page", "text", "error")
-
-
 @query
 def fulltext_cache_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-text caches of all documents; sources are the labelled ones."""
@@ -311,11 +248,6 @@ def fulltext_cache_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflows.validated_fulltext_cache(docs, metadata, sources).select("path", F.md5("text").alias("text"), "pdf_sha256", "error")
 
 
-@query
-def toc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.toc_rows(spark.createDataFrame(samples.TOCS, "path string, text string"))
-
-
 @query
 def prepared_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole preparation of every conversation; the table of contents names the system's pages and one that no conversation has."""
@@ -345,66 +277,6 @@ def json_file_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.json_files(props).select("event_id", "error")
 
 
-@query
-def stored_program(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rewrite program kept as a table, over all web pages."""
-    steps = spark.createDataFrame(samples.PROGRAM, "program string, ord int, mode string, old string, new string")
-    return workflows.run_program(table(spark, sf_dir, "pages"), steps, "plain", "html").select("page_id", F.md5("result").alias("result"), "error")
-
-
-@query
-def page_cache_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.page_cache(spark.createDataFrame(samples.PAGE_CACHES, "path string, text string"))
-
-
-@query
-def foreign_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, None, "a"), (2, "a", "a"), (3, "b", "a")], "n int, given string, prepared string")
-    return rows.select("n", evidence.digest_error(F.col("given"), F.col("prepared")).alias("error"))
-
-
-@query
-def draft_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(samples.DRAFTS, "n int, draft string").select("n", evidence.schema_errors(F.col("draft"), ("a", "b", "c"), ("a", "b")).alias("error"))
-
-
-@query
-def abstract_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "abstract", "Abstract, last sentence"), (2, "abstract", "Section 5"), (3, "fulltext", "Section 5")], "n int, level string, source string")
-    return rows.select("n", evidence.abstract_errors(F.col("level"), F.col("source")).alias("error"))
-
-
-@query
-def canonical_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    located = spark.createDataFrame(samples.LOCATED, "doc_id int, start_page int, quote string, id string")
-    candidates = spark.createDataFrame(samples.CANDIDATES, "doc_id int, page int, ord int, quote string, id string")
-    return locate.canonical(located, candidates).select("doc_id", "start_page", "quote", "id")
-
-
-@query
-def span_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact raw offsets through NFKC, hyphens and page ends."""
-    quotes = spark.createDataFrame(samples.SPAN_QUOTES, "item_id long, doc_id long, quote string, page long")
-    rows = spark.createDataFrame(samples.SPAN_PAGES, "doc_id long, page long, text string")
-    return locate.within_document(quotes, rows)
-
-
-@query
-def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(samples.LABELS, "n int, source string, a int, b int")
-    return rows.select("n", T.source_label(F.col("source"), F.col("a"), F.col("b")).alias("label"))
-
-
-@query
-def normalized_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.normalized_inputs(spark.createDataFrame(samples.INPUTS, "path string, text string"), samples.INPUT_KIND).select("path", "error", (F.instr("output", "item_key") > 0).alias("leaks"))
-
-
-@query
-def text_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.text_papers(spark.createDataFrame(samples.TEXT_PAPERS, "n int, text string")).select("n", "title", "year", "body")
-
-
 def _bullet(quote: Column, source: Column, bulleted: Column) -> Column:
     """One item in either form of its second and third line."""
     lead = F.when(bulleted, "- ").otherwise("  ")
@@ -427,12 +299,6 @@ def markdown_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.markdown_items(files, ["doc_id"], "markdown", heading="## Next")
 
 
-@query
-def prepared_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = V.parse(F.col("text"))
-    return spark.createDataFrame(samples.PREPARED, "n int, text string").select("n", inputs.has_source_pages(v).alias("literal"), F.size(inputs.items_of(v)).alias("items"))
-
-
 @query
 def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.marked_text(conversation_pages(spark, sf_dir).withColumn("page", F.col("page") + 1), "doc_id")
@@ -494,31 +360,7 @@ def _odd_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = F.when(F.col("event_id") % 12 == 9, "null").otherwise('"1"')
     whole = F.concat(F.lit('{"passed": true, "version": '), version, F.lit(', "output": {"thread_id": "'), name, F.lit('", "app_server_events": ['), events, F.lit("]}}"))
     k = F.col("event_id") % 12
-    return table(spark, sf_dir, "events").select(name.alias("run_id"), F.when(k == 10, F.expr("left(props, length(props) - 1)")).when(k == 11, F.col("props")).otherwise(whole).alias("response"))
-
-
-@query
-def topology_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Healthy and malformed logs, one for each rule."""
-    runs = spark.createDataFrame(samples.LOGS, "run_id string, response string, expected string")
-    found = topology.verdicts(runs.select("run_id", "response"), samples.CONTRACT, samples.CONTRACT_ID)
-    return found.select("run_id", "producer_status")
-
-
-@query
-def topology_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reasons of verdicts, in their order."""
-    runs = spark.createDataFrame([(name, response) for name, response, _ in samples.LOGS], "run_id string, response string")
-    found = topology.verdicts(runs, samples.CONTRACT, samples.CONTRACT_ID)
-    return found.filter(F.col("run_id").isin(*(name for name, _ in samples.REASONS))).select("run_id", F.array_join("reasons", " | ").alias("reasons"))
-
-
-@query
-def contract_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One good log under contracts with a mistake each."""
-    runs = spark.createDataFrame([("x", samples.LOGS[0][1])], "run_id string, response string")
-    each = [topology.verdicts(runs, contract, samples.CONTRACT_ID).select(F.lit(name).alias("contract"), "producer_status", "exit_code") for name, contract, _ in samples.CONTRACTS]
-    return reduce(DataFrame.unionByName, each)
+    return spread(table(spark, sf_dir, "events")).select(name.alias("run_id"), F.when(k == 10, F.expr("left(props, length(props) - 1)")).when(k == 11, F.col("props")).otherwise(whole).alias("response"))
 
 
 @query
@@ -527,12 +369,6 @@ def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.try_variant_get(v, "$", "long").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query
-def json_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(samples.JSON_KINDS, "n int, t string")
-    return rows.select("n", V.kind(V.lookup(V.parse(F.col("t")), "a.b")).alias("kind"))
-
-
 @query
 def marker_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     missing, unwanted, passed = gates.marker_gate(F.col("html"), ["<title>", "</html>", "<nav>", "href="], ["%%%", "track(1)"])
@@ -550,7 +386,7 @@ def short_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of the benchmark below ten words, and the documents that hold it."""
     listed = pages.page_candidates(table(spark, sf_dir, "benchmark").select("item_id", "text"), keys=("item_id",))
     quotes = locate.with_view(listed.filter(F.size(F.split("quote", "\\s+")) < 10), "quote", "short").select("short").distinct()
-    docs = locate.with_view(_spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "view")
+    docs = locate.with_view(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "view")
     return locate.containing(quotes, docs, quote="short").groupBy("short").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
@@ -559,7 +395,7 @@ def word_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thousands of markers in one scan: all words of at least eight letters in the conversations, and how many documents hold each."""
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), 0)
     markers = conversation_pages(spark, sf_dir).select(F.explode(words).alias("marker")).distinct()
-    docs = _spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return locate.holding(docs, markers, "text", "marker").groupBy("marker").agg(F.count(F.lit(1)).alias("documents"))
 
 
@@ -602,45 +438,12 @@ def html_title_and_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.substring(T.slice_between(F.col("html"), "<title>", "</title>"), 8, 1 << 20).alias("title"), F.md5(T.strip_left(bare)).alias("body"))
 
 
-@query
-def frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(samples.FRONTMATTER, "n int, t string")
-    head, body, error = T.split_frontmatter(F.col("t"))
-    value, problem = T.frontmatter_scalar(head, "version")
-    return rows.select("n", value.alias("version"), F.coalesce(error, problem).alias("error"), (T.join_frontmatter(head, body) == F.col("t")).alias("joined"))
-
-
-@query
-def install_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.impure_paths(spark.createDataFrame([(p,) for p in samples.PATHS], "path string"), ["conftest.py"])
-
-
-@query
-def revalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases, changes, dependencies = samples.REVALIDATION
-    return gates.revalidation(spark.createDataFrame(cases, "case_id int, passed boolean"), spark.createDataFrame(changes, "path string"), spark.createDataFrame(dependencies, "case_id int, path string, kind string"))
-
-
-@query
-def outer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, None, None), (2, False, "PASS"), (3, True, "PASS"), (4, True, "BLOCKED")], "n int, started boolean, verdict string")
-    return rows.select("n", gates.outer_status(F.col("started"), F.col("verdict")).alias("status"))
-
-
 @query
 def artifact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("/out/"), F.col("doc_id").cast("string"), F.lit(".md"))
     return table(spark, sf_dir, "documents").select("doc_id", sinks.sidecar_path(path).alias("sidecar"), sinks.sidecar_path(path, "facts").alias("facts"), sinks.cache_metadata_path(path).alias("metadata"), gates.absolute_error(F.col("source")).alias("error"))
 
 
-@query
-def span_places_over_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact raw offsets over page ends with furniture."""
-    quotes = spark.createDataFrame(samples.EDGE_QUOTES, "item_id long, doc_id long, quote string, page long")
-    rows = spark.createDataFrame(samples.EDGE_PAGES, "doc_id long, page long, text string")
-    return locate.within_document(quotes, rows, spark.createDataFrame(samples.EDGE_SPANS, samples.EDGE_SPAN_SCHEMA))
-
-
 @query
 def finalized_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown with a new section for conversations whose items are all good."""
@@ -652,13 +455,6 @@ def finalized_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflows.finalize(analyses, items, "## Next", "## Notes").select("analysis", F.md5("markdown").alias("markdown"), "items", "error")
 
 
-@query
-def proved_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quotes = spark.createDataFrame(samples.SPAN_QUOTES, "item_id long, doc_id long, quote string, page long").withColumn("source", F.lit("Section 5（p.9）"))
-    rows = spark.createDataFrame(samples.SPAN_PAGES, "doc_id long, page long, text string")
-    return workflows.prove_items(quotes, rows).select("item_id", "page", "end_page", "source", "error")
-
-
 @query
 def upgraded_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five words of each page as items in its conversation's Markdown; in one conversation of three those of the first page have a word more that is not there."""
@@ -694,3 +490,6 @@ def validated_caches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidates_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = pages.page_candidates(conversation_pages(spark, sf_dir).drop("role"))
     return workflows.candidates_markdown(made).select("doc_id", F.md5("markdown").alias("markdown"))
+
+
+from . import derived  # noqa: E402, F401

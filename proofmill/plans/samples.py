@@ -35,7 +35,8 @@ CACHE_OLD = [("p", "old", 1, "stale"), ("q", "same", 1, "one"), ("q", "same", 2,
 CACHE_NEW = [("p", "new", 2, "fresh"), ("q", "same", 2, "two again"), ("s", "a", 1, "of a"), ("s", "b", 2, "of b")]
 TOCS = [("a", '[[1,"Opening",1],[2,"Details",2]]'), ("b", '[[1,"No page"],[1,"Numbered",7],["x","Level",3]]'), ("c", '{"toc":[]}'), ("d", "[]"), ("e", "no json")]
 PROGRAM = [
-    ("plain", 1, "once", "<title>", "<h1>"), ("plain", 2, "all", "href=", "src="), ("plain", 3, "keep", "<nav>", None), ("plain", 4, "drop", "track(1)", None), ("other", 1, "all", "a", "b"),
+    ("plain", 10, "once", "<title>", "<h1>"), ("plain", 20, "all", "href=", "src="), ("plain", 30, "keep", "<nav>", None), ("plain", 40, "drop", "track(1)", None),
+    ("gate", 1, "keep", "<table>", None), ("gate", 2, "all", "<b>", ""), ("other", 1, "all", "a", "b"),
 ]
 PAGE_CACHES = [("a", '{"schema":1,"pdf_sha256":"x","pages":{"1":"one","12":"twelve"}}'), ("b", '{"schema":2,"pdf_sha256":"x","pages":{"1":"one"}}'), ("c", "no json")]
 DRAFTS = [(1, '{"a":1,"b":2}'), (2, '{"a":1,"b":2,"future_work_ids":[]}'), (3, '{"a":1}'), (4, "[1]"), (5, '{"c":0,"b":2,"a":1}')]

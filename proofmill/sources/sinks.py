@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import uuid
+
+from py4j.java_gateway import JavaObject
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,15 +39,61 @@ def write_json_lines(df: DataFrame, path: str, column: str = "json") -> None:
     df.select(column).write.mode("overwrite").text(path)
 
 
-def write_in_order(steps: list[tuple[str, DataFrame]], root: str) -> list[str]:
-    """Check every step, then write them one after another (analysis, sidecar, facts); what is written is returned.
+def write_in_order(steps: list[tuple[str, DataFrame]], root: str, batch: str | None = None) -> list[str]:
+    """Check every step, write them one after another (analysis, sidecar, facts) and publish them together; what is published is returned.
 
-    Each table is written whole or not at all; there is no transaction over all of them.
+    Tables go to a folder of the batch under ``root``, then a manifest with their paths and row counts is
+    put in place by a rename, the last step. Readers (``published``) see published batches alone, so one that
+    fails on the way leaves the state before it. A batch that is published already is not written again.
     """
+    spark = steps[0][1].sparkSession
+    batch = batch or uuid.uuid4().hex
+    files, at = _folder(spark, f"{root}/manifests")
     clean = [(name, require_clean(df) if "error" in df.columns else df) for name, df in steps]
+    known = _manifests(spark, root)
+    if done := next((m for m in known if m["batch"] == batch), None):
+        return [t["name"] for t in done["tables"]]
+    tables = []
     for name, df in clean:
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
-    return [name for name, _ in clean]
+        path = f"{root}/data/{batch}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        tables.append({"name": name, "path": path, "rows": spark.read.schema(df.schema).parquet(path).count()})
+    files.mkdirs(at)
+    number = max((m["number"] for m in known), default=0) + 1
+    draft, final = (spark._jvm.org.apache.hadoop.fs.Path(at, name) for name in (f"_draft-{batch}", f"{number:012d}.json"))
+    out = files.create(draft, True)
+    out.write(bytearray(json.dumps({"number": number, "batch": batch, "tables": tables}, ensure_ascii=False).encode()))
+    out.close()
+    # a rename does not replace a manifest that another writer has put there meanwhile
+    if files.exists(final) or not files.rename(draft, final):
+        raise Rejected(f"manifest {number} is there already: another batch was published meanwhile")
+    return [t["name"] for t in tables]
+
+
+def published(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The table ``name`` of the last published batch that has it; Rejected if there is none, or rows of it are gone."""
+    for manifest in reversed(_manifests(spark, root)):
+        for t in manifest["tables"]:
+            if t["name"] == name:
+                found = spark.read.parquet(t["path"])
+                if found.count() != t["rows"]:
+                    raise Rejected(f"{name}: {t['rows']} rows were published")
+                return found
+    raise Rejected(f"{name} is not published")
+
+
+def _folder(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _manifests(spark: SparkSession, root: str) -> list[dict]:
+    """All manifests in their order; each is one small file."""
+    files, at = _folder(spark, f"{root}/manifests")
+    if not files.exists(at):
+        return []
+    names = [s.getPath().toString() for s in files.listStatus(at) if s.getPath().getName().endswith(".json")]
+    return sorted((json.loads(r[0]) for r in spark.read.text(names, wholetext=True).collect()), key=lambda m: m["number"]) if names else []
 
 
 def verdict_json(verdict: DataFrame) -> DataFrame:

@@ -227,16 +227,6 @@ def test_preparation_of_odd_pages(spark):
     assert prepare(spark.createDataFrame([], "doc_id long, page long, text string")).collect() == []
 
 
-def test_unknown_programs(spark):
-    from proofmill.operators.workflows import run_program
-
-    steps = spark.createDataFrame([("p", 1, "cut", "a", "b")], "program string, ord int, mode string, old string, new string")
-    files = spark.createDataFrame([("a",)], "text string")
-    for name in ("p", "q"):
-        with pytest.raises(ValueError):
-            run_program(files, steps, name)
-
-
 def test_items_of_a_section_in_both_forms(spark):
     """Second and third lines as bullets or indented, the named section alone, line ends of either kind."""
     indented = "# 题\n\n## 局限\n- 原文：not this\n  译：x\n  出处：y\n\n## 未来（F）\n- 原文：We plan more.\n  译：计划。\n  出处：Method\n\n## 评估\n- 原文：nor this\n  译：x\n  出处：y\n"
