@@ -2,7 +2,7 @@
 
 Quotes and pages meet in the comparison view (NFKC, white space collapsed, line-end
 hyphens joined). Candidates come from an equi-join: by document where the
-quote names one, else by an eight-word anchor, and a literal containment decides.
+quote names one, else from one scan for all quotes or by a quote's rarest anchor, and a literal containment decides.
 """
 
 from __future__ import annotations
@@ -20,12 +20,14 @@ from ..functions.automaton import Automaton
 from ..functions.text import comparison_view, view_with_offsets, with_nfkc
 from .layout import source_bounds
 
-#: Words of an anchor. Anchors begin at a quote's second word, so a quote needs two more words to have whole ones.
+#: Words of an anchor. The first and the last word of a quote may be cut, so a quote needs two more words to have whole ones.
 ANCHOR = 8
 #: Quotes that are broadcast at most.
 BROADCAST_QUOTES = 100_000
 #: Bytes of the patterns that one pass over the texts looks for: they bound the automaton of a task (some 400 bytes for each of its states).
 PATTERN_BYTES = 1 << 18
+#: Quotes of so many bytes together are all looked for by scans; more are joined by anchors.
+SCANNED_BYTES = 4 * PATTERN_BYTES
 
 
 def with_view(df: DataFrame, source: str = "text", target: str = "view") -> DataFrame:
@@ -43,28 +45,46 @@ def _small(df: DataFrame) -> bool:
 def containing(quotes: DataFrame, sources: DataFrame, quote: str = "quote", text: str = "view") -> DataFrame:
     """All (quote row, source row) with the quote literally inside the source's view; columns of both sides.
 
-    Quotes of ANCHOR + 2 words or more join on their words 2 to ANCHOR + 1, which stand as whole
-    words in any source that holds the quote: no pair is lost, and a source is
-    scanned once. All shorter quotes are found by one more scan (``holding``). Quotes are
-    broadcast up to BROADCAST_QUOTES rows; beyond, the joins shuffle on the anchor and on the quote.
+    Quotes of at most SCANNED_BYTES together, and all those of fewer than ANCHOR + 2 words, are found by one scan of the texts
+    (``holding``). More of them meet their sources by the rarest of their anchors (``_anchored``). Quotes are broadcast
+    up to BROADCAST_QUOTES rows; beyond, they are joined by a shuffle.
     """
-    long_ = F.size(_words(F.col(quote))) >= ANCHOR + 2
-    anchored = quotes.filter(long_).withColumn("_anchor", F.xxhash64(F.transform(F.slice(_words(F.col(quote)), 2, ANCHOR), lambda w: F.xxhash64(w))))
-    short = quotes.filter(~long_)
-    few = _small(quotes)
-    # the array that the lambda looks into is a column of its own, or it would be built anew for each element
-    hashed = sources.withColumn("_h", F.transform(_words(F.col(text)), lambda w: F.xxhash64(w)))
-    n = F.size("_h") - ANCHOR + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice("_h", i, ANCHOR)))
-    # distinct anchors of one source: a repeated phrase must not repeat the pair
-    keys = hashed.withColumn("_anchor", F.explode(F.array_distinct(F.when(n > 0, grams)))).drop("_h")
-    side = F.broadcast(anchored) if few else anchored
-    found = keys.join(side, "_anchor").filter(F.contains(F.col(text), F.col(quote))).drop("_anchor")
-    if short.isEmpty():
+    total = quotes.agg(F.coalesce(F.sum(F.octet_length(quote)), F.lit(0))).first()[0]
+    side = F.broadcast(quotes) if _small(quotes) else quotes
+    scanned = quotes if total <= SCANNED_BYTES else quotes.filter(F.size(_words(F.col(quote))) < ANCHOR + 2)
+    found = holding(sources, scanned.select(quote), text, "_quote").join(side, F.col("_quote") == F.col(quote)).drop("_quote")
+    if total <= SCANNED_BYTES:
         return found
-    scanned = holding(sources, short.select(F.col(quote)), text, "_quote")
-    side = F.broadcast(short) if _small(short) else short
-    return found.unionByName(scanned.join(side, F.col("_quote") == F.col(quote)).drop("_quote"))
+    return found.unionByName(_anchored(quotes.filter(F.size(_words(F.col(quote))) >= ANCHOR + 2), sources, quote, text))
+
+
+def _grams(words: Column) -> Column:
+    """Hashes of all runs of ANCHOR words in a column with hashes of words."""
+    n = F.size(words) - ANCHOR + 1
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, ANCHOR)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _anchored(quotes: DataFrame, sources: DataFrame, quote: str, text: str) -> DataFrame:
+    """Pairs of quotes of ANCHOR + 2 words or more and the sources that hold them, by the rarest anchor of each quote.
+
+    The words of a quote but for the first and the last stand as whole words in any source that holds it, so each
+    run of ANCHOR of them is an anchor that no such source lacks. In how many sources each anchor stands is counted first; the
+    rarest one alone joins, so a phrase that many quotes and sources share brings none of them
+    together. Rows carry digests and anchors; texts are looked at for candidate pairs alone.
+    """
+    hashed = lambda df, c: df.withColumn("_h", F.transform(_words(F.col(c)), lambda w: F.xxhash64(w)))
+    digest = lambda c: F.unhex(F.md5(F.col(c).cast("binary")))
+    own = hashed(quotes.select(F.col(quote).alias("_q")).distinct(), "_q").withColumn("_h", F.slice("_h", F.lit(2), F.size("_h") - 2))
+    anchors = own.select(digest("_q").alias("_key"), F.explode(F.array_distinct(_grams(F.col("_h")))).alias("_anchor"))
+    standing = hashed(sources.select(text), text).select(digest(text).alias("_text"), F.explode(F.array_distinct(_grams(F.col("_h")))).alias("_anchor"))
+    light = lambda df: F.broadcast(df) if _small(df) else df
+    counts = standing.join(light(anchors.select("_anchor").distinct()), "_anchor", "left_semi").groupBy("_anchor").agg(F.count(F.lit(1)).alias("_n"))
+    # an anchor that stands nowhere rules its quote out
+    rarest = anchors.join(counts, "_anchor", "left").groupBy("_key").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_anchor"))).alias("_a")).filter("_a.n > 0").select("_key", F.col("_a._anchor").alias("_anchor"))
+    candidates = standing.join(light(rarest), "_anchor").select("_text", "_key").distinct()
+    named = quotes.withColumn("_key", digest(quote))
+    held = sources.withColumn("_text", digest(text)).join(light(candidates), "_text")
+    return held.join(F.broadcast(named) if _small(quotes) else named, "_key").filter(F.contains(F.col(text), F.col(quote))).drop("_text", "_key")
 
 
 def holding(sources: DataFrame, patterns: DataFrame, text: str, pattern: str) -> DataFrame:

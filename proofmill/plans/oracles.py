@@ -151,7 +151,7 @@ ORACLES: dict[str, str] = {
     "short_quotes": f"with b as ({listed('benchmark', 'item_id')}), q as (select distinct {NORMAL} as short from b where len(regexp_split_to_array(quote, '\\s+')) < 10), d as (select doc_id, {VIEW.format('text')} as view from documents) select short, count(*) as documents, min(doc_id) as first_doc from q join d on contains(view, short) group by short",
     "word_markers": "with m as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]{8,}')) as marker from conversations) select marker, count(*) as documents from m join documents on contains(text, marker) group by marker",
     "ordered_markers": "select page_id, instr(html, '<nav>') > 0 and instr(html, '</nav>') > instr(html, '<nav>') as nav, instr(html, '</body>') > 0 and instr(html, '<body>') > instr(html, '</body>') as reversed from pages",
-    "mutation_gate": "select doc_id, marker, length(mutant)::int as left, not contains(mutant, marker) as caught from (select doc_id, marker, array_to_string(list_filter(string_split(text, chr(10)), lambda x: not contains(x, marker)), chr(10)) as mutant from documents, (values ('License'), ('under the')) m(marker) where contains(text, 'License'))".replace("as left", 'as "left"'),
+    "mutation_gate": "select doc_id, marker, length(mutant)::int as left, not contains(mutant, marker) as caught from (select doc_id, marker, array_to_string(list_filter(string_split(text, chr(10)), lambda x: not contains(x, marker)), chr(10)) as mutant from documents, (values ('License'), ('under the')) m(marker))".replace("as left", 'as "left"'),
     "replace_once": f"select page_id, md5({once('html', '<body>', '<main>')[0]}) as done, {once('html', '<body>', '<main>')[1]} as error, md5({once('html', '<li>', '<dd>')[0]}) as done_li, {once('html', '<li>', '<dd>')[1]} as error_li from pages",
     "rewrite_program": f"""with a as (select page_id, coalesce({_TITLE[0]}, html) as s1, {_TITLE[1]} as e1 from pages), b as (select page_id, coalesce({_STEP2[0]}, s1) as s2, e1, {_STEP2[1]} as e2 from a),
       c as (select page_id, replace(s2, '<a href=', '<A HREF=') as s3, e1, e2 from b), d as (select page_id, {_STEP4[0]} as s4, coalesce('step 1: ' || e1, 'step 2: ' || e2, 'step 4: ' || {_STEP4[1]}) as error from c)

@@ -406,8 +406,7 @@ def ordered_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mutation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(F.contains("text", F.lit("License")))
-    return gates.mutants(docs, ["License", "under the"], "doc_id").select("doc_id", "marker", F.length("mutant").alias("left"), "caught")
+    return gates.mutants(table(spark, sf_dir, "documents"), ["License", "under the"], "doc_id").select("doc_id", "marker", F.length("mutant").alias("left"), "caught")
 
 
 @query

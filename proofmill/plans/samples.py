@@ -52,17 +52,18 @@ SPAN_QUOTES = [
 ]
 #: By hand: item, doc, start page and offset, end page and offset (code points of the raw pages).
 SPAN_PLACES = [(1, 1, 1, 16, 1, 44), (2, 1, 2, 0, 2, 11), (3, 1, 3, 17, 3, 28), (4, 1, 2, 29, 3, 12), (5, 2, 1, 7, 2, 9)]
-#: Pages with furniture between the halves of a quote: a page number and a running header; on page 4 an exclusion inside the body.
+#: Four pages of a bilingual catalogue: a shelf mark of two lines on top, a folio in letters at the foot; on page 10 a mark inside the body.
 EDGE_PAGES = [
-    (1, 2, "We are planning to demon-\n2\n"), (1, 3, "running header\nstrate modular designs\nover many\n3\n"), (1, 4, "running header\ndocuments. A\nrunning header\nlast line"), (1, 5, "of text."),
+    (1, 7, "Shelf K\nRow 4\nDas Regal endet hier, und\nfolio vii"), (1, 8, "Shelf K\nRow 4\n次の棚は empty today; see the man-\nfolio viii"), (1, 9, "Shelf K\nRow 4\nual of 1911."), (1, 10, "Shelf K\nRow 4\nMore here.\nRow 4\nNo end."),
 ]
-EDGE_SPANS = [(1, 2, [(26, 28, "2", "bottom")]), (1, 3, [(0, 15, "running header", "top"), (48, 50, "3", "bottom")]), (1, 4, [(0, 15, "running header", "top"), (28, 43, "running header", "top")])]
+_HEAD = [(0, 8, "Shelf K", "top"), (8, 14, "Row 4", "top")]
+EDGE_SPANS = [(1, 7, [*_HEAD, (39, 49, "folio vii", "bottom")]), (1, 8, [*_HEAD, (44, 55, "folio viii", "bottom")]), (1, 9, _HEAD), (1, 10, [*_HEAD, (25, 30, "Row 4", "top")])]
 EDGE_SPAN_SCHEMA = "doc_id long, page long, edge_exclusions array<struct<start:int,end:int,text:string,edge:string>>"
 EDGE_QUOTES = [
-    (1, 1, "planning to demonstrate modular designs", None), (2, 1, "over many documents.", None), (3, 1, "last line of text.", None), (4, 1, "running header strate", None), (5, 1, "demon- 2", None),
+    (1, 1, "endet hier, und 次の棚は empty", None), (2, 1, "the manual of 1911.", None), (3, 1, "of 1911. More here.", None), (4, 1, "Row 4 次の棚は", None), (5, 1, "und folio vii", None),
 ]
-#: By hand: a page with an exclusion inside its body is joined to none; inside a page nothing is left out.
-EDGE_PLACES = [(1, 1, 2, 7, 3, 37), (4, 1, 3, 0, 3, 21), (5, 1, 2, 19, 2, 27)]
+#: By hand: page 10 has a mark inside its body, so it is joined to none; inside a page nothing is left out.
+EDGE_PLACES = [(1, 1, 7, 24, 8, 24), (2, 1, 8, 36, 9, 26), (4, 1, 8, 8, 8, 18), (5, 1, 7, 36, 7, 49)]
 LABELS = [(1, "Section 5（p.3）", 3, 3), (2, "Section 5 (p. 3)", 2, 3), (3, "Section 5", 1, 1), (4, "p.3 of the notes", 4, 4)]
 INPUT_KIND = "abstract-record"
 _GOOD = {"schema": 1, "kind": INPUT_KIND, "level": "abstract", "source": "s", "item_key": "k", "metadata": {"title": "t", "authors": ["a"], "year": 2020, "venue": "v", "doi": "d"}, "abstract": "We show."}
