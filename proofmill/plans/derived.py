@@ -13,8 +13,9 @@ from ..functions import text as T
 from ..functions import variants as V
 from ..operators import evidence, gates, layout, locate, pages, topology, workflows
 from ..sources import inputs, sinks
+from ..streaming import replacements
 from . import samples
-from .queries import conversation_pages, ocr_required, spread, table
+from .queries import conversation_pages, ocr_required, page_selection, spread, table
 from .registry import query
 
 ASCII = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -354,11 +355,45 @@ def stored_program(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflows.run_programs(files, steps, "program", "html").select("page_id", F.md5("result").alias("result"), "error")
 
 
+def _shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that the cluster shares."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def streamed_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text for all pages that are not the user's, of which the selected ones are required, in several files and two versions, the later one first for every other conversation: what holds once all have come."""
+    root, store = _shared_folder(spark, "replacements"), "spark.sql.streaming.stateStore.providerClass"
+    pages_ = conversation_pages(spark, sf_dir).filter("role <> 'user'").select("doc_id", "page", "text")
+    versions = [pages_.select("doc_id", "page", F.lit(v).alias("version"), F.concat(F.lit(f"v{v} "), "text").alias("text")) for v in (1, 2)]
+    swapped = [a.filter("doc_id % 2 = 0").unionByName(b.filter("doc_id % 2 = 1")) for a, b in (versions, versions[::-1])]
+    for files in swapped:
+        files.repartition(2, "doc_id").write.mode("append").parquet(f"{root}/in")
+    before = spark.conf.get(store)
+    spark.conf.set(store, replacements.STORE)
+    try:
+        arriving = spark.readStream.schema(versions[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        merged = replacements.merged_stream(arriving, page_selection(spark, sf_dir))
+        running = merged.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
+        running.awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return replacements.settled(spark.read.schema(replacements.OUTPUT).parquet(f"{root}/out")).select("doc_id", "page", F.md5("text").alias("text"))
+
+
+@query
+def marked_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations written as page-marked text, a file for each, and read back page by page."""
+    root = _shared_folder(spark, "marked")
+    inputs.marked_text(conversation_pages(spark, sf_dir), "doc_id").write.partitionBy("doc_id").text(root)
+    return inputs.read_marked(spark, root).select(F.col("doc_id").cast("long").alias("doc_id"), "page", F.md5("text").alias("text"))
+
+
 @query
 def published_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels and documents published together, then once more under the same batch, then the labels in a second batch: what a reader sees."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    root = f"{where.rstrip('/')}/published-{uuid.uuid4().hex}"
+    root = _shared_folder(spark, "published")
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
     for _ in range(2):
         sinks.write_in_order([("documents", docs.select("doc_id", F.md5("text").alias("digest"))), ("labels", labels)], root, batch="first")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import samples
-from .oracles import CAND, NORMAL, PAGES, REQUIRED, VIEW, literal, sentences
+from .oracles import CAND, NORMAL, PAGES, REQUIRED, SELECTION, VIEW, literal, sentences
 
 _LOGS = literal([s for _, _, s in samples.LOGS])
 _BLOCKS = """b as (select regexp_extract(url, '//([^/]*)', 1) as doc_id, page_id as page, regexp_extract(html, 'lang="([a-z]*)"', 1) as lang, substr(regexp_extract(html, '<h1>([^<]*)</h1>', 1), 1, 200) as body, page_id::varchar as number from pages),
@@ -81,5 +81,7 @@ DERIVED: dict[str, str] = {
       e as (select *, case k when 0 then case when n <> 1 then 'step 1: expected once, found ' || n when not contains(two, 'href=') and not contains(two, '<nav>') then 'step 3: missing' when contains(two, 'track(1)') then 'step 4: left over' end
         when 1 then case when not contains(html, '<table>') then 'step 1: missing' end else 'no program none' end as error from s)
       select page_id, case when error is null then md5(case k when 0 then two else replace(html, '<b>', '') end) end as result, error from e""",
+    "marked_round_trip": "select conv_id as doc_id, turn::int as page, md5(text) as text from conversations",
+    "streamed_replacements": f"with {SELECTION} select doc_id, page, md5('v2 ' || text) as text from sel join p using (doc_id, page) where role <> 'user'",
     "published_batches": "select doc_id, md5(text) as digest, quality, toxic from documents left join (select * from labels where quality = 1) using (doc_id)",
 }

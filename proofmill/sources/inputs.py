@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import variants as V
-from ..functions.text import fingerprint, page_marker, section
+from ..functions.text import PAGE_MARKER, fingerprint, page_marker, section
 
 
 def read_whole(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -141,6 +141,20 @@ def marked_text(pages: DataFrame, key: str = "path") -> DataFrame:
     return pages.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]), "\n").alias("text"))
 
 
+def read_marked(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, page, text, and the folders' partition columns) of files that have a marker before each page, as ``marked_text`` and a text writer leave them.
+
+    The marker's opening is the record separator, so a large file is split by bytes at page starts, and no task reads it
+    whole. Each page ends with one line feed that is not its own. What stands before the first marker is no page.
+    """
+    opening, closing = PAGE_MARKER.split("%d")
+    files = spark.read.option("lineSep", opening).text(paths)
+    head = rf"^([0-9]+)\Q{closing}\E\r?\n"
+    others = [c for c in files.columns if c != "value"]
+    found = files.select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("value", head, 1).alias("_n"), F.regexp_replace("value", head, "").alias("_t"), *others).filter("_n <> ''")
+    return found.select("path", F.col("_n").cast("int").alias("page"), F.regexp_replace("_t", r"\r?\n\z", "").alias("text"), *others)
+
+
 #: Our choices: the least share of letters and white space in a page's characters that makes it evidence.
 LEAST_LETTERS = 0.5
 

@@ -204,3 +204,40 @@ def test_a_batch_is_published_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     assert len(sinks._manifests(spark, root)) == 2
     sinks.write_in_order(tables(3)[:1], root)
     assert [sinks.published(spark, root, name).first()[0] for name in ("analysis", "facts")] == [3, 2]
+
+
+def test_marked_text_is_read_back(spark, tmp_path):
+    """Blank, many-lined and empty pages, text before the first marker, several files, a file cut by bytes."""
+    data = [("a", 1, "one\ntwo"), ("a", 2, ""), ("a", 3, "\n\nthree\n"), ("b", 7, "x -->" * 40)]
+    inputs.marked_text(made(spark, data, "key string, page int, text string"), "key").write.partitionBy("key").text(str(tmp_path / "files"))
+    (tmp_path / "files" / "key=c").mkdir()
+    (tmp_path / "files" / "key=c" / "raw.txt").write_text("cover\n<!-- PDF_PAGE: 4 -->\nlast page\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (before, "16"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            assert rows(inputs.read_marked(spark, str(tmp_path / "files")).select("key", "page", "text")) == sorted([*data, ("c", 4, "last page")], key=repr)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_replacements_settle_whatever_comes_first(spark, tmp_path):
+    from proofmill.streaming import replacements
+
+    store = "spark.sql.streaming.stateStore.providerClass"
+    required = made(spark, [(1, 1), (1, 2), (2, 5), (2, 5)], "doc_id long, page long")
+    texts = [(1, 1, 1, "old"), (1, 1, 2, "new"), (1, 9, 1, "not required"), (2, 5, 1, "b"), (2, 5, 1, "a"), (1, 2, 1, None), (3, 1, 1, "no such document")]
+    before = spark.conf.get(store)
+    spark.conf.set(store, replacements.STORE)
+    try:
+        for order in (texts, texts[::-1]):
+            at = tmp_path / str(order is texts)
+            (at / "in").mkdir(parents=True)
+            for k, row in enumerate(order):
+                made(spark, [row], "doc_id long, page long, version long, text string").coalesce(1).write.mode("append").parquet(str(at / "in" / f"{k:03d}"))
+            stream = spark.readStream.schema("doc_id long, page long, version long, text string").option("maxFilesPerTrigger", 3).option("recursiveFileLookup", "true").parquet(str(at / "in"))
+            running = replacements.merged_stream(stream, required).writeStream.format("parquet").option("path", str(at / "out")).option("checkpointLocation", str(at / "state")).trigger(availableNow=True).start()
+            running.awaitTermination(120)
+            assert rows(replacements.settled(spark.read.parquet(str(at / "out")))) == [(1, 1, "new"), (2, 5, "a")]
+    finally:
+        spark.conf.set(store, before)
