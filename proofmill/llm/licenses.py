@@ -207,7 +207,10 @@ def template_terms() -> list[str]:
 
 
 def learn(docs: DataFrame) -> Templates:
-    """Templates weighed by the document frequencies of their terms over all of ``docs``; one row a batch leaves the executors."""
+    """Templates weighed by the document frequencies of their terms over all of ``docs``; one row a batch leaves the executors.
+
+    Null and empty texts count as documents without terms, rows that repeat count again; an empty table gives all terms one weight; columns other than text are ignored.
+    """
     known = template_terms()
 
     keys = hashes_of(known, separators=NOT_ALNUM)

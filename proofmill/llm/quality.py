@@ -123,7 +123,11 @@ class OrdinalModel:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rating: Column | None = None, levels: int = 3, per_grade: int = SAMPLE) -> OrdinalModel:
-    """Fit on about ``per_grade`` documents of each grade; the driver holds their hashed features."""
+    """Fit on about ``per_grade`` documents of each grade; the driver holds their hashed features.
+
+    Labels with a null grade or doc_id, and null texts, teach nothing; of several labels of a document the highest grade holds, and rows
+    that repeat a doc_id are all taught with it, whatever their texts; an empty text is one without tokens. Without rows all weights are 0. Columns other than doc_id and text are ignored.
+    """
     sample = labelled_sample(docs, labels, grade() if rating is None else rating, per_grade)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +151,8 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, select: int = SELECT,
     """doc_id, expected_grade, tail_probability (of a grade of at least ``select``) and selected, row by row.
 
     A null or empty text has one feature, that of no tokens, whose weight is 0 unless
-    training saw such texts; repeated rows give repeated results; null doc_ids pass through.
+    training saw such texts; repeated rows give repeated results; null doc_ids pass through; a probability that ties with
+    ``at_least`` is kept; an empty table gives no rows; columns other than doc_id and text are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

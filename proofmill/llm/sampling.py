@@ -18,7 +18,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, grade: Column, per_grade
 
     ``grade`` is an integer column over ``labels`` with few values. Labels with
     a null grade or doc_id teach nothing; of several labels of a document the
-    highest grade holds. The drawn ids number about per_grade for each grade, so they are
+    highest grade holds; rows of ``docs`` that repeat a doc_id all get it, with whatever text they have. The drawn ids number about per_grade for each grade, so they are
     broadcast and the texts stay where they are.
     """
     graded = labels.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), grade.cast("int").alias("grade")).filter("grade is not null").groupBy("_id").agg(F.max("grade").alias("grade"))

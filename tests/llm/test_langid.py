@@ -98,3 +98,37 @@ def test_a_large_alphabet_keeps_all_ngrams(spark):
     m = learn(spark.createDataFrame([(1, text, "zh", None, None)], SCHEMA))
     grams = counts_of(text)
     assert len(grams) > 1_000_000 and len(m.grams[ORDER - 1][0]) == len(grams)
+
+
+def test_decisions_by_hand(spark):
+    """Prediction, score, temperature and rejection from plain log-probabilities of every n-gram."""
+    languages = sorted(TEXTS)
+    counts = {x: counts_of(TEXTS[x]) for x in languages}
+    models = CharModels.fit(counts, languages)
+
+    def entropies(text):
+        grams = counts_of(text)
+        return [-sum(n * brute_log_prob(counts, languages, x, g) for g, n in grams.items()) / sum(grams.values()) for x in languages]
+
+    held = [("en", "the dog and the cat"), ("en", "a rat on the mat"), ("de", "die katze und der hund"), ("fr", "le chat et la table"), ("fr", "avec des chats")]
+    models.calibrate([(x, entropies(t)) for x, t in held])
+    losses = []
+    for t in np.geomspace(0.5, 64, 60):
+        loss = 0.0
+        for x, text in held:
+            e = entropies(text)
+            loss += t * (e[languages.index(x)] - min(e)) + math.log(sum(math.exp(-t * (v - min(e))) for v in e))
+        losses.append((loss / len(held), t))
+    assert math.isclose(models.temperature, min(losses)[1])
+    limits = {x: 1.25 * float(np.quantile([entropies(t)[languages.index(x)] for y, t in held if y == x], 0.999)) for x in languages}
+    texts = ["the cat", "der hund", "été où", "xq zw vv kk", "dog und chat", "12"]
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA)
+    for r in predict(docs, models).collect():
+        if texts[r.doc_id] == "12":
+            assert (r.lang_pred, r.score, r.accepted) == ("und", 0.0, False)
+            continue
+        e = entropies(texts[r.doc_id])
+        best = min(e)
+        assert r.lang_pred == languages[e.index(best)] and math.isclose(r.cross_entropy, best, abs_tol=1e-9)
+        assert math.isclose(r.score, 1 / sum(math.exp(-models.temperature * (v - best)) for v in e), abs_tol=1e-9)
+        assert r.accepted == (best <= limits[r.lang_pred] + 1e-12)
