@@ -75,6 +75,26 @@ def stand_in_path(docs: DataFrame) -> Column:
     )
 
 
+def licence_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6 over trees with whole licence files: hosts are trees, languages folders, web pages files; each host has a LICENSE, one folder in three a COPYING of its own.
+
+    Which licence it is depends on the host's name and the folder's. Its text stands behind a copyright line.
+    """
+    from pyspark.sql import functions as F
+
+    from .licenses import FILES, WHOLE, scan
+
+    texts = spark.createDataFrame([(k, dict(FILES[-len(WHOLE):])[name]) for k, name in enumerate(WHOLE)], "k int, licence_text string")
+    place = F.regexp_extract("url", "//([^/]*)", 1).alias("host"), F.regexp_extract("url", "//[^/]*/([a-z]*)", 1).alias("folder")
+    files = read(spark, sf_dir, "pages").select(*place, F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    index = lambda c: F.pmod(F.length(c) * 7 + F.ascii(c), F.lit(len(WHOLE))).cast("int")
+    roots = files.select(F.concat("host", F.lit("/LICENSE")).alias("path"), index("host").alias("k"), "host").distinct()
+    inner = files.filter("folder <> '' and (length(host) + ascii(folder)) % 3 = 0").select(F.concat_ws("/", "host", "folder", F.lit("COPYING")).alias("path"), index(F.concat("folder", "host")).alias("k"), "host").distinct()
+    licences = roots.unionByName(inner).join(F.broadcast(texts), "k").select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("Copyright (c) 2020 "), "host", F.lit("\n\n"), "licence_text").alias("text"), "path")
+    all_files = files.select("doc_id", "text", F.concat_ws("/", "host", "folder", F.col("doc_id").cast("string")).alias("path")).unionByName(licences)
+    return scan(all_files, all_files["path"]).select("path", "licence", "how", "licence_dir")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import learn, predict
     from .sampling import held_out
@@ -115,7 +135,7 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_quality": op5_quality, "op6_licenses": op6_licenses, "op7_language": op7_language, "op8_toxicity": op8_toxicity, "op9_near_duplicates": op9_near_duplicates, "op10_quality_rules": op10_quality_rules, "op11_jaccard_join": op11_jaccard_join, "op12_spelling_variants": op12_spelling_variants, "op13_resampling": op13_resampling}
+    return {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_quality": op5_quality, "op6_licenses": op6_licenses, "op7_language": op7_language, "op8_toxicity": op8_toxicity, "op9_near_duplicates": op9_near_duplicates, "op10_quality_rules": op10_quality_rules, "op11_jaccard_join": op11_jaccard_join, "op12_spelling_variants": op12_spelling_variants, "op13_resampling": op13_resampling, "licence_trees": licence_trees}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .licenses import WHOLE
 from .rules import RULES
 
 CRC32 = """
@@ -182,4 +183,18 @@ ranked as (select doc_id, row_number() over (order by score desc, doc_id)::bigin
 select doc_id, n_features, weight, score, case when rank <= (select count(*) * 10 // 100 from ranked) then rank end as rank from scored left join ranked using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_sharding": OP2, "op4_suffix_dedup": OP4, "op9_near_duplicates": OP9, "op10_quality_rules": OP10, "op11_jaccard_join": OP11, "op12_spelling_variants": OP12, "op13_resampling": OP13}
+_NAMES = "[" + ", ".join(f"'{n}'" for n in WHOLE) + "]"
+_NTH = lambda text: f"{_NAMES}[(length({text}) * 7 + ascii({text})) % {len(WHOLE)} + 1]"
+
+#: The nearest licence file above each page, which holds no licence itself.
+LICENCE_TREES = f"""
+with f as (select page_id, regexp_extract(url, '//([^/]*)', 1) as host, regexp_extract(url, '//[^/]*/([a-z]*)', 1) as folder from pages),
+l as (
+  select distinct host || '/LICENSE' as path, host as dir, {_NTH("host")} as licence from f
+  union select distinct host || '/' || folder || '/COPYING', host || '/' || folder, {_NTH("(folder || host)")} from f where folder <> '' and (length(host) + ascii(folder)) % 3 = 0)
+select path, licence, 'file' as how, null as licence_dir from l
+union all select host || '/' || folder || '/' || page_id, coalesce(near.licence, top.licence), 'inherited', coalesce(near.dir, top.dir)
+from f left join l near on near.dir = host || '/' || folder left join l top on top.dir = host
+"""
+
+ORACLES: dict[str, str] = {"op2_sharding": OP2, "op4_suffix_dedup": OP4, "op9_near_duplicates": OP9, "op10_quality_rules": OP10, "op11_jaccard_join": OP11, "op12_spelling_variants": OP12, "op13_resampling": OP13, "licence_trees": LICENCE_TREES}

@@ -98,5 +98,5 @@ def test_stages_take_any_column_names(spark, tmp_path):
 
 def test_queries_of_all_operators():
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)
