@@ -106,8 +106,9 @@ def facts_validate(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def facts_finalize(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Facts files from drafts (analysis, evidence_level, input_fingerprint, draft) and sidecars."""
-    return _written(workflows.finish_facts(spark.read.parquet(args.drafts), spark.read.parquet(args.sidecars)), args.output)
+    """Facts files from drafts (analysis, evidence_level, draft) and sidecars; the fingerprint is that of --inputs (analysis, content), else the drafts bring it (input_fingerprint)."""
+    sources = spark.read.parquet(args.inputs) if args.inputs else None
+    return _written(workflows.finish_facts(spark.read.parquet(args.drafts), spark.read.parquet(args.sidecars), args.kind, args.format_version, sources), args.output)
 
 
 def merge_ocr(spark: SparkSession, args: argparse.Namespace) -> int:
@@ -149,7 +150,7 @@ COMMANDS: tuple[tuple[Callable[[SparkSession, argparse.Namespace], int], tuple[s
     (verify, ("responses", "contract", "contract_id"), {}), (normalize, ("inputs",), {"--kind": {"required": True}}), (candidates, ("pages",), {}),
     (prepare, ("pages",), {"--last-pages": {"type": int, "default": pages.LAST_PAGES}, "--debug-dir": {}}), (validate, ("items", "prepared"), {}),
     (finalize, ("analyses", "items"), {"--heading": {"required": True}, "--before": {"required": True}}), (upgrade, ("analyses", "prepared"), {"--heading": {"required": True}, "--before": {"required": True}}),
-    (facts_validate, ("drafts",), {"--nested": {"action": "store_true"}}), (facts_finalize, ("drafts", "sidecars"), {}), (merge_ocr, ("pages", "quality", "replacements"), {}),
+    (facts_validate, ("drafts",), {"--nested": {"action": "store_true"}}), (facts_finalize, ("drafts", "sidecars"), {"--inputs": {}, "--kind": {"default": workflows.FACTS_KIND}, "--format-version": {"default": workflows.FACTS_VERSION}}), (merge_ocr, ("pages", "quality", "replacements"), {}),
     (update_ocr_cache, ("caches", "new"), {}), (validate_ocr_cache, ("caches", "sources"), {}), (update_fulltext_cache, ("new", "sources"), {}), (validate_fulltext_cache, ("caches", "metadata", "sources"), {}),
     (quality, ("pages",), {}),
 )
