@@ -25,9 +25,9 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def with_nfkc(df: DataFrame, source: str, target: str) -> DataFrame:
-    """``target`` is the NFKC form of ``source``. Only rows with a character beyond ASCII go through Python."""
-    plain = F.coalesce(~F.col(source).rlike("[^\\x00-\\x7F]"), F.lit(True))
-    return df.filter(plain).withColumn(target, F.col(source)).unionByName(df.filter(~plain).withColumn(target, _nfkc(F.col(source))))
+    """``target`` is the NFKC form of ``source``, in one pass. Only texts with a character beyond ASCII go through Python, nulls in place of the others."""
+    beyond = F.col(source).rlike("[^\\x00-\\x7F]")
+    return df.withColumn(target, F.coalesce(_nfkc(F.when(beyond, F.col(source))), F.col(source)))
 
 
 def collapse_space(text: Column) -> Column:

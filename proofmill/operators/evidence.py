@@ -41,7 +41,9 @@ def item_errors(items: DataFrame, candidates: DataFrame, limit: int = MAX_QUOTE_
     # quotes meet by their digests, so that no text is shuffled for the candidates; one aggregate knows all pages of a quote
     digest = F.unhex(F.md5(F.col("quote").cast("binary"))).alias("_key")
     known = candidates.select("doc_id", digest, "page").groupBy("doc_id", "_key").agg(F.collect_set("page").alias("_pages"))
-    joined = with_quote_id(items, "quote", "_id").withColumn("_key", digest).join(known, ["doc_id", "_key"], "left")
+    # what is too long is rejected whatever it says, and gets no id
+    fitting = with_quote_id(items.withColumn("_fit", F.when(F.length("quote") <= limit, F.col("quote"))), "_fit", "_id")
+    joined = fitting.withColumn("_key", F.unhex(F.md5(F.col("_fit").cast("binary")))).join(known, ["doc_id", "_key"], "left")
     error = (
         F.when(F.length("quote") > limit, "exceeds").when(F.col("_pages").isNull(), "prepared candidate")
         .when(~F.coalesce(F.array_contains("_pages", F.col("page")), F.lit(False)), "quote and page").when(F.col("id").isNotNull() & (F.col("id") != F.col("_id")), "does not match")

@@ -342,7 +342,9 @@ def topology_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").cast("string").alias("run_id"),
         F.to_json(F.struct(F.lit(True).alias("passed"), F.lit("1").alias("version"), F.struct(root.alias("thread_id"), F.concat(F.array(event("item/completed", root, worker)), F.coalesce("nested", F.array().cast(nested.schema["nested"].dataType))).alias("app_server_events")).alias("output"))).alias("response"),
     )
-    return topology.verdicts(runs.unionByName(_odd_logs(spark, sf_dir)), samples.CONTRACT, samples.CONTRACT_ID).select("run_id", "producer_status", "nested_direct_child_count", "formal_spawn_relation_count", "exit_code")
+    # small tables come as few tasks, and reading a log is heavy
+    logs = runs.unionByName(_odd_logs(spark, sf_dir)).repartition(spark.sparkContext.defaultParallelism)
+    return topology.verdicts(logs, samples.CONTRACT, samples.CONTRACT_ID).select("run_id", "producer_status", "nested_direct_child_count", "formal_spawn_relation_count", "exit_code")
 
 
 def _odd_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
