@@ -370,15 +370,19 @@ def streamed_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
     swapped = [a.filter("doc_id % 2 = 0").unionByName(b.filter("doc_id % 2 = 1")) for a, b in (versions, versions[::-1])]
     for files in swapped:
         files.repartition(2, "doc_id").write.mode("append").parquet(f"{root}/in")
-    before = spark.conf.get(store)
+    # state lies in as many parts as the first run has shuffle partitions: one for each core is enough here
+    parts = "spark.sql.shuffle.partitions"
+    before = {c: spark.conf.get(c) for c in (store, parts)}
     spark.conf.set(store, replacements.STORE)
+    spark.conf.set(parts, str(min(int(before[parts]), spark.sparkContext.defaultParallelism)))
     try:
         arriving = spark.readStream.schema(versions[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
         merged = replacements.merged_stream(arriving, page_selection(spark, sf_dir))
         running = merged.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
         running.awaitTermination()
     finally:
-        spark.conf.set(store, before)
+        for c, value in before.items():
+            spark.conf.set(c, value)
     return replacements.settled(spark.read.schema(replacements.OUTPUT).parquet(f"{root}/out")).select("doc_id", "page", F.md5("text").alias("text"))
 
 
