@@ -39,16 +39,18 @@ def item_errors(items: DataFrame, candidates: DataFrame, limit: int = MAX_QUOTE_
     not the quote's). A shortened quote is another quote, so it is no candidate.
     """
     # quotes meet by their digests, so that no text is shuffled for the candidates; one aggregate knows all pages of a quote
-    digest = F.unhex(F.md5(F.col("quote").cast("binary"))).alias("_key")
-    known = candidates.select("doc_id", digest, "page").groupBy("doc_id", "_key").agg(F.collect_set("page").alias("_pages"))
-    # what is too long is rejected whatever it says, and gets no id
-    fitting = with_quote_id(items.withColumn("_fit", F.when(F.length("quote") <= limit, F.col("quote"))), "_fit", "_id")
-    joined = fitting.withColumn("_key", F.unhex(F.md5(F.col("_fit").cast("binary")))).join(known, ["doc_id", "_key"], "left")
+    digest = F.unhex(F.md5(F.col("quote").cast("binary")))
+    known = candidates.select("doc_id", digest.alias("_key"), "page").groupBy("doc_id", "_key").agg(F.collect_set("page").alias("_pages"))
+    # what is too long is rejected whatever it says: it gets no id and meets no candidates
+    long = F.coalesce(F.length("quote") > limit, F.lit(False))
+    fitting = with_quote_id(items.filter(~long), "quote", "_id").withColumns({"_key": digest, "_foreign": F.col("id").isNotNull() & (F.col("id") != F.col("_id"))})
+    joined = fitting.join(known, ["doc_id", "_key"], "left")
     error = (
-        F.when(F.length("quote") > limit, "exceeds").when(F.col("_pages").isNull(), "prepared candidate")
-        .when(~F.coalesce(F.array_contains("_pages", F.col("page")), F.lit(False)), "quote and page").when(F.col("id").isNotNull() & (F.col("id") != F.col("_id")), "does not match")
+        F.when(F.col("_pages").isNull(), "prepared candidate")
+        .when(~F.coalesce(F.array_contains("_pages", F.col("page")), F.lit(False)), "quote and page").when(F.col("_foreign"), "does not match")
     )
-    return joined.select(*items.columns, F.col("_id").alias("quote_id"), error.alias("error"))
+    rejected = items.filter(long).select(*items.columns, F.lit(None).cast("string").alias("quote_id"), F.lit("exceeds").alias("error"))
+    return joined.select(*items.columns, F.col("_id").alias("quote_id"), error.alias("error")).unionByName(rejected)
 
 
 def sentence_errors(quote: Column, most: int = MAX_SENTENCES) -> Column:

@@ -57,13 +57,15 @@ def finalize(analyses: DataFrame, items: DataFrame, heading: str, before: str) -
     anchor ``before`` exactly once gets its error and null outputs. Without items the section and the list are empty.
     """
     item = F.struct("ord", "id", "quote", "translation_zh", "source", "page")
+    # items with an error are not gathered: an analysis that has one gets no output
     by = items.groupBy("analysis").agg(
-        F.array_sort(F.collect_list(item)).alias("_items"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("ord"))).alias("_bad"), F.count_distinct("id").alias("_ids"), F.count("id").alias("_n"),
+        F.array_sort(F.collect_list(F.when(F.col("error").isNull(), item))).alias("_items"), F.coalesce(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("ord"))), F.min("error")).alias("_bad"),
     )
+    ids = F.filter(F.transform("_items", lambda x: x["id"]), lambda x: x.isNotNull())
     joined = analyses.join(by, "analysis", "left").withColumn("_items", F.coalesce("_items", F.array().cast(by.schema["_items"].dataType)))
     patched = evidence.patch_section(F.col("markdown"), heading, before, evidence.render_items(F.col("_items")))
     anchors = F.when(F.coalesce(F.size(F.split("markdown", r"\Q" + before + r"\E")) != 2, F.lit(True)) | patched.isNull(), "anchors")
-    error = F.coalesce("_bad", F.when(F.col("_ids") < F.col("_n"), "duplicate id"), anchors)
+    error = F.coalesce("_bad", F.when(F.size(F.array_distinct(ids)) < F.size(ids), "duplicate id"), anchors)
     fine = F.col("error").isNull()
     return joined.withColumns({"error": error, "_p": patched, "_j": evidence.sidecar_body(F.col("_items"))}).select(
         "analysis", F.when(fine, F.col("_p")).alias("markdown"), F.when(fine, F.concat(F.col("analysis").cast("string"), F.lit(".future_work.json"))).alias("path"), F.when(fine, F.col("_j")).alias("json"),

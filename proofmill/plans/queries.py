@@ -215,7 +215,8 @@ def sidecar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sidecars of conversations without any bad item: path and size of the item list."""
     made = pages.page_candidates(conversation_pages(spark, sf_dir).drop("role"))
     checked = evidence.item_errors(_items(spark, sf_dir), made).withColumn("analysis", F.col("doc_id").cast("string"))
-    items = checked.select("analysis", F.lit("fulltext").alias("evidence_level"), F.lit("sha256:0").alias("fingerprint"), F.col("item_id").alias("ord"), F.col("quote_id").alias("id"), "quote", F.lit("").alias("translation_zh"), F.lit("§").alias("source"), "page")
+    # an item with an error is in no sidecar, so its quote need not travel
+    items = checked.filter("error is null").select("analysis", F.lit("fulltext").alias("evidence_level"), F.lit("sha256:0").alias("fingerprint"), F.col("item_id").alias("ord"), F.col("quote_id").alias("id"), "quote", F.lit("").alias("translation_zh"), F.lit("§").alias("source"), "page")
     written = evidence.sidecar(items, checked)
     return written.select("path", F.size(V.elements(V.lookup(F.parse_json("json"), "items"))).alias("items"))
 

@@ -310,3 +310,17 @@ def test_exclusions_of_no_edge_are_never_peeled(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(map(tuple, QUERIES["body_bounds"](spark, str(tmp_path)).collect()))
     assert got == [(4, None, None, "non-outer edge"), (5, 4, 7, None), (8, None, None, "non-outer edge"), (12, 5, 8, None)]
+
+
+def test_rejected_quotes_do_not_travel(spark):
+    """Quotes beyond the limit stay out of the shuffle, and items with an error out of the lists."""
+    from proofmill.operators import evidence, workflows
+
+    items = spark.range(400).selectExpr("id as item_id", "id % 4 as doc_id", "if(id % 4 = 0, repeat(sha2(string(id), 512), 200), sha2(string(id), 512)) as quote", "0L as page", "string(null) as id")
+    candidates = items.selectExpr("doc_id", "quote", "page")
+    checked = evidence.item_errors(items, candidates)
+    assert sorted((r[0], r[1]) for r in checked.groupBy("doc_id", "error").count().collect()) == [(0, "exceeds"), (1, None), (2, None), (3, None)]
+    analyses = spark.range(4).selectExpr("id as analysis", "'# T\n## Next\n## Notes\n' as markdown", "'fulltext' as evidence_level", "'x' as fingerprint")
+    named = checked.selectExpr("doc_id as analysis", "if(error is null, item_id, null) as ord", "if(doc_id = 3, 'same', quote_id) as id", "quote", "'' as translation_zh", "'s' as source", "page", "error")
+    got = sorted((r.analysis, r.items, r.error) for r in workflows.finalize(analyses, named, "## Next", "## Notes").collect())
+    assert got == [(0, None, "exceeds"), (1, 100, None), (2, 100, None), (3, None, "duplicate id")]
