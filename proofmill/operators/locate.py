@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from ..functions import windows
 from ..functions.automaton import Automaton
 from ..functions.text import comparison_view, view_with_offsets, with_nfkc
 from .layout import source_bounds
@@ -26,6 +27,8 @@ ANCHOR = 8
 BROADCAST_QUOTES = 100_000
 #: Bytes of the patterns that one pass over the texts looks for: they bound the automaton of a task (some 400 bytes for each of its states).
 PATTERN_BYTES = 1 << 18
+#: The bitmap of ``holders`` has 64 bits for each pattern, and 2 to this power at most (16 MB); beyond, it lets more windows pass.
+MOST_BITS = 27
 #: Quotes of so many bytes together are all looked for by scans; more are joined by anchors.
 SCANNED_BYTES = 4 * PATTERN_BYTES
 
@@ -108,6 +111,55 @@ def holding(sources: DataFrame, patterns: DataFrame, text: str, pattern: str) ->
     return found.unionByName(sources.filter(F.col(text).isNotNull()).withColumn(pattern, F.lit("")))
 
 
+def holders(sources: DataFrame, patterns: DataFrame, text: str, pattern: str, count: str = "documents") -> DataFrame:
+    """(pattern, count): how many of the ``sources`` hold each different pattern (the first column of ``patterns``) literally; none that no source holds.
+
+    One pass over the texts, however many patterns there are, and no pattern goes through the driver but as bits: windows of
+    the texts that a bitmap does not rule out are counted, then joined with the patterns. Meant for patterns of few lengths inside short runs of
+    their own bytes, as words are; the work is that of the windows in such runs. Null patterns are none; an empty one is in every text that is not null.
+    """
+    named = patterns.select(F.col(patterns.columns[0]).alias(pattern)).filter(F.col(pattern).isNotNull()).distinct()
+    binary = named.select(F.col(pattern).cast("binary").alias("p"))
+
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = windows.bytes_of(b.column("p"))
+            sizes, used = np.unique(np.diff(offsets), return_counts=True), np.unique(data, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sizes[0], -1 - used[0].astype(np.int64)])), pa.array(np.concatenate([sizes[1], used[1]]).astype(np.int64))], names=["v", "n"])
+
+    # lengths, and bytes as negative numbers: a few hundred rows
+    seen = {r["v"]: r["n"] for r in binary.mapInArrow(shapes, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).collect()}
+    lengths = sorted(v for v in seen if v > 0)
+    everywhere = sources.filter(F.col(text).isNotNull()).select(F.lit("").alias(pattern)).groupBy(pattern).agg(F.count(F.lit(1)).alias(count))
+    if not lengths:
+        return everywhere if 0 in seen else everywhere.limit(0)
+    alphabet = np.zeros(256, bool)
+    alphabet[[-1 - v for v in seen if v < 0]] = True
+    bits = min(MOST_BITS, max(15, (64 * sum(seen[v] for v in lengths)).bit_length()))
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = windows.bytes_of(b.column("p"))
+            sizes = np.diff(offsets)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(windows.places(data, offsets[:-1][sizes > 0], sizes[sizes > 0], bits)) + 1)], names=["place"])
+
+    place = F.col("place")
+    parts = binary.mapInArrow(marks, "place long").groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).collect()
+    bitmap = np.zeros((1 << bits) // 8, np.uint8)
+    for k, m in parts:
+        bitmap[(k - 1) * 4096 : k * 4096] = np.frombuffer(m, np.uint8)
+    shared = sources.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for found, n in windows.held(b.column(text), lengths, alphabet, shared.value, bits):
+                yield pa.RecordBatch.from_arrays([found, pa.array(n, pa.int64())], names=["_p", count])
+
+    counted = sources.select(text).mapInArrow(run, f"_p binary, `{count}` long").groupBy("_p").agg(F.sum(count).alias(count))
+    found = counted.join(named, F.col("_p") == F.col(pattern).cast("binary")).select(pattern, count)
+    return found.unionByName(everywhere) if 0 in seen else found
+
+
 def pattern_blocks(patterns: DataFrame) -> Iterator[list[str]]:
     """The different patterns that are not empty, in lists of about PATTERN_BYTES bytes, one at a time."""
     named = patterns.select(F.col(patterns.columns[0]).alias("p")).filter("p <> ''").distinct()

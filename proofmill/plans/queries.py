@@ -395,11 +395,11 @@ def short_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def word_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thousands of markers in one scan: all words of at least eight letters in the conversations, and how many documents hold each."""
+    """Any number of markers in one scan: all words of at least eight letters in the conversations, and how many documents hold each."""
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), 0)
     markers = conversation_pages(spark, sf_dir).select(F.explode(words).alias("marker")).distinct()
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return locate.holding(docs, markers, "text", "marker").groupBy("marker").agg(F.count(F.lit(1)).alias("documents"))
+    return locate.holders(docs, markers, "text", "marker")
 
 
 @query

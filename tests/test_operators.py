@@ -324,3 +324,41 @@ def test_rejected_quotes_do_not_travel(spark):
     named = checked.selectExpr("doc_id as analysis", "if(error is null, item_id, null) as ord", "if(doc_id = 3, 'same', quote_id) as id", "quote", "'' as translation_zh", "'s' as source", "page", "error")
     got = sorted((r.analysis, r.items, r.error) for r in workflows.finalize(analyses, named, "## Next", "## Notes").collect())
     assert got == [(0, None, "exceeds"), (1, 100, None), (2, 100, None), (3, None, "duplicate id")]
+
+
+def test_holders_take_one_pass(spark, monkeypatch):
+    """More patterns than a block holds: still no block, and the counts of literal search."""
+    from proofmill.operators import locate
+
+    def no_blocks(*_):
+        raise AssertionError("patterns went through the driver")
+
+    monkeypatch.setattr(locate, "pattern_blocks", no_blocks)
+    texts = ["abcdefghij abcdefgh", "xabcdefghx", None, "", "abcd efgh", "éabcdefghé", "été abcdefg"]
+    patterns = ["abcdefgh", "bcdefghi", "abcdefghij", "zzzzzzzz", "été", "", None, "abcdefgh"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted(map(tuple, locate.holders(docs, spark.createDataFrame([(p,) for p in patterns], "m string"), "text", "m").collect()))
+    want = [(p, sum(p in t for t in texts if t is not None)) for p in sorted({p for p in patterns if p is not None})]
+    assert got == [(p, n) for p, n in want if n]
+
+
+def test_documents_share_files(spark, tmp_path):
+    """Page-marked text of many documents in few files, read back whole."""
+    from proofmill.sources import inputs
+
+    rows = [(d, p, f"t{d}\n\n{p}\n" if p else "") for d in range(60) for p in range(3)]
+    pages = spark.createDataFrame(rows, "path long, page int, text string")
+    inputs.write_marked(pages, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("part-*"))) <= 8 and not list((tmp_path / "out").glob("path=*"))
+    assert sorted((int(r.key), r.page, r.text) for r in inputs.read_documents(spark, str(tmp_path / "out")).collect()) == rows
+
+
+def test_equal_drafts_are_walked_once(spark):
+    from proofmill.operators import evidence
+
+    drafts = spark.range(300).selectExpr("id", "case id % 4 when 0 then '[1]' when 1 then null when 2 then '{}' else '{\"title\": 1}' end as draft")
+    shape = (("title", "STRING", True),)
+    plain = sorted(map(str, evidence.shape_errors(drafts, shape).collect()))
+    found = evidence.shape_errors_of_equal(drafts, shape)
+    assert sorted(map(str, found.collect())) == plain == sorted(map(str, evidence.shape_errors_of_equal(drafts, shape, most=2).collect()))
+    assert found.columns == ["id", "draft", "errors"]
