@@ -17,6 +17,8 @@ BREAK, DOT = "\x01", "\x02"
 #: Abbreviations whose stops do not end a sentence. Our choice beyond "i.e."; pass others where needed.
 ABBREVIATIONS = ("i.e.", "e.g.")
 PAGE_MARKER = "<!-- PDF_PAGE: %d -->"
+#: Our choice: the line before each document where a file holds several.
+DOCUMENT_MARKER = "<!-- DOCUMENT: %s -->"
 
 
 @F.pandas_udf(StringType())

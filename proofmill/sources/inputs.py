@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import variants as V
-from ..functions.text import PAGE_MARKER, fingerprint, page_marker, section
+from ..functions.text import DOCUMENT_MARKER, PAGE_MARKER, fingerprint, page_marker, section
 
 
 def read_whole(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -155,6 +155,26 @@ def read_marked(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return found.select("path", F.col("_n").cast("int").alias("page"), F.regexp_replace("_t", r"\r?\n\z", "").alias("text"), *others)
 
 
+def write_marked(pages: DataFrame, path: str, key: str = "path") -> None:
+    """``marked_text`` of all documents under ``path``, many in a file, each behind a line that names it: the number of files does not grow with that of documents."""
+    name = F.format_string(DOCUMENT_MARKER + "\n", F.col(key).cast("string"))
+    marked_text(pages, key).select(F.concat(name, F.col("text"))).write.text(path)
+
+
+def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(key, page, text) of files that ``write_marked`` left; the key as a string.
+
+    The line that names a document is the record separator, so files are split by bytes at document starts, and a record is one document. No text may hold one of the markers.
+    """
+    (opening, closing), page = DOCUMENT_MARKER.split("%s"), PAGE_MARKER.split("%d")
+    records = spark.read.option("lineSep", opening).text(paths).filter(F.contains("value", F.lit(closing + "\n")))
+    parts = F.split("value", rf"\Q{page[0]}\E")
+    named = records.select(F.substring_index("value", closing + "\n", 1).alias("key"), F.explode(F.slice(parts, F.lit(2), F.size(parts))).alias("_p"))
+    head = rf"^([0-9]+)\Q{page[1]}\E\n"
+    # what stands before the first marker is no page; each page ends with one line feed that is not its own
+    return named.select("key", F.regexp_extract("_p", head, 1).alias("_n"), F.regexp_replace("_p", head, "").alias("_t")).filter("_n <> ''").select("key", F.col("_n").cast("int").alias("page"), F.regexp_replace("_t", r"\n\z", "").alias("text"))
+
+
 #: Our choices: the least share of letters and white space in a page's characters that makes it evidence.
 LEAST_LETTERS = 0.5
 
