@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 #: State of every size needs a store on disk.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -23,25 +23,30 @@ class Merge(StatefulProcessor):
     """Takes text for pages that are required; the highest version of a page holds, of equal ones the smaller text, whatever comes first."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        page = StructType([StructField("page", LongType())])
-        self.required = handle.getMapState("required", page, StructType([StructField("version", LongType()), StructField("text", StringType())]))
+        # one value for each document: it is read once and written once for all rows that come together
+        self.required = handle.getValueState("required", StructType([StructField("page", ArrayType(LongType())), StructField("version", ArrayType(LongType())), StructField("text", ArrayType(StringType()))]))
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
-        for page in initialState["page"]:
-            self.required.updateValue((int(page),), (-1, ""))
+        pages = [int(page) for page in initialState["page"]]
+        self.required.update((pages, [-1] * len(pages), [""] * len(pages)))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        state = self.required.get()
+        if state is None:
+            return
+        held = {page: (version, text) for page, version, text in zip(*state, strict=True)}
         taken: dict[int, tuple[int, str]] = {}
         for frame in rows:
             for page, version, text in zip(frame["page"], frame["version"], frame["text"], strict=True):
-                place = (int(page),)
-                if text is None or not self.required.containsKey(place):
+                place, now = int(page), held.get(int(page))
+                if text is None or now is None:
                     continue
-                held = self.required.getValue(place)
-                if int(version) > held[0] or (int(version) == held[0] and text < held[1]):
-                    self.required.updateValue(place, (int(version), text))
-                    taken[place[0]] = (int(version), text)
-        waiting = sum(1 for _, value in self.required.iterator() if value[0] < 0) if taken else 0
+                if int(version) > now[0] or (int(version) == now[0] and text < now[1]):
+                    held[place] = taken[place] = (int(version), text)
+        if not taken:
+            return
+        self.required.update(([*held], [v for v, _ in held.values()], [t for _, t in held.values()]))
+        waiting = sum(1 for version, _ in held.values() if version < 0)
         yield pd.DataFrame([(key[0], page, version, text, waiting) for page, (version, text) in taken.items()], columns=OUTPUT.names)
 
     def close(self) -> None:
