@@ -13,6 +13,8 @@ import pyarrow as pa
 PIECE = 4096
 #: Pieces that take a step together.
 PIECES = 1 << 14
+#: Hits that are kept before those that say the same are put together.
+HITS = 1 << 18
 
 
 class Automaton:
@@ -59,7 +61,7 @@ class Automaton:
 
     def find(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(row, pattern) of all different pairs of a text and a pattern that it holds, by row, then pattern; a null text holds none."""
-        column = column.fill_null("").cast(pa.large_binary())
+        column = (column.fill_null("") if column.null_count else column).cast(pa.large_binary())
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         buffer = column.buffers()[2]
         data = np.frombuffer(buffer, np.uint8) if buffer is not None and buffer.size else np.empty(0, np.uint8)
@@ -69,7 +71,7 @@ class Automaton:
         begin = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
         size = np.minimum(lengths[row] - begin, PIECE + max(0, self.longest - 1))
         begin = begin + offsets[:-1][row]
-        found = [np.empty(0, np.int64)]
+        found, more = [np.empty(0, np.int64)], 0
         for a in range(0, len(row), PIECES):
             order = a + np.argsort(-size[a : a + PIECES], kind="stable")
             at, left, state = begin[order], -size[order], np.zeros(len(order), np.int32)
@@ -79,6 +81,9 @@ class Automaton:
                 ends = np.flatnonzero(self.hit[state[:m]])
                 if len(ends):
                     found.append(np.unique(row[order[ends]] * len(self.own) + state[ends]))
+                    more += len(found[-1])
+                    if more > max(HITS, len(found[0])):
+                        found, more = [np.unique(np.concatenate(found))], 0
         pairs = np.unique(np.concatenate(found))
         text, state = pairs // len(self.own), pairs % len(self.own)
         out = [np.empty(0, np.int64)]

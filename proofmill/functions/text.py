@@ -7,11 +7,14 @@ import unicodedata
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .windows import spans
+
 #: Control characters that stand for a sentence break and a protected full stop while a text is split.
 BREAK, DOT = "\x01", "\x02"
 #: Abbreviations whose stops do not end a sentence. Our choice beyond "i.e."; pass others where needed.
@@ -21,14 +24,24 @@ PAGE_MARKER = "<!-- PDF_PAGE: %d -->"
 DOCUMENT_MARKER = "<!-- DOCUMENT: %s -->"
 
 
-@F.pandas_udf(StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
+#: A character that NFKC may change, or join with one before it. The ranges left out hold none: ASCII, letters (Latin, Greek, Cyrillic, Hebrew), dashes and quotation marks, kana, Han, Hangul syllables.
+#: A text without such a character is in NFKC already. The look ahead, a single range, spares most characters the test of all ranges, which takes Java eight times as long.
+UNSTABLE = (
+    r"(?=[^\x00-\x9F])[^\x00-\x9F\u00BF-\u0131\u014A-\u017E\u0180-\u01C3\u01F4-\u02AF\u0388-\u03CF\u03FA-\u0482\u048A-\u052F\u05D0-\u05EA\u1E00-\u1E99\u1EA0-\u1EF9"
+    r"\u2012-\u2016\u2018-\u2023\u3001-\u3029\u303B-\u3096\u30A0-\u30FE\u4E00-\u9FFF\uAC00-\uD7A3]"
+)
+
+
+@F.arrow_udf(StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    """The NFKC form of texts that are in another one, else null. Python strings are made of a span of the texts at a time."""
+    form = lambda t: None if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t)
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([form(t.as_py()) for t in texts.slice(k, n)], pa.string()) for k, n in spans(pc.binary_length(texts)))])
 
 
 def with_nfkc(df: DataFrame, source: str, target: str) -> DataFrame:
-    """``target`` is the NFKC form of ``source``, in one pass. Only texts with a character beyond ASCII go through Python, nulls in place of the others."""
-    beyond = F.col(source).rlike("[^\\x00-\\x7F]")
+    """``target`` is the NFKC form of ``source``, in one pass. Only texts with a character that NFKC may change go through Python, nulls in place of the others."""
+    beyond = (F.octet_length(source) > F.char_length(source)) & F.col(source).rlike(UNSTABLE)
     return df.withColumn(target, F.coalesce(_nfkc(F.when(beyond, F.col(source))), F.col(source)))
 
 

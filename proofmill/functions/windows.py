@@ -13,6 +13,8 @@ import pyarrow as pa
 
 #: Bytes of texts that are looked at together; a longer text is looked at alone.
 SLICE = 1 << 22
+#: Bytes of texts that one step of other passes works on or gives back; the batch that Spark hands over is 10,000 texts, whatever their length.
+SPAN = 1 << 23
 BASE = 0x9E3779B97F4A7C15 | 1
 MIX = 0xD6E8FEB86659FD93
 
@@ -26,6 +28,16 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def spans(sizes: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of runs of rows with at most SPAN bytes together, or of one row beyond it; the bytes of a null are none."""
+    ends = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(ends):
+        past = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SPAN, side="right")))
+        yield first, past - first
+        first = past
+
+
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1

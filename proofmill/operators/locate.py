@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -102,8 +103,7 @@ def holding(sources: DataFrame, patterns: DataFrame, text: str, pattern: str) ->
         def run(batches: Iterator[pa.RecordBatch], block: list[str] = block) -> Iterator[pa.RecordBatch]:
             automaton, names = Automaton([p.encode() for p in block]), pa.array(block, pa.string())
             for b in batches:
-                row, which = automaton.find(b.column(text))
-                yield pa.RecordBatch.from_arrays([*b.take(pa.array(row)).columns, names.take(pa.array(which))], names=[*b.schema.names, pattern])
+                yield from _held(b, automaton, names, text, pattern)
 
         found = found.unionByName(sources.mapInArrow(run, schema))
     if patterns.filter(F.col(patterns.columns[0]) == "").isEmpty():
@@ -111,6 +111,16 @@ def holding(sources: DataFrame, patterns: DataFrame, text: str, pattern: str) ->
     return found.unionByName(sources.filter(F.col(text).isNotNull()).withColumn(pattern, F.lit("")))
 
 
+def _held(batch: pa.RecordBatch, automaton: Automaton, names: pa.Array, text: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch with each pattern that they hold, by spans of its rows and of the found ones: a text with many patterns is copied for each of them."""
+    for k, n in windows.spans(pc.binary_length(batch.column(text))):
+        part = batch.slice(k, n)
+        row, which = automaton.find(part.column(text))
+        row, which = pa.array(row), pa.array(which)
+        for i, m in windows.spans(pc.binary_length(part.column(text)).take(row)):
+            yield pa.RecordBatch.from_arrays([*part.take(row.slice(i, m)).columns, names.take(which.slice(i, m))], names=[*batch.schema.names, pattern])
+
+
 def holders(sources: DataFrame, patterns: DataFrame, text: str, pattern: str, count: str = "documents") -> DataFrame:
     """(pattern, count): how many of the ``sources`` hold each different pattern (the first column of ``patterns``) literally; none that no source holds.
 

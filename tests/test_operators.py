@@ -362,3 +362,49 @@ def test_equal_drafts_are_walked_once(spark):
     found = evidence.shape_errors_of_equal(drafts, shape)
     assert sorted(map(str, found.collect())) == plain == sorted(map(str, evidence.shape_errors_of_equal(drafts, shape, most=2).collect()))
     assert found.columns == ["id", "draft", "errors"]
+
+
+def test_stable_characters_are_those_that_nfkc_leaves_alone():
+    import re
+    import sys
+    import unicodedata
+
+    from proofmill.functions.text import UNSTABLE
+
+    joins = {int(x, 16) for c in range(sys.maxunicode + 1) if (d := unicodedata.decomposition(chr(c))) and d[0] != "<" for x in d.split()[1:]} | set(range(0x1160, 0x1200))
+    stable = [c for c in map(chr, range(sys.maxunicode + 1)) if not re.match(UNSTABLE, c)]
+    assert len(stable) > 30_000 and "é" in stable and "中" in stable and not {"ﬁ", "，", "́", "ﾊ"} & set(stable)
+    assert not [c for c in stable if ord(c) in joins or unicodedata.combining(c) or unicodedata.normalize("NFKC", c) != c]
+
+
+def test_only_changed_texts_come_back_from_python():
+    from proofmill.functions import text, windows
+
+    texts = ["é", "ﬁ", None, "é", "x" * windows.SPAN + "ﬁ", "ﬁ"]
+    assert text._nfkc.func(pa.array(texts, pa.string())).to_pylist() == [None, "fi", None, "é", "x" * windows.SPAN + "fi", "fi"]
+    assert text._nfkc.func(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_a_text_with_many_patterns_is_given_back_in_spans(monkeypatch):
+    from proofmill.functions import windows
+
+    monkeypatch.setattr(windows, "SPAN", 1000)
+    patterns = [f"<{k}>" for k in range(40)]
+    texts = [None, "", "".join(patterns) + "x" * 300, "<7>", "y" * 2000 + "<3>", *["<1><2>"] * 500]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(len(texts))), "t": pa.array(texts, pa.string())})
+    found = list(locate._held(batch, automaton.Automaton([p.encode() for p in patterns]), pa.array(patterns), "t", "p"))
+    assert max(b.num_rows for b in found) <= 1000 // 6 and all(b.num_rows == 1 or sum(map(len, b["t"].to_pylist())) <= 1000 for b in found)
+    assert sorted((k, p) for b in found for k, p in zip(b["k"].to_pylist(), b["p"].to_pylist())) == sorted((k, p) for k, t in enumerate(texts) for p in patterns if t and p in t)
+
+
+def test_memory_of_a_scan_is_that_of_the_different_hits():
+    import tracemalloc
+
+    texts = pa.array(["a" * 4000] * 500, pa.string())
+    scan = automaton.Automaton([b"a"])
+    tracemalloc.start()
+    rows, which = scan.find(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows.tolist() == list(range(500)) and not which.any()
+    assert peak < 12e6  # 2,000,000 hits of 8 bytes
