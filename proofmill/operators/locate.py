@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -232,15 +231,17 @@ def within_document(quotes: DataFrame, pages: DataFrame, exclusions: DataFrame |
     )
 
 
-@F.pandas_udf(StructType([StructField("view", ArrayType(IntegerType())), StructField("text", ArrayType(IntegerType()))]))
-def offset_map(texts: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(StructType([StructField("view", ArrayType(IntegerType())), StructField("text", ArrayType(IntegerType()))]))
+def offset_map(texts: pa.Array) -> pa.Array:
     """The breakpoints of texts' comparison views: from each view position on, until the next, view and text go on character by character."""
-    rows = []
-    for text in texts:
-        at = np.array(view_with_offsets(text)[1], np.int64)
+    view, text = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+    for t in texts:
+        at = np.array(view_with_offsets(t.as_py())[1], np.int32)
         cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1)[: len(at)])
-        rows.append((cuts.tolist(), at[cuts].tolist()))
-    return pd.DataFrame(rows, columns=["view", "text"])
+        view.append(cuts.astype(np.int32))
+        text.append(at[cuts])
+    offsets = np.cumsum([len(x) for x in view], dtype=np.int32)
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, np.concatenate(x)) for x in (view, text)], names=["view", "text"])
 
 
 def text_position(offsets: str, position: Column) -> Column:

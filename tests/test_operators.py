@@ -408,3 +408,17 @@ def test_memory_of_a_scan_is_that_of_the_different_hits():
     tracemalloc.stop()
     assert rows.tolist() == list(range(500)) and not which.any()
     assert peak < 12e6  # 2,000,000 hits of 8 bytes
+
+
+def test_offset_maps_are_kept_as_arrays():
+    import tracemalloc
+
+    texts = pa.array(["a  " * 1000, "", "x-\ny ﬁ", *["b  c" * 700] * 300], pa.string())
+    tracemalloc.start()
+    got = locate.offset_map.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[1].as_py() == {"view": [], "text": []} and got[2].as_py() == {"view": [0, 1, 4], "text": [0, 3, 5]}
+    assert len(got) == 303 and all(len(got[k].as_py()["view"]) == 701 for k in (3, 302))
+    assert peak < 8e6  # 420,000 numbers of 4 bytes, twice; as lists of Python numbers they took 15.6 MB
+    assert locate.offset_map.func(pa.array([], pa.string())).to_pylist() == []
